@@ -1,8 +1,9 @@
 """Connected components of an edge table, with alternating large-star and small-star steps.
 
 (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014.) Every step is a pre-aggregated
-minimum per node and a join back to the edges, whose skew at hubs Spark splits; each round is written
-to the shared folder. Nothing is collected but one checksum per round.
+minimum per node and a join back to the edges. The minima are written first: then both sides of the
+join are dealt for the join alone and Spark can split the partition of a hub. Nothing is collected
+but one checksum per round.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from linework.plans.tables import materialise
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    least = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "stars")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "stars")
     moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
@@ -34,7 +35,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not state["n"] or state == before:
             break
         before = state
-        edges = materialise(_small_star(_large_star(edges).where("u != v").distinct()).where("u != v").distinct(), "edges")
+        edges = materialise(_small_star(materialise(_large_star(edges).distinct(), "edges")).distinct(), "edges")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

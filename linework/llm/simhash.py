@@ -190,8 +190,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     roots = connected_components(links(nodes.select("fp"), max_bits))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = materialise(nodes.join(roots.withColumnRenamed("node", "fp"), "fp"), "linked")
+    least = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of_fp = (
         nodes.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left")
         .select("fp", F.coalesce("component_id", "least").alias("component_id"))
