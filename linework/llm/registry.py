@@ -1,11 +1,13 @@
 """Queries of this subpackage and their SQL."""
 
-from linework.llm import bpe, decontaminate, exact_dedup, langid, simhash, url_filter
+from linework.llm import bpe, decontaminate, exact_dedup, katz, langid, quality, simhash, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_language_id": langid.op3_language_id,
+    "op4_quality": quality.op4_quality,
+    "op6_katz": katz.op6_katz,
     "op8_simhash": simhash.op8_simhash,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_decontaminate": decontaminate.op10_decontaminate,
