@@ -6,7 +6,7 @@ log2 of the labelled text's length in bits, so the language with the fewest phra
 describes the text best.
 
 The labelled text is a bounded sample: up to DOCS_PER_LANGUAGE documents, CHARS_PER_DOCUMENT code points
-of each and CHARS_PER_LANGUAGE of each language, chosen by a hash of the id from all labelled rows. It is broadcast as text
+of each and CHARS_PER_LANGUAGE of each of MAX_LANGUAGES languages, chosen by a hash of the id from all labelled rows. It is broadcast as text
 (languages x CHARS_PER_LANGUAGE code points at most) and each Python worker builds the automata, as
 dense transition tables, once. Whole texts are parsed, in segments of SEGMENT code points that are
 advanced together; a phrase ends at a segment's end, which costs every language at most one phrase
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 DOCS_PER_LANGUAGE = 200
 CHARS_PER_DOCUMENT = 2_000
 CHARS_PER_LANGUAGE = 60_000
+#: The most frequent labels are learnt, at most so many.
+MAX_LANGUAGES = 200
 SEGMENT = 512
 #: Segments parsed together.
 ROWS = 8192
@@ -158,7 +160,7 @@ def labelled_sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str)
     rows = rows.where(F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")
     )
-    counts = rows.groupBy("lang").count()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     share = F.least(F.lit(1.0), 3.0 * DOCS_PER_LANGUAGE / F.col("count"))
     few = rows.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 40)) < share * (1 << 40))
     first = Window.partitionBy("lang").orderBy("h", "text")

@@ -1,18 +1,24 @@
 """Queries of this subpackage and their SQL."""
 
-from linework.llm import bpe, decontaminate, exact_dedup, katz, langid, quality, simhash, url_filter
+from linework.llm import bpe, decontaminate, exact_dedup, katz, langid, quality, quotes, simhash, token_counts, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_language_id": langid.op3_language_id,
     "op4_quality": quality.op4_quality,
+    "op5_quotation_linking": quotes.op5_quotation_linking,
+    "quoted_replies": quotes.quoted_replies,
     "op6_katz": katz.op6_katz,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_simhash": simhash.op8_simhash,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op5_quotation_linking": quotes.OP5_SQL,
+    "quoted_replies": quotes.QUOTED_SQL,
+    "op7_token_counts": token_counts.OP7_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
 }
