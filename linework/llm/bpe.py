@@ -20,16 +20,16 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Code points of text whose words are encoded together.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 6_000_000
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 400_000
 
@@ -40,96 +40,142 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """The ids of each word: every merge in rank order over all words at once."""
-    parts: list[bytes] = []  # one node per byte, words one after the other
-    following: list[int] = []
-    before: list[int] = []
-    word_end: list[int] = []
-    starts: list[int] = []
-    for word in words:
-        first = len(parts)
-        end = first + len(word)
-        starts.append(first)
-        parts += [word[i : i + 1] for i in range(len(word))]
-        following += range(first + 1, end + 1)
-        before += range(first - 1, end - 1)
-        if word:
-            before[first] = -1
-            following[end - 1] = -1
-        word_end.append(end)
-    places: dict[int, list[int]] = {}  # rank of a pair: its left nodes
-    get = ranks.get
-    for node, nxt in enumerate(following):
-        if nxt >= 0 and (rank := get(parts[node] + parts[nxt])) is not None:
-            places.setdefault(rank, []).append(node)
-    heap = list(places)
-    heapq.heapify(heap)
-    bounds = np.array(word_end)
-    while heap:
-        rank = heapq.heappop(heap)
-        todo = places.pop(rank, None)
-        if todo is None:
-            continue
-        todo.sort()
-        held = -1  # nodes below this wait for a pair of lower or equal rank in the same word
-        waiting: list[int] = []
-        for node in todo:
-            if node < held:
-                waiting.append(node)
-                continue
-            nxt = following[node]
-            if not parts[node] or nxt < 0 or get(merged := parts[node] + parts[nxt]) != rank:
-                continue
-            parts[node], parts[nxt] = merged, b""
-            after = following[node] = following[nxt]
-            if after >= 0:
-                before[after] = node
-            for left, right in ((before[node], node), (node, after)):
-                if left >= 0 and right >= 0 and (new := get(parts[left] + parts[right])) is not None:
-                    if new in places:
-                        places[new].append(left)
-                    else:
-                        places[new] = [left]
-                        heapq.heappush(heap, new)
-                    if new <= rank:
-                        held = int(bounds[np.searchsorted(bounds, node, side="right")])
-        if waiting:
+class Vocabulary:
+    """Ranks of tokens, and the rank that a pair of tokens merges to."""
+
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.end = max(ranks.values()) + 1  # stands where no token is
+        get = ranks.get
+        pairs = {
+            a * (self.end + 1) + b: rank
+            for token, rank in ranks.items()
+            for k in range(1, len(token))
+            if (a := get(token[:k])) is not None and (b := get(token[k:])) is not None
+        }
+        self.codes = np.fromiter(sorted(pairs), np.int64, len(pairs))
+        self.merged = np.fromiter(map(pairs.__getitem__, self.codes.tolist()), np.int64, len(pairs))
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, NONE if they don't merge."""
+        code = a * (self.end + 1) + b
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.merged[at], self.NONE)
+
+
+def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words one after the other, and the number of each word's: merges in rank order.
+
+    A rank's step merges the leftmost place of every word that has the rank; the word's other places
+    go back into the index, behind whatever lower rank the merge has made.
+    """
+    sizes = np.array([len(w) for w in words], np.int64)
+    data = np.frombuffer(b"".join(words), np.uint8)
+    n = len(data)  # node n stands for no node
+    ids = np.append(vocabulary.bytes[data], vocabulary.end)
+    word = np.repeat(np.arange(len(words)), sizes)
+    ends = np.cumsum(sizes)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[ends[sizes > 0] - 1], before[(ends - sizes)[sizes > 0]] = n, n
+    rank_at = vocabulary.pair(ids, ids[np.minimum(after, n)])
+    rank_at[n] = Vocabulary.NONE
+    places: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def index(nodes: np.ndarray) -> None:
+        ranks = rank_at[nodes]
+        order = np.argsort(ranks, kind="stable")
+        nodes, ranks = nodes[order], ranks[order]
+        cut = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        for rank, part in zip(ranks[np.concatenate([[0], cut])].tolist() if len(ranks) else (), np.split(nodes, cut)):
             if rank in places:
-                places[rank] += waiting
+                places[rank].append(part)
             else:
-                places[rank] = waiting
+                places[rank] = [part]
                 heapq.heappush(heap, rank)
-    return [[ranks[p] for p in parts[a:b] if p] for a, b in zip(starts, word_end, strict=True)]
+
+    index(np.flatnonzero(rank_at != Vocabulary.NONE))
+    while heap:
+        rank = heapq.heappop(heap)
+        found = places.pop(rank)
+        nodes = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+        nodes = nodes[rank_at[nodes] == rank]
+        if not len(nodes):
+            continue
+        of = word[nodes]
+        if len(nodes) > 1 and not (fresh := np.concatenate([[True], of[1:] != of[:-1]])).all():
+            places[rank] = [nodes[~fresh]]
+            heapq.heappush(heap, rank)
+            nodes = nodes[fresh]
+        gone = after[nodes]
+        right, left = after[gone], before[nodes]
+        ids[nodes], ids[gone], rank_at[gone] = rank, -1, Vocabulary.NONE
+        after[nodes], before[right] = right, nodes
+        left = left[left != n]
+        touched = np.concatenate([left, nodes])
+        rank_at[touched] = vocabulary.pair(ids[touched], ids[after[touched]])
+        touched = touched[rank_at[touched] != Vocabulary.NONE]
+        if len(touched):
+            index(np.sort(touched))
+    alive = ids[:n] >= 0
+    return ids[:n][alive].astype(np.int32), np.bincount(word[alive], minlength=len(words))
+
+
+class _Numbers(dict):
+    """Numbers words as they are met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 class Encoder:
     """Ids of texts by a vocabulary; remembers words."""
 
     def __init__(self, path: str, pattern: str):
-        self.ranks = load_ranks(path)
+        self.vocabulary = Vocabulary(load_ranks(path))
         self.words = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: Iterable[str]) -> list[list[int]]:
-        cut = [self.words(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        new: list[str] = []
-        for w in set(chain.from_iterable(cut)).difference(known):
-            if (rank := self.ranks.get(w.encode())) is not None:
-                known[w] = [rank]  # a word of the vocabulary is one token
-            else:
-                new.append(w)
-        known.update(zip(new, replay([w.encode() for w in new], self.ranks), strict=True))
-        return [list(chain.from_iterable(map(known.__getitem__, c))) for c in cut]
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = _Numbers()
+        self.ids = np.zeros(0, np.int32)
+        self.ends = np.zeros(1, np.int64)  # word k has the ids from ends[k] to ends[k + 1]
+
+    def learn(self) -> None:
+        """Encode the words that were numbered since."""
+        new = [w.encode() for w in list(self.numbers)[len(self.ends) - 1 :]]
+        ranks = self.vocabulary.ranks
+        whole = np.array([ranks.get(w, -1) for w in new], np.int32)  # a word of the vocabulary is one token
+        ids, sizes = replay([b"" if r >= 0 else w for w, r in zip(new, whole.tolist(), strict=True)], self.vocabulary)
+        at = np.cumsum(sizes) - sizes
+        ids = np.insert(ids, at[whole >= 0], whole[whole >= 0])
+        sizes[whole >= 0] = 1
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the number of each text's."""
+        if len(self.numbers) > CACHE_WORDS:
+            self.forget()
+        cut = [np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)) for words in map(self.words, texts)]
+        self.learn()
+        flat = np.concatenate([np.zeros(0, np.int32), *cut])
+        sizes = self.ends[flat + 1] - self.ends[flat]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.ends[flat] - ends + sizes, sizes) + np.arange(total)]
+        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cut)])]
+        return ids, np.diff(bounds)
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def _blocks(texts: list[str | None]) -> Iterator[list[str]]:
+def _blocks(texts: Iterable[str | None]) -> Iterator[list[str]]:
     block: list[str] = []
     size = 0
     for t in texts:
@@ -154,10 +200,9 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "
         encoder = _encoders[key]
         for batch in batches:
             at = 0
-            for block in _blocks(batch.column(len(rest)).to_pylist()):
-                ids = encoder.encode(block)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
+            for block in _blocks(t.as_py() for t in batch.column(len(rest))):
+                flat, sizes = encoder.encode(block)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 part = batch.slice(at, len(block))
                 at += len(block)
                 yield pa.RecordBatch.from_arrays(
@@ -167,7 +212,18 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "
     return docs.select(*rest, text_col).mapInArrow(encode, schema)
 
 
-_tokens: dict[str, list[bytes]] = {}
+_tokens: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def _table(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all tokens one after the other; where each id's begin, and how many they are."""
+    if vocabulary not in _tokens:
+        ranks = load_ranks(vocabulary)
+        order = sorted(ranks, key=ranks.__getitem__)
+        sizes = np.zeros(ranks[order[-1]] + 1, np.int64)
+        sizes[[ranks[t] for t in order]] = [len(t) for t in order]
+        _tokens[vocabulary] = np.frombuffer(b"".join(order), np.uint8), np.cumsum(sizes) - sizes, sizes
+    return _tokens[vocabulary]
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
@@ -177,18 +233,18 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", bytes_
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema] + [f"`{bytes_col}` binary"])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _tokens:
-            ranks = load_ranks(vocabulary)
-            table = [b""] * (max(ranks.values()) + 1)
-            for token, rank in ranks.items():
-                table[rank] = token
-            _tokens[vocabulary] = table
-        token = _tokens[vocabulary].__getitem__
+        data, starts, sizes = _table(vocabulary)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                out = [b"".join(map(token, x.values.tolist() if x.is_valid else ())) for x in part.column(where)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*rest, bytes_col])
+                lists = part.column(where)
+                ids = np.asarray(lists.flatten()).astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes[ids])])
+                found = data[np.repeat(starts[ids] - ends[:-1], sizes[ids]) + np.arange(ends[-1])]
+                counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
+                offsets = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+                out = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(found)])
+                yield pa.RecordBatch.from_arrays([*part.columns, out], [*rest, bytes_col])
 
     return encoded.mapInArrow(decode, schema)
 

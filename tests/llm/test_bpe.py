@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -15,12 +16,23 @@ def library():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
 
 
+def encoded(encoder, texts):
+    ids, sizes = encoder.encode(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
 def test_random_words_equal_the_library(library):
     rng = random.Random(1)
     alphabet = ["a", "th", "e", "  ", "\n", "é", "ß", "ing", "漢", "1", "22", "'s", "!", "\t", "🙂", "aaaa", "Ω"]
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(3000)] + ["a" * 5000, "<|endoftext|>", ""]
-    got = bpe.Encoder(PATH, P.PATTERN).encode(texts)
-    assert got == [library.encode_ordinary(t) for t in texts]
+    assert encoded(bpe.Encoder(PATH, P.PATTERN), texts) == [library.encode_ordinary(t) for t in texts]
+
+
+def test_a_cache_that_is_forgotten(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    encoder = bpe.Encoder(PATH, P.PATTERN)
+    for text in ["one two three four five", "six two seven", "", "one zzzqqq"]:
+        assert encoded(encoder, [text]) == [library.encode_ordinary(text)]
 
 
 def test_a_vocabulary_whose_merges_are_out_of_order():
@@ -29,7 +41,8 @@ def test_a_vocabulary_whose_merges_are_out_of_order():
     rng = random.Random(2)
     words = ["".join(rng.choices("abc", k=rng.randint(2, 14))) for _ in range(2000)]
     words = [w for w in words if w.encode() not in ranks]
-    assert bpe.replay([w.encode() for w in words], ranks) == [library.encode_ordinary(w) for w in words]
+    ids, sizes = bpe.replay([w.encode() for w in words], bpe.Vocabulary(ranks))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode_ordinary(w) for w in words]
 
 
 def test_query_on_documents(spark, library):
