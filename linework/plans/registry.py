@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linework.plans import line_queries
+from linework.plans import line_queries, table_queries
 
-MODULES = [line_queries]
+MODULES = [line_queries, table_queries]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 
