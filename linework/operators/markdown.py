@@ -41,7 +41,7 @@ def lines(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
 def plain(text: Column) -> Column:
     """A heading without its markup."""
-    for pattern, to in [(r"\[\^[^\]]+\]", ""), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"), ("`([^`]*)`", "$1"), (r"(\*\*|__|~~|\*)", "")]:
+    for pattern, to in [(r"\[\^[^\]]+\]", ""), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"), ("`([^`]*)`", "$1"), (r"(\*\*|__|~~)(\S.*?)\1", "$2"), (r"\*([^*\s][^*]*)\*", "$1")]:
         text = F.regexp_replace(text, pattern, to)
     return visible_text(text)
 
@@ -154,7 +154,7 @@ def section_counts(docs: DataFrame, key: str, text_col: str = "text") -> DataFra
         F.count_if(text.rlike(r"^ {0,3}\|?(\s*:?-+:?\s*\|)+\s*(:?-+:?\s*)?$") & F.contains(text, F.lit("|"))).alias("tables"),
         F.count_if(text.rlike(task)).alias("tasks"),
         F.count_if(text.rlike(r"^\s*[-*+] \[[xX]\] ")).alias("tasks_done"),
-        F.count_if("is_fence and fences % 2 = 0").alias("code_blocks"),
+        F.count_if(F.expr("is_fence and fences % 2 = 0")).alias("code_blocks"),
     )
     empty = F.coalesce(text_col, F.lit("")) == ""
     sizes = docs.select(key, F.when(empty, 0).otherwise(F.size(F.split(text_col, "\n", -1))).cast("long").alias("lines"))
