@@ -189,9 +189,10 @@ def _blocks(texts: Iterable[str | None]) -> Iterator[list[str]]:
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` without its text and with ``ids_col`` (array<int>). ``vocabulary`` is a path on every executor."""
-    rest = [c for c in docs.columns if c != text_col]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col] + [f"`{ids_col}` array<int>"])
+    """``docs`` without its text and with ``ids_col`` (array<int>), in place of a column of that name.
+    ``vocabulary`` is a path on every executor."""
+    rest = [c for c in docs.columns if c not in (text_col, ids_col)]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest] + [f"`{ids_col}` array<int>"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (vocabulary, pattern)
@@ -227,7 +228,8 @@ def _table(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
-    """``encoded`` with ``bytes_col`` (binary): the bytes of its ids."""
+    """``encoded`` with ``bytes_col`` (binary), in place of a column of that name: the bytes of its ids."""
+    encoded = encoded.drop(bytes_col)
     rest = encoded.columns
     where = rest.index(ids_col)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema] + [f"`{bytes_col}` binary"])

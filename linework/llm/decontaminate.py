@@ -6,8 +6,9 @@ scanned once, front to back, and each match marks its words. ASCII letters are l
 ASCII separators become spaces by a byte-for-byte mapping, so the place of a word in the normalised
 bytes is its place in the original and spans can be given as code points of the original text.
 
-The benchmark is sent to the tasks only up to MAX_PATTERN_BYTES; a larger one is cut into shards of
-that size by item, each with an automaton and a scan of its own, and the marks are put together.
+The benchmark is sent to the tasks only up to MAX_PATTERN_BYTES (an automaton takes some 200 times its
+text). A larger one is cut into shards of that size by item, each with an automaton and tasks of its
+own, which give back only the marks they find; the marks are put together per document.
 
 Defined results: null has no words; a document without words is not contaminated; items without
 words match nothing; repeated items count by their id once; a null item id is the string ''.
@@ -17,15 +18,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linework.plans.tables import materialise
+
 WINDOW = 13
 #: Text of the benchmark that one automaton may hold.
-MAX_PATTERN_BYTES = 32 << 20
+MAX_PATTERN_BYTES = 1 << 20
 
 #: ASCII letters lowered, digits kept, bytes from 0x80 kept, the rest a space.
 _WORD_BYTES = bytes(
@@ -76,12 +80,10 @@ class Windows:
         return ranges, items
 
 
-def united(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Two lists of merged ranges as one."""
-    if not a or not b:
-        return a or b
+def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted ranges without overlaps."""
     out: list[tuple[int, int]] = []
-    for start, end in sorted(a + b):
+    for start, end in ranges:
         if out and out[-1][1] >= start:
             out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
@@ -114,42 +116,83 @@ def char_spans(text: str, ranges: list[tuple[int, int]]) -> list[dict[str, int]]
     return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in ranges]
 
 
-_built: dict[str, list[Windows]] = {}
+_built: dict[str, Windows] = {}
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-_TYPES = {"n_words": pa.int64(), "n_hit": pa.int64(), "item_ids": pa.list_(pa.string()), "spans": pa.list_(_SPAN)}
+_SPANS, _IDS = pa.list_(_SPAN), pa.list_(pa.string())
+
+
+def _windows(shared, key: str, window: int) -> Windows:
+    """The automaton of a broadcast shard; a worker keeps one."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Windows(shared.value, window)
+    return _built[key]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 512):
+            yield batch.slice(lo, 512)
+
+
+def _result(part: pa.RecordBatch, marks: Iterator[tuple[str | None, list[bytes], list, list]], rest: int) -> pa.RecordBatch:
+    """A batch of results from (text, words, ranges, items) of each row; columns from ``rest`` on are carried."""
+    n_words, n_hit, item_ids, spans = [], [], [], []
+    for text, words, ranges, items in marks:
+        n_words.append(len(words))
+        n_hit.append(sum(b - a for a, b in ranges))
+        item_ids.append(items)
+        spans.append(char_spans(text or "", ranges))
+    found = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(item_ids, _IDS), pa.array(spans, _SPANS)]
+    return pa.RecordBatch.from_arrays(
+        [part.column(0), *found, *part.columns[rest:]], ["id", "n_words", "n_hit", "item_ids", "spans", *part.schema.names[rest:]]
+    )
+
+
+def _scan_whole(shared, key: str, window: int):
+    """(id, text, carried...) to results, for a benchmark of one shard."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _windows(shared, key, window)
+
+        def marks(part: pa.RecordBatch) -> Iterator[tuple]:
+            for text in part.column(1).to_pylist():
+                ranges, items = windows.scan(words := words_of(text))
+                yield text, words, ranges, sorted(items)
+
+        for part in _pieces(batches):
+            yield _result(part, marks(part), 2)
+
+    return scan
 
 
-def _scan_with(shared: list, key: str, window: int):
-    """A function over batches of (id, text, carried...); ``shared`` has a broadcast of items per shard."""
+def _scan_shard(shared, key: str, window: int):
+    """(row, text) to (row, ranges of words, items) of the rows that one shard hits."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _built:
-            _built.clear()  # a worker keeps the automata of one job
-            _built[key] = [Windows(b.value, window) for b in shared]
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                out: dict[str, list] = {k: [] for k in _TYPES}
-                for text in part.column(1).to_pylist():
-                    words = words_of(text)
-                    ranges: list[tuple[int, int]] = []
-                    items: set[str] = set()
-                    for windows in _built[key]:
-                        more, found = windows.scan(words)
-                        ranges = united(ranges, more)
-                        items |= found
-                    out["n_words"].append(len(words))
-                    out["n_hit"].append(sum(b - a for a, b in ranges))
-                    out["item_ids"].append(sorted(items))
-                    out["spans"].append(char_spans(text or "", ranges))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *[pa.array(out[k], t) for k, t in _TYPES.items()], *part.columns[2:]],
-                    ["id", *_TYPES, *part.schema.names[2:]],
-                )
+        windows = _windows(shared, key, window)
+        for part in _pieces(batches):
+            hits = [(row, *windows.scan(words_of(text))) for row, text in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+            hits = [h for h in hits if h[1]]
+            ranges = [[{"start": a, "end": b} for a, b in h[1]] for h in hits]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h[0] for h in hits], pa.int64()), pa.array(ranges, _SPANS), pa.array([sorted(h[2]) for h in hits], _IDS)], ["_row", "ranges", "items"]
+            )
 
     return scan
 
 
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, ranges, items, carried...) to results."""
+
+    def marks(part: pa.RecordBatch) -> Iterator[tuple]:
+        for text, ranges, items in zip(*(c.to_pylist() for c in part.columns[1:4]), strict=True):
+            yield text, words_of(text), united(sorted((r["start"], r["end"]) for r in ranges or ())), items or []
+
+    for part in _pieces(batches):
+        yield _result(part, marks(part), 4)
+
+
 def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str | None]]]:
     """The items, MAX_PATTERN_BYTES of text at a time."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
@@ -172,12 +215,24 @@ def decontaminate(
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, item_ids (sorted), spans of the original, carried columns."""
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c_{c}") for c in carry])
-    shared = [sc.broadcast(items) for items in _shards(benchmark, item_col, item_text_col)]
+    names = [f"_c_{c}" for c in carry]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    result = SCHEMA.format(id=fields["id"]) + "".join(f", `_c_{c}` {fields[f'_c_{c}']}" for c in carry)
-    found = rows.mapInArrow(_scan_with(shared, uuid.uuid4().hex, window), result)
-    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "item_ids", "spans", *[F.col(f"_c_{c}").alias(c) for c in carry])
+    result = SCHEMA.format(id=fields["id"]) + "".join(f", `{n}` {fields[n]}" for n in names)
+    shared = [sc.broadcast(items) for items in _shards(benchmark, item_col, item_text_col)]
+    if len(shared) == 1:
+        found = rows.mapInArrow(_scan_whole(shared[0], uuid.uuid4().hex, window), result)
+    else:
+        rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
+        marks = [
+            rows.select("_row", "_text").mapInArrow(_scan_shard(b, uuid.uuid4().hex, window), "_row long, ranges array<struct<start:int,end:int>>, items array<string>")
+            for b in shared
+        ]
+        together = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  at most one entry per shard
+        marked = reduce(DataFrame.unionByName, marks).groupBy("_row").agg(together("ranges"), together("items"))
+        marked = marked.withColumn("items", F.array_sort(F.array_distinct("items")))
+        found = rows.join(marked, "_row", "left").select("id", "_text", "ranges", "items", *names).mapInArrow(_unite, result)
+    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "item_ids", "spans", *[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)])
 
 
 def digests(found: DataFrame) -> DataFrame:

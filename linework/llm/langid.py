@@ -180,8 +180,10 @@ _parsers: dict[str, CrossParser | None] = {}
 def identify(
     docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pred_col: str = "lang_pred", score_col: str = "lang_score"
 ) -> DataFrame:
-    """``docs`` with ``pred_col`` and ``score_col``; ``labelled`` has id, text and language to learn from."""
+    """``docs`` with ``pred_col`` and ``score_col``, in place of columns of these names; ``labelled`` has id,
+    text and language to learn from."""
     sc = docs.sparkSession.sparkContext
+    docs = docs.drop(pred_col, score_col)
     shared = sc.broadcast(labelled_sample(labelled, id_col, text_col, lang_col))
     key = uuid.uuid4().hex
     names = docs.columns

@@ -171,7 +171,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     share = min(1.0, 1.5 * TRAIN_ROWS / max(1, total))
     h = F.xxhash64(F.col(id_col))
     few = known.where(F.pmod(h, F.lit(1 << 40)) < share * (1 << 40)).orderBy(h, id_col).limit(TRAIN_ROWS)
-    rows = docs.join(F.broadcast(few), id_col).select("_y", F.col(text_col).alias("_t"), *[F.col(c).cast("double").alias(f"_m{i}") for i, c in enumerate(meta_cols)])
+    rows = docs.select(id_col, text_col, *meta_cols).join(F.broadcast(few), id_col).select("_y", F.col(text_col).alias("_t"), *[F.col(c).cast("double").alias(f"_m{i}") for i, c in enumerate(meta_cols)])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()

@@ -62,3 +62,9 @@ def test_nulls_blocks_and_other_columns(spark, library, monkeypatch):
     assert [(r.doc_id, r.bytes_, r.ids, bytes(r.bytes)) for r in both.orderBy("doc_id").collect()] == [
         (1, "x", [], b""), (2, None, [], b""), *[(3, "y", library.encode_ordinary("hello  world"), b"hello  world")] * 2]
     assert bpe.bpe_decode(bpe.bpe_encode(docs.limit(0), PATH, P.PATTERN), PATH).count() == 0
+
+
+def test_columns_of_the_same_names_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 2)], "doc_id long, text string, ids string, bytes int")
+    row = bpe.bpe_decode(bpe.bpe_encode(docs, PATH, P.PATTERN), PATH).first()
+    assert (row.doc_id, bytes(row.bytes)) == (1, b"a b") and len(row.ids) == 2
