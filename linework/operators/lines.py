@@ -21,8 +21,14 @@ KEEP_ABOVE, KEEP = 200_000, 180_000
 
 def raw_lines(text: Column) -> Column:
     """array of lines with their CR, without LF."""
-    pieces = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    return F.when(F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
+    text = F.coalesce(text, F.lit(""))
+    open_end = F.when(F.endswith(text, F.lit("\n")), F.left(text, F.length(text) - 1)).otherwise(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(open_end, "\n", -1))
+
+
+def without_cr(raw: Column) -> Column:
+    """A line without the one CR that belongs to its end."""
+    return F.when(F.endswith(raw, F.lit("\r")), F.left(raw, F.length(raw) - 1)).otherwise(raw)
 
 
 def total_lines(text: Column) -> Column:
@@ -50,7 +56,7 @@ def strip_bom(text: Column) -> Column:
 def explode_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, kept columns, file_line, text): one row per line, without a shuffle."""
     lines = df.select(id_col, *keep, F.posexplode(raw_lines(F.col(text_col))).alias("_pos", "_raw"))
-    return lines.select(id_col, *keep, (F.col("_pos") + 1).cast("long").alias("file_line"), F.regexp_replace("_raw", r"\r\z", "").alias("text"))
+    return lines.select(id_col, *keep, (F.col("_pos") + 1).cast("long").alias("file_line"), without_cr(F.col("_raw")).alias("text"))
 
 
 def line_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,3 +181,22 @@ def retain(lines: DataFrame, totals: DataFrame, above: int = KEEP_ABOVE, keep: i
 def every_kth(rows: DataFrame, number: str, total: int, wanted: int = 2000) -> DataFrame:
     """A row in every ceil(total / wanted), by its 0-based ``number``."""
     return rows.where(F.col(number) % max(1, -(-total // wanted)) == 0)
+
+
+def write_text(lines: DataFrame, order: list[str], path: str) -> None:
+    """The text of lines, in order, as text files."""
+    lines.orderBy(*order).select("text").write.text(path)
+
+
+def newest_generation(lines: DataFrame, path_col: str = "path") -> DataFrame:
+    """Of each path the lines of its last generation: what stays after a reset."""
+    last = lines.groupBy(path_col).agg(F.max("generation").alias("_last"))
+    return lines.join(last, path_col).where("generation = _last").drop("_last")
+
+
+def append_batches(*batches: DataFrame, key: tuple[str, ...] = ("doc_id", "file_line")) -> DataFrame:
+    """Batches as one table; a line that two batches have counts once."""
+    together = batches[0]
+    for b in batches[1:]:
+        together = together.unionByName(b)
+    return together.dropDuplicates(list(key))

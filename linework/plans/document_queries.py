@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linework.functions import paths, text
 from linework.operators import html, lines, markdown
+from linework.sources import lines as source_lines
 
 QUERIES, ORACLES = {}, {}
 
@@ -165,3 +166,24 @@ SELECT page_id, category, name, count(*) AS n FROM (
   UNION ALL SELECT page_id, 'url', lower(unnest(regexp_extract_all(html, '(?i)\s(?:href|src|action)\s*=\s*["'']?\s*(javascript):', 1))) FROM pages) GROUP BY ALL""")
 def unsafe_markup_audit(spark, sf_dir):
     return html.unsafe_markup(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("html_escape", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;') AS escaped, html AS back FROM pages")
+def html_escape(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.escape_html(F.col("html")).alias("escaped"))
+    back = F.col("escaped")
+    for entity, plain in text.ENTITIES[::-1]:
+        back = F.replace(back, F.lit(entity), F.lit(plain))
+    return pages.withColumn("back", back)
+
+
+@query("style_attributes", r"""SELECT page_id, regexp_replace(html, '(?i)\sstyle\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', '', 'g') AS html FROM pages""")
+def style_attributes(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.without_styles(F.col("html")).alias("html"))
+
+
+@query("route_files", r"SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'config' WHEN page_id % 4 = 1 THEN 'table' WHEN page_id % 4 = 2 THEN 'document' ELSE 'lines' END AS kind FROM pages")
+def route_files(spark, sf_dir):
+    extension = F.element_at(F.array(*map(F.lit, (".BIN", ".tsv", ".md", ".log"))), (F.col("page_id") % 4 + 1).cast("int"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat("url", extension).alias("path"))
+    return source_lines.route_files(pages).select("page_id", "kind")

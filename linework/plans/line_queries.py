@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linework.operators import filters, lines, search
 from linework.operators.filters import FilterSpec
+from linework.plans.tables import new_path
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,3 +289,36 @@ def hits_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("hits_per_document", LOG + hits_sql("the") + "SELECT doc_id, count(*) AS hits FROM hit GROUP BY doc_id")(hits_per_document)
+
+
+@query("view_text_sink", LOG + f"SELECT text, count(*) AS n FROM log WHERE contains({FOLD.format('text')}, 'shon') GROUP BY text")
+def view_text_sink(spark, sf_dir):
+    """A filtered view written as text and read again."""
+    path = new_path(spark, "view-text")
+    lines.write_text(filters.filter_lines(log(spark, sf_dir), FilterSpec(("shon",))), ["doc_id", "file_line"], path)
+    return spark.read.option("lineSep", "\n").text(path).groupBy(F.col("value").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("rescanned_hits", LOG + hits_sql("the") + 'SELECT doc_id, file_line, pos AS "offset" FROM hit')
+def rescanned_hits(spark, sf_dir):
+    """Two scans that overlap by some lines give each hit once."""
+    hits = search.search_lines(log(spark, sf_dir), "the")
+    return lines.append_batches(hits.where("file_line <= 6"), hits.where("file_line >= 5"), key=("doc_id", "file_line", "offset"))
+
+
+@query("newest_generation", LOG + "SELECT doc_id, file_line, text FROM log WHERE doc_id % 3 != 0 OR file_line % 2 = 0 OR doc_id NOT IN (SELECT doc_id FROM log WHERE file_line % 2 = 0)")
+def newest_generation(spark, sf_dir):
+    """A third of the texts is reset: its even lines come again as generation 1."""
+    first = log(spark, sf_dir).withColumn("generation", F.lit(0))
+    again = first.where("doc_id % 3 = 0 and file_line % 2 = 0").withColumn("generation", F.lit(1))
+    return lines.newest_generation(first.unionByName(again), "doc_id").drop("generation")
+
+
+@query("from_line", LOG + "SELECT doc_id, count(*) AS n FROM log WHERE file_line >= 7 GROUP BY doc_id")
+def from_line(spark, sf_dir):
+    return lines.from_line(log(spark, sf_dir), 7).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("smoothed_block_lens", LOG + ", r AS (SELECT doc_id, file_line, avg(bytes) OVER (PARTITION BY doc_id, (file_line - 1) // 4) AS bytes FROM places) SELECT doc_id, (file_line - 1) // 6 AS block, avg(bytes) AS avg_len FROM r GROUP BY ALL")
+def smoothed_block_lens(spark, sf_dir):
+    return lines.block_avg_lens(places(spark, sf_dir), 6, smooth=4)

@@ -225,3 +225,17 @@ def garbled(spark, sf_dir):
 def preview_lines(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("coalesce(text, '') != '' and octet_length(text) <= 8192")
     return docs.select("doc_id", encodings.preview_lines(F.col("text"), F.lit(False)).alias("shown"))
+
+
+@query("encoding_manual", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' ELSE 'utf-16le' END AS id, CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 = 0 ELSE doc_id % 5 = 2 END AS bom, 'manual' AS source FROM documents")
+def encoding_manual(spark, sf_dir):
+    choice = F.when(F.col("doc_id") % 2 == 0, "UTF8").otherwise("utf_16_le")
+    found = encodings.with_encoding(encoded_documents(spark, sf_dir), choice)
+    return found.select("doc_id", "encoding.id", "encoding.bom", "encoding.source")
+
+
+@query("cfg_tsv", "SELECT o_orderkey AS id, o_custkey || chr(9) || o_orderkey AS line FROM orders")
+def cfg_tsv(spark, sf_dir):
+    rows = config.read_config(config_files(spark, sf_dir), _FIELDS)
+    made = config.config_tsv(rows.withColumn("row_no", F.col("id"))).where("line not like 'key%'")
+    return made.select(F.col("row_no").alias("id"), F.substring_index("line", "\t", 2).alias("line"))
