@@ -60,17 +60,15 @@ def unique_ids(ids: Column) -> Column:
     return F.aggregate(ids, F.array().cast("array<string>"), lambda used, base: F.array_append(used, free(used, base)))
 
 
-#: Signs of the kinds of failure, looked for in this order.
-ERRORS = {
-    "missing_schema": ["schema", "slots"],
-    "missing": ["not found", "no such file", "does not exist", "os error 2", "os error 3"],
-    "denied": ["permission denied", "access is denied", "os error 5", "os error 32"],
-}
+#: Patterns of the kinds of failure, tried in this order.
+MISSING = ["文件不存在", "路径不存在", "找不到", "no such file", "file not found", "cannot find the file", "系统找不到指定的文件", r"os error 2\b"]
+MISSING_SCHEMA = r"schema\s*文件不存在"
+DENIED = ["拒绝访问", "无权限", "权限不足", "permission denied", "access is denied", r"os error 5\b"]
 
 
 def error_kind(message: Column) -> Column:
     """none, missing_schema (something is missing, and it is the schema), missing, denied or other."""
-    low = F.lower(F.coalesce(message, F.lit("")))
-    has = lambda kind: low.rlike("|".join(ERRORS[kind]))
-    missing = F.when(has("missing_schema"), "missing_schema").otherwise("missing")
-    return F.when(F.trim(low) == "", "none").when(has("missing"), missing).when(has("denied"), "denied").otherwise("other")
+    message = F.coalesce(message, F.lit(""))
+    has = lambda patterns: message.rlike("(?i)" + "|".join(patterns))
+    missing = F.when(has([MISSING_SCHEMA]), "missing_schema").otherwise("missing")
+    return F.when(message == "", "none").when(has(MISSING), missing).when(has(DENIED), "denied").otherwise("other")

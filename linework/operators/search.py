@@ -129,12 +129,12 @@ def search_segments(text: Column, term: str, case_sensitive: bool = False, whole
 
 
 def keyword_segments(text: Column, typed: str) -> Column:
-    """array<struct<text, keyword>>: a text cut at the typed keywords (split at spaces, any case); keyword
-    is the number of the keyword, null in between."""
+    """array<struct<text, keyword>>: a text cut at the typed keywords (split at spaces, any case; of two
+    that begin at one place the first typed); keyword is its number, null in between."""
     keywords = typed.split()
     if not keywords:
         return F.array(F.struct(text.alias("text"), F.lit(None).cast("int").alias("keyword")))
-    pattern = "(?iu)" + "|".join(map(quoted, sorted(keywords, key=len, reverse=True)))
+    pattern = "(?iu)" + "|".join(map(quoted, keywords))
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
     number = lambda hit: F.coalesce(*[F.when(F.lower(hit) == k.lower(), i) for i, k in enumerate(keywords)])
     none = F.lit(None).cast("int")

@@ -137,7 +137,7 @@ def display_text(spark, sf_dir):
 
 @query("classify_error", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'denied' WHEN 2 THEN 'other' WHEN 3 THEN 'none' ELSE 'missing_schema' END AS kind FROM documents""")
 def classify_error(spark, sf_dir):
-    messages = F.element_at(F.array(*map(F.lit, ("read /x: No such file", "Access is denied (os error 5)", "broken", " ", "slots.json not found"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    messages = F.element_at(F.array(*map(F.lit, ("read /x: No such file", "Access is denied (os error 5)", "broken", "", "schema 文件不存在: x"))), (F.col("doc_id") % 5 + 1).cast("int"))
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.error_kind(messages).alias("kind"))
 
 

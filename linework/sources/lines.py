@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linework.sources.encodings import decode, encoding_id
+from linework.sources.encodings import SAMPLE, decode, encoding_id, with_encoding
 
 
 def _numbered(raw: DataFrame) -> DataFrame:
@@ -24,15 +26,35 @@ def _pieces(spark: SparkSession, paths: str | list[str], end: str) -> DataFrame:
     return read.select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), F.col("value").alias("raw"))
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], encoding: str = "utf-8") -> DataFrame:
-    """(path, file_line, text) of files in one encoding: split at LF only, one CR before it dropped.
+def file_samples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, content): the first SAMPLE bytes of every file, read by Spark's file system one after the other."""
+    hadoop, rows = spark._jsc.hadoopConfiguration(), []
+    for pattern in [paths] if isinstance(paths, str) else paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        fs = path.getFileSystem(hadoop)
+        todo = list(fs.globStatus(path) or ())
+        while todo:
+            status = todo.pop()
+            if status.isDirectory():
+                todo += list(fs.listStatus(status.getPath()))
+            elif not status.getPath().getName().startswith(("_", ".")):
+                stream = fs.open(status.getPath())
+                rows.append((status.getPath().toString(), bytearray(stream.readNBytes(SAMPLE))))
+                stream.close()
+    return spark.createDataFrame(rows, "path string, content binary")
+
+
+def read_lines(spark: SparkSession, paths: str | list[str], encoding: str = "auto") -> DataFrame:
+    """(path, file_line, text) of files: split at LF only, one CR before it dropped.
 
-    Encodings that keep ASCII bytes split by bytes and decode afterwards; UTF-16 is split at its own line
+    With ``auto`` the encoding is found per file from its first bytes. Encodings that keep ASCII bytes split by bytes and decode afterwards; UTF-16 is split at its own line
     ends, which count only at even places.
     """
     found = spark.range(1).select(encoding_id(F.lit(encoding))).first()[0]
-    if found is None:
-        raise ValueError(f"unknown encoding {encoding!r}")
+    if found is None:  # also of an unknown name
+        kinds = with_encoding(file_samples(spark, paths)).groupBy("encoding.id").agg(F.collect_list("path").alias("paths")).collect()
+        parts = [read_lines(spark, list(k["paths"]), k["id"]) for k in kinds]
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "path string, file_line long, text string")
     if found.startswith("utf-16"):
         return _read_utf16(spark, paths, found)
     lines = _numbered(_pieces(spark, paths, "\n"))

@@ -69,3 +69,9 @@ def test_html(spark):
     assert found == [("attribute", "autofocus", 1), ("attribute", "srcset", 1), ("handler", "onclick", 1), ("style", "style", 1), ("tag", "form", 1), ("url", "javascript", 1)]
     row = df.select(text.without_styles(F.col("html")).alias("s"), text.escape_html(F.lit("<'&")).alias("e")).first()
     assert "style" not in row.s and row.e == "&lt;&#39;&amp;"
+
+
+def test_error_kinds(spark):
+    cases = {"": "none", "文件不存在: C:\\a.log": "missing", "schema 文件不存在: x": "missing_schema", "No such file (os error 2)": "missing", "os error 25": "other", "tab 不存在: 3": "other", "Access is DENIED.": "denied", "无权限": "denied"}
+    df = spark.createDataFrame([*cases.items(), (None, "none")], "m string, want string")
+    assert [r[0] for r in df.select(text.error_kind(F.col("m"))).collect()] == [r.want for r in df.collect()]

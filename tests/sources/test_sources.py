@@ -81,3 +81,13 @@ def test_documents_stats_previews(spark, tmp_path):
     assert [r[0] for r in shown.collect()] == [["a", "b", "c"], [], ["a"]]
     kinds = lines.route_files(spark.createDataFrame([("a/b.BIN",), ("c.tsv",), ("x.markdown",), ("log.1",)], "path string"))
     assert [r.kind for r in kinds.collect()] == ["config", "table", "document", "lines"]
+
+
+def test_each_file_in_its_own_encoding(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    cases = {"a.log": "é\n中".encode(), "b.log": b"\xff\xfe" + "x\r\ny".encode("utf-16-le"), "a/c.log": "中文日志\nz".encode("gb18030"), "d.log": b""}
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    rows = sorted((r.path.removeprefix(f"file:{tmp_path}/").removeprefix(f"file://{tmp_path}/"), r.file_line, r.text) for r in lines.read_lines(spark, str(tmp_path)).collect())
+    assert rows == [("a.log", 1, "é"), ("a.log", 2, "中"), ("a/c.log", 1, "中文日志"), ("a/c.log", 2, "z"), ("b.log", 1, "x"), ("b.log", 2, "y")]
+    assert lines.read_lines(spark, str(tmp_path / "none*")).count() == 0
