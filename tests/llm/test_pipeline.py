@@ -33,3 +33,21 @@ def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert set(stage(spark, docs.limit(20), "/root/testdata/sf0.001").columns) == set(docs.columns)
+
+
+def test_stages_take_nulls_empty_tables_repeats_and_other_columns(spark):
+    sf = "/root/testdata/sf0.001"
+    long = "word " * 30_000
+    rows = [(1, None, None, None, None, "x"), (2, "", "en", "s", 0, "x"), (3, "same text here", "en", None, 3, None), (3, "same text here", "en", None, 3, None),
+            (None, "no id at all", None, "s", None, "y"), (4, long, "en", "s", 1, "z"), (5, long + "x", "en", "s", 1, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ids string")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        kept[name] = stage(spark, docs, sf).collect()
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    ids = lambda name: sorted((r.doc_id or 0 for r in kept[name]))
+    assert ids("language_id") == [0, 3, 3, 4, 5]
+    assert ids("exact_dedup") == [0, 1, 3, 4, 5]
+    assert ids("simhash_near_dedup") == [0, 1, 3, 3, 4]
+    assert ids("decontaminate") == [0, 1, 2, 3, 3, 4, 5]
+    assert len(kept["byte_bpe"]) == len(rows)
