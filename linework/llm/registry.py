@@ -16,6 +16,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
+    "op10_decontaminate": decontaminate.OP10_SQL,
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op5_quotation_linking": quotes.OP5_SQL,
     "quoted_replies": quotes.QUOTED_SQL,
