@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linework.operators import lines, search, tables
+from linework.plans.tables import new_path
 from linework.sources import config, delimited, encodings
 
 QUERIES, ORACLES = {}, {}
@@ -239,3 +240,14 @@ def cfg_tsv(spark, sf_dir):
     rows = config.read_config(config_files(spark, sf_dir), _FIELDS)
     made = config.config_tsv(rows.withColumn("row_no", F.col("id"))).where("line not like 'key%'")
     return made.select(F.col("row_no").alias("id"), F.substring_index("line", "\t", 2).alias("line"))
+
+
+@query("csv_split", "SELECT doc_id::VARCHAR AS id, coalesce(text, '') AS text, 2 AS cells FROM documents")
+def csv_split(spark, sf_dir):
+    """documents written as delimited files with cells of many lines, and read in splits of any place."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cell = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    path = new_path(spark, "csv")
+    docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(","), cell).alias("value")).write.text(path)
+    rows = delimited.split_delimited(spark, path)
+    return rows.select(F.get("cells", F.lit(0)).alias("id"), F.get("cells", F.lit(1)).alias("text"), F.size("cells").alias("cells"))

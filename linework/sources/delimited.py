@@ -4,7 +4,10 @@ A quote opens a quoted field only at a field's start; two quotes in one are a qu
 closing quote is taken literally; LF, CRLF and a lone CR end a record; a record that is one empty field
 is dropped; rows may be ragged; an open quote runs to the end. All cells are strings.
 
-Texts are independent, so many are parsed in parallel; one text is cut by one task, in one pass.
+``parse_delimited`` cuts each text of a column in one task; texts are independent. ``split_delimited``
+reads one large file in many splits: at the start of a line the rules are either outside or within
+quotes, so lines are maps between two states and compose in any grouping. (The idea is that of published
+work on parallel CSV parsing, e.g. Ge et al., SIGMOD 2019.)
 """
 
 from __future__ import annotations
@@ -13,10 +16,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linework.sources.encodings import decoded, with_encoding
+from linework.plans.numbering import numbered
+from linework.plans.tables import materialise
+from linework.sources.encodings import decode, decoded, with_encoding
+from linework.sources.lines import numbered_lines
 
 #: Rows of a batch that goes back to Spark.
 BATCH = 4096
@@ -76,8 +82,80 @@ def parse_delimited(df: DataFrame, keys: list[str], text_col: str = "text", deli
     return df.select(*keys, text_col).mapInArrow(run, schema)
 
 
+def _line_ends(line: Column, delimiter: str) -> tuple[Column, Column]:
+    """Whether a line ends within quotes, if it begins outside, and if it begins within.
+
+    Between lines these are the only two states of the rules, so a line is a map from one to the other.
+    """
+    d = re.escape(delimiter)
+    inner = r'[^"]*+(?:""[^"]*+)*+'
+    rest = rf"[^{d}\r]*+"
+    closed = rf'(?:(?:"{inner}"{rest}|[^"{d}\r]{rest}|)(?:{d}|\r))*+'
+    return line.rlike(rf'\A{closed}"{inner}\z'), line.rlike(rf'\A{inner}(?:\z|"{rest}(?:{d}|\r){closed}"{inner}\z)')
+
+
+def _states(lines: DataFrame) -> DataFrame:
+    """(path, block, file_line, raw, open, record): whether the line begins within quotes, and the line at
+    which its record begins. ``lines`` has path, block, file_line, raw, out and within (as _line_ends).
+
+    A line whose map is constant sets the state, one that swaps flips it, the others keep it; so the state is
+    that of the last constant line and the parity of the swaps since. First within each split, for a
+    split that begins outside and for one that begins within, then over the splits' few numbers.
+    """
+    split = ["path", "block"]
+    order = Window.partitionBy(*split).orderBy("file_line")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    swap, sets = F.col("out") & ~F.col("within"), F.col("out") == F.col("within")
+    rows = lines.withColumn("_swaps", F.sum(swap.cast("int")).over(order))
+    rows = rows.withColumn("_set", F.when(sets, F.struct(F.col("out").alias("v"), F.col("_swaps").alias("n"))))
+    last = lambda w: F.last("_set", ignorenulls=True).over(w)
+    rows = rows.withColumns({"_last": last(before), "_n": F.coalesce(F.last("_swaps").over(before), F.lit(0))})
+    at = lambda base, n: base != (n % 2 == 1)  # noqa: E731  flipped for odd n
+    whole = rows.groupBy(*split).agg(F.max_by("_swaps", "file_line").alias("swaps"), F.max_by("_set", F.when(F.col("_set").isNotNull(), F.col("file_line"))).alias("set"))
+    inside_split = lambda begin: F.coalesce(at(F.col("_last.v"), F.col("_n") - F.col("_last.n")), at(begin, F.col("_n")))
+    # over the splits of a file: the same rule, a split being a longer line
+    files = Window.partitionBy("path").orderBy("block")
+    earlier = files.rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.withColumn("_total", F.sum("swaps").over(files))
+    whole = whole.withColumn("_known", F.when(F.col("set").isNotNull(), F.struct(at(F.col("set.v"), F.col("swaps") - F.col("set.n")).alias("v"), F.col("_total").alias("n"))))
+    known, total = F.last("_known", ignorenulls=True).over(earlier), F.coalesce(F.last("_total").over(earlier), F.lit(0))
+    whole = whole.withColumns({"_k": known, "_t": total})
+    begin = F.coalesce(at(F.col("_k.v"), F.col("_t") - F.col("_k.n")), at(F.lit(False), F.col("_t")))
+    rows = rows.join(whole.select(*split, begin.alias("_begin")), split).withColumn("open", inside_split(F.col("_begin")))
+    rows = rows.withColumn("_start", F.when(~F.col("open"), F.col("file_line")))
+    starts = rows.groupBy(*split).agg(F.max("_start").alias("_s"))
+    starts = starts.select(*split, F.max("_s").over(earlier).alias("_carried"))
+    rows = rows.withColumn("record", F.max("_start").over(order)).join(starts, split)
+    return rows.select(*split, "file_line", "raw", "open", F.coalesce("record", "_carried").alias("record"), F.when(F.col("open"), F.col("within")).otherwise(F.col("out")).alias("goes_on"))
+
+
+def split_delimited(spark: SparkSession, paths: str | list[str], delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
+    """(path, row_no, cells) of files of any size, each read in many splits; for encodings that keep ASCII bytes.
+
+    The text goes once between tasks, to put the lines of a split in order; a record of one line is parsed
+    where it lies and only the lines of longer ones meet.
+    """
+    read = spark.read.option("lineSep", "\n").text(paths)
+    meta = F.col("_metadata")
+    raw = F.make_valid_utf8("value") if encoding == "utf-8" else decode(F.col("value").cast("binary"), F.lit(encoding))
+    size = F.octet_length("value") + 1
+    pieces = read.select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), meta["file_size"].alias("_size"), size.alias("_bytes"), raw.alias("raw"))
+    # a last line that has its end is told by the size (with or without a mark of three bytes)
+    files = pieces.groupBy("path").agg((F.sum("_bytes") - F.max("_size")).isin(0, -3).alias("_whole"), F.count(F.lit(1)).alias("_lines"))
+    lines = numbered_lines(pieces.select("path", "block", "raw")).join(files, "path")
+    last = (F.col("file_line") == F.col("_lines")) & F.col("_whole")
+    out, within = _line_ends(F.col("raw"), delimiter)
+    rows = _states(lines.select("path", "block", "file_line", F.when(last, F.concat("raw", F.lit("\n"))).otherwise(F.col("raw")).alias("raw"), out.alias("out"), within.alias("within")))
+    rows = materialise(rows, "delimited-lines")
+    alone = rows.where("not open and not goes_on").select("path", F.col("file_line").alias("line"), "raw")
+    longer = rows.where("open or goes_on").groupBy("path", F.col("record").alias("line")).agg(F.array_sort(F.collect_list(F.struct("file_line", "raw"))).alias("ls"))
+    longer = longer.select("path", "line", F.array_join(F.transform("ls", lambda x: x["raw"]), "\n").alias("raw"))
+    parsed = parse_delimited(alone.unionByName(longer), ["path", "line"], "raw", delimiter).withColumnRenamed("row_no", "_sub")
+    return numbered(parsed, ["path"], ["line", "_sub"], "row_no").select("path", F.col("row_no").cast("long").alias("row_no"), "cells")
+
+
 def read_delimited(spark: SparkSession, paths: str | list[str], delimiter: str | None = None, encoding: str = "auto") -> DataFrame:
-    """(path, row_no, cells) of files; the encoding is found per file."""
+    """(path, row_no, cells) of files, each read whole; the encoding is found per file."""
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     text = decoded(with_encoding(files, encoding)).select("path", "text")
     return parse_delimited(text, ["path"], "text", resolve_delimiter(delimiter, paths if isinstance(paths, str) else paths[0]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linework.sources.encodings import SAMPLE, decode, encoding_id, with_encoding
 
 
-def _numbered(raw: DataFrame) -> DataFrame:
+def numbered_lines(raw: DataFrame) -> DataFrame:
     """(path, block, file_line, raw) by two passes: rows of a split are consecutive, so a row's place in
     its split is a difference of ids, and the splits' counts add up to where each begins. No row moves."""
     rows = raw.withColumn("_id", F.monotonically_increasing_id())
@@ -57,7 +57,7 @@ def read_lines(spark: SparkSession, paths: str | list[str], encoding: str = "aut
         return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "path string, file_line long, text string")
     if found.startswith("utf-16"):
         return _read_utf16(spark, paths, found)
-    lines = _numbered(_pieces(spark, paths, "\n"))
+    lines = numbered_lines(_pieces(spark, paths, "\n"))
     raw = F.col("raw") if found == "utf-8" else decode(F.col("raw").cast("binary"), F.lit(found))
     text = F.regexp_replace(F.make_valid_utf8(raw) if found == "utf-8" else raw, r"\r\z", "")
     return lines.select("path", "file_line", text.alias("text"))
@@ -67,7 +67,7 @@ def _read_utf16(spark: SparkSession, paths: str | list[str], found: str) -> Data
     """Pieces between the two bytes of a line end, wherever these stand; a piece whose end is at an odd
     place is joined to the next one."""
     end = "\n\0" if found == "utf-16le" else "\0\n"
-    pieces = _numbered(_pieces(spark, paths, end)).withColumn("size", F.octet_length("raw") + 2)
+    pieces = numbered_lines(_pieces(spark, paths, end)).withColumn("size", F.octet_length("raw") + 2)
     within = Window.partitionBy("path", "block").orderBy("file_line")
     sums = pieces.groupBy("path", "block").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

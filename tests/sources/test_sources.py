@@ -91,3 +91,27 @@ def test_each_file_in_its_own_encoding(spark, tmp_path):
     rows = sorted((r.path.removeprefix(f"file:{tmp_path}/").removeprefix(f"file://{tmp_path}/"), r.file_line, r.text) for r in lines.read_lines(spark, str(tmp_path)).collect())
     assert rows == [("a.log", 1, "é"), ("a.log", 2, "中"), ("a/c.log", 1, "中文日志"), ("a/c.log", 2, "z"), ("b.log", 1, "x"), ("b.log", 2, "y")]
     assert lines.read_lines(spark, str(tmp_path / "none*")).count() == 0
+
+
+@pytest.mark.parametrize("size", ["40", "333", "128m"])
+def test_one_file_in_many_splits(spark, tmp_path, size):
+    import random
+
+    rng = random.Random(int(size[:2]))
+    alphabet = ['"', '"', ",", "\n", "\n", "\r", "\r\n", "ab", "é", " ", '""', "xyz,", 'q"r']
+    texts = {f"{i}.csv": "".join(rng.choices(alphabet, k=rng.choice([0, 3, 40, 400]))) for i in range(30)}
+    texts |= {"open.csv": 'a,b\n"never\nclosed,\n' + "x\n" * 50, "tail.csv": 'a\n"open\nend', "nl.csv": "\n\n\n", "mark.csv": '﻿"a\nb",c\n"'}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = {}
+        for r in delimited.split_delimited(spark, str(tmp_path)).orderBy("row_no").collect():
+            rows = got.setdefault(r.path.rsplit("/", 1)[1], [])
+            assert r.row_no == len(rows) + 1
+            rows.append(r.cells)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {n: list(delimited.records(t.removeprefix("﻿"))) for n, t in texts.items()}
+    assert got == {n: rows for n, rows in want.items() if rows}
