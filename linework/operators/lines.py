@@ -133,30 +133,38 @@ def from_line(lines: DataFrame, line: int) -> DataFrame:
     return lines.where(F.col("file_line") >= max(1, line))
 
 
-def jump_window(lines: DataFrame, totals: DataFrame, target: int, keep: Column | None = None, id_col: str = "doc_id", half: int = JUMP_LINES // 2, to_end: int = JUMP_TO_END) -> DataFrame:
+def with_totals(lines: DataFrame, totals: DataFrame | None, id_col: str = "doc_id") -> DataFrame:
+    """``lines`` with total_lines: their own column if they have it (explode_lines can keep one, which
+    needs no join), else joined from ``totals``."""
+    return lines if "total_lines" in lines.columns else lines.join(totals.select(id_col, "total_lines"), id_col)
+
+
+def jump_window(
+    lines: DataFrame, target: int, keep: Column | None = None, totals: DataFrame | None = None, id_col: str = "doc_id", half: int = JUMP_LINES // 2, to_end: int = JUMP_TO_END
+) -> DataFrame:
     """The lines around a target line (0: the last), those that pass ``keep``, with columns first_line,
     has_more, target_visible and target_index (0-based place of the first survivor at or after the target,
     else of the last). Texts that have no such line give nothing."""
-    total, at = F.col("total_lines"), F.col("_target")
-    spans = totals.withColumn("_target", F.lit(target).cast("long") if target else total).where((at <= total) & (total > 0))
-    spans = spans.withColumn("first_line", F.greatest(at - half, F.lit(1)))
-    last = F.when(total - F.col("first_line") + 1 <= to_end, total).otherwise(F.least(at - 1 + half, total))
-    spans = spans.select(id_col, "_target", "first_line", last.alias("_last"))
-    shown = lines.join(spans, id_col).where((F.col("file_line") >= F.col("first_line")) & (F.col("file_line") <= F.col("_last")))
+    total = F.col("total_lines")
+    at = F.lit(target).cast("long") if target else total
+    first = F.greatest(at - half, F.lit(1))
+    last = F.when(total - first + 1 <= to_end, total).otherwise(F.least(at - 1 + half, total))
+    shown = with_totals(lines, totals, id_col).where((at <= total) & (F.col("file_line") >= first) & (F.col("file_line") <= last))
     shown = shown if keep is None else shown.where(keep)
     whole = Window.partitionBy(id_col)
     before = F.count_if(F.col("file_line") < at).over(whole)
     return (
-        shown.withColumn("has_more", F.col("first_line") > 1)
+        shown.withColumn("first_line", first)
+        .withColumn("has_more", F.col("first_line") > 1)
         .withColumn("target_visible", F.max(F.col("file_line") == at).over(whole))
         .withColumn("target_index", F.least(before, F.count(F.lit(1)).over(whole) - 1))
-        .drop("_target", "_last")
+        .drop("total_lines")
     )
 
 
-def tail_lines(lines: DataFrame, totals: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
+def tail_lines(lines: DataFrame, n: int, totals: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """The last ``n`` lines of each text."""
-    return lines.join(totals, id_col).where(F.col("file_line") > F.col("total_lines") - n).drop("total_lines")
+    return with_totals(lines, totals, id_col).where(F.col("file_line") > F.col("total_lines") - n).drop("total_lines")
 
 
 def tail_window(places: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
@@ -172,10 +180,10 @@ def page_back(lines: DataFrame, before: int, n: int, id_col: str = "doc_id") ->
     return lines.where((F.col("file_line") < before) & (F.col("file_line") >= first)).withColumn("has_more", F.lit(first > 1))
 
 
-def retain(lines: DataFrame, totals: DataFrame, above: int = KEEP_ABOVE, keep: int = KEEP, id_col: str = "doc_id") -> DataFrame:
+def retain(lines: DataFrame, totals: DataFrame | None = None, above: int = KEEP_ABOVE, keep: int = KEEP, id_col: str = "doc_id") -> DataFrame:
     """Of a text with more than ``above`` lines the newest ``keep``."""
     cut = F.when(F.col("total_lines") > above, F.col("total_lines") - keep).otherwise(0)
-    return lines.join(totals, id_col).where(F.col("file_line") > cut).drop("total_lines")
+    return with_totals(lines, totals, id_col).where(F.col("file_line") > cut).drop("total_lines")
 
 
 def every_kth(rows: DataFrame, number: str, total: int, wanted: int = 2000) -> DataFrame:

@@ -22,6 +22,12 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", lines.total_lines(F.col("text")).alias("total_lines"))
 
 
+def counted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that know the number of their text's lines."""
+    counted = docs(spark, sf_dir).withColumn("total_lines", lines.total_lines(F.col("text")))
+    return lines.explode_lines(counted, keep=("total_lines",))
+
+
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_bytes(docs(spark, sf_dir))
 
@@ -133,19 +139,19 @@ SELECT *, first_line > 1 AS has_more, max(file_line = 8) OVER (PARTITION BY doc_
   least(count(*) FILTER (WHERE file_line < 8) OVER (PARTITION BY doc_id), count(*) OVER (PARTITION BY doc_id) - 1) AS target_index FROM v""")
 def jump_window(spark, sf_dir):
     keep = FilterSpec(("en",)).condition(F.col("text"))
-    return lines.jump_window(log(spark, sf_dir), totals(spark, sf_dir), 8, keep, half=4, to_end=20)
+    return lines.jump_window(counted_log(spark, sf_dir), 8, keep, half=4, to_end=20)
 
 
 @query("jump_to_last", LOG + """, w AS (SELECT doc_id, total_lines, greatest(total_lines - 1500, 1) AS first_line FROM totals WHERE total_lines > 0)
 SELECT log.doc_id, file_line, text, first_line, first_line > 1 AS has_more, true AS target_visible, total_lines - first_line AS target_index
 FROM log JOIN w USING (doc_id) WHERE file_line >= first_line""")
 def jump_to_last(spark, sf_dir):
-    return lines.jump_window(log(spark, sf_dir), totals(spark, sf_dir), 0)
+    return lines.jump_window(log(spark, sf_dir), 0, totals=totals(spark, sf_dir))
 
 
 @query("tail_n", LOG + "SELECT log.* FROM log JOIN totals USING (doc_id) WHERE file_line > total_lines - 3")
 def tail_n(spark, sf_dir):
-    return lines.tail_lines(log(spark, sf_dir), totals(spark, sf_dir), 3)
+    return lines.tail_lines(counted_log(spark, sf_dir), 3)
 
 
 @query("tail_bytes", LOG + ", s AS (SELECT *, max(byte_offset + bytes) OVER (PARTITION BY doc_id) AS size FROM places) SELECT doc_id, file_line, byte_offset, bytes, complete FROM s WHERE byte_offset >= size - 8192")
@@ -160,7 +166,7 @@ def page_back(spark, sf_dir):
 
 @query("retention", LOG + "SELECT log.* FROM log JOIN totals USING (doc_id) WHERE file_line > CASE WHEN total_lines > 20 THEN total_lines - 18 ELSE 0 END")
 def retention(spark, sf_dir):
-    return lines.retain(log(spark, sf_dir), totals(spark, sf_dir), 20, 18)
+    return lines.retain(counted_log(spark, sf_dir), above=20, keep=18)
 
 
 @query("filter_keywords", LOG + f"SELECT * FROM log WHERE contains({FOLD.format('text')}, 'shon') OR contains({FOLD.format('text')}, 'lich')")

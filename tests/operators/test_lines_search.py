@@ -23,7 +23,7 @@ def test_places(spark):
 def test_jump_windows(spark):
     df = texts(spark, "".join(f"line-{i:06d}\n" for i in range(1, 100_001)))
     log, totals = lines.explode_lines(df).cache(), df.select("doc_id", lines.total_lines(F.col("text")).alias("total_lines"))
-    shape = lambda n, keep=None: lines.jump_window(log, totals, n, keep).agg(F.min("first_line"), F.count("*"), F.max("target_index"), F.max("target_visible")).first()
+    shape = lambda n, keep=None: lines.jump_window(log, n, keep, totals).agg(F.min("first_line"), F.count("*"), F.max("target_index"), F.max("target_visible")).first()
     assert tuple(shape(50_000)) == (48_500, 3000, 1500, True)
     assert tuple(shape(99_000)) == (97_500, 2501, 1500, True)
     assert tuple(shape(0)) == (98_500, 1501, 1500, True)
