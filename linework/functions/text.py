@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The length of a displayed text, and the pattern of a style attribute.
 DISPLAY = 2000
+STYLE = r"""(?i)\sstyle\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 #: Entities and what they stand for, in the order in which they are decoded.
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]
 #: Punctuation that a heading's id loses.
@@ -36,17 +38,24 @@ def visible_text(html: Column) -> Column:
 
 def without_styles(html: Column) -> Column:
     """Without style attributes."""
-    return F.regexp_replace(html, r"""(?i)\sstyle\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "")
+    return F.regexp_replace(html, STYLE, "")
+
+
+#: What a heading's id replaces, before and after it is put in lower case.
+SLUG_MARKUP = [("`([^`]*)`", "$1"), ("[*_~]", ""), ("<[^>]*>", ""), (r"\[\^[^\]]+\]", ""), (r"^[\s　]+|[\s　]+$", "")]
+SLUG_SIGNS = [(r"[!-/:-@\[-`{-~" + CJK_PUNCTUATION + "]", ""), (r"[\s　]+", "-"), ("^-+|-+$", "")]
+
+
+def _replaced(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    for pattern, to in patterns:
+        text = F.regexp_replace(text, pattern, to)
+    return text
 
 
 def slug(text: Column) -> Column:
     """The id of a heading: lower case, without markup and punctuation, spaces as hyphens."""
-    for pattern, to in [("`([^`]*)`", "$1"), ("[*_~]", ""), ("<[^>]*>", ""), (r"\[\^[^\]]+\]", "")]:
-        text = F.regexp_replace(text, pattern, to)
-    text = F.lower(F.regexp_replace(text, r"^[\s　]+|[\s　]+$", ""))
-    for pattern, to in [(r"[!-/:-@\[-`{-~" + CJK_PUNCTUATION + "]", ""), (r"[\s　]+", "-"), ("^-+|-+$", "")]:
-        text = F.regexp_replace(text, pattern, to)
-    return F.when(text == "", "section").otherwise(text)
+    found = _replaced(F.lower(_replaced(text, SLUG_MARKUP)), SLUG_SIGNS)
+    return F.when(found == "", "section").otherwise(found)
 
 
 def unique_ids(ids: Column) -> Column:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest pattern that is used, in bytes.
+#: Fixed value: longest pattern that is used, in bytes.
 MAX_PATTERN = 512
 #: What Java accepts and the dialect of the filters does not: look-around, back-references, possessive
 #: quantifiers and atomic groups.

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed values.
 #: Lines between two entries of the sparse index.
 SAMPLE_EVERY = 64
 #: Lines of a block.

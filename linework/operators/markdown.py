@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from linework.functions import paths
 from linework.functions.text import slug, unique_ids, visible_text
 
+#: The patterns of the constructs.
 FENCE = r"^ {0,3}(`{3,}|~{3,})"
 ATX = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$"
 RULE = r"^ {0,3}(=+|-+)[ \t]*$"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from linework.operators.filters import FilterSpec, filter_lines, matches_term, quoted
 
+#: Most hits of a page, and of a search in cells.
 HIT_CAP = 100_000
 CELL_CAP = 5000
 #: Pieces of a line whose places are summed together.

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds and padding of a column's width, and a character's share of the font size.
+#: Bounds and padding of a column's width, and a character's share of the font size.
 MIN_WIDTH, MAX_WIDTH, PADDING = 72, 600, 18
 NARROW, WIDE = 0.55, 1.1
 

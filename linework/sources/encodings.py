@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes that detection looks at, and the default cap of a whole-document read.
+#: Bytes that detection looks at, and the default cap of a whole-document read.
 SAMPLE, CAP = 64 << 10, 4 << 20
 #: Id, name, note, group, BOM as hex, and Python's codec for it.
 ENCODINGS = [
