@@ -95,6 +95,7 @@ def exact_dedup(
         .groupBy(*group)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(-F.col("_points"), "_id", "_row")).alias("_keep"))
     )
+    groups = materialise(groups, "dedup-groups")  # so that Spark can split the partition of a large group in the join
     out = lambda keep, n, kept: [
         F.col("_id").alias(id_col),
         keep.alias("keep_id"),
