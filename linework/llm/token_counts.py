@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.plans.tables import new_path
+from linework.plans.tables import materialise, new_path
 
 #: Tokenizer versions as expressions.
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {
@@ -40,20 +40,33 @@ def size(text: Column) -> Column:
     return F.length(F.coalesce(text, F.lit(""))).cast("long")
 
 
-def whole(docs: DataFrame, op: str, versions: list[str]) -> DataFrame:
-    """Changes that insert or delete documents with all their tokens."""
-    rows = docs.select("source", "lang", size(F.col("text")).alias("chars"), F.explode(counts(F.col("text"), versions)).alias("x"))
+def ledger(docs: DataFrame, versions: list[str], new_text: Column | None = None) -> DataFrame:
+    """(doc_id, source, lang, chars, counts) of every document, and new_chars and new_counts of ``new_text``.
+
+    Texts are read once, where they lie; deletions and revisions are made from these narrow rows.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", *KEYS[:2], size(text).alias("chars"), counts(text, versions).alias("counts"), *([] if new_text is None else [text.alias("_old"), F.coalesce(new_text, F.lit("")).alias("_new")]))
+    if new_text is None:
+        return rows
+    same = F.col("_old") == F.col("_new")
+    new = F.when(same, F.col("counts")).otherwise(counts(F.col("_new"), versions))
+    return rows.select("doc_id", *KEYS[:2], "chars", "counts", size(F.col("_new")).alias("new_chars"), new.alias("new_counts"))
+
+
+def whole(rows: DataFrame, op: str, versions: list[str]) -> DataFrame:
+    """Changes that insert or delete documents of a ledger with all their tokens."""
+    each = rows.select(*KEYS[:2], "chars", F.explode("counts").alias("x")).where(F.col("x.version").isin(versions))
     none = F.lit(None).cast("long")
-    return rows.select(F.lit(op).alias("op"), *KEYS[:2], "x.version", "x.tokens", "chars", none.alias("old_tokens"), none.alias("old_chars"))
+    return each.select(F.lit(op).alias("op"), *KEYS[:2], "x.version", "x.tokens", "chars", none.alias("old_tokens"), none.alias("old_chars"))
 
 
-def revised(docs: DataFrame, new_text: Column, versions: list[str]) -> DataFrame:
-    """Changes that replace the counts of documents by those of ``new_text``."""
-    both = F.arrays_zip(counts(F.col("text"), versions).alias("old"), counts(new_text, versions).alias("new"))
-    rows = docs.select("source", "lang", size(F.col("text")).alias("old_chars"), size(new_text).alias("chars"), F.explode(both).alias("x"))
-    return rows.select(
-        F.lit("revise").alias("op"), *KEYS[:2], F.col("x.new.version").alias("version"), F.col("x.new.tokens").alias("tokens"), "chars",
-        F.col("x.old.tokens").alias("old_tokens"), "old_chars",
+def revised(rows: DataFrame) -> DataFrame:
+    """Changes that replace the counts of documents of a ledger by the new ones."""
+    each = rows.select(*KEYS[:2], "chars", "new_chars", F.explode(F.arrays_zip("counts", "new_counts")).alias("x"))
+    return each.select(
+        F.lit("revise").alias("op"), *KEYS[:2], F.col("x.counts.version").alias("version"), F.col("x.new_counts.tokens").alias("tokens"),
+        F.col("new_chars").alias("chars"), F.col("x.counts.tokens").alias("old_tokens"), F.col("chars").alias("old_chars"),
     )
 
 
@@ -99,14 +112,14 @@ def op7_token_counts(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     versions = list(TOKENIZERS)
-    toxic = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    poor = docs.join(labels.where("quality = 0 and coalesce(toxic, 0) != 1").select("doc_id"), "doc_id", "left_semi")
+    rows = materialise(ledger(docs, versions, F.translate("text", "#$%&*|!", "")), "token-ledger")
+    marked = lambda condition: rows.join(labels.where(condition).select("doc_id"), "doc_id", "left_semi")
     rollup = Rollup(spark, new_path(spark, "token-counts"))
-    rollup.commit("1", whole(docs, "insert", versions[:1]))
-    rollup.commit("2", whole(docs, "insert", versions[1:]))
-    rollup.commit("3", whole(toxic, "delete", versions))
-    rollup.commit("4", revised(poor, F.translate("text", "#$%&*|!", ""), versions))
-    rollup.commit("2", whole(docs, "insert", versions[1:]))
+    rollup.commit("1", whole(rows, "insert", versions[:1]))
+    rollup.commit("2", whole(rows, "insert", versions[1:]))
+    rollup.commit("3", whole(marked("toxic = 1"), "delete", versions))
+    rollup.commit("4", revised(marked("quality = 0 and coalesce(toxic, 0) != 1")))
+    rollup.commit("2", whole(rows, "insert", versions[1:]))
     return rollup.totals()
 
 

@@ -9,6 +9,7 @@ def test_batches_replays_and_compaction(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b", "s", "en"), (1, "a b", "s", "en"), (2, None, None, "en"), (3, " x\ny2 !", "s", None)], "doc_id long, text string, source string, lang string")
     roll = tc.Rollup(spark, str(tmp_path / "r"))
     versions = list(tc.TOKENIZERS)
+    docs = tc.ledger(docs, versions, tc.F.when(tc.F.col("doc_id") == 3, "z").otherwise(tc.F.col("text")))
     roll.commit("a", tc.whole(docs, "insert", versions))
     want = {("s", "en", "space-1"): (2, 4, 6), (None, "en", "space-1"): (1, 0, 0), ("s", None, "space-1"): (1, 3, 7)}
     want |= {("s", "en", "class-1"): (2, 4, 6), (None, "en", "class-1"): (1, 0, 0), ("s", None, "class-1"): (1, 4, 7)}
@@ -16,12 +17,13 @@ def test_batches_replays_and_compaction(spark, tmp_path):
     roll.commit("a", tc.whole(docs, "insert", versions))
     assert totals(roll) == want
     roll.commit("b", tc.whole(docs.where("doc_id = 1").limit(1), "delete", versions))
-    roll.commit("c", tc.revised(docs.where("doc_id = 3"), tc.F.lit("z"), versions))
-    roll.commit("c", tc.revised(docs.where("doc_id = 3"), tc.F.lit("z"), versions))
+    roll.commit("c", tc.revised(docs.where("doc_id = 3")))
+    roll.commit("c", tc.revised(docs.where("doc_id = 3")))
     roll.commit("d", tc.whole(docs.limit(0), "insert", versions))
     want[("s", "en", "space-1")] = want[("s", "en", "class-1")] = (1, 2, 3)
     want[("s", None, "space-1")] = want[("s", None, "class-1")] = (1, 1, 1)
     assert totals(roll) == want
     assert totals(roll.compact(str(tmp_path / "s"))) == want
-    roll.commit("e", tc.whole(docs.where("doc_id = 3").withColumn("text", tc.F.lit("z")), "delete", versions))
+    gone = docs.where("doc_id = 3").withColumns({"counts": tc.F.col("new_counts"), "chars": tc.F.col("new_chars")})
+    roll.commit("e", tc.whole(gone, "delete", versions))
     assert totals(roll)["s", None, "space-1"] == (0, 0, 0)
