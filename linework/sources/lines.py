@@ -7,17 +7,23 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linework.plans.tables import materialise
 from linework.sources.encodings import SAMPLE, decode, encoding_id, with_encoding
 
+#: A row of some 100 bytes for each split is broadcast up to this number of splits.
+BROADCAST_SPLITS = 200_000
+
 
 def numbered_lines(raw: DataFrame) -> DataFrame:
     """(path, block, file_line, raw) by two passes: rows of a split are consecutive, so a row's place in
-    its split is a difference of ids, and the splits' counts add up to where each begins. No row moves."""
+    its split is a difference of ids, and the splits' counts add up to where each begins. No row moves
+    unless there are more than BROADCAST_SPLITS splits."""
     rows = raw.withColumn("_id", F.monotonically_increasing_id())
     splits = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(splits, ["path", "block"]).select("path", "block", (F.col("base") + F.col("_id") - F.col("first") + 1).alias("file_line"), "raw")
+    splits = materialise(splits.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "splits")
+    few = splits.count() <= BROADCAST_SPLITS
+    return rows.join(F.broadcast(splits) if few else splits, ["path", "block"]).select("path", "block", (F.col("base") + F.col("_id") - F.col("first") + 1).alias("file_line"), "raw")
 
 
 def _pieces(spark: SparkSession, paths: str | list[str], end: str) -> DataFrame:
