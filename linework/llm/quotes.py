@@ -3,13 +3,17 @@
 A line's quote level is the number of ``>`` before its text. Consecutive lines of one level make a
 passage. Passages are normalised (lower case, white space as one space) and hashed; so are the units
 of every message's own text: all of it, its paragraphs and its lines. A passage belongs to the first
-message of its conversation that has it as own text, if that comes before. A message replies to the
-original of its first linked passage of the lowest level; threads follow these links to their roots
-by pointer doubling, so long chains take few rounds. A conversation is ordered by thread, then turn.
+message of its conversation that has it as own text, if that comes before. A passage of several lines
+without such a message is an excerpt: it belongs to the first message that holds its paragraphs in
+order, each as one paragraph or line, or by its lines in order (others may lie between them). A message
+replies to the original of its first linked passage of the lowest level; threads follow these links to
+their roots by pointer doubling, so long chains take few rounds. A conversation is ordered by thread,
+then turn.
 
 Everything is DataFrame functions. Units are pre-aggregated by hash before they meet passages, only
 conversations with quotations are searched, and positions are numbered by ranges, so neither a
-frequent line nor a long conversation lands in one task.
+frequent line nor a long conversation lands in one task. An excerpt is compared only with the messages
+that have its rarest unit; equal excerpts of a conversation are compared once.
 
 Defined results: a null text is empty and has no quotations; a null turn comes first and links to
 nothing; a null role is written as ``user``; repeated rows stay repeated, and a reply to a repeated
@@ -48,8 +52,16 @@ def without_quotes(text: Column) -> Column:
     return F.regexp_replace(own, r"^\s+|\s+$", "")
 
 
+def _pieces(text: Column) -> Column:
+    """The paragraphs of a text: for each its key and those of its lines, without empty ones."""
+    parts = F.filter(F.split(text, r"\n[ \t]*\n"), lambda p: normalised(p) != "")
+    own = lambda p: F.filter(F.transform(F.split(p, "\n"), normalised), lambda x: x != "")
+    return F.transform(parts, lambda p: F.struct(_key(normalised(p)).alias("key"), F.transform(own(p), _key).alias("lines")))
+
+
 def passages(messages: DataFrame) -> DataFrame:
-    """(row, conv, turn, level, at, key) for every quoted passage of (row, conv, turn, text)."""
+    """(row, conv, turn, level, at, key, pieces) for every quoted passage of (row, conv, turn, text); the
+    pieces of one line are null."""
     lines = messages.select("row", "conv", "turn", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
     mark = F.regexp_extract("line", MARK, 0)
     lines = lines.withColumn("level", F.length(mark) - F.length(F.replace(mark, F.lit(">"), F.lit(""))))
@@ -57,8 +69,10 @@ def passages(messages: DataFrame) -> DataFrame:
     island = F.col("at") - F.row_number().over(Window.partitionBy("row", "level").orderBy("at"))
     parts = lines.withColumn("island", island).groupBy("row", "conv", "turn", "level", "island")
     found = parts.agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines"))
-    text = normalised(F.array_join(F.transform("lines", lambda x: x["line"]), " "))
-    return found.withColumn("text", text).where("text != ''").select("row", "conv", "turn", "level", "at", _key(F.col("text")).alias("key"))
+    raw = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    found = found.withColumn("raw", raw).withColumn("text", normalised(F.col("raw"))).where("text != ''")
+    several = F.size(F.filter("lines", lambda x: normalised(x["line"]) != "")) > 1
+    return found.select("row", "conv", "turn", "level", "at", _key(F.col("text")).alias("key"), F.when(several, _pieces(F.col("raw"))).alias("pieces"))
 
 
 def originals(messages: DataFrame) -> DataFrame:
@@ -69,6 +83,49 @@ def originals(messages: DataFrame) -> DataFrame:
     return units.select("conv", "turn", _key(F.col("unit")).alias("key")).groupBy("conv", "key").agg(F.min("turn").alias("first"))
 
 
+def _holds(units: Column, pieces: Column) -> Column:
+    """Whether a message's units (its paragraphs' lines, each paragraph after its lines) hold all pieces in order."""
+
+    def step(s: Column, u: Column) -> Column:
+        piece = F.get(pieces, s["i"])
+        same = lambda key: F.coalesce(key == u["key"], F.lit(False))
+        whole = same(piece["key"]) & (~u["part"] | (s["i"] == s["start"]))  # a paragraph that began after the piece before
+        line = ~u["part"] & same(F.get(piece["lines"], s["n"]))
+        done = whole | (line & (s["n"] + 1 == F.size(piece["lines"])))
+        i = s["i"] + done.cast("int")
+        return F.struct(i.alias("i"), F.when(done, 0).otherwise(s["n"] + line.cast("int")).alias("n"), F.when(u["part"], i).otherwise(s["start"]).alias("start"))
+
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).alias("start"))
+    return F.aggregate(units, zero, step, lambda s: s["i"] == F.size(pieces))
+
+
+def excerpts(linked: DataFrame, messages: DataFrame) -> DataFrame:
+    """(conv, pieces, held): the first turn that holds an excerpt, for the passages of several lines that have no original."""
+    left = linked.where("first is null and pieces is not null and turn is not null")
+    left = left.groupBy("conv", "pieces").agg(F.max("turn").alias("last")).withColumn("id", F.monotonically_increasing_id())
+    left = materialise(left, "excerpts")
+    convs = left.select(F.col("conv").alias("c")).distinct()
+    searched = messages.join(convs, F.col("conv").eqNullSafe(F.col("c")), "left_semi").where("turn is not null")
+    unit = lambda part, key: F.struct(F.lit(part).alias("part"), key.alias("key"))
+    units = F.flatten(F.transform(_pieces(F.col("body")), lambda p: F.concat(F.transform(p["lines"], lambda k: unit(False, k)), F.array(unit(True, p["key"])))))
+    searched = materialise(searched.select("row", "conv", "turn", units.alias("units")), "units")
+    where = searched.select("row", F.col("conv").alias("c"), F.col("turn").alias("t"), F.explode(F.array_distinct(F.transform("units", lambda u: u["key"]))).alias("k"))
+    uses = where.groupBy("c", "k").agg(F.count(F.lit(1)).alias("uses"))
+    # each piece is met as a whole or by all its lines: its candidates have the whole or its rarest line
+    pieces = left.select("id", "conv", F.posexplode("pieces").alias("piece", "p"))
+    asked = pieces.select("id", "conv", "piece", F.explode(F.array_distinct(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("p.key").alias("key"))), F.transform("p.lines", lambda k: F.struct(F.lit(False).alias("whole"), k.alias("key")))))).alias("q"))
+    asked = asked.join(uses, F.col("conv").eqNullSafe(F.col("c")) & (F.col("q.key") == F.col("k")), "left")
+    asked = asked.select("id", "conv", "piece", "q.whole", "q.key", F.coalesce("uses", F.lit(0)).alias("uses"))
+    best = asked.groupBy("id", "conv", "piece", "whole").agg(F.min(F.struct("uses", "key")).alias("best"))
+    best = best.groupBy("id", "conv", "piece").agg(F.sum("best.uses").alias("uses"), F.collect_set("best.key").alias("keys"))
+    best = best.groupBy("id", "conv").agg(F.min_by("keys", F.struct("uses", "piece")).alias("keys"))
+    anchors = materialise(best.select("id", "conv", F.explode("keys").alias("key")), "anchors")
+    pairs = anchors.join(where, F.col("conv").eqNullSafe(F.col("c")) & (F.col("key") == F.col("k"))).select("id", "row", "t").distinct()
+    pairs = pairs.join(left.select("id", "pieces", "last"), "id").where("t < last")
+    held = pairs.join(searched.select("row", "units"), "row").where(_holds(F.col("units"), F.col("pieces"))).groupBy("id").agg(F.min("t").alias("held"))
+    return materialise(left.join(held, "id").select("conv", "pieces", "held"), "held")
+
+
 def threads(replies: DataFrame) -> DataFrame:
     """(conv, turn, root, depth) from (conv, turn, parent); a parent's turn is smaller."""
     step = materialise(replies.select("conv", "turn", F.col("parent").alias("root"), F.lit(1).alias("depth")), "threads")
@@ -101,6 +158,10 @@ def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     searched = rows.join(convs, F.col("conv").eqNullSafe(F.col("c")), "left_semi")
     first = materialise(originals(searched).select(F.col("conv").alias("c"), F.col("key").alias("k"), "first"), "originals")
     linked = quoted.join(first, F.col("conv").eqNullSafe(F.col("c")) & (F.col("key") == F.col("k")) & (F.col("first") < F.col("turn")), "left")
+    linked = materialise(linked.select("row", "conv", "turn", "level", "at", "pieces", "first"), "linked")
+    held = excerpts(linked, rows).select(F.col("conv").alias("c"), F.col("pieces").alias("p"), "held")
+    linked = linked.join(held, F.col("first").isNull() & F.col("conv").eqNullSafe(F.col("c")) & (F.col("pieces") == F.col("p")) & (F.col("held") < F.col("turn")), "left")
+    linked = linked.withColumn("first", F.coalesce("first", "held"))
     replies = linked.groupBy("row").agg(
         F.first("conv").alias("conv"),
         F.first("turn").alias("turn"),

@@ -81,3 +81,56 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted((r.conv_id or 0, -1 if r.turn is None else r.turn, r.role, -1 if r.reply_to is None else r.reply_to, r.position) for r in quotes.format_chat(df).collect())
     assert got == [(0, -1, "user", -1, 1), (0, 0, "x", -1, 2), (0, 1, "y", 0, 3), (1, 0, "user", -1, 1), (1, 0, "user", -1, 2), (1, 1, "u", 0, 3), (1, 1, "u", 0, 4)]
     assert quotes.format_chat(df.limit(0)).count() == 0
+
+
+EXCERPTS = [
+    (1, 0, "a\nb\nc\nd\n\nlong line one\n\nx\ny"),
+    (1, 1, "> a\n> b\nlines that are no whole paragraph"),
+    (1, 2, "> long\n> line one\n> \n> x y\ntwo of three paragraphs, wrapped anew"),
+    (1, 3, "> b\n> D\n>\n> x\nparts of two paragraphs"),
+    (1, 4, "> d\n> a\nwrong order"),
+    (1, 5, "> b\n> b\nonce in the original"),
+    (1, 6, ">> c\n>> d\n> lines that are no whole paragraph\n> d\nno such lines together"),
+    (1, 7, "> x y\n>\n> y\nthe paragraph is used up"),
+    (1, 8, "a\nb\nlater"),
+    (1, 9, "> a\n> b\nthe whole is not a unit of turn 8 either, the first is turn 0"),
+    (1, 10, "> a\n> b\n> later\nas a whole"),
+    (1, 11, "> b\n> later\nonly turn 8"),
+    (2, 0, "> a\n> b\nother conversation"),
+    (2, 1, "> p\n> q\nmine\np\nq\nr"),
+    (None, 0, "k\nl\nm"),
+    (None, 1, "> l\n> m\nnull conversation"),
+]
+
+
+def test_excerpts(spark):
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in EXCERPTS], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.n_linked) for r in quotes.format_chat(df).collect()}
+    none = (None, 0)
+    linked = {(1, 1): 0, (1, 2): 0, (1, 3): 0, (1, 6): 0, (1, 9): 0, (1, 10): 8, (1, 11): 8, (None, 1): 0}
+    assert got == {(c, t): (linked[c, t], 1) if (c, t) in linked else none for c, t, _ in EXCERPTS}
+
+
+def test_excerpts_of_the_tables(spark):
+    """Two lines in order, of every message that has them, are quoted by the next one."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect()
+    norm = lambda t: re.sub(r"\s+", " ", t).strip().lower()
+    lines = lambda t: [x for x in map(norm, t.split("\n")) if x]
+    bodies, messages, expected = {}, [], {}
+    for r in rows:
+        words = (r.text or "").split()
+        body = "\n".join(" ".join(words[i : i + 4]) for i in range(0, len(words), 4))
+        before = bodies.get((r.conv_id, r.turn - 1), "")
+        quote = before.split("\n")[1:-1:2]
+        messages.append((r.conv_id, r.turn, r.role, "".join(f"> {x}\n" for x in quote) + body))
+        bodies[r.conv_id, r.turn] = body
+        if len(quote) > 1:
+
+            def has(text):
+                left = iter(lines(text))
+                return all(x in left for x in lines("\n".join(quote)))
+
+            expected[r.conv_id, r.turn] = min(t for (c, t), b in bodies.items() if c == r.conv_id and t < r.turn and has(b))
+    got = quotes.format_chat(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")).collect()
+    found = {(r.conv_id, r.turn): r.reply_to for r in got if (r.conv_id, r.turn) in expected}
+    assert len(expected) > 20 and found == expected
