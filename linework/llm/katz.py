@@ -9,8 +9,9 @@ training counts and D(c) the Good-Turing discount of a count,
     a(h)   = sum of D2 over w seen after h / c(h) / (1 - sum of P(w) over them)
 
 so that the probabilities after every history add up to one exactly. Counts above GT_MAX lose LARGE,
-so that no history is without mass for what it has not met; where the counts of counts don't allow
-Good-Turing (small corpora), every count loses the same absolute discount.
+so that no history is without mass for what it has not met. Where the counts of counts as they are don't
+allow Good-Turing for every count of an order (gaps, copies in pairs), they are smoothed by a line through
+their logarithms, as in Simple Good-Turing, and the order keeps Good-Turing discounts for all its counts.
 
 How it runs. Documents are cut into blocks of about BLOCK_TOKENS tokens. A block knows each of its
 distinct n-grams once; it sends their sorted 64-bit hash keys with training counts to the partition
@@ -47,6 +48,8 @@ BLOCK_TOKENS = 2_000_000
 PART_KEYS = 1_000_000
 GT_MAX = 5
 LARGE = 0.05
+#: How counts of counts fall where there are too few to tell: as r ** ZIPF.
+ZIPF = -2.0
 END, START = 0, 1  # keys of the marks
 BASE = 0.1
 
@@ -209,18 +212,42 @@ def _count(table: pa.Table) -> pa.Table:
 # ---- the model ----
 
 
-def discounts(of_count: list[int]) -> np.ndarray:
-    """D(c) for c from 0 to GT_MAX, and for all larger c, from the numbers of n-grams seen 1, 2, ... times."""
+def turing(of_count: list[int]) -> np.ndarray | None:
+    """The kept parts of the counts 1 to GT_MAX by Good-Turing with the counts of counts as they are, if they allow it for all."""
     n = np.array([0, *of_count], float)
     r = np.arange(1, GT_MAX + 1)
-    if (n[1:] > 0).all():
-        common = (GT_MAX + 1) * n[GT_MAX + 1] / n[1]
-        if common < 1:
-            kept = ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common)
-            if ((kept > 0) & (kept < 1)).all():
-                return np.concatenate([[0], r * (1 - kept), [LARGE]])
-    d = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-    return np.concatenate([[0], np.full(GT_MAX + 1, d)])
+    if (n[1:] > 0).all() and (common := (GT_MAX + 1) * n[GT_MAX + 1] / n[1]) < 1:
+        kept = ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common)
+        if ((kept > 0) & (kept < 1)).all():
+            return kept
+    return None
+
+
+def slope(of_count: list[int]) -> float:
+    """Of the line through the logarithms of the counts of counts, each spread over the gap around it; ZIPF without two counts."""
+    r = np.flatnonzero(of_count) + 1
+    if len(r) < 2:
+        return ZIPF
+    before, after = np.concatenate([[0], r[:-1]]), np.append(r[1:], 2 * r[-1] - r[-2])
+    return np.polyfit(np.log(r), np.log(2 * np.array(of_count, float)[r - 1] / (after - before)), 1)[0]
+
+
+def smoothed(of_count: list[int]) -> np.ndarray:
+    """The same with counts of counts that fall as r ** slope. A slope of -1 or more can't discount and counts as -1, in the limit."""
+    power = slope(of_count) + 1
+    r = np.arange(1, GT_MAX + 1)
+    if power > -1e-6:
+        return 1 - np.log1p(1 / r) / np.log(GT_MAX + 1)
+    common = (GT_MAX + 1) ** power
+    return ((1 + 1 / r) ** power - common) / (1 - common)
+
+
+def discounts(of_count: list[int]) -> np.ndarray:
+    """D(c) for c from 0 to GT_MAX, and for all larger c, from the numbers of n-grams seen 1, 2, ... times."""
+    kept = turing(of_count)
+    if kept is None:
+        kept = smoothed(of_count)
+    return np.concatenate([[0], np.arange(1, GT_MAX + 1) * (1 - kept), [LARGE]])
 
 
 def discount(d: np.ndarray, c: np.ndarray) -> np.ndarray:

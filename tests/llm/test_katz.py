@@ -86,3 +86,39 @@ def test_edges(spark):
         assert (r.n_tokens, r.n_known) == (n, known) and isclose(r.score, score) and isclose(r.base_score, base)
     assert katz.katz_scores(docs.limit(0), F.lit(True))[0].count() == 0
     assert {(r.train_tokens, r.score) for r in katz.katz_scores(docs, F.lit(False))[0].collect()} == {(0, 0.0)}
+
+
+GAPS = {
+    "copies in pairs": [0, 1000, 0, 300, 0, 150],
+    "more twice than once": [100, 900, 80, 300, 60, 150],
+    "closed vocabulary": [0, 0, 0, 0, 0, 0],
+    "one count": [7, 0, 0, 0, 0, 0],
+    "rising": [1, 2, 3, 4, 5, 6],
+    "a gap": [1000, 300, 150, 0, 60, 40],
+}
+
+
+@pytest.mark.parametrize("of_count", GAPS.values(), ids=GAPS)
+def test_discounts_with_gaps_stay_good_turing(of_count):
+    d = katz.discounts(of_count)
+    c = range(1, katz.GT_MAX + 1)
+    assert d[0] == 0 and d[-1] == katz.LARGE  # large counts are never discounted like small ones
+    assert all(0 < d[r] < r for r in c)
+    assert katz.turing(of_count) is None
+    kept = [1 - d[r] / r for r in c]
+    assert kept == sorted(kept)  # the more often seen, the more is kept
+
+
+def test_smoothed_discounts_are_exact_on_a_power_law():
+    fall = lambda b: [r**b for r in range(1, katz.GT_MAX + 2)]
+    for b in (-3.0, -2.0, -1.5):
+        assert isclose(katz.slope(fall(b)), b)
+        assert all(isclose(x, y) for x, y in zip(katz.smoothed(fall(b)), katz.turing(fall(b)), strict=True))
+
+
+def test_doubled_texts_add_up_to_one():
+    texts = ["a b a b c", "a a b", "", "c c c c c c c c", "d b a", "a b", "e f", "g"]
+    model = Brute(texts * 2)
+    assert model.d1[-1] == model.d2[-1] == katz.LARGE
+    for h in [*model.after, "never"]:
+        assert isclose(sum(model.p2(h, w) for w in [*model.one, "never"]), 1)
