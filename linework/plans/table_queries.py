@@ -228,6 +228,17 @@ def preview_lines(spark, sf_dir):
     return docs.select("doc_id", encodings.preview_lines(F.col("text"), F.lit(False)).alias("shown"))
 
 
+@query("preview_whole", """WITH d AS (SELECT doc_id, text AS t FROM documents WHERE coalesce(text, '') != ''),
+c AS (SELECT doc_id, i, c, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (
+  SELECT doc_id, unnest(a) AS c, unnest(range(len(a))) AS i FROM (SELECT doc_id, regexp_extract_all(left(t, 8192), '(?s).') AS a FROM d WHERE strlen(t) > 8192))),
+h AS (SELECT doc_id, string_agg(c, '' ORDER BY i) AS t FROM c WHERE upto <= 8192 GROUP BY doc_id UNION ALL SELECT doc_id, t FROM d WHERE strlen(t) <= 8192)
+SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x, i: i <= 14 AND (i < len(string_split(t, chr(10))) OR x != '')) AS shown FROM h""")
+def preview_whole(spark, sf_dir):
+    """The previews of all documents, those of more than 8 KiB included."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("coalesce(text, '') != ''")
+    return docs.select("doc_id", encodings.preview(F.encode("text", "UTF-8"), F.lit("utf-8")).alias("shown"))
+
+
 @query("encoding_manual", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' ELSE 'utf-16le' END AS id, CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 = 0 ELSE doc_id % 5 = 2 END AS bom, 'manual' AS source FROM documents")
 def encoding_manual(spark, sf_dir):
     choice = F.when(F.col("doc_id") % 2 == 0, "UTF8").otherwise("utf_16_le")

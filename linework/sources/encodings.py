@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: Bytes that detection looks at, and the default cap of a whole-document read.
 SAMPLE, CAP = 64 << 10, 4 << 20
+#: Fixed value: the bytes of a preview's read.
+PREVIEW_BYTES = 8192
 #: Id, name, note, group, BOM as hex, and Python's codec for it.
 ENCODINGS = [
     ("utf-8", "UTF-8", "Unicode", "unicode", "EFBBBF", "utf-8"),
@@ -158,6 +160,12 @@ def preview_lines(text: Column, truncated: Column, n: int = 14) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.slice(lines, 1, n))
 
 
+def preview(content: Column, encoding: Column, n: int = 14) -> Column:
+    """The first lines of a file's bytes, read no further than PREVIEW_BYTES and decoded with replacement."""
+    text = decode(F.substring(content, 1, PREVIEW_BYTES), encoding)
+    return preview_lines(text, F.octet_length(content) > PREVIEW_BYTES, n)
+
+
 def garbled(text: Column) -> Column:
     """At least four replacement characters, and one character in twenty."""
     bad = F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))

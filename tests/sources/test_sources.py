@@ -115,3 +115,14 @@ def test_one_file_in_many_splits(spark, tmp_path, size):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     want = {n: list(delimited.records(t.removeprefix("﻿"))) for n, t in texts.items()}
     assert got == {n: rows for n, rows in want.items() if rows}
+
+
+def test_previews_of_long_files(spark):
+    texts = ["é" * 5000, "x" + "é" * 5000, "xy" + "中" * 4000, "a\n" * 5000, "a\r\nb" + "z" * 8187, "a\r\nb" + "z" * 8188, "", "\ufeffa"]
+    files = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "i int, content binary")
+    shown = {r.i: r.shown for r in files.select("i", encodings.preview(F.col("content"), F.lit("utf-8")).alias("shown")).collect()}
+    assert shown == {0: ["é" * 4096], 1: ["x" + "é" * 4095], 2: ["xy" + "中" * 2730], 3: ["a"] * 14, 4: ["a", "b" + "z" * 8187], 5: ["a", "b" + "z" * 8188], 6: [], 7: ["a"]}
+    long = [t for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if len((t := r.text or "").encode()) > 8192]
+    assert long
+    got = spark.createDataFrame([(t,) for t in long], "t string").select(encodings.preview(F.encode("t", "UTF-8"), F.lit("utf-8"))).collect()
+    assert [r[0] for r in got] == [t.encode()[:8192].decode(errors="ignore").split("\n")[:14] for t in long]
