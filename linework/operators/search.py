@@ -160,10 +160,19 @@ def segments(text: Column, term: str, typed: str, case_sensitive: bool = False,
     )
 
 
-def find_in_cells(rows: DataFrame, term: str, number: str = "row_no", cells: str = "cells", cap: int = CELL_CAP, **options) -> DataFrame:
-    """(row, col) of the first ``cap`` cells in row order that have the term, and capped."""
+def cell_hits(rows: DataFrame, term: str, number: str = "row_no", cells: str = "cells", **options) -> DataFrame:
+    """(row, col) of all cells that have the term."""
     found = rows.select(F.col(number).alias("row"), F.posexplode(cells).alias("col", "_cell")).where(matches_term(F.col("_cell"), term, **options))
-    page = found.select("row", "col").orderBy("row", "col").limit(cap)
+    return found.select("row", "col")
+
+
+def find_in_cells(rows: DataFrame, term: str, number: str = "row_no", cells: str = "cells", cap: int = CELL_CAP, after: tuple[int, int] | None = None, **options) -> DataFrame:
+    """(row, col) of the first ``cap`` cells in row order that have the term, and capped; those behind the place ``after`` (row, col)."""
+    found = cell_hits(rows, term, number, cells, **options)
+    if after is not None:
+        row, col = map(F.lit, after)
+        found = found.where((F.col("row") > row) | ((F.col("row") == row) & (F.col("col") > col)))
+    page = found.orderBy("row", "col").limit(cap)
     return page.withColumn("capped", F.count(F.lit(1)).over(Window.partitionBy()) >= cap)
 
 

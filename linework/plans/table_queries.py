@@ -41,6 +41,12 @@ def hits_by_row(spark, sf_dir):
     return search.hits_by_row(search.find_in_cells(customers(spark, sf_dir).where("row_no < 300"), "1"))
 
 
+@query("hits_by_row_whole", _CELLS + "SELECT row_no AS row, list(i - 1 ORDER BY i)::INT[] AS cols FROM (SELECT row_no, unnest(cells) AS v, unnest(range(1, 5)) AS i FROM t) WHERE contains(lower(v), '1') GROUP BY row_no")
+def hits_by_row_whole(spark, sf_dir):
+    """The cells of all customers, without a cap."""
+    return search.hits_by_row(search.cell_hits(customers(spark, sf_dir), "1"))
+
+
 @query("table_long_form", _CELLS + "SELECT row_no AS row, (unnest(range(4)))::INT AS col, unnest(cells) AS value FROM t")
 def table_long_form(spark, sf_dir):
     return tables.long_form(customers(spark, sf_dir))

@@ -96,3 +96,16 @@ def test_spans_and_segments(spark):
     assert [(s.text, s.find) for s in row.cut] == [("aaAa", True), (" foo ", False), ("AA", True), ("b", False)]
     assert [(s.text, s.find, s.keyword) for s in row.both] == [
         ("a", False, 1), ("a", False, 1), ("A", False, 1), ("a", False, 1), (" ", False, None), ("foo", False, 0), (" ", False, None), ("AAb", True, None)]
+
+
+def test_cell_pages_resume_and_all_hits_are_grouped(spark):
+    rows = spark.range(3000).selectExpr("id as row_no", "array('1x', 'y', cast(id as string), '1') as cells")
+    every = sorted((i, c) for i in range(3000) for c, v in enumerate(["1x", "y", str(i), "1"]) if "1" in v)
+    assert len(every) > search.CELL_CAP
+    pages, after = [], None
+    while not pages or pages[-1][-1].capped:
+        pages.append(search.find_in_cells(rows, "1", after=after).orderBy("row", "col").collect())
+        after = tuple(pages[-1][-1][:2])
+    assert [tuple(r[:2]) for page in pages for r in page] == every and len(pages) == 2
+    grouped = search.hits_by_row(search.cell_hits(rows, "1")).collect()
+    assert sorted((r.row, c) for r in grouped for c in r.cols) == every
