@@ -10,27 +10,34 @@ replies to the original of its first linked passage of the lowest level; threads
 their roots by pointer doubling, so long chains take few rounds. A conversation is ordered by thread,
 then turn.
 
-Everything is DataFrame functions. Units are pre-aggregated by hash before they meet passages, only
-conversations with quotations are searched, and positions are numbered by ranges, so neither a
-frequent line nor a long conversation lands in one task. An excerpt is compared only with the messages
-that have its rarest unit; equal excerpts of a conversation are compared once.
+Everything is DataFrame functions. Passages and units are cut and hashed in the message's row, so what
+moves are hashes, conversations and turns; units are pre-aggregated before they meet passages, and
+positions are numbered over (conversation, turn) counts by ranges, so neither a frequent line nor a long
+conversation lands in one task. The texts are read where they lie and move once, to get their place (a
+message that quotes moves twice). An excerpt is compared only with the messages that have its rarest
+unit; equal excerpts of a conversation are compared once. Hashes of 96 bits stand for texts.
 
 Defined results: a null text is empty and has no quotations; a null turn comes first and links to
-nothing; a null role is written as ``user``; repeated rows stay repeated, and a reply to a repeated
-turn names that turn; white space around ``>`` does not matter.
+nothing; a null conversation is a conversation; a null role is written as ``user``; repeated rows stay
+repeated, and a reply to a repeated turn names that turn; messages of one conversation and turn are in
+the order of their formatted text; white space around ``>`` does not matter; a mark or a line may be of any
+length; other columns are left out, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from linework.plans.numbering import numbered
 from linework.plans.tables import materialise
 
 #: What stands before the text of a quoted line.
-MARK = r"^[ \t]*(>[ \t]*)+"
+MARK = r"^[ \t>]*>[ \t]*"
+#: What tells messages of a conversation and turn apart: hashes of their text.
+SAME = ["conv", "turn", "h1", "h2"]
 
 
 def normalised(text: Column) -> Column:
@@ -60,27 +67,31 @@ def _pieces(text: Column) -> Column:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """(row, conv, turn, level, at, key, pieces) for every quoted passage of (row, conv, turn, text); the
-    pieces of one line are null."""
-    lines = messages.select("row", "conv", "turn", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
-    mark = F.regexp_extract("line", MARK, 0)
-    lines = lines.withColumn("level", F.length(mark) - F.length(F.replace(mark, F.lit(">"), F.lit(""))))
-    lines = lines.withColumn("line", F.regexp_replace("line", MARK, "")).where("level > 0")
-    island = F.col("at") - F.row_number().over(Window.partitionBy("row", "level").orderBy("at"))
-    parts = lines.withColumn("island", island).groupBy("row", "conv", "turn", "level", "island")
-    found = parts.agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines"))
-    raw = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
-    found = found.withColumn("raw", raw).withColumn("text", normalised(F.col("raw"))).where("text != ''")
-    several = F.size(F.filter("lines", lambda x: normalised(x["line"]) != "")) > 1
-    return found.select("row", "conv", "turn", "level", "at", _key(F.col("text")).alias("key"), F.when(several, _pieces(F.col("raw"))).alias("pieces"))
-
-
-def originals(messages: DataFrame) -> DataFrame:
-    """(conv, key, first): the first turn of each conversation with a unit of own text."""
-    body = F.col("body")
-    units = F.array_distinct(F.concat(F.array(body), F.split(body, r"\n[ \t]*\n"), F.split(body, "\n")))
-    units = messages.select("conv", "turn", F.explode(F.array_distinct(F.transform(units, normalised))).alias("unit")).where("unit != ''")
-    return units.select("conv", "turn", _key(F.col("unit")).alias("key")).groupBy("conv", "key").agg(F.min("turn").alias("first"))
+    """(conv, turn, h1, h2, level, at, key, pieces) for every quoted passage of (conv, turn, text); the pieces
+    of one line are null. Passages are cut in the row; only their hashes leave it."""
+    rows = messages.select("conv", "turn", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), _lines(F.col("text")).alias("lines"))
+    mark = lambda line: F.regexp_extract(line, MARK, 0)
+    level = lambda m: F.length(m) - F.length(F.replace(m, F.lit(">"), F.lit("")))
+    rows = rows.select(*SAME, F.transform("lines", lambda x: level(mark(x))).alias("levels"), F.transform("lines", lambda x: F.regexp_replace(x, MARK, "")).alias("rest"))
+    at, of = F.sequence(F.lit(0), F.size("levels") - 1), lambda i: F.get("levels", i)
+    begins = F.filter(at, lambda i: (of(i) > 0) & ~of(i - 1).eqNullSafe(of(i)))
+    ends = F.filter(at, lambda i: (of(i) > 0) & ~of(i + 1).eqNullSafe(of(i)))
+    rows = rows.select(*SAME, "levels", "rest", F.explode(F.arrays_zip(begins.alias("a"), ends.alias("b"))).alias("x"))
+    rows = rows.select(*SAME, of(F.col("x.a")).alias("level"), F.col("x.a").alias("at"), F.slice("rest", F.col("x.a") + 1, F.col("x.b") - F.col("x.a") + 1).alias("part"))
+    rows = rows.withColumn("raw", F.array_join("part", "\n")).withColumn("text", normalised(F.col("raw"))).where("text != ''")
+    several = F.size(F.filter("part", lambda x: normalised(x) != "")) > 1
+    found = rows.select(*SAME, "level", "at", _key(F.col("text")).alias("key"), F.when(several, _pieces(F.col("raw"))).alias("pieces"))
+    return found.dropDuplicates([*SAME, "at"])
+
+
+def originals(messages: DataFrame, convs: DataFrame) -> DataFrame:
+    """(conv, key, first): the first turn with a unit of own text, in the conversations ``convs`` (c)."""
+    body = without_quotes(F.col("text"))
+    rows = messages.select("conv", "turn", body.alias("body"))
+    units = F.concat(F.array("body"), F.split("body", r"\n[ \t]*\n"), F.split("body", "\n"))
+    units = F.filter(F.array_distinct(F.transform(units, normalised)), lambda u: u != "")
+    keys = rows.select("conv", "turn", F.explode(F.transform(units, _key)).alias("key")).groupBy("conv", "key").agg(F.min("turn").alias("first"))
+    return keys.join(convs, F.col("conv").eqNullSafe(F.col("c")), "left_semi")
 
 
 def _holds(units: Column, pieces: Column) -> Column:
@@ -105,10 +116,11 @@ def excerpts(linked: DataFrame, messages: DataFrame) -> DataFrame:
     left = left.groupBy("conv", "pieces").agg(F.max("turn").alias("last")).withColumn("id", F.monotonically_increasing_id())
     left = materialise(left, "excerpts")
     convs = left.select(F.col("conv").alias("c")).distinct()
-    searched = messages.join(convs, F.col("conv").eqNullSafe(F.col("c")), "left_semi").where("turn is not null")
     unit = lambda part, key: F.struct(F.lit(part).alias("part"), key.alias("key"))
-    units = F.flatten(F.transform(_pieces(F.col("body")), lambda p: F.concat(F.transform(p["lines"], lambda k: unit(False, k)), F.array(unit(True, p["key"])))))
-    searched = materialise(searched.select("row", "conv", "turn", units.alias("units")), "units")
+    units = F.flatten(F.transform(_pieces(without_quotes(F.col("text"))), lambda p: F.concat(F.transform(p["lines"], lambda k: unit(False, k)), F.array(unit(True, p["key"])))))
+    searched = messages.where("turn is not null").select("conv", "turn", units.alias("units"))
+    searched = searched.join(convs, F.col("conv").eqNullSafe(F.col("c")), "left_semi").withColumn("row", F.monotonically_increasing_id())
+    searched = materialise(searched, "units")
     where = searched.select("row", F.col("conv").alias("c"), F.col("turn").alias("t"), F.explode(F.array_distinct(F.transform("units", lambda u: u["key"]))).alias("k"))
     uses = where.groupBy("c", "k").agg(F.count(F.lit(1)).alias("uses"))
     # each piece is met as a whole or by all its lines: its candidates have the whole or its rarest line
@@ -127,18 +139,39 @@ def excerpts(linked: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def threads(replies: DataFrame) -> DataFrame:
-    """(conv, turn, root, depth) from (conv, turn, parent); a parent's turn is smaller."""
-    step = materialise(replies.select("conv", "turn", F.col("parent").alias("root"), F.lit(1).alias("depth")), "threads")
-    while not step.isEmpty():
+    """(conv, turn, root, depth) from (conv, turn, parent); a parent's turn is smaller. A round doubles the
+    steps of those that have not reached their root."""
+    step = materialise(replies.select("conv", "turn", F.col("parent").alias("root"), F.lit(1).alias("depth"), F.lit(True).alias("open")), "threads")
+    while not step.where("open").isEmpty():
         up = step.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("root").alias("r"), F.col("depth").alias("d"))
-        joined = step.join(up, F.col("conv").eqNullSafe(F.col("c")) & (F.col("root") == F.col("t")), "left")
-        step = materialise(
-            joined.select("conv", "turn", F.coalesce("r", "root").alias("root"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), F.col("d").isNotNull().alias("moved")), "threads"
-        )
-        if step.where("moved").isEmpty():
-            break
-        step = step.drop("moved")
-    return step.select("conv", "turn", "root", "depth")
+        joined = step.where("open").join(up, F.col("conv").eqNullSafe(F.col("c")) & (F.col("root") == F.col("t")), "left")
+        moved = joined.select("conv", "turn", F.coalesce("r", "root").alias("root"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), F.col("d").isNotNull().alias("open"))
+        step = materialise(moved.unionByName(step.where("not open")), "threads")
+    return step.drop("open")
+
+
+def _linked(rows: DataFrame, quoted: DataFrame) -> DataFrame:
+    """(conv, turn, h1, h2, n_quotes, n_linked, parent) of the messages with the passages ``quoted``."""
+    convs = quoted.select(F.col("conv").alias("c")).distinct()
+    first = materialise(originals(rows, convs).select(F.col("conv").alias("c"), F.col("key").alias("k"), "first"), "originals")
+    linked = quoted.join(first, F.col("conv").eqNullSafe(F.col("c")) & (F.col("key") == F.col("k")) & (F.col("first") < F.col("turn")), "left")
+    linked = materialise(linked.select(*SAME, "level", "at", "pieces", "first"), "linked")
+    held = excerpts(linked, rows).select(F.col("conv").alias("c"), F.col("pieces").alias("p"), "held")
+    linked = linked.join(held, F.col("first").isNull() & F.col("conv").eqNullSafe(F.col("c")) & (F.col("pieces") == F.col("p")) & (F.col("held") < F.col("turn")), "left")
+    linked = linked.withColumn("first", F.coalesce("first", "held"))
+    replies = linked.groupBy(*SAME).agg(
+        F.count(F.lit(1)).alias("n_quotes"),
+        F.count("first").alias("n_linked"),
+        F.min(F.when(F.col("first").isNotNull(), F.struct("level", "at", "first")))["first"].alias("parent"),
+    )
+    return materialise(replies, "replies")
+
+
+def _together(a: DataFrame, b: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A join on columns of the same names, nulls alike."""
+    b = b.withColumnsRenamed({c: f"_{c}" for c in on})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on])
+    return a.join(b, same, how).drop(*[f"_{c}" for c in on])
 
 
 def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -146,49 +179,48 @@ def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     depth, position in the reply-ordered conversation, n_quotes, n_linked, body without quotes and the
     formatted message."""
     rows = messages.select(
-        F.monotonically_increasing_id().alias("row"),
         F.col(conv_col).alias("conv"),
         F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col), F.lit("user")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    rows = materialise(rows.withColumn("quotes", F.col("text").rlike("(?m)" + MARK)).withColumn("body", without_quotes(F.col("text"))), "messages")
-    quoted = materialise(passages(rows.where("quotes")), "passages")
-    convs = quoted.select(F.col("conv").alias("c")).distinct()
-    searched = rows.join(convs, F.col("conv").eqNullSafe(F.col("c")), "left_semi")
-    first = materialise(originals(searched).select(F.col("conv").alias("c"), F.col("key").alias("k"), "first"), "originals")
-    linked = quoted.join(first, F.col("conv").eqNullSafe(F.col("c")) & (F.col("key") == F.col("k")) & (F.col("first") < F.col("turn")), "left")
-    linked = materialise(linked.select("row", "conv", "turn", "level", "at", "pieces", "first"), "linked")
-    held = excerpts(linked, rows).select(F.col("conv").alias("c"), F.col("pieces").alias("p"), "held")
-    linked = linked.join(held, F.col("first").isNull() & F.col("conv").eqNullSafe(F.col("c")) & (F.col("pieces") == F.col("p")) & (F.col("held") < F.col("turn")), "left")
-    linked = linked.withColumn("first", F.coalesce("first", "held"))
-    replies = linked.groupBy("row").agg(
-        F.first("conv").alias("conv"),
-        F.first("turn").alias("turn"),
-        F.count(F.lit(1)).alias("n_quotes"),
-        F.count("first").alias("n_linked"),
-        F.min(F.when(F.col("first").isNotNull(), F.struct("level", "at", "first")))["first"].alias("parent"),
-    )
-    replies = materialise(replies, "replies")
-    known = replies.where("parent is not null").groupBy("conv", "turn").agg(F.min("parent").alias("parent"))
-    roots = threads(known).select(F.col("conv").alias("c"), F.col("turn").alias("t"), "root", "depth")
-    all_rows = (
-        rows.join(replies.select("row", "parent", "n_quotes", "n_linked"), "row", "left")
-        .join(roots, F.col("conv").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")), "left")
-        .select(
-            F.col("conv").alias(conv_col),
-            F.col("turn").alias(turn_col),
-            F.col("role").alias(role_col),
-            F.col("parent").alias("reply_to"),
-            F.coalesce("root", "turn").alias("thread"),
-            F.coalesce("depth", F.lit(0)).cast("int").alias("depth"),
-            F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
-            F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-            "body",
-            F.concat(F.lit("<|"), "role", F.lit("|>\n"), "body").alias("formatted"),
-        )
+    marked = F.col("text").rlike("(?m)" + MARK)
+    quoted = materialise(passages(rows.where(marked)), "passages")
+    turns = rows.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("n"))
+    if quoted.isEmpty():
+        none = F.lit(None).cast(rows.schema["turn"].dataType)
+        turns = turns.select("*", F.col("turn").alias("thread"), F.lit(0).alias("depth"))
+        rows = rows.withColumns({"parent": none, "n_quotes": F.lit(0), "n_linked": F.lit(0)})
+    else:
+        replies = _linked(rows, quoted)
+        known = replies.where("parent is not null").groupBy("conv", "turn").agg(F.min("parent").alias("parent"))
+        turns = _together(turns, threads(known), ["conv", "turn"], "left")
+        turns = turns.select("conv", "turn", "n", F.coalesce("root", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"))
+        quoting = rows.where(marked).withColumns({"h1": F.xxhash64("text"), "h2": F.hash("text")})
+        quoting = _together(quoting, replies, SAME, "left").drop("h1", "h2")
+        rows = rows.where(~marked).unionByName(quoting, allowMissingColumns=True)
+    turns = materialise(numbered(turns, ["conv"], ["thread", "turn"], "upto", F.col("n")), "turns")
+    body = without_quotes(F.col("text"))
+    placed = _together(rows, turns, ["conv", "turn"], "inner").withColumn("body", body).drop("text")
+    placed = placed.withColumn("formatted", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "body"))
+    if turns.where("n > 1").isEmpty():
+        placed = placed.withColumn("k", F.lit(1))
+    else:
+        tied = numbered(placed.where("n > 1"), ["conv", "turn"], ["formatted"], "k")
+        placed = placed.where("n = 1").withColumn("k", F.lit(1)).unionByName(tied)
+    return placed.select(
+        F.col("conv").alias(conv_col),
+        F.col("turn").alias(turn_col),
+        F.col("role").alias(role_col),
+        F.col("parent").alias("reply_to"),
+        "thread",
+        F.col("depth").cast("int").alias("depth"),
+        F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
+        F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+        "body",
+        "formatted",
+        (F.col("upto") - F.col("n") + F.col("k")).cast("long").alias("position"),
     )
-    return numbered(all_rows, [conv_col], ["thread", turn_col, "formatted"], "position").withColumn("position", F.col("position").cast("long"))
 
 
 def op5_quotation_linking(spark, sf_dir: str) -> DataFrame:

@@ -134,3 +134,14 @@ def test_excerpts_of_the_tables(spark):
     got = quotes.format_chat(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")).collect()
     found = {(r.conv_id, r.turn): r.reply_to for r in got if (r.conv_id, r.turn) in expected}
     assert len(expected) > 20 and found == expected
+
+
+def test_long_marks_and_lines(spark):
+    """Marks and lines of 100,000 characters, and a conversation with a tie."""
+    long = "x" * 100_000
+    rows = [(1, 0, "u", long, 1), (1, 1, "u", f"> {long}\nmine", 1), (1, 2, "u", "> " * 50_000 + long + "\n>", 1), (1, 3, "u", ">" * 100_000, 1), (1, 3, "u", "> mine", 1), (1, 4, "u", "\n".join(["> a", "b"] * 5000), 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, level int")
+    found = sorted(quotes.format_chat(df).collect(), key=lambda r: r.position)
+    assert [r.position for r in found] == [1, 2, 3, 4, 5, 6]
+    assert [(r.turn, r.reply_to, r.n_quotes, r.n_linked) for r in found if r.turn != 3] == [(0, None, 0, 0), (1, 0, 1, 1), (2, 0, 1, 1), (4, None, 5000, 0)]
+    assert {(r.turn, r.reply_to, r.n_quotes) for r in found if r.turn == 3} == {(3, None, 0), (3, 1, 1)}
