@@ -1,37 +1,46 @@
-"""Byte-level BPE encoding and decoding by merge replay over a block of the corpus.
-
-A text is cut into words by the vocabulary's pattern. All distinct words of a block of documents
-are encoded together: an inverted index leads from the rank of a pair to the places (word, node)
-where it stands, a heap gives the lowest rank that still has places, and a merge touches only the
-two neighbours of its place. Each place is merged in the order in which one word alone would be
-(lowest rank, then leftmost): when a merge makes a pair of a lower or equal rank, the word's other
-places wait for it. So the ids equal those of encoding each word by itself.
-
-The index is per block rather than over the whole corpus at once: joining a corpus-wide word table
-back to every occurrence would shuffle many times the text. A worker keeps the ids of words it has
-met, up to CACHE_WORDS. Texts are never shuffled.
-
-Defined results: a null text is the empty text and has no ids; null ids decode to empty bytes;
-ids outside the vocabulary are an error; a lone surrogate can't occur in Spark strings.
+"""Byte-level BPE encoding and decoding by merge replay over the distinct words of the corpus.
+
+A text is cut into words by the vocabulary's pattern. Blocks of documents number their words and are
+written; a word that is no token by itself is asked for by each block once. The distinct words so asked
+for, of the whole corpus, are encoded once each: an inverted index leads from the rank of a pair to the
+places (word, node) where it stands, a heap gives the lowest rank that still has places, and a merge
+touches only the two neighbours of its place. Places are merged in the order in which one word alone
+would be (lowest rank, then leftmost), so the ids equal those of encoding each word by itself. The ids
+go into a written table of words, which is joined to what the blocks ask for, one row per block and
+distinct word; a frequent word is one row per block. Texts are not shuffled, only blocks of numbers.
+
+The index is over a partition of the distinct words, BATCH_BYTES of them at a time.
+
+Defined results: a null text is the empty text and has no ids; null ids decode to empty bytes; ids
+outside the vocabulary are an error; a lone surrogate can't occur in Spark strings; a word may be of any
+length; an empty table gives an empty result; null or repeated ids and other columns are carried as they
+are, whatever their names, but one named like the result is replaced.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Code points of text whose words are encoded together.
+from linework.plans.tables import materialise
+
+#: Code points of text in a block.
 BLOCK_CHARS = 6_000_000
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+#: Bytes of distinct words that are encoded together.
+BATCH_BYTES = 4_000_000
+#: Bytes of a word that may put places back into the index.
+LONG = 512
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -58,6 +67,7 @@ class Vocabulary:
         }
         self.codes = np.fromiter(sorted(pairs), np.int64, len(pairs))
         self.merged = np.fromiter(map(pairs.__getitem__, self.codes.tolist()), np.int64, len(pairs))
+        self.table = pairs
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs, NONE if they don't merge."""
@@ -66,11 +76,38 @@ class Vocabulary:
         return np.where(self.codes[at] == code, self.merged[at], self.NONE)
 
 
+def by_heap(word: bytes, vocabulary: Vocabulary) -> list[int]:
+    """Ids of one word, in n log n steps: a heap of (rank, place) and links to the neighbours."""
+    pairs, end = vocabulary.table, vocabulary.end
+    ids = vocabulary.bytes[np.frombuffer(word, np.uint8)].tolist()
+    n = len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    rank_at: list[int | None] = [pairs.get(a * (end + 1) + b) for a, b in zip(ids, ids[1:])] + [None]
+    heap = [(r, k) for k, r in enumerate(rank_at) if r is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, k = heapq.heappop(heap)
+        if rank_at[k] != rank:
+            continue
+        gone = after[k]
+        right, left = after[gone], before[k]
+        ids[k], ids[gone], rank_at[gone], after[k] = rank, -1, None, right
+        if right < n:
+            before[right] = k
+        for at, to in ((left, k), (k, right)):
+            if at >= 0:
+                rank_at[at] = new = pairs.get(ids[at] * (end + 1) + ids[to]) if to < n else None
+                if new is not None:
+                    heapq.heappush(heap, (new, at))
+    return [i for i in ids if i >= 0]
+
+
 def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words one after the other, and the number of each word's: merges in rank order.
 
-    A rank's step merges the leftmost place of every word that has the rank; the word's other places
-    go back into the index, behind whatever lower rank the merge has made.
+    A rank's step merges all its places, of overlapping ones every second from the left. Where that
+    would make a pair of a lower rank, which has to go first, only the word's leftmost place is merged
+    and the others go back into the index; a word of more than LONG bytes then goes to ``by_heap``.
     """
     sizes = np.array([len(w) for w in words], np.int64)
     data = np.frombuffer(b"".join(words), np.uint8)
@@ -80,22 +117,25 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     ends = np.cumsum(sizes)
     after, before = np.arange(1, n + 2), np.arange(-1, n)
     after[ends[sizes > 0] - 1], before[(ends - sizes)[sizes > 0]] = n, n
-    rank_at = vocabulary.pair(ids, ids[np.minimum(after, n)])
-    rank_at[n] = Vocabulary.NONE
+    after[n] = before[n] = n
+    rank_at = vocabulary.pair(ids, ids[after])
     places: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
 
+    def put(rank: int, nodes: np.ndarray) -> None:
+        if rank in places:
+            places[rank].append(nodes)
+        else:
+            places[rank] = [nodes]
+            heapq.heappush(heap, rank)
+
     def index(nodes: np.ndarray) -> None:
         ranks = rank_at[nodes]
         order = np.argsort(ranks, kind="stable")
         nodes, ranks = nodes[order], ranks[order]
         cut = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
         for rank, part in zip(ranks[np.concatenate([[0], cut])].tolist() if len(ranks) else (), np.split(nodes, cut)):
-            if rank in places:
-                places[rank].append(part)
-            else:
-                places[rank] = [part]
-                heapq.heappush(heap, rank)
+            put(rank, part)
 
     index(np.flatnonzero(rank_at != Vocabulary.NONE))
     while heap:
@@ -105,25 +145,68 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
         nodes = nodes[rank_at[nodes] == rank]
         if not len(nodes):
             continue
-        of = word[nodes]
-        if len(nodes) > 1 and not (fresh := np.concatenate([[True], of[1:] != of[:-1]])).all():
-            places[rank] = [nodes[~fresh]]
-            heapq.heappush(heap, rank)
-            nodes = nodes[fresh]
+        if len(nodes) > 1:
+            first = np.concatenate([[True], after[nodes[:-1]] != nodes[1:]])  # of a run of overlapping places
+            at = np.arange(len(nodes))
+            pick = nodes[(at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0]
+            gone, left = after[pick], before[pick]
+            beside = np.concatenate([[False], left[1:] == gone[:-1]])  # what stands before is merged as well
+            new = vocabulary.pair(np.where(beside, rank, ids[left]), np.full(len(pick), rank))
+            new = np.minimum(new, vocabulary.pair(np.full(len(pick), rank), ids[after[gone]]))
+            if (new < rank).any():
+                held = np.unique(word[pick[new < rank]])
+                alone = np.isin(word[nodes], held)
+                slow = held[sizes[held] > LONG]
+                for w in slow.tolist():
+                    lo, hi = ends[w] - sizes[w], ends[w]
+                    done = by_heap(words[w], vocabulary)
+                    ids[lo : lo + len(done)], ids[lo + len(done) : hi], rank_at[lo:hi] = done, -1, Vocabulary.NONE
+                rest = nodes[alone & (rank_at[nodes] == rank)]
+                lone = np.concatenate([[True], word[rest[1:]] != word[rest[:-1]]])[: len(rest)]
+                if not lone.all():
+                    put(rank, rest[~lone])
+                nodes = np.sort(np.concatenate([pick[~np.isin(word[pick], held)], rest[lone]]))
+                if not len(nodes):
+                    continue
+            else:
+                nodes = pick
         gone = after[nodes]
-        right, left = after[gone], before[nodes]
+        right = after[gone]
         ids[nodes], ids[gone], rank_at[gone] = rank, -1, Vocabulary.NONE
         after[nodes], before[right] = right, nodes
-        left = left[left != n]
-        touched = np.concatenate([left, nodes])
+        left = before[nodes]
+        touched = np.unique(np.concatenate([left[left != n], nodes]))
         rank_at[touched] = vocabulary.pair(ids[touched], ids[after[touched]])
         touched = touched[rank_at[touched] != Vocabulary.NONE]
         if len(touched):
-            index(np.sort(touched))
+            index(touched)
     alive = ids[:n] >= 0
     return ids[:n][alive].astype(np.int32), np.bincount(word[alive], minlength=len(words))
 
 
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def _vocabulary(path: str) -> Vocabulary:
+    """A worker reads a vocabulary once."""
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(load_ranks(path))
+    return _vocabularies[path]
+
+
+# ---- blocks of texts, as numbers of their words ----
+
+
+def _squeeze(a: np.ndarray) -> bytes:
+    """Bytes of one place together, then zstd."""
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 1)
+
+
+def _expand(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 class _Numbers(dict):
     """Numbers words as they are met."""
 
@@ -132,85 +215,132 @@ class _Numbers(dict):
         return number
 
 
-class Encoder:
-    """Ids of texts by a vocabulary; remembers words."""
-
-    def __init__(self, path: str, pattern: str):
-        self.vocabulary = Vocabulary(load_ranks(path))
-        self.words = regex.compile(pattern).findall
-        self.forget()
-
-    def forget(self) -> None:
-        self.numbers = _Numbers()
-        self.ids = np.zeros(0, np.int32)
-        self.ends = np.zeros(1, np.int64)  # word k has the ids from ends[k] to ends[k + 1]
-
-    def learn(self) -> None:
-        """Encode the words that were numbered since."""
-        new = [w.encode() for w in list(self.numbers)[len(self.ends) - 1 :]]
-        ranks = self.vocabulary.ranks
-        whole = np.array([ranks.get(w, -1) for w in new], np.int32)  # a word of the vocabulary is one token
-        ids, sizes = replay([b"" if r >= 0 else w for w, r in zip(new, whole.tolist(), strict=True)], self.vocabulary)
-        at = np.cumsum(sizes) - sizes
-        ids = np.insert(ids, at[whole >= 0], whole[whole >= 0])
-        sizes[whole >= 0] = 1
-        self.ids = np.concatenate([self.ids, ids])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-
-    def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and the number of each text's."""
-        if len(self.numbers) > CACHE_WORDS:
-            self.forget()
-        cut = [np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)) for words in map(self.words, texts)]
-        self.learn()
-        flat = np.concatenate([np.zeros(0, np.int32), *cut])
-        sizes = self.ends[flat + 1] - self.ends[flat]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.ends[flat] - ends + sizes, sizes) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cut)])]
-        return ids, np.diff(bounds)
-
-
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
-def _blocks(texts: Iterable[str | None]) -> Iterator[list[str]]:
-    block: list[str] = []
-    size = 0
-    for t in texts:
-        block.append(t or "")
-        size += len(t or "")
-        if size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+_BLOCK = "block long, rows array<struct<{rest}>>, sizes array<int>, flat binary, known array<int>, words array<string>"
+
+
+def _blocks(pattern: str, path: str, rest: list[str]):
+    """(carried columns, text) to blocks: the words of each text as numbers, and of each number the id, or -1
+    and the word if it is no token by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, ranks = regex.compile(pattern).findall, _vocabulary(path).ranks
+        seq = count(TaskContext.get().partitionId() << 32)
+        numbers, parts, rows, chars = _Numbers(), [], [], 0
+
+        def close() -> pa.RecordBatch:
+            flat = np.concatenate([np.zeros(0, np.uint32), *parts])
+            uses = np.bincount(flat, minlength=len(numbers))
+            order = np.argsort(-uses, kind="stable")  # frequent words have small numbers
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
+            words = list(numbers)
+            words = [words[i] for i in order.tolist()]
+            known = [ranks.get(w.encode(), -1) for w in words]
+            carried = pa.concat_arrays(rows)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([next(seq)], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, len(carried)], pa.int32()), carried),
+                    pa.array([[len(p) for p in parts]], pa.list_(pa.int32())),
+                    pa.array([_squeeze(place[flat])], pa.binary()),
+                    pa.array([known], pa.list_(pa.int32())),
+                    pa.array([[w for w, k in zip(words, known, strict=True) if k < 0]], pa.list_(pa.string())),
+                ],
+                ["block", "rows", "sizes", "flat", "known", "words"],
+            )
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                for text in part.column(len(rest)).to_pylist():
+                    found = cut(text or "")
+                    parts.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+                    chars += len(text or "")
+                rows.append(pa.StructArray.from_arrays(part.columns[: len(rest)], rest))
+                if chars >= BLOCK_CHARS:
+                    yield close()
+                    numbers, parts, rows, chars = _Numbers(), [], [], 0
+        if rows:
+            yield close()
+
+    return run
+
+
+def _encode_words(path: str):
+    """(word) to (word, ids): the words of a partition of the corpus's distinct words, BATCH_BYTES at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(path)
+        for batch in batches:
+            sizes = np.asarray(pa.compute.binary_length(batch.column(0))).astype(np.int64)
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + BATCH_BYTES, side="right")) - 1)
+                part = batch.slice(lo, hi - lo)
+                ids, counts = replay([w.encode() for w in part.column(0).to_pylist()], vocabulary)
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["word", "ids"])
+                lo = hi
+
+    return run
+
+
+def _fill(rest: list[str], ids_col: str):
+    """A block and the ids of its words to the rows it carries, with ids."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = left.to_batches()[0]
+        known = np.asarray(block.column(4).flatten())
+        flat = _expand(block.column(3)[0].as_py(), np.uint32)
+        per_text = np.asarray(block.column(2).flatten())
+        asked = right.sort_by("at").combine_chunks()["ids"]
+        lists = pa.concat_arrays(asked.chunks) if asked.num_chunks else pa.array([], pa.list_(pa.int32()))
+        counts = np.ones(len(known), np.int64)
+        counts[known < 0] = np.asarray(pa.compute.list_value_length(lists))
+        ends = np.cumsum(counts)
+        ids = np.empty(int(counts.sum()), np.int32)
+        one = known >= 0
+        ids[(ends - counts)[one]] = known[one]
+        ids[np.repeat(~one, counts)] = np.asarray(lists.flatten())
+        rows = block.column(1).flatten()
+        fields = [rows.field(k) for k in range(len(rest))]
+        text_ends = np.concatenate([[0], np.cumsum(per_text)])
+        out_batches = []
+        for lo in range(0, len(per_text), 512):
+            hi = min(len(per_text), lo + 512)
+            words = flat[text_ends[lo] : text_ends[hi]].astype(np.int64)
+            sizes = counts[words]
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            out = ids[np.repeat((ends - counts)[words] - upto[:-1], sizes) + np.arange(upto[-1])]
+            offsets = upto[text_ends[lo : hi + 1] - text_ends[lo]].astype(np.int32)
+            done = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))
+            out_batches.append(pa.RecordBatch.from_arrays([*(f.slice(lo, hi - lo) for f in fields), done], [*rest, ids_col]))
+        return pa.Table.from_batches(out_batches)
+
+    return run
+
+
+def word_table(words: DataFrame, vocabulary: str) -> DataFrame:
+    """(word, ids) of the distinct words of ``words`` (word)."""
+    return words.distinct().mapInArrow(_encode_words(vocabulary), "word string, ids array<int>")
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` without its text and with ``ids_col`` (array<int>), in place of a column of that name.
     ``vocabulary`` is a path on every executor."""
     rest = [c for c in docs.columns if c not in (text_col, ids_col)]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest] + [f"`{ids_col}` array<int>"])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (vocabulary, pattern)
-        if key not in _encoders:
-            _encoders[key] = Encoder(*key)
-        encoder = _encoders[key]
-        for batch in batches:
-            at = 0
-            for block in _blocks(t.as_py() for t in batch.column(len(rest))):
-                flat, sizes = encoder.encode(block)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                part = batch.slice(at, len(block))
-                at += len(block)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(rest)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*rest, ids_col]
-                )
-
-    return docs.select(*rest, text_col).mapInArrow(encode, schema)
+    names = [f"c{i}" for i in range(len(rest) + 1)]  # the last is there in case there is no other
+    kinds = [docs.schema[c].dataType.simpleString() for c in rest] + ["boolean"]
+    fields = [f"{n}:{k}" for n, k in zip(names, kinds, strict=True)]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)], F.lit(True).alias(names[-1]), F.col(text_col).alias("text"))
+    blocks = materialise(rows.mapInArrow(_blocks(pattern, vocabulary, names), _BLOCK.format(rest=",".join(fields))), "bpe-blocks")
+    asked = blocks.select(F.col("block").alias("asking"), F.posexplode("words").alias("at", "word"))
+    table = materialise(word_table(asked.select("word"), vocabulary), "bpe-words")
+    replies = asked.join(table, "word").select("asking", "at", "ids")
+    done = blocks.groupBy("block").cogroup(replies.groupBy("asking"))
+    schema = ", ".join([f"{n} {k}" for n, k in zip(names, kinds, strict=True)] + [f"`{ids_col}` array<int>"])
+    return done.applyInArrow(_fill(names, ids_col), schema).select(*[F.col(n).alias(c) for c, n in zip(rest, names)], ids_col)
 
 
 _tokens: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
