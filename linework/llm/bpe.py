@@ -2,14 +2,13 @@
 
 A text is cut into words by the vocabulary's pattern. Blocks of documents number their words and are
 written; a word that is no token by itself is asked for by each block once. The distinct words so asked
-for, of the whole corpus, are encoded once each: an inverted index leads from the rank of a pair to the
-places (word, node) where it stands, a heap gives the lowest rank that still has places, and a merge
-touches only the two neighbours of its place. Places are merged in the order in which one word alone
-would be (lowest rank, then leftmost), so the ids equal those of encoding each word by itself. The ids
-go into a written table of words, which is joined to what the blocks ask for, one row per block and
-distinct word; a frequent word is one row per block. Texts are not shuffled, only blocks of numbers.
-
-The index is over a partition of the distinct words, BATCH_BYTES of them at a time.
+for, of the whole corpus, come together sorted and are encoded once each: an inverted index leads from
+the rank of a pair to the places (word, node) where it stands, a heap gives the lowest rank that still
+has places, and a merge touches only the two neighbours of its place. Places are merged in the order in
+which one word alone would be (lowest rank, then leftmost), so the ids equal those of encoding each word
+by itself. The ids go back to the blocks that asked. What moves is linear in the number of (block,
+distinct word) pairs, and a frequent word is one of them per block; texts don't move, only blocks of
+numbers. The index is over BATCH_BYTES of the distinct words of a partition at a time.
 
 Defined results: a null text is the empty text and has no ids; null ids decode to empty bytes; ids
 outside the vocabulary are an error; a lone surrogate can't occur in Spark strings; a word may be of any
@@ -28,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 from linework.plans.tables import materialise
 
 #: Code points of text in a block.
-BLOCK_CHARS = 6_000_000
-#: Bytes of distinct words that are encoded together.
-BATCH_BYTES = 4_000_000
+BLOCK_CHARS = 16_000_000
+#: Parts into which a block's words are dealt by hash.
+PARTS = 8192
+#: Bytes of distinct words that are encoded together, and rows that ask for them.
+BATCH_BYTES, BATCH_ROWS = 4_000_000, 2_000_000
 #: Bytes of a word that may put places back into the index.
 LONG = 512
 
@@ -215,12 +217,26 @@ class _Numbers(dict):
         return number
 
 
-_BLOCK = "block long, rows array<struct<{rest}>>, sizes array<int>, flat binary, known array<int>, words array<string>"
+_BLOCK = (
+    "block long, rows array<struct<{rest}>>, sizes array<int>, flat binary, known array<int>, "
+    "asks array<struct<part:int,base:int,words:array<string>>>"
+)
+_ASK = pa.struct([("part", pa.int32()), ("base", pa.int32()), ("words", pa.list_(pa.string()))])
+
+
+def _asks(words: list[str]) -> tuple[np.ndarray, pa.StructArray]:
+    """The order in which words are asked for, and what each part is asked for: (part, place of its first word, words)."""
+    parts = np.fromiter((xxhash.xxh64_intdigest(w) % PARTS for w in words), np.int32, len(words))
+    order = np.array(sorted(range(len(words)), key=lambda i: (parts[i], words[i])), np.int64)
+    parts = parts[order]
+    base = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(base, len(parts)).astype(np.int32)), pa.array([words[i] for i in order.tolist()], pa.string()))
+    return order, pa.StructArray.from_arrays([pa.array(parts[base]), pa.array(base.astype(np.int32)), lists], fields=list(_ASK))
 
 
 def _blocks(pattern: str, path: str, rest: list[str]):
-    """(carried columns, text) to blocks: the words of each text as numbers, and of each number the id, or -1
-    and the word if it is no token by itself."""
+    """(carried columns, text) to blocks: the words of each text as numbers, and of each number the id, or the
+    place -1, -2, ... among the words asked for if it is no token by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, ranks = regex.compile(pattern).findall, _vocabulary(path).ranks
@@ -235,7 +251,9 @@ def _blocks(pattern: str, path: str, rest: list[str]):
             place[order] = np.arange(len(order))
             words = list(numbers)
             words = [words[i] for i in order.tolist()]
-            known = [ranks.get(w.encode(), -1) for w in words]
+            known = np.array([ranks.get(w.encode(), -1) for w in words], np.int32)
+            order, asks = _asks([w for w, k in zip(words, known.tolist(), strict=True) if k < 0])
+            known[np.flatnonzero(known < 0)[order]] = -1 - np.arange(len(order))
             carried = pa.concat_arrays(rows)
             return pa.RecordBatch.from_arrays(
                 [
@@ -244,9 +262,9 @@ def _blocks(pattern: str, path: str, rest: list[str]):
                     pa.array([[len(p) for p in parts]], pa.list_(pa.int32())),
                     pa.array([_squeeze(place[flat])], pa.binary()),
                     pa.array([known], pa.list_(pa.int32())),
-                    pa.array([[w for w, k in zip(words, known, strict=True) if k < 0]], pa.list_(pa.string())),
+                    pa.ListArray.from_arrays(pa.array([0, len(asks)], pa.int32()), asks),
                 ],
-                ["block", "rows", "sizes", "flat", "known", "words"],
+                ["block", "rows", "sizes", "flat", "known", "asks"],
             )
 
         for batch in batches:
@@ -267,21 +285,40 @@ def _blocks(pattern: str, path: str, rest: list[str]):
 
 
 def _encode_words(path: str):
-    """(word) to (word, ids): the words of a partition of the corpus's distinct words, BATCH_BYTES at a time."""
+    """(word, block, at), sorted by word, to (asking, at, counts, ids): the ids of the words that a block asked
+    for. Each word is encoded once, BATCH_BYTES of distinct words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(path)
+        words, held, rows, size = [], [], 0, 0  # distinct words, and (number of the word, block, at) of what asks for them
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            number, block, at = (np.concatenate(c) for c in zip(*held))
+            ids, counts = replay([w.encode() for w in words], vocabulary)
+            starts = np.cumsum(counts) - counts
+            order = np.argsort(block, kind="stable")
+            number, block, at = number[order], block[order], at[order]
+            cut = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(block)).astype(np.int32)
+            n = counts[number]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            flat = ids[np.repeat(starts[number] - upto[:-1], n) + np.arange(upto[-1])]
+            lists = [pa.ListArray.from_arrays(pa.array(o), pa.array(v)) for o, v in ((cut, at.astype(np.int32)), (cut, n.astype(np.int32)), (upto[cut].astype(np.int32), flat))]
+            yield pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), *lists], ["asking", "at", "counts", "ids"])
+
         for batch in batches:
-            sizes = np.asarray(pa.compute.binary_length(batch.column(0))).astype(np.int64)
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            lo = 0
-            while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + BATCH_BYTES, side="right")) - 1)
-                part = batch.slice(lo, hi - lo)
-                ids, counts = replay([w.encode() for w in part.column(0).to_pylist()], vocabulary)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["word", "ids"])
-                lo = hi
+            number = np.empty(batch.num_rows, np.int64)
+            for i, word in enumerate(batch.column(0).to_pylist()):
+                if not words or word != words[-1]:
+                    words.append(word)
+                    size += len(word.encode())
+                number[i] = len(words) - 1
+            held.append((number, np.asarray(batch.column(1)), np.asarray(batch.column(2))))
+            rows += batch.num_rows
+            if size >= BATCH_BYTES or rows >= BATCH_ROWS:
+                yield from flush()
+                words, held, rows, size = [], [], 0, 0
+        if rows:
+            yield from flush()
 
     return run
 
@@ -294,15 +331,14 @@ def _fill(rest: list[str], ids_col: str):
         known = np.asarray(block.column(4).flatten())
         flat = _expand(block.column(3)[0].as_py(), np.uint32)
         per_text = np.asarray(block.column(2).flatten())
-        asked = right.sort_by("at").combine_chunks()["ids"]
-        lists = pa.concat_arrays(asked.chunks) if asked.num_chunks else pa.array([], pa.list_(pa.int32()))
-        counts = np.ones(len(known), np.int64)
-        counts[known < 0] = np.asarray(pa.compute.list_value_length(lists))
-        ends = np.cumsum(counts)
-        ids = np.empty(int(counts.sum()), np.int32)
-        one = known >= 0
-        ids[(ends - counts)[one]] = known[one]
-        ids[np.repeat(~one, counts)] = np.asarray(lists.flatten())
+        at, of, new = (np.concatenate([np.zeros(0, np.int32), *(np.asarray(c.flatten()) for c in right[name].chunks)]) for name in ("at", "counts", "ids"))
+        # words that were asked for stand behind the tokens: word -1 has the ids from base[0] on
+        of_word, base = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        of_word[at], base[at] = of, np.cumsum(of) - of
+        ids = np.concatenate([known.astype(np.int32), new])
+        asked = known < 0
+        counts, begins = np.ones(len(known), np.int64), np.arange(len(known))
+        counts[asked], begins[asked] = of_word[-1 - known[asked]], len(known) + base[-1 - known[asked]]
         rows = block.column(1).flatten()
         fields = [rows.field(k) for k in range(len(rest))]
         text_ends = np.concatenate([[0], np.cumsum(per_text)])
@@ -312,7 +348,7 @@ def _fill(rest: list[str], ids_col: str):
             words = flat[text_ends[lo] : text_ends[hi]].astype(np.int64)
             sizes = counts[words]
             upto = np.concatenate([[0], np.cumsum(sizes)])
-            out = ids[np.repeat((ends - counts)[words] - upto[:-1], sizes) + np.arange(upto[-1])]
+            out = ids[np.repeat(begins[words] - upto[:-1], sizes) + np.arange(upto[-1])]
             offsets = upto[text_ends[lo : hi + 1] - text_ends[lo]].astype(np.int32)
             done = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))
             out_batches.append(pa.RecordBatch.from_arrays([*(f.slice(lo, hi - lo) for f in fields), done], [*rest, ids_col]))
@@ -321,11 +357,6 @@ def _fill(rest: list[str], ids_col: str):
     return run
 
 
-def word_table(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(word, ids) of the distinct words of ``words`` (word)."""
-    return words.distinct().mapInArrow(_encode_words(vocabulary), "word string, ids array<int>")
-
-
 def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` without its text and with ``ids_col`` (array<int>), in place of a column of that name.
     ``vocabulary`` is a path on every executor."""
@@ -335,10 +366,10 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "
     fields = [f"{n}:{k}" for n, k in zip(names, kinds, strict=True)]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)], F.lit(True).alias(names[-1]), F.col(text_col).alias("text"))
     blocks = materialise(rows.mapInArrow(_blocks(pattern, vocabulary, names), _BLOCK.format(rest=",".join(fields))), "bpe-blocks")
-    asked = blocks.select(F.col("block").alias("asking"), F.posexplode("words").alias("at", "word"))
-    table = materialise(word_table(asked.select("word"), vocabulary), "bpe-words")
-    replies = asked.join(table, "word").select("asking", "at", "ids")
-    done = blocks.groupBy("block").cogroup(replies.groupBy("asking"))
+    asked = blocks.select("block", F.explode("asks").alias("a")).select("block", "a.*").repartition("part")
+    asked = asked.select("block", "base", F.posexplode("words").alias("pos", "word")).select("word", "block", (F.col("base") + F.col("pos")).alias("at"))
+    replies = asked.sortWithinPartitions("word").mapInArrow(_encode_words(vocabulary), "asking long, at array<int>, counts array<int>, ids array<int>")
+    done = blocks.drop("asks").groupBy("block").cogroup(replies.groupBy("asking"))
     schema = ", ".join([f"{n} {k}" for n, k in zip(names, kinds, strict=True)] + [f"`{ids_col}` array<int>"])
     return done.applyInArrow(_fill(names, ids_col), schema).select(*[F.col(n).alias(c) for c, n in zip(rest, names)], ids_col)
 
