@@ -6,30 +6,37 @@ scanned once, front to back, and each match marks its words. ASCII letters are l
 ASCII separators become spaces by a byte-for-byte mapping, so the place of a word in the normalised
 bytes is its place in the original and spans can be given as code points of the original text.
 
-The benchmark is sent to the tasks only up to MAX_PATTERN_BYTES (an automaton takes some 200 times its
-text). A larger one is cut into shards of that size by item, each with an automaton and tasks of its
-own, which give back only the marks they find; the marks are put together per document.
+The benchmark's items with words are sent to the tasks if they are at most MAX_PATTERN_BYTES (an automaton
+takes some 200 times its text). Of a larger one neither the driver nor a task ever holds all: the windows
+stay a distributed table and only a bitmap of their hashes, of fixed size, is sent; the texts are scanned
+once just the same, windows whose bit is set are looked up in the table by their words, and what is found
+is put together per document. Both ways give the same rows.
 
 Defined results: null has no words; a document without words is not contaminated; items without
-words match nothing; repeated items count by their id once; a null item id is the string ''.
+words match nothing; repeated items count by their id once; a null item id is the string ''; null and
+repeated document ids stay as they are; texts and items may be of any length; columns are carried as asked
+for, whatever their names; an empty benchmark hits nothing, no documents give no rows.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linework.plans.tables import materialise
 
 WINDOW = 13
-#: Text of the benchmark that one automaton may hold.
+#: Text of the benchmark that an automaton may hold.
 MAX_PATTERN_BYTES = 1 << 20
+#: Bits of the map of a larger benchmark's windows: 16 MB.
+BITMAP_BITS = 1 << 27
 
 #: ASCII letters lowered, digits kept, bytes from 0x80 kept, the rest a space.
 _WORD_BYTES = bytes(
@@ -80,17 +87,6 @@ class Windows:
         return ranges, items
 
 
-def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted ranges without overlaps."""
-    out: list[tuple[int, int]] = []
-    for start, end in ranges:
-        if out and out[-1][1] >= start:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((start, end))
-    return out
-
-
 def char_spans(text: str, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
     """Word ranges as [start, end) in code points of the original text."""
     if not ranges:
@@ -122,7 +118,7 @@ _SPANS, _IDS = pa.list_(_SPAN), pa.list_(pa.string())
 
 
 def _windows(shared, key: str, window: int) -> Windows:
-    """The automaton of a broadcast shard; a worker keeps one."""
+    """The automaton of the broadcast items; a worker keeps one."""
     if key not in _built:
         _built.clear()
         _built[key] = Windows(shared.value, window)
@@ -135,72 +131,116 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(lo, 512)
 
 
-def _result(part: pa.RecordBatch, marks: Iterator[tuple[str | None, list[bytes], list, list]], rest: int) -> pa.RecordBatch:
-    """A batch of results from (text, words, ranges, items) of each row; columns from ``rest`` on are carried."""
-    n_words, n_hit, item_ids, spans = [], [], [], []
-    for text, words, ranges, items in marks:
-        n_words.append(len(words))
-        n_hit.append(sum(b - a for a, b in ranges))
-        item_ids.append(items)
-        spans.append(char_spans(text or "", ranges))
-    found = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(item_ids, _IDS), pa.array(spans, _SPANS)]
-    return pa.RecordBatch.from_arrays(
-        [part.column(0), *found, *part.columns[rest:]], ["id", "n_words", "n_hit", "item_ids", "spans", *part.schema.names[rest:]]
-    )
-
-
-def _scan_whole(shared, key: str, window: int):
-    """(id, text, carried...) to results, for a benchmark of one shard."""
+def _scan(shared, key: str, window: int):
+    """(id, text, carried...) to (id, n_words, n_hit, item_ids, spans, carried...)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = _windows(shared, key, window)
-
-        def marks(part: pa.RecordBatch) -> Iterator[tuple]:
+        for part in _pieces(batches):
+            n_words, n_hit, item_ids, spans = [], [], [], []
             for text in part.column(1).to_pylist():
                 ranges, items = windows.scan(words := words_of(text))
-                yield text, words, ranges, sorted(items)
+                n_words.append(len(words))
+                n_hit.append(sum(b - a for a, b in ranges))
+                item_ids.append(sorted(items))
+                spans.append(char_spans(text or "", ranges))
+            found = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(item_ids, _IDS), pa.array(spans, _SPANS)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *found, *part.columns[2:]], ["id", "n_words", "n_hit", "item_ids", "spans", *part.schema.names[2:]])
+
+    return scan
+
+
+# ---- a benchmark beyond the bound ----
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
 
+def window_hashes(words: list[bytes], n: int) -> np.ndarray:
+    """A hash of every ``n`` consecutive words."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    of = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = np.zeros(len(words) - n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out = out * _STEP + of[j : j + len(out)]
+    return out ^ (out >> np.uint64(31))
+
+
+def _item_windows(window: int):
+    """(item, text) to (n, hash, words, item) of the item's windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _pieces(batches):
-            yield _result(part, marks(part), 2)
+            out: list[tuple] = []
+            for item, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                words = words_of(text)
+                n = min(window, len(words))
+                for i, h in enumerate(window_hashes(words, n).view(np.int64).tolist() if n else ()):
+                    out.append((n, h, b" ".join(words[i : i + n]), item))
+            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.string()]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n", "hash", "words", "item"])
 
-    return scan
+    return run
+
+
+_MAYBE = "array<struct<start:int,end:int,first:int,last:int,words:binary>>"
 
 
-def _scan_shard(shared, key: str, window: int):
-    """(row, text) to (row, ranges of words, items) of the rows that one shard hits."""
+def _candidates(shared, lengths: list[int]):
+    """(row, id, text, carried...) to (row, id, n_words, maybe, carried...): the windows whose bit is set."""
+    kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end", "first", "last")] + [("words", pa.binary())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = _windows(shared, key, window)
+        bits = shared.value
         for part in _pieces(batches):
-            hits = [(row, *windows.scan(words_of(text))) for row, text in zip(*(c.to_pylist() for c in part.columns), strict=True)]
-            hits = [h for h in hits if h[1]]
-            ranges = [[{"start": a, "end": b} for a, b in h[1]] for h in hits]
+            n_words, maybe = [], []
+            for text in part.column(2).to_pylist():
+                words, ranges = words_of(text), []
+                for n in lengths:
+                    slot = window_hashes(words, n) & np.uint64(BITMAP_BITS - 1)
+                    ranges += [(int(i), int(i) + n) for i in np.flatnonzero((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)]
+                at = char_spans(text or "", ranges)
+                n_words.append(len(words))
+                maybe.append([{"start": a, "end": b, "first": c["start"], "last": c["end"], "words": b" ".join(words[a:b])} for (a, b), c in zip(ranges, at, strict=True)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([h[0] for h in hits], pa.int64()), pa.array(ranges, _SPANS), pa.array([sorted(h[2]) for h in hits], _IDS)], ["_row", "ranges", "items"]
+                [*part.columns[:2], pa.array(n_words, pa.int64()), pa.array(maybe, kind), *part.columns[3:]], ["row", "id", "n_words", "maybe", *part.schema.names[3:]]
             )
 
     return scan
 
 
-def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, ranges, items, carried...) to results."""
-
-    def marks(part: pa.RecordBatch) -> Iterator[tuple]:
-        for text, ranges, items in zip(*(c.to_pylist() for c in part.columns[1:4]), strict=True):
-            yield text, words_of(text), united(sorted((r["start"], r["end"]) for r in ranges or ())), items or []
-
-    for part in _pieces(batches):
-        yield _result(part, marks(part), 4)
-
-
-def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str | None]]]:
-    """The items, MAX_PATTERN_BYTES of text at a time."""
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
-    total = items.agg(F.sum(F.octet_length(F.coalesce("t", F.lit("")))).alias("n")).first()["n"] or 0
-    n = -(-2 * total // MAX_PATTERN_BYTES) or 1
-    for k in range(n):
-        shard = items if n == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-        yield [(r["i"], r["t"]) for r in shard.collect()]
+def _beyond(rows: DataFrame, items: DataFrame, window: int, names: list[str], kind: str) -> DataFrame:
+    """The same as _scan() with the windows as a table."""
+    spark = rows.sparkSession
+    table = items.mapInArrow(_item_windows(window), "n int, hash long, words binary, item string").distinct()
+    table = materialise(table, "benchmark-windows")
+    slot = F.pmod("hash", F.lit(BITMAP_BITS)) + 1
+    packed = table.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b"))
+    bits = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for r in packed.toLocalIterator():  # BITMAP_BITS / 32768 rows of 4 KB at most
+        bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["b"], np.uint8)
+    lengths = sorted(r["n"] for r in table.select("n").distinct().collect())  # 1 to ``window``
+    shared = spark.sparkContext.broadcast(bits)
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = f"row long, id {kind}, n_words long, maybe {_MAYBE}" + "".join(f", `{n}` {fields[n]}" for n in names)
+    found = rows.select(F.monotonically_increasing_id().alias("row"), "id", "_text", *names).mapInArrow(_candidates(shared, lengths), schema)
+    found = materialise(found, "benchmark-candidates")
+    hits = found.select("row", F.explode("maybe").alias("m")).select("row", "m.*").join(table.select("words", "item"), "words")
+    hits = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first", "last"))).alias("hits"), F.array_sort(F.collect_set("item")).alias("items"))
+    # ranges of words that touch become one; each is (start, end, first, last)
+    none = F.array().cast("array<struct<start:int,end:int,first:int,last:int>>")
+    top = lambda acc: F.element_at(acc, -1)
+    grown = lambda acc, h: F.struct(top(acc)["start"].alias("start"), F.greatest(top(acc)["end"], h["end"]).alias("end"), top(acc)["first"].alias("first"), F.greatest(top(acc)["last"], h["last"]).alias("last"))
+    merge = lambda acc, h: F.when((F.size(acc) > 0) & (top(acc)["end"] >= h["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown(acc, h)))).otherwise(F.concat(acc, F.array(h)))
+    hits = hits.select("row", "items", F.aggregate("hits", none, merge).alias("ranges"))
+    done = found.join(hits, "row", "left")
+    ranges = F.coalesce("ranges", none)
+    return done.select(
+        "id", "n_words", F.aggregate(ranges, F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"]).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("item_ids"),
+        F.transform(ranges, lambda r: F.struct(r["first"].alias("start"), r["last"].alias("end"))).alias("spans"), *names,
+    )
 
 
 def decontaminate(
@@ -214,24 +254,17 @@ def decontaminate(
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, item_ids (sorted), spans of the original, carried columns."""
-    sc = docs.sparkSession.sparkContext
     names = [f"_c_{c}" for c in carry]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    result = SCHEMA.format(id=fields["id"]) + "".join(f", `{n}` {fields[n]}" for n in names)
-    shared = [sc.broadcast(items) for items in _shards(benchmark, item_col, item_text_col)]
-    if len(shared) == 1:
-        found = rows.mapInArrow(_scan_whole(shared[0], uuid.uuid4().hex, window), result)
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
+    size = items.agg(F.sum(F.octet_length("i") + F.octet_length("t")).alias("n")).first()["n"] or 0
+    if size <= MAX_PATTERN_BYTES:
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+        result = SCHEMA.format(id=fields["id"]) + "".join(f", `{n}` {fields[n]}" for n in names)
+        found = rows.mapInArrow(_scan(shared, uuid.uuid4().hex, window), result)
     else:
-        rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
-        marks = [
-            rows.select("_row", "_text").mapInArrow(_scan_shard(b, uuid.uuid4().hex, window), "_row long, ranges array<struct<start:int,end:int>>, items array<string>")
-            for b in shared
-        ]
-        together = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  at most one entry per shard
-        marked = reduce(DataFrame.unionByName, marks).groupBy("_row").agg(together("ranges"), together("items"))
-        marked = marked.withColumn("items", F.array_sort(F.array_distinct("items")))
-        found = rows.join(marked, "_row", "left").select("id", "_text", "ranges", "items", *names).mapInArrow(_unite, result)
+        found = _beyond(rows, items, window, names, fields["id"])
     return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "item_ids", "spans", *[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)])
 
 

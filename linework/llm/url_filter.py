@@ -1,19 +1,24 @@
 """URL rules as a sort-merge range join over reversed-host keys.
 
-A rule fits its host and every subdomain. With the labels of a host reversed and each ended by a
-dot, that set is one interval of keys: from ``net.example.`` up to ``net.example/``. Intervals nest
-or are disjoint, so a sweep over the sorted keys needs a stack of the rules that are open; each
-interval end leaves the stack a known value, which is the piecewise constant function that the
-sweep evaluates. Rules of one host lie in the stack together and their paths are tested there, as a
-subdomain stands before the path in the key; the longest rule wins.
-
-Rules and urls are dealt by key range with a spread inside equal keys, so one host holding a third
-of all urls is cut over many tasks; what is open at the start of a partition comes from the
-partitions before it (one row per partition, which is all that is broadcast). No rule set is collected.
-
-Defined results: a null url, or one without ``://``, has empty host and path; a url that no rule
-fits gets a null rule and the default verdict; rules repeated for the same host and path: the
-smallest verdict string holds; of two rules of equal length the smaller rule string wins.
+A key is a host with its labels reversed, the byte FE, and a path; FE and FF are in no UTF-8 text. A rule
+fits a url if the host is the url's or one above it and the path begins with the rule's, so for one of
+the url's hosts above (its own included) the key begins with the rule's: the rule is the interval of keys
+from its own up to its own and FF. Intervals nest or are disjoint. A sweep over the sorted keys of rules
+and urls keeps a stack of the open rules; as each rule knows the one around it, the top of the stack is
+all that the sweep has to carry: a start puts the rule there, an end the rule around it. The longest of
+the rules found for a url's hosts wins.
+
+Only hosts above that may have rules become keys: those of no more labels than any rule's host, and with
+their bit set in a bitmap of the rules' hosts, which has a fixed size and is all that is broadcast besides
+one row per partition. Other urls are not moved. Keys are dealt by range with a spread inside equal keys,
+so one host holding a third of all urls is cut over many tasks; what is open at the start of a partition
+comes from the partitions before it. No rule set is collected, whatever its size.
+
+Defined results: a null url, or one without ``://``, has empty host and path; a url that no rule fits gets
+a null rule and the default verdict; rules repeated for the same host and path: the smallest verdict string
+holds, a null one only if there is no other; a rule with a null host or path fits nothing; of two rules of
+equal length the smaller rule string wins; null and repeated ids stay as they are; urls may be of any
+length; other columns are left out, whatever their names; no rules leave the default, no pages no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from linework.plans.tables import materialise
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 DEFAULT = "allow"
+#: Bits of the map of rules' hosts: 1 MB to broadcast.
+BITMAP_BITS = 1 << 23
 
 
 def ascii_lower(text: Column) -> Column:
@@ -42,84 +49,89 @@ def split_url(url: Column) -> tuple[Column, Column]:
     )
 
 
-def _key(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
+def _reversed(host: Column) -> Column:
+    return F.array_join(F.reverse(F.split(host, r"\.", -1)), ".")
+
+
+def _key(host: Column, path: Column) -> Column:
+    return F.concat(F.encode(_reversed(host), "UTF-8"), F.lit(b"\xfe"), F.encode(path, "UTF-8"))
+
+
+def _slot(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(BITMAP_BITS)) + 1
+
+
+def _around(rules: DataFrame) -> DataFrame:
+    """``rules`` with ``outer``: the longest other rule of the host whose path the rule's begins with."""
+    sizes = rules.groupBy("host").agg(F.collect_set(F.length("path")).alias("sizes"))  # no more than there are lengths of paths
+    inner = rules.join(sizes, "host").select("host", "path", F.explode(F.filter("sizes", lambda n: n < F.length("path"))).alias("n"))
+    inner = inner.withColumn("start", F.left("path", F.col("n")))
+    known = rules.select("host", F.col("path").alias("start"), F.col("best").alias("outer"))
+    outer = inner.join(known, ["host", "start"]).groupBy("host", "path").agg(F.max_by("outer", "n").alias("outer"))
+    return rules.join(outer, ["host", "path"], "left")
 
 
 def _events(rules: DataFrame) -> DataFrame:
-    """(key, stack): the rules open from each key on, for every start and end of a host's interval."""
-    rules = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    hosts = rules.select("host").distinct()
-    labels = F.split("host", r"\.", -1)
-    above = hosts.select(
-        "host",
-        F.posexplode(
-            F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-        ).alias("_up", "_above"),
-    )
-    entry = F.struct(
-        F.concat(F.col("_above"), F.col("path")).alias("rule"), "path", "verdict", (F.length("_above") + F.length("path")).alias("len")
-    )
-    held = above.join(rules.withColumnRenamed("host", "_above"), "_above", "left").select(
-        "host", "_up", F.when(F.col("path").isNotNull(), entry).alias("_entry")
+    """(key, top): the innermost open rule from each key on, for every start and end of a rule's interval."""
+    own = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
+    rule = F.concat("host", "path")
+    own = own.select("host", "path", F.struct((-F.length(rule)).alias("size"), rule.alias("rule"), "verdict").alias("best"))  # the least is the best
+    both = _around(own).select(_key(F.col("host"), F.col("path")).alias("key"), "best", "outer")
+    end = F.concat("key", F.lit(b"\xff"))
+    return both.select("key", F.struct(F.col("best").alias("best")).alias("top")).unionByName(both.select(end.alias("key"), F.struct(F.col("outer").alias("best")).alias("top")))
+
+
+def _hosts_above(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``urls`` with ``above``: the hosts that may have rules, from a url's own upwards."""
+    bits = rules.select(_slot(F.col("host")).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b"))
+    # both are scalar subqueries: one value for all tasks
+    packed = bits.agg(F.map_from_entries(F.collect_list(F.struct("k", "b"))).alias("bits")).scalar()  # BITMAP_BITS / 32768 entries of 4 KB at most
+    most = rules.agg(F.coalesce(F.max(F.size(F.split("host", r"\.", -1))), F.lit(0)).alias("most")).scalar()
+    of = urls.withColumn("labels", F.split("host", r"\.", -1))
+    above = F.transform(
+        F.filter(F.sequence(F.lit(1), F.size("labels")), lambda i: i > F.size("labels") - most), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), ".")
     )
-    stacks = held.groupBy("host").agg(
-        F.collect_list("_entry").alias("_open"), F.collect_list(F.when(F.col("_up") > 0, F.col("_entry"))).alias("_closed")
-    )
-    key = _key(F.col("host"))
-    start = stacks.select(key.alias("_key"), F.col("_open").alias("_stack"))
-    end = stacks.select(key.alias("_k"), F.col("_closed").alias("_stack")).select(
-        F.concat(F.expr("left(_k, length(_k) - 1)"), F.lit("/")).alias("_key"), "_stack"
-    )
-    return start.unionByName(end)
+
+    def known(host: Column) -> Column:
+        at = F.bitmap_bit_position(_slot(host))
+        bucket = F.try_element_at(packed, F.bitmap_bucket_number(_slot(host)))
+        byte = F.conv(F.hex(F.substring(bucket, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0, F.lit(False))
+
+    return of.withColumn("above", F.filter(above, known)).drop("labels")
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT) -> DataFrame:
     """One row per page: id, host, path, rule, verdict. ``rules`` has host, path and verdict."""
     host, path = split_url(F.col(url_col))
-    urls = pages.select(F.col(id_col).alias("_id"), host.alias("_host"), path.alias("_path"), F.xxhash64(id_col, url_col).alias("_spread"))
-    urls = urls.withColumns({"_key": _key(F.col("_host")), "_is_url": F.lit(1)})
-    events = _events(rules).withColumns({"_is_url": F.lit(0), "_spread": F.lit(0).cast("long")})
-    both = urls.unionByName(events, allowMissingColumns=True)
-    dealt = materialise(
-        both.repartitionByRange("_key", "_is_url", "_spread").withColumn("_part", F.spark_partition_id()), "url-ranges"
-    )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    rules = rules.where("host is not null and path is not null")
+    urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    urls = _hosts_above(urls, rules).withColumn("row", F.monotonically_increasing_id())
+    asked = urls.where(F.size("above") > 0).withColumn("above", F.explode("above"))
+    asked = asked.select("row", "id", "host", "path", _key(F.col("above"), F.col("path")).alias("key"), F.lit(1).alias("is_url"), F.xxhash64("row").alias("spread"))
+    events = _events(rules).withColumns({"is_url": F.lit(0), "spread": F.lit(0).cast("long")})
+    both = asked.unionByName(events, allowMissingColumns=True)
+    dealt = materialise(both.repartitionByRange("key", "is_url", "spread").withColumn("part", F.spark_partition_id()), "url-ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = (  # one row per partition
-        dealt.groupBy("_part")
-        .agg(F.max_by("_stack", F.when(F.col("_is_url") == 0, F.col("_key"))).alias("_last"))
-        .select("_part", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    )
-    sweep = Window.partitionBy("_part").orderBy("_key", "_is_url").rowsBetween(Window.unboundedPreceding, 0)
-    swept = (
-        dealt.withColumn("_open", F.last("_stack", ignorenulls=True).over(sweep))
-        .where("_is_url = 1")
-        .join(F.broadcast(carried), "_part")
-        .withColumn("_open", F.coalesce("_open", "_carried"))
-    )
-    fits = F.filter("_open", lambda r: F.startswith(F.col("_path"), r["path"]))
-    best = F.try_element_at(
-        F.array_sort(
-            fits,
-            lambda a, b: F.when(a["len"] != b["len"], b["len"] - a["len"])
-            .when(a["rule"] < b["rule"], -1)
-            .when(a["rule"] > b["rule"], 1)
-            .otherwise(0),
-        ),
-        F.lit(1),
+        dealt.groupBy("part")
+        .agg(F.max_by("top", F.when(F.col("is_url") == 0, F.col("key"))).alias("last"))
+        .select("part", F.last("last", ignorenulls=True).over(before).alias("carried"))
     )
-    return swept.withColumn("_best", best).select(
-        F.col("_id").alias(id_col),
-        F.col("_host").alias("host"),
-        F.col("_path").alias("path"),
-        F.col("_best.rule").alias("rule"),
-        F.coalesce("_best.verdict", F.lit(default)).alias("verdict"),
+    sweep = Window.partitionBy("part").orderBy("key", "is_url").rowsBetween(Window.unboundedPreceding, 0)
+    swept = dealt.withColumn("open", F.last("top", ignorenulls=True).over(sweep)).where("is_url = 1").join(F.broadcast(carried), "part")
+    found = swept.select("row", "id", "host", "path", F.coalesce("open", "carried")["best"].alias("best"))
+    found = found.groupBy("row").agg(*[F.first(c).alias(c) for c in ("id", "host", "path")], F.min("best").alias("best")).drop("row")
+    rest = urls.where(F.size("above") == 0).select("id", "host", "path", F.lit(None).cast(found.schema["best"].dataType).alias("best"))
+    return found.unionByName(rest).select(
+        F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
     """Every url of pages against RULES."""
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    values = ", ".join(str(rule) for rule in RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, verdict)")
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 

@@ -50,10 +50,10 @@ def test_matches_brute_force(tables):
     assert any(x[4] for x in got.values()) and not all(x[4] for x in got.values())
 
 
-def test_shards_give_the_same(tables, monkeypatch):
+def test_a_benchmark_beyond_the_bound_gives_the_same(tables, monkeypatch):
     docs, bench = tables
     want = dc.decontaminate(docs, bench).collect()
-    monkeypatch.setattr(dc, "MAX_PATTERN_BYTES", 3000)
+    monkeypatch.setattr(dc, "MAX_PATTERN_BYTES", 100)
     assert sorted(dc.decontaminate(docs, bench).collect()) == sorted(want)
 
 
@@ -70,3 +70,17 @@ def test_edges_and_spans(spark):
     assert [text[s.start : s.end] for s in rows[-1].spans] == ["Élan\tVITAL.quick! Élan vital quick"]
     assert dc.decontaminate(docs.limit(0), bench).count() == 0
     assert {r.n_hit for r in dc.decontaminate(docs, bench.limit(0)).collect()} == {0}
+
+
+def test_edges_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(dc, "MAX_PATTERN_BYTES", 1)
+    monkeypatch.setattr(dc, "BITMAP_BITS", 1 << 15)
+    test_edges_and_spans(spark)
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    docs = spark.createDataFrame([(1, " ".join(words), "x"), (None, "W100 w101", "y"), (None, "w" * 400_000, "z")], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([("a", " ".join(words[40_000:40_020]), 1), (None, "w100.w101", 2), ("b", "w" * 400_000, 3)], "item_id string, text string, doc_id int")
+    rows = sorted(dc.decontaminate(docs, bench, carry=("item_id",)).collect(), key=lambda r: r.item_id)
+    assert [(r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in rows] == [(1, 60_000, 22, ["", "a"]), (None, 2, 2, [""]), (None, 1, 1, ["b"])]

@@ -1,3 +1,5 @@
+import random
+
 from linework.llm.url_filter import RULES, url_filter
 
 
@@ -30,3 +32,18 @@ def test_empty_tables(spark):
     assert url_filter(pages.limit(0), rules).count() == 0
     assert [(r.rule, r.verdict) for r in url_filter(pages, rules.limit(0)).collect()] == [(None, "allow")]
     assert [(r.rule, r.verdict) for r in url_filter(pages, rules).collect()] == [("net/", "block")]
+
+
+def test_many_nested_rules_long_urls_and_nulls(spark):
+    rng = random.Random(4)
+    hosts = ["a", "b.a", "c.b.a", "c.a", "..", "", "x" * 200]
+    rules = [(rng.choice(hosts), "/" + "".join(rng.choices("ab/", k=rng.randint(0, 8))), rng.choice(["allow", "block"])) for _ in range(300)]
+    rules = [(h, p, min(v for g, q, v in rules if (g, q) == (h, p))) for h, p, _ in rules]
+    urls = [f"x://{rng.choice(hosts + ['z.c.b.a', 'z'])}/" + "".join(rng.choices("ab/", k=rng.randint(0, 12))) for _ in range(500)]
+    urls += ["x://" + "." * 100_000 + "a/b", "x://a/" + "a" * 100_000, "x://" + "y" * 100_000 + ".b.a/a/"]
+    pages = spark.createDataFrame([(None if i % 9 == 0 else i % 50, u, "x", i) for i, u in enumerate(urls)], "page_id long, url string, key string, row int")
+    table = spark.createDataFrame(rules + [(None, "/", "block"), ("a", None, "block")], "host string, path string, verdict string")
+    key = lambda r: tuple(map(str, r))
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter(pages, table).collect()), key=key)
+    assert got == sorted(((None if i % 9 == 0 else i % 50, *brute(u, rules)) for i, u in enumerate(urls)), key=key)
+    assert len({r[3] for r in got}) > 30
