@@ -9,8 +9,8 @@ all that the sweep has to carry: a start puts the rule there, an end the rule ar
 the rules found for a url's hosts wins.
 
 Only hosts above that may have rules become keys: those of no more labels than any rule's host, and with
-their bit set in a bitmap of the rules' hosts, which has a fixed size and is all that is broadcast besides
-one row per partition. Other urls are not moved. Keys are dealt by range with a spread inside equal keys,
+their bit set in a bitmap of the rules' hosts, which has a fixed size; besides it only one row per partition
+is broadcast. Other urls are not moved. Keys are dealt by range with a spread inside equal keys,
 so one host holding a third of all urls is cut over many tasks; what is open at the start of a partition
 comes from the partitions before it. No rule set is collected, whatever its size.
 
@@ -31,8 +31,8 @@ from linework.plans.tables import materialise
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 DEFAULT = "allow"
-#: Bits of the map of rules' hosts: 1 MB to broadcast.
-BITMAP_BITS = 1 << 23
+#: Bits of the map of rules' hosts: 128 KB, a constant of the plan.
+BITMAP_BITS = 1 << 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -84,19 +84,19 @@ def _events(rules: DataFrame) -> DataFrame:
 def _hosts_above(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls`` with ``above``: the hosts that may have rules, from a url's own upwards."""
     bits = rules.select(_slot(F.col("host")).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b"))
-    # both are scalar subqueries: one value for all tasks
-    packed = bits.agg(F.map_from_entries(F.collect_list(F.struct("k", "b"))).alias("bits")).scalar()  # BITMAP_BITS / 32768 entries of 4 KB at most
-    most = rules.agg(F.coalesce(F.max(F.size(F.split("host", r"\.", -1))), F.lit(0)).alias("most")).scalar()
+    packed = bytearray(BITMAP_BITS // 8)
+    for r in bits.toLocalIterator():  # BITMAP_BITS / 32768 rows of 4 KB at most
+        packed[(r["k"] - 1) * 4096 : r["k"] * 4096] = r["b"]
+    most = rules.agg(F.max(F.size(F.split("host", r"\.", -1))).alias("most")).first()["most"] or 0
     of = urls.withColumn("labels", F.split("host", r"\.", -1))
     above = F.transform(
         F.filter(F.sequence(F.lit(1), F.size("labels")), lambda i: i > F.size("labels") - most), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), ".")
     )
 
     def known(host: Column) -> Column:
-        at = F.bitmap_bit_position(_slot(host))
-        bucket = F.try_element_at(packed, F.bitmap_bucket_number(_slot(host)))
-        byte = F.conv(F.hex(F.substring(bucket, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0, F.lit(False))
+        at = F.pmod(F.xxhash64(host), F.lit(BITMAP_BITS))
+        byte = F.conv(F.hex(F.substring(F.lit(bytes(packed)), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0
 
     return of.withColumn("above", F.filter(above, known)).drop("labels")
 
