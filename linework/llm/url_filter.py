@@ -88,17 +88,15 @@ def _hosts_above(urls: DataFrame, rules: DataFrame) -> DataFrame:
     for r in bits.toLocalIterator():  # BITMAP_BITS / 32768 rows of 4 KB at most
         packed[(r["k"] - 1) * 4096 : r["k"] * 4096] = r["b"]
     most = rules.agg(F.max(F.size(F.split("host", r"\.", -1))).alias("most")).first()["most"] or 0
-    of = urls.withColumn("labels", F.split("host", r"\.", -1))
-    above = F.transform(
-        F.filter(F.sequence(F.lit(1), F.size("labels")), lambda i: i > F.size("labels") - most), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), ".")
-    )
+    labels = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
+    above = F.transform(F.sequence(F.lit(1), F.least(labels, F.lit(max(1, most)))), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
 
     def known(host: Column) -> Column:
         at = F.pmod(F.xxhash64(host), F.lit(BITMAP_BITS))
         byte = F.conv(F.hex(F.substring(F.lit(bytes(packed)), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         return byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0
 
-    return of.withColumn("above", F.filter(above, known)).drop("labels")
+    return urls.withColumn("above", F.filter(above, known))
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT) -> DataFrame:
