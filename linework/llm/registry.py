@@ -11,6 +11,7 @@ QUERIES = {
     "quoted_replies": quotes.quoted_replies,
     "op6_katz": katz.op6_katz,
     "op7_token_counts": token_counts.op7_token_counts,
+    "token_counts_patterns": token_counts.token_counts_patterns,
     "op8_simhash": simhash.op8_simhash,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_decontaminate": decontaminate.op10_decontaminate,
@@ -20,6 +21,6 @@ ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op5_quotation_linking": quotes.OP5_SQL,
     "quoted_replies": quotes.QUOTED_SQL,
-    "op7_token_counts": token_counts.OP7_SQL,
+    "token_counts_patterns": token_counts.PATTERNS_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
 }
