@@ -38,7 +38,7 @@ from linework.plans.tables import materialise
 #: Code points of text in a block.
 BLOCK_CHARS = 16_000_000
 #: Parts into which a block's words are dealt by hash.
-PARTS = 8192
+PARTS = 4096
 #: Bytes of distinct words that are encoded together, and rows that ask for them.
 BATCH_BYTES, BATCH_ROWS = 4_000_000, 2_000_000
 #: Bytes of a word that may put places back into the index.
@@ -201,7 +201,7 @@ def _vocabulary(path: str) -> Vocabulary:
 
 def _squeeze(a: np.ndarray) -> bytes:
     """Bytes of one place together, then zstd."""
-    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 3)
 
 
 def _expand(data: bytes, kind: type) -> np.ndarray:
@@ -217,21 +217,30 @@ class _Numbers(dict):
         return number
 
 
-_BLOCK = (
-    "block long, rows array<struct<{rest}>>, sizes array<int>, flat binary, known array<int>, "
-    "asks array<struct<part:int,base:int,words:array<string>>>"
-)
-_ASK = pa.struct([("part", pa.int32()), ("base", pa.int32()), ("words", pa.list_(pa.string()))])
+_BLOCK = "block long, rows array<struct<{rest}>>, sizes binary, flat binary, known binary, asks array<struct<part:int,base:int,words:binary>>"
+#: Stands between words; no UTF-8 text has it.
+_GAP = b"\xff"
 
 
 def _asks(words: list[str]) -> tuple[np.ndarray, pa.StructArray]:
     """The order in which words are asked for, and what each part is asked for: (part, place of its first word, words)."""
-    parts = np.fromiter((xxhash.xxh64_intdigest(w) % PARTS for w in words), np.int32, len(words))
-    order = np.array(sorted(range(len(words)), key=lambda i: (parts[i], words[i])), np.int64)
-    parts = parts[order]
+    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    parts = np.fromiter((xxhash.xxh64_intdigest(words[i]) % PARTS for i in order.tolist()), np.int32, len(words))
+    by_part = np.argsort(parts, kind="stable")
+    order, parts = order[by_part], parts[by_part]
     base = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(base, len(parts)).astype(np.int32)), pa.array([words[i] for i in order.tolist()], pa.string()))
-    return order, pa.StructArray.from_arrays([pa.array(parts[base]), pa.array(base.astype(np.int32)), lists], fields=list(_ASK))
+    joined = [_GAP.join(words[i].encode() for i in of.tolist()) for of in np.split(order, base[1:])] if len(base) else []
+    return order, pa.StructArray.from_arrays([pa.array(parts[base]), pa.array(base.astype(np.int32)), pa.array(joined, pa.binary())], ["part", "base", "words"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, base, words) to (word, block, at)."""
+    for batch in batches:
+        lists = [w.split(_GAP) for w in batch.column(2).to_pylist()]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        block, base = (np.repeat(np.asarray(batch.column(k)), sizes) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array([w for ws in lists for w in ws], pa.binary()), pa.array(block), pa.array(base + within)], ["word", "block", "at"])
 
 
 def _blocks(pattern: str, path: str, rest: list[str]):
@@ -259,9 +268,7 @@ def _blocks(pattern: str, path: str, rest: list[str]):
                 [
                     pa.array([next(seq)], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(carried)], pa.int32()), carried),
-                    pa.array([[len(p) for p in parts]], pa.list_(pa.int32())),
-                    pa.array([_squeeze(place[flat])], pa.binary()),
-                    pa.array([known], pa.list_(pa.int32())),
+                    *(pa.array([_squeeze(x)], pa.binary()) for x in (np.array([len(p) for p in parts], np.uint32), place[flat], known)),
                     pa.ListArray.from_arrays(pa.array([0, len(asks)], pa.int32()), asks),
                 ],
                 ["block", "rows", "sizes", "flat", "known", "asks"],
@@ -294,23 +301,25 @@ def _encode_words(path: str):
 
         def flush() -> Iterator[pa.RecordBatch]:
             number, block, at = (np.concatenate(c) for c in zip(*held))
-            ids, counts = replay([w.encode() for w in words], vocabulary)
+            ids, counts = replay(words, vocabulary)
             starts = np.cumsum(counts) - counts
             order = np.argsort(block, kind="stable")
             number, block, at = number[order], block[order], at[order]
-            cut = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(block)).astype(np.int32)
+            cut = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(block))
             n = counts[number]
             upto = np.concatenate([[0], np.cumsum(n)])
             flat = ids[np.repeat(starts[number] - upto[:-1], n) + np.arange(upto[-1])]
-            lists = [pa.ListArray.from_arrays(pa.array(o), pa.array(v)) for o, v in ((cut, at.astype(np.int32)), (cut, n.astype(np.int32)), (upto[cut].astype(np.int32), flat))]
-            yield pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), *lists], ["asking", "at", "counts", "ids"])
+            for lo in range(0, len(cut) - 1, 4096):
+                ends = cut[lo : lo + 4097]
+                packed = [[_squeeze(v[a:b].astype(np.uint32)) for a, b in zip(o[:-1].tolist(), o[1:].tolist())] for o, v in ((ends, at), (ends, n), (upto[ends], flat))]
+                yield pa.RecordBatch.from_arrays([pa.array(block[ends[:-1]]), *(pa.array(p, pa.binary()) for p in packed)], ["asking", "at", "counts", "ids"])
 
         for batch in batches:
             number = np.empty(batch.num_rows, np.int64)
             for i, word in enumerate(batch.column(0).to_pylist()):
                 if not words or word != words[-1]:
                     words.append(word)
-                    size += len(word.encode())
+                    size += len(word)
                 number[i] = len(words) - 1
             held.append((number, np.asarray(batch.column(1)), np.asarray(batch.column(2))))
             rows += batch.num_rows
@@ -328,14 +337,12 @@ def _fill(rest: list[str], ids_col: str):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = left.to_batches()[0]
-        known = np.asarray(block.column(4).flatten())
-        flat = _expand(block.column(3)[0].as_py(), np.uint32)
-        per_text = np.asarray(block.column(2).flatten())
-        at, of, new = (np.concatenate([np.zeros(0, np.int32), *(np.asarray(c.flatten()) for c in right[name].chunks)]) for name in ("at", "counts", "ids"))
+        per_text, flat, known = (_expand(block.column(k)[0].as_py(), kind) for k, kind in ((2, np.uint32), (3, np.uint32), (4, np.int32)))
+        at, of, new = (np.concatenate([np.zeros(0, np.uint32), *(_expand(x.as_py(), np.uint32) for x in right[name])]) for name in ("at", "counts", "ids"))
         # words that were asked for stand behind the tokens: word -1 has the ids from base[0] on
         of_word, base = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         of_word[at], base[at] = of, np.cumsum(of) - of
-        ids = np.concatenate([known.astype(np.int32), new])
+        ids = np.concatenate([known, new.astype(np.int32)])
         asked = known < 0
         counts, begins = np.ones(len(known), np.int64), np.arange(len(known))
         counts[asked], begins[asked] = of_word[-1 - known[asked]], len(known) + base[-1 - known[asked]]
@@ -366,9 +373,9 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "
     fields = [f"{n}:{k}" for n, k in zip(names, kinds, strict=True)]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)], F.lit(True).alias(names[-1]), F.col(text_col).alias("text"))
     blocks = materialise(rows.mapInArrow(_blocks(pattern, vocabulary, names), _BLOCK.format(rest=",".join(fields))), "bpe-blocks")
-    asked = blocks.select("block", F.explode("asks").alias("a")).select("block", "a.*").repartition("part")
-    asked = asked.select("block", "base", F.posexplode("words").alias("pos", "word")).select("word", "block", (F.col("base") + F.col("pos")).alias("at"))
-    replies = asked.sortWithinPartitions("word").mapInArrow(_encode_words(vocabulary), "asking long, at array<int>, counts array<int>, ids array<int>")
+    asked = blocks.select("block", F.explode("asks").alias("a")).repartition("a.part").select("block", "a.base", "a.words")
+    asked = asked.mapInArrow(_asked, "word binary, block long, at long").sortWithinPartitions("word")
+    replies = asked.mapInArrow(_encode_words(vocabulary), "asking long, at binary, counts binary, ids binary")
     done = blocks.drop("asks").groupBy("block").cogroup(replies.groupBy("asking"))
     schema = ", ".join([f"{n} {k}" for n, k in zip(names, kinds, strict=True)] + [f"`{ids_col}` array<int>"])
     return done.applyInArrow(_fill(names, ids_col), schema).select(*[F.col(n).alias(c) for c, n in zip(rest, names)], ids_col)
