@@ -338,7 +338,7 @@ def _fill(rest: list[str], ids_col: str):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = left.to_batches()[0]
         per_text, flat, known = (_expand(block.column(k)[0].as_py(), kind) for k, kind in ((2, np.uint32), (3, np.uint32), (4, np.int32)))
-        at, of, new = (np.concatenate([np.zeros(0, np.uint32), *(_expand(x.as_py(), np.uint32) for x in right[name])]) for name in ("at", "counts", "ids"))
+        at, of, new = (np.concatenate([np.zeros(0, np.uint32), *(_expand(x.as_py(), np.uint32) for x in right[name])]).astype(np.int64) for name in ("at", "counts", "ids"))
         # words that were asked for stand behind the tokens: word -1 has the ids from base[0] on
         of_word, base = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         of_word[at], base[at] = of, np.cumsum(of) - of
@@ -348,7 +348,7 @@ def _fill(rest: list[str], ids_col: str):
         counts[asked], begins[asked] = of_word[-1 - known[asked]], len(known) + base[-1 - known[asked]]
         rows = block.column(1).flatten()
         fields = [rows.field(k) for k in range(len(rest))]
-        text_ends = np.concatenate([[0], np.cumsum(per_text)])
+        text_ends = np.concatenate([[0], np.cumsum(per_text, dtype=np.int64)])
         out_batches = []
         for lo in range(0, len(per_text), 512):
             hi = min(len(per_text), lo + 512)
