@@ -34,3 +34,13 @@ def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, label: str, column: str) -> DataFrame:
+    """Write ``df`` in buckets of ``column`` to the shared folder, without a shuffle, and read it back: what
+    is grouped or joined by that column then stays where it is."""
+    spark = df.sparkSession
+    name = f"linework_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column)
+    writer.option("path", new_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
