@@ -1,14 +1,13 @@
 """Byte-level BPE encoding and decoding by merge replay over the distinct words of the corpus.
 
 A text is cut into words by the vocabulary's pattern. Blocks of documents number their words and are
-written; a word that is no token by itself is asked for by each block once. The distinct words so asked
+written in buckets; a word that is no token by itself is asked for by each block once. The distinct words so asked
 for, of the whole corpus, come together sorted and are encoded once each: an inverted index leads from
 the rank of a pair to the places (word, node) where it stands, a heap gives the lowest rank that still
 has places, and a merge touches only the two neighbours of its place. Places are merged in the order in
 which one word alone would be (lowest rank, then leftmost), so the ids equal those of encoding each word
 by itself. The ids go back to the blocks that asked. What moves is linear in the number of (block,
-distinct word) pairs, and a frequent word is one of them per block; texts don't move, only blocks of
-numbers. The index is over BATCH_BYTES of the distinct words of a partition at a time.
+distinct word) pairs, and a frequent word is one of them per block; texts and blocks don't move. The index is over BATCH_BYTES of the distinct words of a partition at a time.
 
 Defined results: a null text is the empty text and has no ids; null ids decode to empty bytes; ids
 outside the vocabulary are an error; a lone surrogate can't occur in Spark strings; a word may be of any
@@ -33,14 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linework.plans.tables import materialise
+from linework.plans.tables import bucketed
 
 #: Code points of text in a block.
 BLOCK_CHARS = 16_000_000
 #: Parts into which a block's words are dealt by hash.
-PARTS = 4096
+PARTS = 1024
 #: Bytes of distinct words that are encoded together, and rows that ask for them.
-BATCH_BYTES, BATCH_ROWS = 4_000_000, 2_000_000
+BATCH_BYTES, BATCH_ROWS = 2_000_000, 500_000
 #: Bytes of a word that may put places back into the index.
 LONG = 512
 
@@ -229,14 +228,14 @@ def _asks(words: list[str]) -> tuple[np.ndarray, pa.StructArray]:
     by_part = np.argsort(parts, kind="stable")
     order, parts = order[by_part], parts[by_part]
     base = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else np.zeros(0, np.int64)
-    joined = [_GAP.join(words[i].encode() for i in of.tolist()) for of in np.split(order, base[1:])] if len(base) else []
+    joined = [zstandard.compress(_GAP.join(words[i].encode() for i in of.tolist()), 3) for of in np.split(order, base[1:])] if len(base) else []
     return order, pa.StructArray.from_arrays([pa.array(parts[base]), pa.array(base.astype(np.int32)), pa.array(joined, pa.binary())], ["part", "base", "words"])
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, base, words) to (word, block, at)."""
     for batch in batches:
-        lists = [w.split(_GAP) for w in batch.column(2).to_pylist()]
+        lists = [zstandard.decompress(w).split(_GAP) for w in batch.column(2).to_pylist()]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         block, base = (np.repeat(np.asarray(batch.column(k)), sizes) for k in (0, 1))
@@ -248,7 +247,7 @@ def _blocks(pattern: str, path: str, rest: list[str]):
     place -1, -2, ... among the words asked for if it is no token by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, ranks = regex.compile(pattern).findall, _vocabulary(path).ranks
+        cut, ranks = regex.compile(pattern).findall, load_ranks(path)
         seq = count(TaskContext.get().partitionId() << 32)
         numbers, parts, rows, chars = _Numbers(), [], [], 0
 
@@ -372,7 +371,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "
     kinds = [docs.schema[c].dataType.simpleString() for c in rest] + ["boolean"]
     fields = [f"{n}:{k}" for n, k in zip(names, kinds, strict=True)]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)], F.lit(True).alias(names[-1]), F.col(text_col).alias("text"))
-    blocks = materialise(rows.mapInArrow(_blocks(pattern, vocabulary, names), _BLOCK.format(rest=",".join(fields))), "bpe-blocks")
+    blocks = bucketed(rows.mapInArrow(_blocks(pattern, vocabulary, names), _BLOCK.format(rest=",".join(fields))), "bpe-blocks", "block")
     asked = blocks.select("block", F.explode("asks").alias("a")).repartition("a.part").select("block", "a.base", "a.words")
     asked = asked.mapInArrow(_asked, "word binary, block long, at long").sortWithinPartitions("word")
     replies = asked.mapInArrow(_encode_words(vocabulary), "asking long, at binary, counts binary, ids binary")
