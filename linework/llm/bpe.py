@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from linework.plans.tables import bucketed
 
 #: Code points of text in a block.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 12_000_000
 #: Parts into which a block's words are dealt by hash.
 PARTS = 1024
 #: Bytes of distinct words that are encoded together, and rows that ask for them.
-BATCH_BYTES, BATCH_ROWS = 2_000_000, 500_000
+BATCH_BYTES, BATCH_ROWS = 1_000_000, 250_000
 #: Bytes of a word that may put places back into the index.
 LONG = 512
 
@@ -235,11 +235,13 @@ def _asks(words: list[str]) -> tuple[np.ndarray, pa.StructArray]:
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, base, words) to (word, block, at)."""
     for batch in batches:
-        lists = [zstandard.decompress(w).split(_GAP) for w in batch.column(2).to_pylist()]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        block, base = (np.repeat(np.asarray(batch.column(k)), sizes) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array([w for ws in lists for w in ws], pa.binary()), pa.array(block), pa.array(base + within)], ["word", "block", "at"])
+        for lo in range(0, batch.num_rows, 128):
+            part = batch.slice(lo, 128)
+            lists = [zstandard.decompress(w).split(_GAP) for w in part.column(2).to_pylist()]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            block, base = (np.repeat(np.asarray(part.column(k)), sizes) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([w for ws in lists for w in ws], pa.binary()), pa.array(block), pa.array(base + within)], ["word", "block", "at"])
 
 
 def _blocks(pattern: str, path: str, rest: list[str]):
@@ -284,6 +286,7 @@ def _blocks(pattern: str, path: str, rest: list[str]):
                 if chars >= BLOCK_CHARS:
                     yield close()
                     numbers, parts, rows, chars = _Numbers(), [], [], 0
+                    pa.default_memory_pool().release_unused()
         if rows:
             yield close()
 
