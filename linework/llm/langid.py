@@ -5,16 +5,23 @@ from left to right into the longest phrases that occur in the labelled text. A p
 log2 of the labelled text's length in bits, so the language with the fewest phrases, so normalised,
 describes the text best.
 
-The labelled text is a bounded sample: up to DOCS_PER_LANGUAGE documents, CHARS_PER_DOCUMENT code points
-of each and CHARS_PER_LANGUAGE of each of MAX_LANGUAGES languages, chosen by a hash of the id from all labelled rows. It is broadcast as text
-(languages x CHARS_PER_LANGUAGE code points at most) and each Python worker builds the automata, as
-dense transition tables, once. Whole texts are parsed, in segments of SEGMENT code points that are
-advanced together; a phrase ends at a segment's end, which costs every language at most one phrase
-per segment.
+The labelled text is a bounded sample of labelled rows: their whole texts are cut into pieces of PIECE code
+points, and of each language the pieces with the least hashes of (id, text, place) are learnt, LANGUAGE code
+points of them, or TOTAL by the number of languages if that is less, but one piece at least. Every piece of
+every labelled text is as likely as any other, and no language is left out. The sample is broadcast as text
+and each Python worker builds the automata once: dense transition tables where these are small, else sorted
+edges.
+
+A text is parsed whole. To step through many places at once it is cut into segments, each parsed from its own
+beginning; where the parse of a segment really begins within a phrase of the one before, that phrase is
+followed into the segment until both parses begin a phrase at the same place, from where they are one. A text
+whose parses don't meet within a segment is parsed from front to back. So the phrases are those of the
+unsegmented text.
 
 Defined results: ``und`` with score 0 for a null text or one without letters, and for every text if
-nothing is labelled; of equally good languages the first by name; rows are kept as they are, so
-repeated rows get repeated results.
+nothing is labelled; of equally good languages the first by name; a null label teaches nothing; null ids and
+repeated rows are kept as they are, so repeated rows get repeated results; texts may be of any length; other
+columns stay, but those named like the results are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DOCS_PER_LANGUAGE = 200
-CHARS_PER_DOCUMENT = 2_000
-CHARS_PER_LANGUAGE = 60_000
-#: The most frequent labels are learnt, at most so many.
-MAX_LANGUAGES = 200
-SEGMENT = 512
-#: Segments parsed together.
-ROWS = 8192
+from linework.plans.tables import materialise
+
+#: Code points of a piece of labelled text, and those learnt per language and over all of them.
+PIECE, LANGUAGE, TOTAL = 2_000, 60_000, 1_200_000
+#: Code points of a segment, and segments parsed together.
+SEGMENT, ROWS = 512, 8192
+#: Entries of a dense transition table.
+DENSE = 1 << 24
 UNKNOWN = "und"
 #: How fast the score falls with a longer description: a language needing 1 + 1/SHARPNESS times the
 #: bits has about a third of the weight.
@@ -61,8 +68,8 @@ def codes(text: str) -> np.ndarray:
     return np.where(letter, found, 32)[keep]
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transition table [state, symbol] -> state or -1 of the automaton of all substrings."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """For each state of the automaton of all substrings, symbol to state; state 0 is the root."""
     links, lengths, moves = [-1], [0], [{}]
     last = 0
     for c in symbols:
@@ -87,11 +94,45 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = links[p]
                 links[q] = links[cur] = clone
         last = cur
-    table = np.full((len(moves), width), -1, np.int32)
-    for state, to in enumerate(moves):
-        if to:
-            table[state, list(to)] = list(to.values())
-    return table
+    return moves
+
+
+class Moves:
+    """Transitions of an automaton for many states at once."""
+
+    def __init__(self, moves: list[dict[int, int]], width: int):
+        self.width = width
+        edges = sorted((state * width + c, to) for state, of in enumerate(moves) for c, to in of.items())
+        self.keys = np.array([e[0] for e in edges], np.int64)
+        self.to = np.array([e[1] for e in edges], np.int32)
+        self.dense = None
+        if len(moves) * width <= DENSE:
+            self.dense = np.full(len(moves) * width, -1, np.int32)
+            self.dense[self.keys] = self.to
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next states, -1 where there is none."""
+        key = state.astype(np.int64) * self.width + symbol
+        if self.dense is not None:
+            return self.dense[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], -1).astype(np.int32)
+
+    def phrases(self, symbols: np.ndarray) -> int:
+        """Phrases of one text, front to back."""
+        if self.dense is not None:
+            get = memoryview(self.dense).__getitem__
+        else:
+            found = dict(zip(self.keys.tolist(), self.to.tolist(), strict=True))
+            get = lambda key: found.get(key, -1)
+        state, count, width = 0, 0, self.width
+        for c in symbols.tolist():
+            to = get(state * width + c)
+            if state == 0 or to < 0:
+                count += 1
+                to = to if state == 0 else get(c)
+            state = max(to, 0)
+        return count
 
 
 class CrossParser:
@@ -102,76 +143,105 @@ class CrossParser:
         self.langs = sorted(points)
         self.alphabet = np.unique(np.concatenate([*points.values(), np.array([32], np.uint32)]))
         width = len(self.alphabet) + 1  # the last symbol occurs nowhere
-        self.tables = [suffix_automaton(self.symbols(points[x]).tolist(), width).ravel() for x in self.langs]
-        self.width = width
+        self.tables = [Moves(suffix_automaton(self.symbols(points[x]).tolist()), width) for x in self.langs]
         self.bits = np.array([np.log2(max(2, len(points[x]))) for x in self.langs])
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
         return np.where(self.alphabet[at] == points, at, len(self.alphabet)).astype(np.int32)
 
-    def phrases(self, segments: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each segment for each language; rows sorted by length, the longest first."""
-        out = np.zeros((len(self.langs), len(lengths)), np.int64)
-        steps = np.ascontiguousarray(segments.T)
-        active = np.searchsorted(-lengths, -np.arange(1, len(steps) + 1), side="right")
-        for k, table in enumerate(self.tables):
-            state = np.zeros(len(lengths), np.int32)
-            count = out[k]
-            for step, n in zip(steps, active, strict=True):
-                if n == 0:
-                    break
-                c = step[:n]
-                to = table[state[:n] * self.width + c]
-                broken = np.flatnonzero(to < 0)
-                if len(broken):  # a phrase ends before this symbol, which begins the next one
-                    count[broken] += state[broken] != 0
-                    fresh = table[c[broken]]
-                    count[broken] += fresh < 0  # a symbol of its own
-                    to[broken] = np.maximum(fresh, 0)
-                state[:n] = to
-            count += state != 0
-        return out
+    def phrases(self, table: Moves, steps: np.ndarray, active: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each segment (a column of ``steps``, the longest first; ``active`` of them
+        are so long), as part of its text; and the segments where the parse could not be followed.
+        ``after`` is the segment that a segment's open phrase runs into, or -1."""
+
+        def walk(state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(next states, whether a phrase begins here)."""
+            to = table.step(state, c)
+            begins = (state == 0) | (to < 0)
+            broken = np.flatnonzero((to < 0) & (state != 0))
+            if len(broken):
+                to[broken] = table.step(np.zeros(len(broken), np.int32), c[broken])
+            return np.maximum(to, 0), begins
+
+        state = np.zeros(steps.shape[1], np.int32)
+        begins = np.zeros(steps.shape, bool)
+        for t, n in enumerate(active):
+            state[:n], begins[t, :n] = walk(state[:n], steps[t, :n])
+        count = begins.sum(axis=0)
+        lost = np.zeros(steps.shape[1], bool)
+        lane = np.flatnonzero((after >= 0) & (state != 0))  # a segment's last phrase may run on
+        state, into = state[lane], after[lane]
+        for t, n in enumerate(active):
+            on = into < n
+            if not on.all():  # the text ends before the parses meet
+                lane, state, into = lane[on], state[on], into[on]
+            if not len(lane):
+                break
+            state, own = walk(state, steps[t, into])
+            theirs = begins[t, into]
+            count[into] += own.astype(np.int64) - theirs
+            apart = ~(own & theirs)
+            lane, state, into = lane[apart], state[apart], into[apart]
+        lost[into[after[into] >= 0]] = True  # the next segment's beginning is not known
+        return count, lost
 
     def costs(self, texts: list[str]) -> np.ndarray:
         """Bits for each text (row) by each language (column)."""
-        pieces: list[np.ndarray] = []
-        owner: list[int] = []
+        whole = [self.symbols(codes(text)) for text in texts]
         total = np.zeros((len(texts), len(self.langs)), np.int64)
-        for i, text in enumerate(texts):
-            s = self.symbols(codes(text))
-            for a in range(0, len(s), SEGMENT):
-                pieces.append(s[a : a + SEGMENT])
-                owner.append(i)
-        for lo in range(0, len(pieces), ROWS):
-            part = pieces[lo : lo + ROWS]
-            of = np.array(owner[lo : lo + ROWS])
-            lengths = np.array([len(p) for p in part])
-            order = np.argsort(-lengths, kind="stable")
-            grid = np.zeros((len(part), lengths.max()), np.int32)
-            for row, k in enumerate(order):
-                grid[row, : lengths[k]] = part[k]
-            np.add.at(total, of[order], self.phrases(grid, lengths[order]).T)
+        batch: list[int] = []
+        size = 0
+        for i, s in enumerate(whole):
+            batch.append(i)
+            size += -(-len(s) // SEGMENT)
+            if size >= ROWS or i + 1 == len(whole):
+                total[batch] = self._counts([whole[k] for k in batch])
+                batch, size = [], 0
         return total * self.bits
 
+    def _counts(self, texts: list[np.ndarray]) -> np.ndarray:
+        cut = [(i, s[a : a + SEGMENT], a + SEGMENT < len(s)) for i, s in enumerate(texts) for a in range(0, len(s), SEGMENT)]
+        total = np.zeros((len(texts), len(self.langs)), np.int64)
+        if not cut:
+            return total
+        of = np.array([c[0] for c in cut])
+        lengths = np.array([len(c[1]) for c in cut])
+        order = np.argsort(-lengths, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        follows = np.array([k + 1 if c[2] else -1 for k, c in enumerate(cut)])
+        after = np.where(follows >= 0, place[follows], -1)[order]
+        steps = np.zeros((lengths.max(), len(cut)), np.int32)
+        for column, k in enumerate(order):
+            steps[: lengths[k], column] = cut[k][1]
+        active = np.searchsorted(-lengths[order], -np.arange(1, len(steps) + 1), side="right")
+        for k, table in enumerate(self.tables):
+            count, lost = self.phrases(table, steps, active, after)
+            np.add.at(total[:, k], of[order], count)
+            for i in np.unique(of[order][lost]).tolist():
+                total[i, k] = table.phrases(texts[i])
+        return total
+
 
 def labelled_sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """(lang, text) of at most DOCS_PER_LANGUAGE rows and CHARS_PER_LANGUAGE code points of each language."""
+    """(lang, text) of the pieces to learn from."""
     rows = rows.where(F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"), F.ceil(F.length(text_col) / PIECE).cast("int").alias("n")
     )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    share = F.least(F.lit(1.0), 3.0 * DOCS_PER_LANGUAGE / F.col("count"))
-    few = rows.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 40)) < share * (1 << 40))
+    counts = materialise(rows.groupBy("lang").agg(F.sum("n").alias("pieces")), "languages")
+    most = max(1, min(LANGUAGE, TOTAL // max(1, counts.count())) // PIECE)
+    share = F.least(F.lit(1.0), (3.0 * most + 20) / F.col("pieces"))
+    few = rows.join(F.broadcast(counts), "lang").withColumn("share", share)  # a row per language
+    places = F.filter(F.sequence(F.lit(1), F.col("n")), lambda k: F.pmod(F.xxhash64("h", k), F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    few = few.select("lang", "text", "h", F.explode(places).alias("k"))
+    few = few.select("lang", F.pmod(F.xxhash64("h", "k"), F.lit(1 << 40)).alias("h"), F.substring("text", (F.col("k") - 1) * PIECE + 1, F.lit(PIECE)).alias("text"))
     first = Window.partitionBy("lang").orderBy("h", "text")
-    upto = Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1)
-    few = few.withColumn("text", F.substring("text", 1, CHARS_PER_DOCUMENT)).withColumn("k", F.row_number().over(first))
-    few = few.where(F.col("k") <= DOCS_PER_LANGUAGE).withColumn("sofar", F.coalesce(F.sum(F.length("text")).over(upto), F.lit(0)))
-    few = few.where(F.col("sofar") < CHARS_PER_LANGUAGE)
-    texts: dict[str, str] = {}
+    few = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
+    texts: dict[str, list[str]] = {}
     for r in few.orderBy("lang", "k").select("lang", "text").collect():
-        texts[r["lang"]] = f"{texts.get(r['lang'], '')}\n{r['text']}"[: CHARS_PER_LANGUAGE + 1]
-    return sorted(texts.items())
+        texts.setdefault(r["lang"], []).append(r["text"])
+    return [(lang, "\n".join(of)) for lang, of in sorted(texts.items())]
 
 
 _parsers: dict[str, CrossParser | None] = {}
