@@ -1,6 +1,9 @@
 """A corpus pipeline: language ID, exact dedup, near-dedup, decontamination, byte-level BPE.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. In every stage a null text
+is an empty one, texts may be of any length, decisions are made by row, so rows of one id are documents of
+their own, a null id is an id like any other and the last in order, columns besides those of documents are
+left out, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,31 +22,36 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is recognised; those without letters go."""
+    """Documents in a language that is recognised; those without letters go, empty ones among them.
+    Repeated rows stay repeated; of equally good languages the first by name is taken."""
     docs = docs.select(*COLUMNS)
     return identify(docs, docs.where(~held_out("doc_id"))).where(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, white space aside."""
+    """One document of each text, white space aside: the longest original, then the smallest id; of rows
+    that agree in all that, one."""
     return exact_dedup(docs, carry=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate component; one without an id stays."""
-    dropped = near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """The document with the smallest id of each near-duplicate component, of equal ids the one with the
+    smaller hash of its text; the others go, row by row."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), F.xxhash64("text").alias("h"))
+    keyed = docs.select(*COLUMNS, key.alias("key"))
+    dropped = near_duplicates(keyed, "key").where("key != component_id").select("key").distinct()
+    return keyed.join(dropped, "key", "left_anti").select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words fewer than one in twenty come from the benchmark."""
+    """Documents of whose words fewer than one in twenty come from the benchmark; those without words stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate(docs, items, carry=COLUMNS[1:])
     return found.where("not (n_hit > 0 and 20 * n_hit >= n_words)").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and a digest of the bytes they decode to."""
+    """Token ids of each document, and a digest of the bytes they decode to; an empty text has no ids."""
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

@@ -2,12 +2,13 @@
 
 Only the last level hashes whole content, and only for rows whose (length, prefix hash) is shared.
 What a level passes on is a bitmap of fixed size, so it can be broadcast whatever the input; a bit
-that two keys share lets a row through to the next level, which decides exactly. Texts are never
-shuffled: only lengths and hashes are, pre-aggregated, so a group holding a third of all rows
-arrives as one row per task.
+that two keys share lets a row through to the next level, which decides exactly. Only lengths and
+hashes move, pre-aggregated, so a group holding a third of all rows arrives as one row per task; what the
+caller has carried (a text too) moves once, and only with rows that may have copies.
 
 Defined results: a null text counts as empty; empty texts are copies of each other; of rows that
-agree in everything, including the id, one stays; an empty table gives an empty result; names of
+agree in everything, including the id, one stays; a null id comes after all others; texts may be of any
+length; an empty table gives an empty result; names of
 the operator's own columns may also occur in the input, as input columns are carried under their
 own names only when asked for with ``carry`` (a clash there is an error of the caller).
 """
@@ -93,7 +94,7 @@ def exact_dedup(
     groups = (
         content.where("_more")
         .groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(-F.col("_points"), "_id", "_row")).alias("_keep"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(-F.col("_points"), F.col("_id").isNull(), "_id", "_row")).alias("_keep"))
     )
     groups = materialise(groups, "dedup-groups")  # so that Spark can split the partition of a large group in the join
     out = lambda keep, n, kept: [

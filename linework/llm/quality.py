@@ -13,7 +13,9 @@ them; features of that bounded sample, not texts, come to the driver. All texts
 lie, whole.
 
 Defined results: null and empty texts are scored by their statistics; a document labelled more than
-once counts with its largest label; null labels are left out; without labels every score is 0.5.
+once counts with its largest label; of documents of one id the one with the least hash teaches; null labels
+and null ids teach nothing; without labels every score is 0.5; repeated rows have repeated scores; texts may
+be of any length; other columns are left out, whatever their names; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -171,7 +173,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     share = min(1.0, 1.5 * TRAIN_ROWS / max(1, total))
     h = F.xxhash64(F.col(id_col))
     few = known.where(F.pmod(h, F.lit(1 << 40)) < share * (1 << 40)).orderBy(h, id_col).limit(TRAIN_ROWS)
-    rows = docs.select(id_col, text_col, *meta_cols).join(F.broadcast(few), id_col).select("_y", F.col(text_col).alias("_t"), *[F.col(c).cast("double").alias(f"_m{i}") for i, c in enumerate(meta_cols)])
+    known = F.struct("_y", F.col(text_col).alias("_t"), *[F.col(c).cast("double").alias(f"_m{i}") for i, c in enumerate(meta_cols)])
+    rows = docs.select(id_col, text_col, *meta_cols).join(F.broadcast(few), id_col)
+    rows = rows.groupBy(id_col).agg(F.min_by(known, F.xxhash64(text_col, *meta_cols)).alias("_r")).select("_r.*")  # an id may be repeated
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()

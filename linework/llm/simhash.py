@@ -1,8 +1,9 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Each distinct fingerprint gets a row of Hamming distances to PIVOTS reference fingerprints. By the
-triangle inequality two fingerprints within ``k`` bits differ by at most ``k`` in every coordinate,
-so pairs with a larger coordinate difference are discarded and the survivors verified.
+Each distinct fingerprint gets, once, a row of Hamming distances to PIVOTS reference fingerprints, which is
+written and goes with it. By the triangle inequality two fingerprints within ``k`` bits differ by at most
+``k`` in every coordinate, so pairs with a larger coordinate difference are discarded and the survivors
+verified.
 
 Distances to a pivot concentrate near 32, so the tables alone can't say which pairs to look at
 without looking at all of them. Pairs are met in blocks: with the 64 bits cut into k + e pieces, two
@@ -16,18 +17,20 @@ Texts are read once and not shuffled. Copies share a fingerprint and are collaps
 looked for.
 
 Defined results: null, empty and all-space texts have fingerprint zero, linked like any other; a null
-id is never a component's id unless no other is there; repeated rows repeat in the result.
+id is never a component's id unless no other is there; repeated rows repeat in the result; texts may be of
+any length; other columns are left out, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linework.llm.components import connected_components
@@ -77,6 +80,12 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(str(i), SEED) for i in range(n)], np.uint64)
 
 
+def distances(fp: Column) -> list[Column]:
+    """The row of the distance table: PIVOTS bytes, eight to a long."""
+    of = [F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("long"), 8 * (i % 8)) for i, p in enumerate(pivots().tolist())]
+    return [reduce(Column.__add__, of[i : i + 8]).alias(f"d{i // 8}") for i in range(0, PIVOTS, 8)]
+
+
 def pieces_for(n: int, max_bits: int) -> tuple[list[int], int]:
     """Masks that cut 64 bits into max_bits + e pieces, and e, for n fingerprints."""
     e = 1
@@ -120,9 +129,9 @@ class Forest:
         return new
 
 
-def forest_links(group: np.ndarray, fps: np.ndarray, max_bits: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within each group; rows of a group stand together."""
-    table = np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
+def forest_links(group: np.ndarray, fps: np.ndarray, max_bits: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within each group; rows of a group stand together, each with its
+    row of the distance table."""
     forest, found = Forest(len(fps)), []
     here = np.arange(len(fps))
     for k in range(1, len(fps)):
@@ -144,28 +153,29 @@ def forest_links(group: np.ndarray, fps: np.ndarray, max_bits: int, refs: np.nda
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges (u, v) among the distinct fingerprints ``fp`` that connect whatever is linked."""
+    """Edges (u, v) among the distinct fingerprints ``fp``, with their distances, that connect whatever is linked."""
+    far = [f"d{i}" for i in range(PIVOTS // 8)]
     masks, e = pieces_for(distinct.count(), max_bits)
     keys = [_signed(sum(c)) for c in combinations(masks, e)]
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(m).alias("bits")) for i, m in enumerate(keys)])).alias("x"))
-    keyed = keyed.select("fp", "x.k", "x.bits")
+    keyed = distinct.select("fp", *far, F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(m).alias("bits")) for i, m in enumerate(keys)])).alias("x"))
+    keyed = keyed.select("fp", *far, "x.k", "x.bits")
     sizes = keyed.groupBy("k", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks"))
     dealt = (
         keyed.join(sizes, ["k", "bits"])
         .withColumn("chunks", F.ceil(F.col("n") / CHUNK))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .select("k", "bits", F.least(chunk, "other").alias("i"), F.greatest(chunk, "other").alias("j"), "fp")
+        .select("k", "bits", F.least(chunk, "other").alias("i"), F.greatest(chunk, "other").alias("j"), "fp", *far)
     )
     group = ["k", "bits", "i", "j"]
-    refs = pivots()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []
 
         def emit(rows: np.ndarray) -> pa.RecordBatch:
             starts = np.concatenate([[True], (rows[1:, :4] != rows[:-1, :4]).any(axis=1)])
-            u, v = forest_links(np.cumsum(starts), rows[:, 4].astype(np.int64).view(np.uint64), max_bits, refs)
+            table = np.ascontiguousarray(rows[:, 5:]).view(np.int8)
+            u, v = forest_links(np.cumsum(starts), np.ascontiguousarray(rows[:, 4]).view(np.uint64), max_bits, table)
             return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, v)], ["u", "v"])
 
         for batch in batches:
@@ -188,8 +198,9 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per input row: id, fp (signed long) and component_id, the smallest id reachable by links."""
     marked = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialise(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = connected_components(links(nodes.select("fp"), max_bits))
+    nodes = materialise(marked.groupBy("fp").agg(F.min("id").alias("least")).select("*", *distances(F.col("fp"))), "nodes")
+    roots = connected_components(links(nodes.drop("least"), max_bits))
+    nodes = nodes.select("fp", "least")
     linked = materialise(nodes.join(roots.withColumnRenamed("node", "fp"), "fp"), "linked")
     least = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of_fp = (

@@ -51,3 +51,11 @@ def test_stages_take_nulls_empty_tables_repeats_and_other_columns(spark):
     assert ids("simhash_near_dedup") == [0, 1, 3, 3, 4]
     assert ids("decontaminate") == [0, 1, 2, 3, 3, 4, 5]
     assert len(kept["byte_bpe"]) == len(rows)
+
+
+def test_near_duplicates_go_by_row_not_by_id(spark):
+    sf = "/root/testdata/sf0.001"
+    text = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, text + " end"), (1, "a clean text of its own that has no copy at all"), (0, text), (None, text + " other"), (None, "another clean text that is like no other here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text[:5]) for r in corpus_pipeline.near(spark, docs, sf).collect()) == [(-1, "anoth"), (0, "word0"), (1, "a cle")]

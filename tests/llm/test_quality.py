@@ -38,3 +38,35 @@ def test_nulls_repeats_and_no_labels(spark):
     assert [r[0] for r in rows] == [1, 2, 3, 3] and rows[2] == rows[3]
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_query_equals_all_pairs(spark):
+    """The query's scores from plain loops over pairs of features."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(~quality.held_out("doc_id"))
+    rows, y = quality.training_rows(docs, labels, "doc_id", "text", "quality", ("n_chars",))
+    labelled = {r.doc_id for r in labels.where("quality is not null").collect()}
+    assert len(rows) == len({d.doc_id for d in docs.select("doc_id").collect()} & labelled)
+    machine = quality.fit(rows, y, quality.STATISTICS + 1)
+    got = {r.doc_id: r.score for r in quality.op4_quality(spark, sf).collect()}
+    reader = quality.Reader()
+    some = [d for d in docs.collect() if len(d.text or "") < 1500][:60]
+    for d in some:
+        slots, weights, stats = reader.read(d.text)
+        bins = machine.bins(np.array([[*stats, d.n_chars]], float))[0]
+        at = np.concatenate([slots, bins])
+        x = np.concatenate([weights, np.full(len(bins), 1 / np.sqrt(len(bins)))])
+        z = machine.bias + float((machine.linear[at] * x).sum())
+        for i in range(len(at)):
+            for j in range(i):
+                z += float(machine.factors[at[i]] @ machine.factors[at[j]]) * x[i] * x[j]
+        assert abs(got[d.doc_id] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_an_id_that_is_repeated_teaches_once(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 3)
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(500)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)] + [(None, 1)], "doc_id long, quality int")
+    rows, y = quality.training_rows(docs, labels, "doc_id", "text", "quality", ())
+    assert 1 <= len(rows) <= 3
