@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linework.functions.arrays import running
+
 # Fixed values.
 #: Lines between two entries of the sparse index.
 SAMPLE_EVERY = 64
@@ -63,17 +65,12 @@ def explode_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, file_line, byte_offset, bytes, complete): place and size of every line, terminator included."""
     whole = F.endswith(F.col(text_col), F.lit("\n"))
-    lines = df.select(id_col, whole.alias("_whole"), raw_lines(F.col(text_col)).alias("_lines"))
-    lines = lines.select(id_col, "_whole", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("_pos", "_raw"))
-    complete = F.col("_whole") | (F.col("_pos") + 1 < F.col("_n"))
-    lines = lines.select(
-        id_col,
-        (F.col("_pos") + 1).cast("long").alias("file_line"),
-        (F.octet_length("_raw") + F.when(complete, 1).otherwise(0)).cast("long").alias("bytes"),
-        complete.alias("complete"),
-    )
-    before = Window.partitionBy(id_col).orderBy("file_line").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("byte_offset", F.coalesce(F.sum("bytes").over(before), F.lit(0)).cast("long"))
+    rows = df.select(id_col, whole.alias("_whole"), raw_lines(F.col(text_col)).alias("_lines"))
+    complete = lambda i: F.col("_whole") | (i + 1 < F.size("_lines"))
+    rows = rows.select(id_col, F.transform("_lines", lambda x, i: F.struct((F.octet_length(x) + complete(i).cast("int")).cast("long").alias("bytes"), complete(i).alias("complete"))).alias("_sizes"))
+    places = F.arrays_zip(F.col("_sizes").alias("s"), running(F.transform("_sizes", lambda x: x["bytes"])).alias("o"))
+    rows = rows.select(id_col, F.posexplode(places).alias("_pos", "_x"))
+    return rows.select(id_col, (F.col("_pos") + 1).cast("long").alias("file_line"), F.col("_x.s.bytes").alias("bytes"), F.col("_x.s.complete").alias("complete"), F.col("_x.o").alias("byte_offset"))
 
 
 def locate_line(places: DataFrame, line: int, id_col: str = "doc_id") -> DataFrame:

@@ -1,8 +1,8 @@
 """Structure of Markdown documents, as tables over a corpus.
 
-Documents are (key, text). Lines are exploded with a flag for fenced code, which is the parity of the
-fences before them; everything else is a pattern per line and a join. The documented constructs are
-read, not all of CommonMark.
+Documents are (key, text). A document's lines are an array with a flag for fenced code, which is the parity
+of the fences before them; everything else is a pattern per line, read where the document lies. The
+documented constructs are read, not all of CommonMark.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linework.functions import paths
+from linework.functions.arrays import running
 from linework.functions.text import slug, unique_ids, visible_text
 
 #: The patterns of the constructs.
@@ -21,8 +22,9 @@ DEFINITION = r"^ {0,3}\[\^([^\]\s]+)\]\s*:\s*(.*)$"
 CONTINUATION = r"^ {2,}(\S.*)$"
 REFERENCE = r"\[\^([^\]\s]+)\]"
 TARGET = r"\(\s*<?([^)\s>]+)>?(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)"
-LINK = r"(?<!!)\[((?:[^\[\]]|!\[[^\]]*\]\([^)]*\))*)\]" + TARGET
+LINK = r"(?<!!)\[([^\[\]]*(?:!\[[^\]]*\]\([^)]*\)[^\[\]]*)*+)\]" + TARGET
 IMAGE = r"!\[([^\]]*)\]" + TARGET
+RAW_IMAGE, SOURCE = r"(?i)<img\b[^>]*>", r"(?i)\bsrc\s*="
 NUMERIC = r"[0-9\s.,%+\-*/:]+"
 MATH = (
     r"(?m:^\$\$\n[\s\S]+?\n\$\$(?=\n|\z))|(?m:^\\\[[\s\S]+?\\\](?=[ \t]*(?:\n|\z)))"
@@ -30,14 +32,25 @@ MATH = (
 )
 
 
-def lines(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(key, line, text, is_fence, in_code): line from 1; in_code excludes the fences themselves."""
-    cut = docs.select(key, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("_pos", "text"))
-    before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.select(key, (F.col("_pos") + 1).alias("line"), F.regexp_replace("text", r"\r\z", "").alias("text"))
-    cut = cut.withColumn("is_fence", F.col("text").rlike(FENCE))
-    opened = F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before), F.lit(0))
-    return cut.withColumn("fences", opened).withColumn("in_code", (opened % 2 == 1) & ~F.col("is_fence"))
+def line_arrays(docs: DataFrame, key: str, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept columns, ls): of every document an array of (line, text, is_fence, fences, outside): line from
+    1; fences is the number of fences before the line; outside is neither a fence nor in code."""
+    cut = F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n", -1), lambda t: F.regexp_replace(t, r"\r\z", ""))
+    rows = docs.select(key, *keep, cut.alias("_texts"))
+    rows = rows.select(key, *keep, "_texts", F.transform("_texts", lambda t: t.rlike(FENCE)).alias("_is"))
+    rows = rows.select(key, *keep, "_texts", "_is", running(F.transform("_is", lambda f: f.cast("int"))).alias("_before"))
+
+    def line(x: Column, i: Column) -> Column:
+        outside = ~x["f"] & (x["n"] % 2 == 0)
+        return F.struct((i + 1).alias("line"), x["t"].alias("text"), x["f"].alias("is_fence"), x["n"].alias("fences"), outside.alias("outside"))
+
+    return rows.select(key, *keep, F.transform(F.arrays_zip(F.col("_texts").alias("t"), F.col("_is").alias("f"), F.col("_before").alias("n")), line).alias("ls"))
+
+
+def _outside_code(docs: DataFrame, key: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept columns, ls): (line, text) outside fenced code, without inline code."""
+    ls = F.transform(F.filter("ls", lambda x: x["outside"]), lambda x: F.struct(x["line"].alias("line"), F.regexp_replace(x["text"], "`[^`]*`", "").alias("text")))
+    return line_arrays(docs, key, text_col, keep).select(key, *keep, ls.alias("ls"))
 
 
 def plain(text: Column) -> Column:
@@ -49,36 +62,45 @@ def plain(text: Column) -> Column:
 
 def outline(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(key, pos, depth, id, text) of the headings outside code, ids unique in each document."""
-    near = Window.partitionBy(key).orderBy("line")
-    rows = lines(docs, key, text_col).withColumn("under", F.lead(F.when(~F.col("is_fence") & ~F.col("in_code"), F.col("text"))).over(near))
-    rows = rows.where(~F.col("is_fence") & ~F.col("in_code"))
-    mark = F.regexp_extract("under", RULE, 1)
-    paragraph = ~F.col("text").rlike(r"^(\s*$| {0,3}([#>|]|[-*+] |\d+[.)] )| {4}|\t)") & ~F.col("text").rlike(RULE)
-    depth = F.when(F.col("text").rlike(ATX), F.length(F.regexp_extract("text", ATX, 1))).when(paragraph & (mark != ""), F.when(F.startswith(mark, F.lit("=")), 1).otherwise(2))
-    head = F.when(F.col("text").rlike(ATX), F.coalesce(F.regexp_extract("text", ATX, 2), F.lit(""))).otherwise(F.trim("text"))
-    found = rows.select(key, "line", depth.alias("depth"), head.alias("head")).where("depth is not null")
-    ordered = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line", "depth", "head"))).alias("heads"))
-    ids = unique_ids(F.transform("heads", lambda h: slug(h["head"])))
-    rows = ordered.select(key, F.posexplode(F.arrays_zip(F.col("heads").alias("h"), ids.alias("i"))).alias("_pos", "x"))
+    rows = line_arrays(docs, key, text_col)
+    under = F.concat(F.slice("ls", F.lit(2), F.size("ls")), F.array(F.element_at("ls", -1)))  # of the last line, itself
+    pairs = F.filter(F.arrays_zip(F.col("ls").alias("x"), under.alias("u")), lambda z: z["x"]["outside"])
+    paragraph = lambda t: ~t.rlike(r"^(\s*$| {0,3}([#>|]|[-*+] |\d+[.)] )| {4}|\t)") & ~t.rlike(RULE)
+
+    def head(z: Column) -> Column:
+        text, atx = z["x"]["text"], z["x"]["text"].rlike(ATX)
+        below = z["u"]["outside"] & (z["u"]["line"] > z["x"]["line"])
+        mark = F.when(below, F.regexp_extract(z["u"]["text"], RULE, 1)).otherwise("")
+        depth = F.when(atx, F.length(F.regexp_extract(text, ATX, 1))).when(paragraph(text) & (mark != ""), F.when(F.startswith(mark, F.lit("=")), 1).otherwise(2))
+        return F.struct(depth.alias("depth"), F.when(atx, F.coalesce(F.regexp_extract(text, ATX, 2), F.lit(""))).otherwise(F.trim(text)).alias("head"))
+
+    found = rows.select(key, F.filter(F.transform(pairs, head), lambda h: h["depth"].isNotNull()).alias("heads"))
+    found = found.select(key, "heads", unique_ids(F.transform("heads", lambda h: slug(h["head"]))).alias("ids"))
+    rows = found.select(key, F.posexplode(F.arrays_zip(F.col("heads").alias("h"), F.col("ids").alias("i"))).alias("_pos", "x"))
     return rows.select(key, (F.col("_pos") + 1).alias("pos"), F.col("x.h.depth").alias("depth"), F.col("x.i").alias("id"), plain(F.col("x.h.head")).alias("text"))
 
 
 def footnotes(docs: DataFrame, key: str, text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(used, dangling, unused): used has (key, number, id, text, line) in the order of first reference;
     dangling has (key, id) of references without a definition; unused has (key, id, line)."""
-    rows = lines(docs, key, text_col).where(~F.col("is_fence") & ~F.col("in_code"))
-    rows = rows.withColumns({"is_def": F.col("text").rlike(DEFINITION), "is_more": F.col("text").rlike(CONTINUATION) & ~F.col("text").rlike(DEFINITION)})
-    order = Window.partitionBy(key).orderBy("line")
-    rows = rows.withColumn("part", F.sum((~F.col("is_more")).cast("int")).over(order))
-    rows = rows.withColumn("in_def", F.max("is_def").over(Window.partitionBy(key, "part")))
-    piece = F.when(F.col("is_def"), F.regexp_extract("text", DEFINITION, 2)).otherwise(F.regexp_extract("text", CONTINUATION, 1))
-    parts = rows.where("in_def").groupBy(key, "part").agg(
-        F.min("line").alias("line"), F.max(F.when(F.col("is_def"), F.regexp_extract("text", DEFINITION, 1))).alias("id"), F.array_sort(F.collect_list(F.struct("line", piece.alias("t")))).alias("ts")
-    )
-    text = F.regexp_replace(F.array_join(F.transform("ts", lambda t: t["t"]), " "), r"^\s+|\s+$", "")
-    defined = parts.select(key, "id", "line", text.alias("text")).where("text != ''")
+    # a definition runs on over the indented lines right behind it; a fence ends it
+    is_def = lambda x: x["outside"] & x["text"].rlike(DEFINITION)
+    is_more = lambda x: x["outside"] & x["text"].rlike(CONTINUATION) & ~x["text"].rlike(DEFINITION)
+    rows = line_arrays(docs, key, text_col)
+    rows = rows.select(key, "ls", F.transform(F.filter("ls", lambda x: ~is_more(x)), lambda x: x["line"]).alias("starts"))
+    rows = rows.select(key, "ls", F.filter(F.arrays_zip(F.col("starts").alias("a"), F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array((F.size("ls") + 1).cast("int"))).alias("b")), lambda z: z["a"].isNotNull()).alias("parts"))
+    lead = F.when(F.size("parts") > 0, F.slice("ls", F.lit(1), F.element_at("parts", 1)["a"] - 1)).otherwise(F.col("ls"))  # before the first part
+    parts = F.transform("parts", lambda z: F.slice("ls", z["a"], z["b"] - z["a"]))
+    rows = rows.select(key, lead.alias("lead"), parts.alias("parts"))
+    defs = F.filter("parts", lambda p: is_def(p[0]))
+    piece = lambda x: F.when(is_def(x), F.regexp_extract(x["text"], DEFINITION, 2)).otherwise(F.regexp_extract(x["text"], CONTINUATION, 1))
+    whole = lambda p: F.regexp_replace(F.array_join(F.transform(p, piece), " "), r"^\s+|\s+$", "")
+    made = F.transform(defs, lambda p: F.struct(p[0]["line"].alias("line"), F.regexp_extract(p[0]["text"], DEFINITION, 1).alias("id"), whole(p).alias("text")))
+    defined = rows.select(key, F.inline(made)).select(key, "id", "line", "text").where("text != ''")
+    rest = F.filter(F.concat("lead", F.flatten(F.filter("parts", lambda p: ~is_def(p[0])))), lambda x: x["outside"])
     defined = defined.groupBy(key, "id").agg(F.min(F.struct("line", "text")).alias("d")).select(key, "id", "d.line", "d.text")
-    ids = rows.where("not in_def").select(key, "line", "text", F.explode(F.regexp_extract_all("text", F.lit(REFERENCE), 1)).alias("id"))
+    ids = rows.select(key, F.inline(F.transform(rest, lambda x: F.struct(x["line"].alias("line"), x["text"].alias("text")))))
+    ids = ids.select(key, "line", "text", F.explode(F.regexp_extract_all("text", F.lit(REFERENCE), 1)).alias("id"))
     place = F.struct("line", F.instr("text", F.concat(F.lit("[^"), F.col("id"), F.lit("]"))).alias("col"))
     refs = ids.groupBy(key, "id").agg(F.min(place).alias("at"))
     used = defined.join(refs, [key, "id"]).withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy("at")))
@@ -89,17 +111,11 @@ def footnotes(docs: DataFrame, key: str, text_col: str = "text") -> tuple[DataFr
     )
 
 
-def _outside_code(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    rows = lines(docs, key, text_col).where(~F.col("is_fence") & ~F.col("in_code"))
-    return rows.withColumn("text", F.regexp_replace("text", "`[^`]*`", ""))
-
-
 def links(docs: DataFrame, key: str, path: Column, text_col: str = "text") -> DataFrame:
     """(key, line, kind, href, target, fragment): kind is anchor, external, doc or file; targets of the
     last two are resolved against ``path``."""
-    rows = _outside_code(docs, key, text_col)
-    found = rows.select(key, "line", F.explode(F.regexp_extract_all("text", F.lit(LINK), 2)).alias("href"))
-    found = found.join(docs.select(key, path.alias("_path")), key)
+    rows = _outside_code(docs.withColumn("_path", path), key, text_col, ("_path",)).select(key, "_path", F.inline("ls"))
+    found = rows.select(key, "line", "_path", F.explode(F.regexp_extract_all("text", F.lit(LINK), 2)).alias("href"))
     href = F.col("href")
     target = paths.resolved(F.col("_path"), href)
     kind = F.when(F.startswith(href, F.lit("#")), "anchor").when(paths.has_scheme(href), "external").when(paths.is_markdown(target), "doc").otherwise("file")
@@ -116,13 +132,13 @@ def dangling_links(found: DataFrame, outlines: DataFrame, path_of: DataFrame, ke
 
 def images(docs: DataFrame, key: str, path: Column, text_col: str = "text") -> DataFrame:
     """(key, line, kind, src, target, label): Markdown images and raw <img>; one without a source is left out."""
-    rows = _outside_code(docs, key, text_col)
+    rows = _outside_code(docs.withColumn("_path", path), key, text_col, ("_path",)).select(key, "_path", F.inline("ls"))
     attr = lambda name: F.concat(*[F.regexp_extract("tag", rf"(?i)\b{name}\s*=\s*{q}", 1) for q in ('"([^"]*)"', "'([^']*)'", "([^\\s>\"']+)")])
-    written = rows.select(key, "line", F.explode(F.regexp_extract_all("text", F.lit(IMAGE), 0)).alias("tag"))
-    written = written.select(key, "line", F.regexp_extract("tag", IMAGE, 2).alias("src"), F.regexp_extract("tag", IMAGE, 1).alias("alt"))
-    raw = rows.select(key, "line", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)<img\b[^>]*>"), 0)).alias("tag"))
-    raw = raw.where(F.col("tag").rlike(r"(?i)\bsrc\s*=")).select(key, "line", attr("src").alias("src"), attr("alt").alias("alt"))
-    found = written.unionByName(raw).join(docs.select(key, path.alias("_path")), key)
+    written = rows.select(key, "line", "_path", F.explode(F.regexp_extract_all("text", F.lit(IMAGE), 0)).alias("tag"))
+    written = written.select(key, "line", "_path", F.regexp_extract("tag", IMAGE, 2).alias("src"), F.regexp_extract("tag", IMAGE, 1).alias("alt"))
+    raw = rows.select(key, "line", "_path", F.explode(F.regexp_extract_all("text", F.lit(RAW_IMAGE), 0)).alias("tag"))
+    raw = raw.where(F.col("tag").rlike(SOURCE)).select(key, "line", "_path", attr("src").alias("src"), attr("alt").alias("alt"))
+    found = written.unionByName(raw)
     local = ~paths.has_scheme(F.col("src"))
     target = F.when(local, paths.resolved(F.col("_path"), F.col("src"))).otherwise(F.col("src"))
     kind = F.when(~local, "url").when(paths.is_image(target), "file").otherwise("path")
@@ -130,35 +146,49 @@ def images(docs: DataFrame, key: str, path: Column, text_col: str = "text") -> D
     return found.select(key, "line", kind.alias("kind"), "src", target.alias("target"), label.alias("label"))
 
 
+def _formulas(ls: Column | str) -> Column:
+    """array of the formulas in (line, text) outside code."""
+    return F.regexp_extract_all(F.array_join(F.transform(ls, lambda x: x["text"]), "\n"), F.lit(MATH), 0)
+
+
 def math_spans(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(key, display, tex) of the formulas outside code."""
-    rows = _outside_code(docs, key, text_col)
-    whole = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("ls"))
-    text = F.array_join(F.transform("ls", lambda x: x["text"]), "\n")
-    found = whole.select(key, F.explode(F.regexp_extract_all(text, F.lit(MATH), 0)).alias("raw"))
+    found = _outside_code(docs, key, text_col).select(key, F.explode(_formulas("ls")).alias("raw"))
     tex = F.regexp_replace(F.regexp_replace("raw", r"\A(\$\$?|\\[(\[])|(\$\$?|\\[)\]])\z", ""), r"^\s+|\s+$", "")
     return found.select(key, F.col("raw").rlike(r"\A(\$\$|\\\[)").alias("display"), tex.alias("tex"))
 
 
 def code_blocks(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(key, line, lang): where each fenced block opens, and the first word after its fence."""
-    opening = lines(docs, key, text_col).where("is_fence and fences % 2 = 0")
+    opening = line_arrays(docs, key, text_col).select(key, F.inline("ls")).where("is_fence and fences % 2 = 0")
     return opening.select(key, "line", F.regexp_extract("text", FENCE + r"\s*([^\s`]*)", 2).alias("lang"))
 
 
+def _is_table_rule(text: Column) -> Column:
+    """Whether a line is the one under a table's head: cells of dashes, each but the last ended by a bar."""
+    cells = F.split(F.regexp_replace(text, r"^ {0,3}\|?", ""), r"\|", -1)
+    ended = F.slice(cells, F.lit(1), F.greatest(F.size(cells) - 1, F.lit(0)))
+    return (F.size(cells) > 1) & F.forall(ended, lambda c: c.rlike(r"^\s*:?-+:?\s*$")) & F.element_at(cells, -1).rlike(r"^\s*(:?-+:?\s*)?$")
+
+
 def section_counts(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(key, lines, tables, tasks, tasks_done, code_blocks, math, images) of every document."""
-    rows = lines(docs, key, text_col)
-    text = F.when(~F.col("is_fence") & ~F.col("in_code"), F.col("text"))
-    task = r"^\s*[-*+] \[([ xX])\] "
-    counts = rows.groupBy(key).agg(
-        F.count_if(text.rlike(r"^ {0,3}\|?(\s*:?-+:?\s*\|)+\s*(:?-+:?\s*)?$") & F.contains(text, F.lit("|"))).alias("tables"),
-        F.count_if(text.rlike(task)).alias("tasks"),
-        F.count_if(text.rlike(r"^\s*[-*+] \[[xX]\] ")).alias("tasks_done"),
-        F.count_if(F.expr("is_fence and fences % 2 = 0")).alias("code_blocks"),
-    )
     empty = F.coalesce(text_col, F.lit("")) == ""
-    sizes = docs.select(key, F.when(empty, 0).otherwise(F.size(F.split(text_col, "\n", -1))).cast("long").alias("lines"))
-    per = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    out = sizes.join(counts, key).join(per(math_spans(docs, key, text_col), "math"), key, "left").join(per(images(docs, key, F.lit(""), text_col), "images"), key, "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("math", "images")})
+    total = F.when(empty, 0).otherwise(F.size(F.split(text_col, "\n", -1))).cast("long")
+    rows = line_arrays(docs.withColumn("_total", total), key, text_col, ("_total",))
+    plain_lines = F.transform(F.filter("ls", lambda x: x["outside"]), lambda x: F.struct(x["line"].alias("line"), F.regexp_replace(x["text"], "`[^`]*`", "").alias("text")))
+    rows = rows.select(key, "_total", "ls", plain_lines.alias("_plain"))
+    having = lambda test: F.size(F.filter("ls", test)).cast("long")
+    outside = lambda pattern: having(lambda x: x["outside"] & x["text"].rlike(pattern))
+    of = lambda pattern, keep: F.transform("_plain", lambda x: F.size(F.filter(F.regexp_extract_all(x["text"], F.lit(pattern), F.lit(0)), keep)))
+    added = lambda counts: F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
+    return rows.select(
+        key,
+        F.col("_total").alias("lines"),
+        having(lambda x: x["outside"] & F.contains(x["text"], F.lit("|")) & _is_table_rule(x["text"])).alias("tables"),
+        outside(r"^\s*[-*+] \[([ xX])\] ").alias("tasks"),
+        outside(r"^\s*[-*+] \[[xX]\] ").alias("tasks_done"),
+        having(lambda x: x["is_fence"] & (x["fences"] % 2 == 0)).alias("code_blocks"),
+        F.size(_formulas("_plain")).cast("long").alias("math"),
+        (added(of(IMAGE, lambda t: t != "")) + added(of(RAW_IMAGE, lambda t: t.rlike(SOURCE)))).alias("images"),
+    )

@@ -274,8 +274,7 @@ def keyword_colours(spark, sf_dir):
 
 @query("selected_lines", LOG + "SELECT doc_id, string_agg(text, chr(10) ORDER BY file_line) AS joined FROM log WHERE file_line % 3 = 1 GROUP BY doc_id")
 def selected_lines(spark, sf_dir):
-    chosen = log(spark, sf_dir).where("file_line % 3 = 1").select("doc_id", "file_line")
-    picked = log(spark, sf_dir).join(chosen, ["doc_id", "file_line"], "left_semi")
+    picked = log(spark, sf_dir).where("file_line % 3 = 1")
     ordered = F.array_sort(F.collect_list(F.struct("file_line", "text")))
     return picked.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("joined"))
 
@@ -291,7 +290,7 @@ def hit_view_rows(spark, sf_dir):
 
 def hits_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, a keyword filter, hits, and their count per document."""
-    return search.search_lines(log(spark, sf_dir), "the").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits")).orderBy("doc_id")
+    return search.search_lines(log(spark, sf_dir), "the").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 query("hits_per_document", LOG + hits_sql("the") + "SELECT doc_id, count(*) AS hits FROM hit GROUP BY doc_id")(hits_per_document)

@@ -75,3 +75,23 @@ def test_error_kinds(spark):
     cases = {"": "none", "文件不存在: C:\\a.log": "missing", "schema 文件不存在: x": "missing_schema", "No such file (os error 2)": "missing", "os error 25": "other", "tab 不存在: 3": "other", "Access is DENIED.": "denied", "无权限": "denied"}
     df = spark.createDataFrame([*cases.items(), (None, "none")], "m string, want string")
     assert [r[0] for r in df.select(text.error_kind(F.col("m"))).collect()] == [r.want for r in df.collect()]
+
+
+def test_long_lines_do_not_overflow_the_stack(spark):
+    """A line of 100,000 characters in brackets, and shorter ones of whatever the patterns repeat."""
+    n = 3_000
+    long = ["[" + "x" * 100_000, "[" * n, "[![a](b) " * (n // 10) + "](t.md)", "![" * n, "> " * n, "#" * n, "# " + "a #" * n, "-" * n, "| - " * n, "`" * n, "$" * n, "$a" * n, "\\(" * n, "[^a" * n, "[^a]: " + "b " * n,
+            " " * n, "<img " * n, "<img src=" + "'" * n, "* " * n, "**a" * n, "- [ ] " * n]
+    docs = spark.createDataFrame([(i, "first\n" + t + "\nlast") for i, t in enumerate(long)], "doc_id long, text string")
+    here = F.lit("/a/b.md")
+    assert markdown.links(docs, "doc_id", here).where("doc_id != 2").count() == 0
+    for df in (markdown.outline(docs, "doc_id"), *markdown.footnotes(docs, "doc_id"), markdown.links(docs, "doc_id", here), markdown.images(docs, "doc_id", here),
+               markdown.math_spans(docs, "doc_id"), markdown.code_blocks(docs, "doc_id"), markdown.section_counts(docs, "doc_id")):
+        df.write.format("noop").mode("overwrite").save()
+
+
+def test_a_fence_ends_a_definition(spark):
+    text = "see [^a] [^b]\n[^a]: text\n```\ncode\n```\n  indented\n[^b]: one\n  two\n   three\nnot more\n  [^c]: inner"
+    used, dangling, unused = markdown.footnotes(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "  only indented [^z]")], "doc_id long, text string"), "doc_id")
+    assert sorted((r.number, r.id, r.text, r.line) for r in used.collect()) == [(1, "a", "text", 2), (2, "b", "one two three", 7)]
+    assert [(r.doc_id, r.id) for r in dangling.collect()] == [(4, "z")] and [(r.id, r.line) for r in unused.collect()] == [("c", 11)]
