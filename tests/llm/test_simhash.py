@@ -48,7 +48,8 @@ def test_links_lose_nothing(spark, monkeypatch, chunk, group):
     monkeypatch.setattr(simhash, "CHUNK", chunk)
     monkeypatch.setattr(simhash, "GROUP", group)
     signed = {simhash._signed(f): f for f in fps}
-    edges = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"))
+    distinct = spark.createDataFrame([(s,) for s in signed], "fp long")
+    edges = simhash.links(distinct.select("fp", *simhash.distances(distinct["fp"])))
     got = {r.node: r.root for r in connected_components(edges).collect()}
     want = brute_components({s: f for s, f in signed.items()})
     assert {s: got.get(s, s) for s in signed} == want
