@@ -18,6 +18,7 @@ are, whatever their names, but one named like the result is replaced.
 from __future__ import annotations
 
 import base64
+import ctypes
 import heapq
 from collections.abc import Iterator
 from itertools import count
@@ -195,6 +196,13 @@ def _vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system; an idle worker would keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 # ---- blocks of texts, as numbers of their words ----
 
 
@@ -260,6 +268,7 @@ def _blocks(pattern: str, path: str, rest: list[str]):
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order))
             words = list(numbers)
+            numbers.clear()
             words = [words[i] for i in order.tolist()]
             known = np.array([ranks.get(w.encode(), -1) for w in words], np.int32)
             order, asks = _asks([w for w, k in zip(words, known.tolist(), strict=True) if k < 0])
@@ -286,9 +295,11 @@ def _blocks(pattern: str, path: str, rest: list[str]):
                 if chars >= BLOCK_CHARS:
                     yield close()
                     numbers, parts, rows, chars = _Numbers(), [], [], 0
-                    pa.default_memory_pool().release_unused()
+                    _give_back()
         if rows:
             yield close()
+        del numbers, parts, rows, ranks
+        _give_back()
 
     return run
 
@@ -328,8 +339,11 @@ def _encode_words(path: str):
             if size >= BATCH_BYTES or rows >= BATCH_ROWS:
                 yield from flush()
                 words, held, rows, size = [], [], 0, 0
+                _give_back()
         if rows:
             yield from flush()
+        del words, held
+        _give_back()
 
     return run
 
@@ -361,6 +375,7 @@ def _fill(rest: list[str], ids_col: str):
             offsets = upto[text_ends[lo : hi + 1] - text_ends[lo]].astype(np.int32)
             done = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))
             out_batches.append(pa.RecordBatch.from_arrays([*(f.slice(lo, hi - lo) for f in fields), done], [*rest, ids_col]))
+        _give_back()
         return pa.Table.from_batches(out_batches)
 
     return run
