@@ -262,11 +262,14 @@ def _blocks(pattern: str, path: str, rest: list[str]):
         numbers, parts, rows, chars = _Numbers(), [], [], 0
 
         def close() -> pa.RecordBatch:
+            sizes = np.array([len(p) for p in parts], np.uint32)
             flat = np.concatenate([np.zeros(0, np.uint32), *parts])
+            parts.clear()
             uses = np.bincount(flat, minlength=len(numbers))
             order = np.argsort(-uses, kind="stable")  # frequent words have small numbers
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order))
+            flat = place[flat]
             words = list(numbers)
             numbers.clear()
             words = [words[i] for i in order.tolist()]
@@ -278,7 +281,7 @@ def _blocks(pattern: str, path: str, rest: list[str]):
                 [
                     pa.array([next(seq)], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(carried)], pa.int32()), carried),
-                    *(pa.array([_squeeze(x)], pa.binary()) for x in (np.array([len(p) for p in parts], np.uint32), place[flat], known)),
+                    *(pa.array([_squeeze(x)], pa.binary()) for x in (sizes, flat, known)),
                     pa.ListArray.from_arrays(pa.array([0, len(asks)], pa.int32()), asks),
                 ],
                 ["block", "rows", "sizes", "flat", "known", "asks"],
@@ -291,7 +294,8 @@ def _blocks(pattern: str, path: str, rest: list[str]):
                     found = cut(text or "")
                     parts.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
                     chars += len(text or "")
-                rows.append(pa.StructArray.from_arrays(part.columns[: len(rest)], rest))
+                own = pa.array(np.arange(len(part)))  # copies, so that no text is held by its neighbours
+                rows.append(pa.StructArray.from_arrays([c.take(own) for c in part.columns[: len(rest)]], rest))
                 if chars >= BLOCK_CHARS:
                     yield close()
                     numbers, parts, rows, chars = _Numbers(), [], [], 0
