@@ -106,11 +106,13 @@ def preview(rows: DataFrame, max_rows: int = 200_000) -> tuple[DataFrame, DataFr
 
 def keyed_diff(left: DataFrame, right: DataFrame, key: str, fields: list[str], digits: int = 4) -> DataFrame:
     """(key, field, left_value, right_value, status) for every field that differs; numbers are compared
-    rounded. Keys of one side only give one row with status left_only or right_only."""
+    rounded. Keys of one side only give one row with status left_only or right_only; a null key is a key like
+    any other."""
     kinds = dict(left.dtypes)
     shown = lambda side, f: (F.round(F.col(f"{side}.{f}"), digits) if kinds[f] in ("float", "double") else F.col(f"{side}.{f}")).cast("string")
-    both = left.alias("l").join(right.alias("r"), F.col(f"l.{key}") == F.col(f"r.{key}"), "full_outer")
-    status = F.when(F.col(f"r.{key}").isNull(), "left_only").when(F.col(f"l.{key}").isNull(), "right_only").otherwise("changed")
+    sides = [df.withColumn("_here", F.lit(True)).alias(a) for df, a in ((left, "l"), (right, "r"))]
+    both = sides[0].join(sides[1], F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")), "full_outer")
+    status = F.when(F.col("r._here").isNull(), "left_only").when(F.col("l._here").isNull(), "right_only").otherwise("changed")
     cells = F.array(*[F.struct(F.lit(f).alias("field"), shown("l", f).alias("left_value"), shown("r", f).alias("right_value")) for f in fields])
     none = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("left_value"), F.lit(None).cast("string").alias("right_value")))
     changed = F.filter(cells, lambda c: ~c["left_value"].eqNullSafe(c["right_value"]))
@@ -121,5 +123,5 @@ def keyed_diff(left: DataFrame, right: DataFrame, key: str, fields: list[str], d
 def diff_totals(diff: DataFrame, compared: DataFrame) -> DataFrame:
     """(rows, differing_rows, differences) of a diff and the keys that were compared."""
     n = compared.agg(F.count(F.lit(1)).alias("rows"))
-    d = diff.agg(F.count_distinct(diff.columns[0]).alias("differing_rows"), F.count(F.lit(1)).alias("differences"))
+    d = diff.agg(F.count_distinct(F.struct(diff.columns[0])).alias("differing_rows"), F.count(F.lit(1)).alias("differences"))
     return n.join(F.broadcast(d))  # one row each

@@ -29,9 +29,9 @@ def notes(spark, sf_dir: str) -> DataFrame:
         s = lambda x: x.cast("string")
         turn = n % 7
         return (
-            F.when(turn == 0, F.concat(F.lit("## "), F.substring(t, 1, 3)))
+            F.when(turn == 0, F.concat(F.lit("## "), t))
             .when(turn == 1, F.concat(t, F.lit(" [^n"), s(n % 4), F.lit("]")))
-            .when(turn == 2, F.concat(F.lit("[^n"), s((n - 1) % 5), F.lit("]: "), F.substring(t, 1, 20)))
+            .when(turn == 2, F.concat(F.lit("[^n"), s((n - 1) % 5), F.lit("]: "), t))
             .when(turn == 3, F.concat(F.lit("See [x](../d/"), s(n), F.lit(".md#in) and $a_{"), s(n), F.lit("}$ for $5 ![p](i%20/"), s(n), F.lit(".png) [t](#tha)")))
             .when(turn == 4, F.concat(F.lit("```"), F.when(n % 2 == 0, F.lit("sql x")).otherwise(F.lit(""))))
             .when(turn == 6, F.lit("~~~"))
@@ -45,11 +45,12 @@ def notes(spark, sf_dir: str) -> DataFrame:
 _L = """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS a, ends_with(text, chr(10)) AS closed FROM documents WHERE coalesce(text, '') != ''),
 l AS (SELECT doc_id, unnest(CASE WHEN closed THEN a[:len(a) - 1] ELSE a END) AS t, unnest(range(1, len(a) + CASE WHEN closed THEN 0 ELSE 1 END)) AS n FROM d)
 """
-_HEAD = r""", h AS (SELECT doc_id, n, trim(left(t, 3)) AS head FROM l WHERE n % 7 = 0),
+_HEAD = r""", h AS (SELECT doc_id, n, trim(t) AS head FROM l WHERE n % 7 = 0),
 s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(head), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', '-', 'g'), '^-+|-+$', '', 'g') AS c FROM h),
 o AS (SELECT doc_id, n, head, CASE WHEN c = '' THEN 'section' ELSE c END AS c FROM s),
 u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, c ORDER BY n) AS k FROM o),
-outline AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n)::INT AS pos, 2 AS depth, c || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS id, head AS text FROM u)
+outline AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n)::INT AS pos, 2 AS depth, c || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS id,
+  trim(regexp_replace(regexp_replace(head, '\*\*(\S.*?)\*\*', '\1', 'g'), '\*([^*\s][^*]*)\*', '\1', 'g')) AS text FROM u)
 """
 
 
@@ -59,7 +60,7 @@ def md_outline(spark, sf_dir):
 
 
 _NOTES = """, r AS (SELECT doc_id, 'n' || n % 4 AS id, min(n) AS spot FROM l WHERE n % 7 = 1 GROUP BY ALL),
-f AS (SELECT doc_id, 'n' || (n - 1) % 5 AS id, min(struct_pack(n := n, t := trim(left(t, 20)))) AS d FROM l WHERE n % 7 = 2 AND trim(left(t, 20)) != '' GROUP BY ALL)
+f AS (SELECT doc_id, 'n' || (n - 1) % 5 AS id, min(struct_pack(n := n, t := trim(t))) AS d FROM l WHERE n % 7 = 2 AND trim(t) != '' GROUP BY ALL)
 """
 
 

@@ -24,18 +24,20 @@ def query(name: str, sql: str):
     return add
 
 
-@query("tail_stream", _LINES + "SELECT role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn, file_line) AS file_line, text FROM l")
+@query("tail_stream", _LINES + "SELECT role, conv_id // 1000 AS part, row_number() OVER (PARTITION BY role, conv_id // 1000 ORDER BY conv_id, turn, file_line) AS file_line, text FROM l")
 def tail_stream(spark, sf_dir):
-    """Spark writes a log per role; the lines are followed into a view."""
+    """Spark writes logs of a thousand conversations for each role; the lines are followed into a view."""
     lines = explode_lines(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", keep=("turn", "role"))
     logs = new_path(spark, "logs")
-    lines.repartition("role").sortWithinPartitions("role", "conv_id", "turn", "file_line").select("role", "text").write.partitionBy("role").text(logs)
+    lines = lines.withColumn("part", F.expr("conv_id div 1000")).repartition("role", "part").sortWithinPartitions("role", "part", "conv_id", "turn", "file_line")
+    lines.select("role", "part", "text").write.partitionBy("role", "part").text(logs)
     spark.dataSource.register(tail.TailLines)
     view = tail.LineView(spark, new_path(spark, "view"))
-    stream = spark.readStream.format("tail_lines").option("path", logs.removeprefix("file://").removeprefix("file:") + "/role=*/*.txt").load()
+    stream = spark.readStream.format("tail_lines").option("path", logs.removeprefix("file://").removeprefix("file:") + "/role=*/part=*/*.txt").load()
     writer = stream.writeStream.foreachBatch(view.append).option("checkpointLocation", new_path(spark, "offsets"))
     writer.trigger(availableNow=True).start().awaitTermination()
-    return view.lines().select(F.regexp_extract("path", "role=([^/]*)", 1).alias("role"), "file_line", "text")
+    found = lambda name: F.regexp_extract("path", f"{name}=([^/]*)", 1)
+    return view.lines().select(found("role").alias("role"), found("part").cast("long").alias("part"), "file_line", "text")
 
 
 @query("stream_filter", _LINES + "SELECT conv_id, turn, file_line, text FROM l WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'shon')")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linework.operators import lines, search, tables
 from linework.plans.tables import new_path
@@ -36,9 +38,10 @@ def table_find(spark, sf_dir):
     return search.find_in_cells(customers(spark, sf_dir), "Build")
 
 
-@query("hits_by_row", _CELLS + "SELECT row_no AS row, list(i - 1 ORDER BY i)::INT[] AS cols FROM (SELECT row_no, unnest(cells) AS v, unnest(range(1, 5)) AS i FROM t) WHERE contains(lower(v), '1') AND row_no < 300 GROUP BY row_no")
+@query("hits_by_row", _CELLS + ", h AS (SELECT row_no AS row, i - 1 AS col FROM (SELECT row_no, unnest(cells) AS v, unnest(range(1, 5)) AS i FROM t) WHERE contains(lower(v), '1') ORDER BY 1, 2 LIMIT 5000) SELECT row, list(col ORDER BY col)::INT[] AS cols FROM h GROUP BY row")
 def hits_by_row(spark, sf_dir):
-    return search.hits_by_row(search.find_in_cells(customers(spark, sf_dir).where("row_no < 300"), "1"))
+    """The page of hits that a find shows, which is capped, by row."""
+    return search.hits_by_row(search.find_in_cells(customers(spark, sf_dir), "1"))
 
 
 @query("hits_by_row_whole", _CELLS + "SELECT row_no AS row, list(i - 1 ORDER BY i)::INT[] AS cols FROM (SELECT row_no, unnest(cells) AS v, unnest(range(1, 5)) AS i FROM t) WHERE contains(lower(v), '1') GROUP BY row_no")
@@ -63,15 +66,13 @@ def table_shape(spark, sf_dir):
     return tables.shape(rows).join(tables.width(rows))
 
 
-@query("header_derive", """WITH o AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS k, o_custkey % 50 AS g, o_orderstatus AS s FROM orders),
-c AS (SELECT g, max(len) AS n, max(s1) AS s1 FROM (SELECT g, 1 + o_orderkey % 3 AS len, CASE WHEN k = 1 THEN trim(s) END AS s1 FROM o) GROUP BY g)
-SELECT max(n)::BIGINT AS columns, count(*) AS tables FROM c""")
+@query("header_derive", """WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders), n AS (SELECT max(1 + k % 3) AS n FROM o)
+SELECT i::INT AS col, CASE WHEN i = 0 THEN (SELECT trim(s) FROM o WHERE k = 1) ELSE 'Col' || (i + 1) END AS name FROM (SELECT unnest(range(n)) AS i FROM n)""")
 def header_derive(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_custkey") % 50).alias("g"), "o_orderstatus")
-    rows = o.withColumn("row_no", F.row_number().over(Window.partitionBy("g").orderBy("o_orderkey")))
-    rows = rows.withColumn("cells", F.slice(F.array(F.col("o_orderstatus"), F.lit(" "), F.lit("")), F.lit(1), (1 + F.col("o_orderkey") % 3).cast("int")))
-    names = tables.header_table(rows.where("row_no = 1").unionByName(rows.where("row_no > 1")))
-    return names.agg(F.max(F.col("col") + 1).cast("long").alias("columns")).join(rows.agg(F.count_distinct("g").alias("tables")))
+    """The names of a ragged table of all orders: those of the first row where there are any."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    cells = F.slice(F.array(F.col("o_orderstatus"), F.lit(" "), F.lit("")), F.lit(1), (1 + F.col("o_orderkey") % 3).cast("int"))
+    return tables.header_table(o.select(F.col("o_orderkey").alias("row_no"), cells.alias("cells")))
 
 
 @query("tsv_export", _CELLS + r"SELECT row_no, array_to_string(list_transform(cells, lambda x: regexp_replace(x, '[\t\r\n]+', ' ', 'g')), chr(9)) AS line FROM t UNION ALL SELECT 0, 'id' || chr(9) || 'na me' || chr(9) || 'seg' || chr(9) || 'nation'")
@@ -134,23 +135,28 @@ def csv_lenient(spark, sf_dir):
     return delimited.parse_delimited(docs.select("doc_id", text.alias("text")), ["doc_id"], "text", ";").withColumn("row_no", F.col("row_no").cast("int"))
 
 
-@query("delimited_roundtrip", "SELECT c_nationkey AS f, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row_no, [c_custkey::VARCHAR, c_name, c_mktsegment] AS cells FROM customer")
+@query("delimited_roundtrip", "SELECT c_nationkey AS f, c_custkey // 1000 AS part, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 1000 ORDER BY c_custkey) AS row_no, [c_custkey::VARCHAR, c_name, c_mktsegment] AS cells FROM customer")
 def delimited_roundtrip(spark, sf_dir):
+    """customer as files of at most a thousand rows, several for each nation."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     quoted = lambda x: F.concat(F.lit('"'), F.replace(F.col(x).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
     row = F.concat_ws("\t", "c_custkey", quoted("c_name"), quoted("c_mktsegment"))
-    files = c.groupBy(F.col("c_nationkey").alias("f")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))).alias("rs"))
+    file = [F.col("c_nationkey").alias("f"), F.expr("c_custkey div 1000").alias("part")]
+    files = c.groupBy(*file).agg(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))).alias("rs"))
     text = F.array_join(F.transform("rs", lambda x: x["r"]), "\r\n")
-    return delimited.parse_delimited(files.select("f", text.alias("text")), ["f"], "text", delimited.resolve_delimiter(None, "a.tsv"))
+    return delimited.parse_delimited(files.select("f", "part", text.alias("text")), ["f", "part"], "text", delimited.resolve_delimiter(None, "a.tsv"))
 
 
 # ---- config files made of orders ----
 
+#: Orders of a file, at most.
+FILE_ROWS = 1000
+
 _FIELDS = [("id", "uint"), ("status", "string"), ("price", "double"), ("tags", "string[]"), ("parts", "dict<string,int>"), ("nested", "int[][]"), ("flags", "set<string>"), ("big", "ulong"), ("small", "byte")]
 
 
 def config_files(spark, sf_dir: str) -> DataFrame:
-    """(path, content): a file for every hundredth of the orders, written by a task each."""
+    """(path, content): files of at most FILE_ROWS orders, each a range of keys."""
 
     def pack(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["o_orderkey"])
@@ -160,13 +166,13 @@ def config_files(spark, sf_dir: str) -> DataFrame:
             for r in rows
         ]
         data = config.write_table(_FIELDS, [r["o_custkey"] for r in rows], values)
-        return pa.table({"path": [f"/client_cfg/en/orders_{rows[0]['o_orderkey'] % 100}.bin"], "content": [data]})
+        return pa.table({"path": [f"/client_cfg/en/orders_{rows[0]['o_orderkey'] // FILE_ROWS}.bin"], "content": [data]})
 
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderpriority")
-    return o.groupBy(F.col("o_orderkey") % 100).applyInArrow(pack, "path string, content binary")
+    return o.groupBy(F.expr(f"o_orderkey div {FILE_ROWS}")).applyInArrow(pack, "path string, content binary")
 
 
-@query("cfg_rows", """SELECT '/client_cfg/en/orders_' || o_orderkey % 100 || '.bin' AS path, row_number() OVER (PARTITION BY o_orderkey % 100 ORDER BY o_orderkey) AS row_no, o_custkey::INT AS key,
+@query("cfg_rows", """SELECT '/client_cfg/en/orders_' || o_orderkey // 1000 || '.bin' AS path, row_number() OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) AS row_no, o_custkey::INT AS key,
 o_orderkey AS id, (9223372036854775808::HUGEINT + o_orderkey)::VARCHAR AS big, o_totalprice::DOUBLE AS price, (o_orderkey % 256)::SMALLINT AS small, o_orderstatus AS status, o_orderpriority || ', ' AS tags, 'c: ' || o_custkey || ', c: 1' AS parts,
 o_custkey || ', 2, ' AS nested, o_orderstatus || ', ' || o_orderstatus AS flags FROM orders""")
 def cfg_rows(spark, sf_dir):
@@ -174,31 +180,37 @@ def cfg_rows(spark, sf_dir):
     return rows.withColumns({c: config.formatted(F.col(c), rows.schema[c].dataType) for c in ("big", "tags", "parts", "nested", "flags")})
 
 
-@query("cfg_tables", """SELECT 'orders' AS "table", 'en' AS lang, count(DISTINCT o_orderkey % 100) AS files FROM orders""")
+@query("cfg_tables", """SELECT 'orders' AS "table", 'en' AS lang, count(DISTINCT o_orderkey // 1000) AS files FROM orders""")
 def cfg_tables(spark, sf_dir):
     names = spark.createDataFrame([("orders",), ("parts",)], "table string")
     files = config.table_of_path(config_files(spark, sf_dir).select("path"), names)
     return files.groupBy("table", config.language_of_path(F.col("path")).alias("lang")).agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("cfg_json", "SELECT o_custkey::INT AS key, count(*) AS n FROM orders GROUP BY o_custkey")
+@query("cfg_json", "SELECT o_custkey::INT AS key, o_orderkey::VARCHAR AS id, o_orderstatus AS status, (9223372036854775808::HUGEINT + o_orderkey)::VARCHAR AS big, o_orderpriority AS tag, o_custkey::VARCHAR AS nested FROM orders")
 def cfg_json(spark, sf_dir):
     made = config.config_json(config.read_config(config_files(spark, sf_dir), _FIELDS))
-    return made.where(F.get_json_object("json", "$.status").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    at = lambda path: F.get_json_object("json", path)
+    return made.select("key", at("$.id").alias("id"), at("$.status").alias("status"), at("$.big").alias("big"), at("$.tags[0]").alias("tag"), at("$.nested[0][0]").alias("nested"))
 
 
 # ---- encodings of documents ----
 
 
+@F.pandas_udf(T.BinaryType())
+def _gb18030(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t.encode("gb18030"))
+
+
 def encoded_documents(spark, sf_dir: str) -> DataFrame:
-    """documents as bytes in turn: UTF-8 with and without a mark, UTF-16 of both orders, and bytes that are no UTF-8."""
+    """documents as bytes in turn: UTF-8 with and without a mark, UTF-16 of both orders, and GB18030."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     mark = lambda h: F.unhex(F.lit(h))
     utf = lambda c: F.encode("text", c)
     turn = F.col("doc_id") % 5
     content = (
         F.when(turn == 0, F.concat(mark("EFBBBF"), utf("UTF-8"))).when(turn == 1, utf("UTF-8")).when(turn == 2, F.concat(mark("FFFE"), utf("UTF-16LE")))
-        .when(turn == 3, F.concat(mark("FEFF"), utf("UTF-16BE"))).otherwise(F.concat(mark("FF41"), utf("UTF-8")))
+        .when(turn == 3, F.concat(mark("FEFF"), utf("UTF-16BE"))).otherwise(_gb18030(F.concat(F.lit("中"), "text")))
     )
     return docs.select("doc_id", content.alias("content"))
 
@@ -209,9 +221,9 @@ def encoding_detect(spark, sf_dir):
     return encodings.with_encoding(encoded_documents(spark, sf_dir)).select("doc_id", "encoding.id", "encoding.source", "encoding.bom")
 
 
-@query("encoding_decode", "SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 5 != 4")
+@query("encoding_decode", "SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN '中' ELSE '' END || coalesce(text, '') AS text FROM documents")
 def encoding_decode(spark, sf_dir):
-    return encodings.decoded(encodings.with_encoding(encoded_documents(spark, sf_dir))).where("doc_id % 5 != 4").select("doc_id", "text")
+    return encodings.decoded(encodings.with_encoding(encoded_documents(spark, sf_dir))).select("doc_id", "text")
 
 
 @query("encoding_alias", """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'gbk' WHEN 1 THEN 'utf-16le' WHEN 2 THEN 'shift_jis' WHEN 3 THEN 'windows-1252' WHEN 4 THEN 'utf-8' END AS id FROM documents""")
@@ -228,9 +240,10 @@ def garbled(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", encodings.garbled(shown).alias("garbled"))
 
 
-@query("preview_lines", "SELECT doc_id, list_filter(string_split(left(text, 8192), chr(10)), lambda x, i: i <= 14 AND (i < len(string_split(left(text, 8192), chr(10))) OR x != '')) AS shown FROM documents WHERE coalesce(text, '') != '' AND strlen(text) <= 8192")
+@query("preview_lines", "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE coalesce(text, '') != '') SELECT doc_id, (CASE WHEN len(a) > 1 AND a[-1] = '' THEN a[:len(a) - 1] ELSE a END)[:14] AS shown FROM s")
 def preview_lines(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("coalesce(text, '') != '' and octet_length(text) <= 8192")
+    """The first lines of texts that are at hand whole; ``preview_whole`` reads bytes and stops at 8 KiB."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("coalesce(text, '') != ''")
     return docs.select("doc_id", encodings.preview_lines(F.col("text"), F.lit(False)).alias("shown"))
 
 

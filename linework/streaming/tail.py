@@ -17,10 +17,12 @@ import os
 from collections.abc import Iterator
 from glob import glob
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from linework.plans.numbering import numbered
+
 SIGNATURE = 1024
 #: Bytes of a file that one task reads.
 SPLIT = 32 << 20
@@ -143,40 +145,45 @@ class TailLines(DataSource):
 
 
 def numbered_batch(batch: DataFrame, counts: DataFrame) -> DataFrame:
-    """A batch's lines with file_line; counts has (path, generation, lines) of what came before."""
-    order = Window.partitionBy("path", "generation").orderBy("byte_offset")
-    lines = batch.where("event = 'line'").join(counts, ["path", "generation"], "left")
-    return lines.select("path", "generation", (F.coalesce("lines", F.lit(0)) + F.row_number().over(order)).alias("file_line"), "byte_offset", "text")
+    """A batch's lines with file_line; counts has (path, generation, lines) of what came before. A file's
+    lines are numbered in many tasks."""
+    lines = numbered(batch.where("event = 'line'").select("path", "generation", "byte_offset", "text"), ["path", "generation"], ["byte_offset"], "n")
+    lines = lines.join(counts, ["path", "generation"], "left")
+    return lines.select("path", "generation", (F.coalesce("lines", F.lit(0)) + F.col("n")).alias("file_line"), "byte_offset", "text")
 
 
 class LineView:
     """A table of followed lines: appended per batch, replaced on a reset, cut to the newest lines.
 
-    Each batch is one partition, written again if the batch is replayed, so a batch counts once. Older
+    Each batch is one partition, written again if the batch is replayed, so a batch counts once. Beside the
+    lines lies a row per file and batch with its last number, so that a batch doesn't read the lines before it. Older
     generations are left out on reading; raw lines stay, so another filter is another query.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.columns = "path string, generation int, file_line long, byte_offset long, text string"
+        self.counts = f"{path}-counts"
 
-    def _read(self) -> DataFrame:
+    def _read(self, path: str, columns: str) -> DataFrame:
         try:
-            return self.spark.read.schema(self.columns + ", batch long").parquet(self.path)
+            return self.spark.read.schema(columns + ", batch long").parquet(path)
         except Exception as problem:  # nothing is written yet
             if "PATH_NOT_FOUND" not in str(problem):
                 raise
-            return self.spark.createDataFrame([], self.columns + ", batch long")
+            return self.spark.createDataFrame([], columns + ", batch long")
 
     def append(self, batch: DataFrame, batch_id: int) -> None:
         """For foreachBatch."""
-        before = self._read().where(F.col("batch") < batch_id)
-        counts = before.groupBy("path", "generation").agg(F.max("file_line").alias("lines"))
+        before = self._read(self.counts, "path string, generation int, lines long").where(F.col("batch") < batch_id)
+        counts = before.groupBy("path", "generation").agg(F.max("lines").alias("lines"))
         numbered_batch(batch, counts).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        written = self.spark.read.schema(self.columns).parquet(f"{self.path}/batch={batch_id}")
+        written.groupBy("path", "generation").agg(F.max("file_line").alias("lines")).write.mode("overwrite").parquet(f"{self.counts}/batch={batch_id}")
 
     def lines(self, above: int | None = None, keep: int | None = None) -> DataFrame:
         """The lines of each file's newest generation; of a file with more than ``above`` lines the newest ``keep``."""
-        every = self._read().drop("batch")
+        every = self._read(self.path, self.columns).drop("batch")
         newest = every.groupBy("path").agg(F.max("generation").alias("_g"), F.max(F.struct("generation", "file_line"))["file_line"].alias("_n"))
         shown = every.join(newest, "path").where("generation = _g")
         if above is not None:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from linework.functions import paths, text
-from linework.operators import html, markdown
+from linework.operators import tables, html, markdown
 
 
 def docs(spark, *rows):
@@ -95,3 +95,12 @@ def test_a_fence_ends_a_definition(spark):
     used, dangling, unused = markdown.footnotes(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "  only indented [^z]")], "doc_id long, text string"), "doc_id")
     assert sorted((r.number, r.id, r.text, r.line) for r in used.collect()) == [(1, "a", "text", 2), (2, "b", "one two three", 7)]
     assert [(r.doc_id, r.id) for r in dangling.collect()] == [(4, "z")] and [(r.id, r.line) for r in unused.collect()] == [("c", 11)]
+
+
+def test_null_keys_of_a_diff_meet(spark):
+    left = spark.createDataFrame([(None, "a"), (1, "b"), (2, "c")], "k long, v string")
+    right = spark.createDataFrame([(None, "x"), (1, "b"), (3, "d")], "k long, v string")
+    found = lambda a, b: sorted(((r.k, r.status, r.left_value, r.right_value) for r in tables.keyed_diff(a, b, "k", ["v"]).collect()), key=repr)
+    assert found(left, right) == [(2, "left_only", None, None), (3, "right_only", None, None), (None, "changed", "a", "x")]
+    assert found(left.where("k = 1"), right.where("k is null or k = 1")) == [(None, "right_only", None, None)]
+    assert tables.diff_totals(tables.keyed_diff(left, right, "k", ["v"]), left).first()["differing_rows"] == 3
