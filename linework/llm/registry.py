@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from linework.llm import bpe, decontaminate, exact_dedup, katz, langid, quality, quotes, simhash, token_counts, url_filter
+from linework.llm import bpe, collocations, decontaminate, exact_dedup, katz, langid, quality, quotes, simhash, token_counts, url_filter, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,9 +15,12 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_collocations": collocations.op12_collocations,
 }
 ORACLES = {
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op12_collocations": collocations.OP12_SQL,
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op5_quotation_linking": quotes.OP5_SQL,
     "quoted_replies": quotes.QUOTED_SQL,
