@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from linework.llm import bpe, collocations, decontaminate, exact_dedup, katz, langid, quality, quotes, simhash, token_counts, url_filter, whitening
+from linework.llm import bpe, collocations, decontaminate, exact_dedup, katz, langid, ngram_join, quality, quotes, simhash, token_counts, url_filter, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_whitening": whitening.op11_whitening,
     "op12_collocations": collocations.op12_collocations,
+    "op13_ngram_join": ngram_join.op13_ngram_join,
 }
 ORACLES = {
     "op10_decontaminate": decontaminate.OP10_SQL,
