@@ -9,6 +9,8 @@ A window is cut after a pair of words that is surely rarer than LEAST. The pairs
 SLOTS slots by hash; a slot below LEAST holds no pair that any wanted phrase could have, so no count of a wanted
 phrase changes. What tasks get is one bit per slot (16 MB), whatever the input. The more pairs share a slot the fewer
 windows are cut; beyond some billions of distinct pairs all windows move whole, and the result is the same.
+Windows move once, packed by a task's chunks; once together, those too rare for the longest two lengths are cut
+too, so that ROLLUP multiplies few rows.
 
 Each phrase with LEAST occurrences then meets its parts and the phrases around it in joins of written tables.
 
@@ -132,7 +134,13 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(rows.mapInArrow(_pair_slots(slots), "slot long, n long"), least, slots))
     columns = [f"w{k + 1}" for k in range(longest)]
     windows = rows.mapInArrow(_windows(shared, longest, slots), "lang string, " + ", ".join(f"{c} string" for c in columns) + ", c long")
-    summed = windows.rollup("lang", *columns).agg(F.sum("c").alias("f"))
+    # windows meet by all words but the last; what is too rare for the last two lengths is cut there, before anything is rolled up
+    held = ["lang", *columns[:-1]]
+    counted = windows.repartition(*held).groupBy("lang", *columns).agg(F.sum("c").alias("c"))
+    cut = counted.withColumn(columns[-1], F.when(F.col("c") >= least, F.col(columns[-1])).otherwise("")).groupBy("lang", *columns).agg(F.sum("c").alias("c"))
+    rare = F.sum("c").over(Window.partitionBy(*held)) < least
+    cut = cut.withColumn(columns[-2], F.when(rare, F.lit("")).otherwise(F.col(columns[-2])))
+    summed = cut.rollup("lang", *columns).agg(F.sum("c").alias("f"))
     words = F.filter(F.array(*columns), lambda w: w.isNotNull())  # a null was rolled up, an empty word is padding
     whole = summed.where("lang is not null").select("lang", words.alias("words"), "f").where(~F.array_contains("words", F.lit("")))
     whole = materialise(whole.where((F.col("f") >= least) | (F.size("words") == 0)), "phrases")
