@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 
 from linework.plans.numbering import numbered
 from linework.plans.tables import materialise
-from linework.sources.encodings import decode, decoded, with_encoding
-from linework.sources.lines import numbered_lines
+from linework.sources.files import line_splits, manifest, read_splits, with_encodings
 
 #: Rows of a batch that goes back to Spark.
 BATCH = 4096
@@ -129,21 +128,16 @@ def _states(lines: DataFrame) -> DataFrame:
     return rows.select(*split, "file_line", "raw", "open", F.coalesce("record", "_carried").alias("record"), F.when(F.col("open"), F.col("within")).otherwise(F.col("out")).alias("goes_on"))
 
 
-def split_delimited(spark: SparkSession, paths: str | list[str], delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
-    """(path, row_no, cells) of files of any size, each read in many splits; for encodings that keep ASCII bytes.
+def split_delimited(spark: SparkSession, paths: str | list[str], delimiter: str = ",", encoding: str = "auto") -> DataFrame:
+    """(path, row_no, cells) of files of any size, each read in many splits.
 
     The text goes once between tasks, to put the lines of a split in order; a record of one line is parsed
     where it lies and only the lines of longer ones meet.
     """
-    read = spark.read.option("lineSep", "\n").text(paths)
-    meta = F.col("_metadata")
-    raw = F.make_valid_utf8("value") if encoding == "utf-8" else decode(F.col("value").cast("binary"), F.lit(encoding))
-    size = F.octet_length("value") + 1
-    pieces = read.select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), meta["file_size"].alias("_size"), size.alias("_bytes"), raw.alias("raw"))
-    # a last line that has its end is told by the size (with or without a mark of three bytes)
-    files = pieces.groupBy("path").agg((F.sum("_bytes") - F.max("_size")).isin(0, -3).alias("_whole"), F.count(F.lit(1)).alias("_lines"))
-    lines = numbered_lines(pieces.select("path", "block", "raw")).join(files, "path")
-    last = (F.col("file_line") == F.col("_lines")) & F.col("_whole")
+    splits = line_splits(with_encodings(manifest(spark, paths), encoding))
+    # a last line that has its end, and only that, ends in LF here
+    lines = read_splits(splits).join(splits.groupBy("path").agg(F.sum("n").alias("_lines")), "path")
+    last = (F.col("file_line") == F.col("_lines")) & F.col("ended")
     out, within = _line_ends(F.col("raw"), delimiter)
     rows = _states(lines.select("path", "block", "file_line", F.when(last, F.concat("raw", F.lit("\n"))).otherwise(F.col("raw")).alias("raw"), out.alias("out"), within.alias("within")))
     rows = materialise(rows, "delimited-lines")
@@ -155,7 +149,5 @@ def split_delimited(spark: SparkSession, paths: str | list[str], delimiter: str
 
 
 def read_delimited(spark: SparkSession, paths: str | list[str], delimiter: str | None = None, encoding: str = "auto") -> DataFrame:
-    """(path, row_no, cells) of files, each read whole; the encoding is found per file."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    text = decoded(with_encoding(files, encoding)).select("path", "text")
-    return parse_delimited(text, ["path"], "text", resolve_delimiter(delimiter, paths if isinstance(paths, str) else paths[0]))
+    """(path, row_no, cells) of files of any size; the encoding is found per file, the delimiter from the first path's extension."""
+    return split_delimited(spark, paths, resolve_delimiter(delimiter, paths if isinstance(paths, str) else paths[0]), encoding)

@@ -138,19 +138,6 @@ def decoded(files: DataFrame, content_col: str = "content") -> DataFrame:
     return files.withColumn("text", decode(without_bom(content, id_), id_))
 
 
-def read_documents(spark: SparkSession, paths: str | list[str], encoding: str = "auto", cap: int = CAP) -> DataFrame:
-    """(path, text, bytes, truncated, encoding): the first ``cap`` bytes of each file."""
-    files = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.substring("content", 1, cap).alias("content"))
-    text = decoded(with_encoding(files, encoding))
-    return text.select("path", "text", "bytes", (F.col("bytes") > cap).alias("truncated"), "encoding")
-
-
-def stat_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, mtime_ms, size) without reading contents."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", F.coalesce(F.unix_millis("modificationTime"), F.lit(0)).alias("mtime_ms"), F.col("length").alias("size"))
-
-
 def preview_lines(text: Column, truncated: Column, n: int = 14) -> Column:
     """The first lines of a text; at the end of a cut read, marks of a cut character go."""
     clean = F.regexp_replace(text, r"\A\x{FEFF}", "")

@@ -2,94 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.plans.tables import materialise
-from linework.sources.encodings import SAMPLE, decode, encoding_id, with_encoding
-
-#: A row of some 100 bytes for each split is broadcast up to this number of splits.
-BROADCAST_SPLITS = 200_000
-
-
-def numbered_lines(raw: DataFrame) -> DataFrame:
-    """(path, block, file_line, raw) by two passes: rows of a split are consecutive, so a row's place in
-    its split is a difference of ids, and the splits' counts add up to where each begins. No row moves
-    unless there are more than BROADCAST_SPLITS splits."""
-    rows = raw.withColumn("_id", F.monotonically_increasing_id())
-    splits = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = materialise(splits.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "splits")
-    few = splits.count() <= BROADCAST_SPLITS
-    return rows.join(F.broadcast(splits) if few else splits, ["path", "block"]).select("path", "block", (F.col("base") + F.col("_id") - F.col("first") + 1).alias("file_line"), "raw")
-
-
-def _pieces(spark: SparkSession, paths: str | list[str], end: str) -> DataFrame:
-    read = spark.read.option("lineSep", end).text(paths)
-    meta = F.col("_metadata")
-    return read.select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), F.col("value").alias("raw"))
-
-
-def file_samples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, content): the first SAMPLE bytes of every file, read by Spark's file system one after the other."""
-    hadoop, rows = spark._jsc.hadoopConfiguration(), []
-    for pattern in [paths] if isinstance(paths, str) else paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-        fs = path.getFileSystem(hadoop)
-        todo = list(fs.globStatus(path) or ())
-        while todo:
-            status = todo.pop()
-            if status.isDirectory():
-                todo += list(fs.listStatus(status.getPath()))
-            elif not status.getPath().getName().startswith(("_", ".")):
-                stream = fs.open(status.getPath())
-                rows.append((status.getPath().toString(), bytearray(stream.readNBytes(SAMPLE))))
-                stream.close()
-    return spark.createDataFrame(rows, "path string, content binary")
-
+from linework.sources.files import line_splits, manifest, read_splits, with_encodings, without_cr
 
 def read_lines(spark: SparkSession, paths: str | list[str], encoding: str = "auto") -> DataFrame:
-    """(path, file_line, text) of files: split at LF only, one CR before it dropped.
+    """(path, file_line, text) of files: split at LF only, one CR before it dropped, a mark at the start dropped.
 
-    With ``auto`` the encoding is found per file from its first bytes. Encodings that keep ASCII bytes split by bytes and decode afterwards; UTF-16 is split at its own line
-    ends, which count only at even places.
+    With ``auto`` the encoding is found per file from its first bytes. Encodings that keep ASCII bytes split by bytes and decode
+    afterwards; UTF-16 is split at its own line ends, which count only at even places. Two passes over the files as they are now, the
+    first of which counts; a range that has other lines by the second is an error.
     """
-    found = spark.range(1).select(encoding_id(F.lit(encoding))).first()[0]
-    if found is None:  # also of an unknown name
-        kinds = with_encoding(file_samples(spark, paths)).groupBy("encoding.id").agg(F.collect_list("path").alias("paths")).collect()
-        parts = [read_lines(spark, list(k["paths"]), k["id"]) for k in kinds]
-        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "path string, file_line long, text string")
-    if found.startswith("utf-16"):
-        return _read_utf16(spark, paths, found)
-    lines = numbered_lines(_pieces(spark, paths, "\n"))
-    raw = F.col("raw") if found == "utf-8" else decode(F.col("raw").cast("binary"), F.lit(found))
-    text = F.regexp_replace(F.make_valid_utf8(raw) if found == "utf-8" else raw, r"\r\z", "")
-    return lines.select("path", "file_line", text.alias("text"))
-
-
-def _read_utf16(spark: SparkSession, paths: str | list[str], found: str) -> DataFrame:
-    """Pieces between the two bytes of a line end, wherever these stand; a piece whose end is at an odd
-    place is joined to the next one."""
-    end = "\n\0" if found == "utf-16le" else "\0\n"
-    pieces = numbered_lines(_pieces(spark, paths, end)).withColumn("size", F.octet_length("raw") + 2)
-    within = Window.partitionBy("path", "block").orderBy("file_line")
-    sums = pieces.groupBy("path", "block").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = pieces.join(sums, ["path", "block"]).withColumn("stop", F.col("base") + F.sum("size").over(within) - 2)
-    real = placed.withColumn("real", (F.col("stop") % 2 == 0).cast("int"))
-    counts = real.groupBy("path", "block").agg(F.sum("real").alias("n"))
-    counts = counts.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ends"))
-    upto = within.rowsBetween(Window.unboundedPreceding, -1)
-    joined = real.join(counts, ["path", "block"]).withColumn("line", F.col("ends") + F.coalesce(F.sum("real").over(upto), F.lit(0)) + 1)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("file_line", "raw"))), lambda x: x["raw"])
-    whole = joined.groupBy("path", "line").agg(F.array_join(parts, end).cast("binary").alias("raw"))
-    mark = "FFFE" if found == "utf-16le" else "FEFF"
-    first = (F.col("line") == 1) & (F.hex(F.substring("raw", 1, 2)) == mark)
-    text = decode(F.when(first, F.substr("raw", F.lit(3))).otherwise(F.col("raw")), F.lit(found))
-    return whole.select("path", F.col("line").alias("file_line"), F.regexp_replace(text, r"\r\z", "").alias("text"))
+    splits = line_splits(with_encodings(manifest(spark, paths), encoding))
+    return read_splits(splits).select("path", "file_line", without_cr(F.col("raw")).alias("text"))
 
 
 def route_files(files: DataFrame, path_col: str = "path") -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from linework.sources import delimited, encodings, lines
+from linework.sources import delimited, encodings, files, lines
 
 
 @pytest.mark.parametrize("text, rows", [
@@ -74,9 +74,9 @@ def test_numbers_do_not_depend_on_splits(spark, tmp_path, size):
 
 def test_documents_stats_previews(spark, tmp_path):
     (tmp_path / "d.md").write_bytes(b"\xef\xbb\xbf" + "é".encode() * 10)
-    row = encodings.read_documents(spark, str(tmp_path / "d.md"), cap=8).first()
+    row = files.read_documents(spark, str(tmp_path / "d.md"), cap=8).first()
     assert (row.text, row.bytes, row.truncated, row.encoding.id) == ("éé�", 23, True, "utf-8")
-    assert encodings.stat_files(spark, str(tmp_path)).first()["size"] == 23
+    assert files.stat_files(spark, str(tmp_path)).first()["size"] == 23
     shown = spark.createDataFrame([("a\r\nb\rc\n�", True), ("", False), ("a\n", False)], "t string, cut boolean").select(encodings.preview_lines(F.col("t"), F.col("cut")))
     assert [r[0] for r in shown.collect()] == [["a", "b", "c"], [], ["a"]]
     kinds = lines.route_files(spark.createDataFrame([("a/b.BIN",), ("c.tsv",), ("x.markdown",), ("log.1",)], "path string"))
