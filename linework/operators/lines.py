@@ -201,8 +201,11 @@ def newest_generation(lines: DataFrame, path_col: str = "path") -> DataFrame:
 
 
 def append_batches(*batches: DataFrame, key: tuple[str, ...] = ("doc_id", "file_line")) -> DataFrame:
-    """Batches as one table; a line that two batches have counts once."""
-    together = batches[0]
-    for b in batches[1:]:
-        together = together.unionByName(b)
-    return together.dropDuplicates(list(key))
+    """Batches as one table; of a line that two batches have, that of the later one counts (within a batch, the greatest)."""
+    columns = batches[0].columns
+    rest = [c for c in columns if c not in key]
+    together = batches[0].withColumn("_batch", F.lit(0))
+    for i, b in enumerate(batches[1:], 1):
+        together = together.unionByName(b.withColumn("_batch", F.lit(i)))
+    latest = together.groupBy(*key).agg(F.max(F.struct("_batch", *rest)).alias("_x"))
+    return latest.select(*[c if c in key else F.col("_x")[c].alias(c) for c in columns])

@@ -56,18 +56,26 @@ def encoding_id(name: Column) -> Column:
     return F.coalesce(F.when(raw.isin(ids), raw), F.when(key.isin(ids), key), F.try_element_at(alias, key), F.try_element_at(alias, raw))
 
 
+def begins_utf8(data: bytes | None) -> bool:
+    """Whether bytes are the beginning of valid UTF-8; a cut character at the end is allowed."""
+    try:
+        codecs.getincrementaldecoder("utf-8")("strict").decode(data or b"", False)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 @F.pandas_udf(T.BooleanType())
 def _utf8_start(sample: pd.Series) -> pd.Series:
-    """Whether bytes are the beginning of valid UTF-8; a cut character at the end is allowed."""
+    return sample.map(begins_utf8)
 
-    def ok(data: bytes | None) -> bool:
-        try:
-            codecs.getincrementaldecoder("utf-8")("strict").decode(data or b"", False)
-        except UnicodeDecodeError:
-            return False
-        return True
 
-    return sample.map(ok)
+def detect_bytes(head: bytes) -> str:
+    """The id that detected() finds, of bytes at hand in a task."""
+    for e in ENCODINGS:
+        if e[4] and head.startswith(bytes.fromhex(e[4])):
+            return e[0]
+    return "utf-8" if begins_utf8(head[:SAMPLE]) else FALLBACK
 
 
 def bom_of(content: Column) -> Column:

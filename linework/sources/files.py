@@ -185,7 +185,7 @@ def manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, size, mtime_ms) of files, listed by Spark and written once, so that all that follows is of one state.
     A pattern that nothing fits has no files; Spark does not list files of no bytes."""
     try:
-        files = spark.read.format("binaryFile").load(paths)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     except AnalysisException as problem:
         if "PATH_NOT_FOUND" not in str(problem) or not any(c in p for p in ([paths] if isinstance(paths, str) else paths) for c in "*?[{"):
             raise
