@@ -5,7 +5,7 @@ pairs of rows whose overlap, an entry of the matrix times its transpose, is larg
 is made by blocks of columns (a shuffle of the entries by n-gram) and never in full:
 
 * Columns stand in one order for all rows, rarer ones (by counts of hash slots over all rows) first. In this order two rows
-  that link must meet MEET times in the first columns of both; how far to look follows from their sizes (meets()). Entries
+  that link must meet must_meet() times in the first columns of both; how far to look follows from their sizes (meets()). Entries
   beyond that are never dealt.
 * First, in each column, only the products with the column's central row (that with the commonest n-grams, mostly the
   text that others were copied from) are added up, which are as many as entries. Each row is compared with the central row with which it
@@ -41,8 +41,6 @@ SHINGLE = 5
 PERCENT = 80
 #: Slots of the n-grams' counts (a power of two) and slots of one row of the table of counts.
 SLOTS, SLAB = 1 << 21, 1 << 14
-#: Columns in which linked rows must meet among their first ones, if they have as many in common.
-MEET = 2
 #: Rounds of comparisons with central rows.
 ROUNDS = 2
 #: Bits that say which documents' texts are wanted: 4 MB to broadcast.
@@ -76,11 +74,23 @@ def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCE
     return -(-percent * (a + b) // (100 + percent))
 
 
+def must_meet(least):
+    """In how many of its first columns a pair of rows is to meet that needs ``least`` common ones: some hundredths of
+    them, so that rows that meet by chance are told apart."""
+    return np.minimum(least, 2 + least // 50)
+
+
+def needed(a: str, b: str, percent: int) -> str:
+    """SQL for must_meet(least_overlap(a, b))."""
+    least = f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
+    return f"least({least}, 2 + {least} div 50)"
+
+
 def meets(a, place_a, b, place_b, percent: int = PERCENT):
     """Whether rows of a and b elements with a common column at these places (from 0) may have it among the first
-    MEET they have in common, if they link: after the k-th of at least ``least`` common ones there are ``least`` - k more."""
+    must_meet() ones they have in common, if they link: after the k-th of at least ``least`` common ones there are ``least`` - k more."""
     least = least_overlap(a, b, percent)
-    return np.minimum(a - place_a, b - place_b) > least - np.minimum(MEET, least)
+    return np.minimum(a - place_a, b - place_b) > least - must_meet(least)
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -144,7 +154,7 @@ def _entries(shared, shingle: int, percent: int):
                     continue
                 counts = table[_slot(h)]
                 least = -(-percent * n // 100)
-                first = n - least + min(MEET, least)
+                first = n - least + int(must_meet(least))
                 order = np.lexsort((h, counts))[:first]
                 rows.append(_digest(h))
                 times.append(first)
@@ -292,18 +302,19 @@ class Join:
         entries = self.texts_of(self.rows).select("text").mapInArrow(_entries(self.table, self.shingle, percent), "gram long, row binary, size int, place int, centre float")
         dealt = entries.repartition("gram").sortWithinPartitions("gram", "centre", "row").select("gram", "row", "size", "place")
         shared = materialise(dealt.mapInArrow(_central, "gram long, row binary, size int, place int, c_row binary, c_size int, c_place int"), "shared-columns")
-        found, roots = None, None
+        # how often each row met a central one; too seldom is left to the exact step
+        near = shared.where(f"row != c_row and 100 * size >= {percent} * c_size and 100 * c_size >= {percent} * size")
+        near = near.groupBy("row", "c_row").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("c_size").alias("c_size"))
+        near = materialise(near.where(f"n >= {needed('size', 'c_size', percent)}").select("row", "c_row", "n").withColumns({"root": F.col("row"), "c_root": F.col("c_row")}), "near-rows")
+        found = None
         for turn in range(ROUNDS):
-            near = shared.where(f"row != c_row and 100 * size >= {percent} * c_size and 100 * c_size >= {percent} * size")
-            if roots is None:
-                near = near.withColumn("root", F.col("row"))
-            else:
-                near = near.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-                near = near.join(roots.select(F.col("node").alias("c_row"), F.col("root").alias("c_root")), "c_row", "left").where(F.col("root") != F.coalesce("c_root", "c_row"))
-            near = near.groupBy("root", "row", "c_row").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max(F.struct("n", "row", "c_row")).alias("x"))
-            new = self.compare(near.select(F.col("x.c_row").alias("u"), F.col("x.row").alias("v")), f"central{turn}")
+            best = near.groupBy("root").agg(F.max(F.struct("n", "row", "c_row")).alias("x"))
+            new = self.compare(best.select(F.col("x.c_row").alias("u"), F.col("x.row").alias("v")), f"central{turn}")
             found = new if found is None else found.unionByName(new)
             roots = materialise(connected_components(found), "central-roots")
+            of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"new_{name}"))
+            near = near.join(of("row"), "row", "left").join(of("c_row"), "c_row", "left")
+            near = near.select("row", "c_row", "n", F.coalesce("new_row", "row").alias("root"), F.coalesce("new_c_row", "c_row").alias("c_root")).where("root != c_root")
         entry = shared.select("gram", "row", "size", "place").join(roots.withColumnRenamed("node", "row"), "row", "left")
         entry = materialise(entry.withColumn("root", F.coalesce("root", "row")), "rooted-columns")
         mixed = entry.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"))
@@ -314,8 +325,7 @@ class Join:
         dealt = blocks.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "size")
         pairs = dealt.mapInArrow(_products(percent), "u binary, v binary, a int, b int")
         overlaps = pairs.groupBy("u", "v", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-        least = F.ceil(F.lit(percent) * (F.col("a") + F.col("b")) / (100 + percent))
-        return found.unionByName(self.compare(overlaps.where(F.col("n") >= F.least(F.lit(MEET), least)).select("u", "v"), "others"))
+        return found.unionByName(self.compare(overlaps.where(f"n >= {needed('a', 'b', percent)}").select("u", "v"), "others"))
 
     def components(self) -> DataFrame:
         """(id, size, component_id) of every document."""
