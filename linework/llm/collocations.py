@@ -5,12 +5,10 @@ padded beyond the piece's end. Only these windows are counted. As a phrase is th
 windows that start where it stands, a ROLLUP over the window's columns sums the counts of all shorter
 phrases, and of all words of a language, without exploding n-grams of any other length.
 
-A window is cut after a pair of words that is surely rarer than LEAST. The pairs' counts are first summed in
-SLOTS slots by hash; a slot below LEAST holds no pair that any wanted phrase could have, so no count of a wanted
-phrase changes. What tasks get is one bit per slot (16 MB), whatever the input. The more pairs share a slot the fewer
-windows are cut; beyond some billions of distinct pairs all windows move whole, and the result is the same.
-Windows move once, packed by a task's chunks; once together, those too rare for the longest two lengths are cut
-too, so that ROLLUP multiplies few rows.
+A window is cut before a word, pair or triple that is surely rarer than LEAST, as no wanted phrase has such a part. Their
+counts are first summed in SLOTS slots by hash; a slot below LEAST holds none that any wanted phrase could have, so no count of a wanted
+phrase changes, and a window of a rare word still counts as a word of its language. What tasks get is two bits per slot (16 MB each), whatever
+the input. The more fall in a slot the fewer windows are cut; beyond some billions of distinct pairs all windows move whole, and the result is the same.
 
 Each phrase with LEAST occurrences then meets its parts and the phrases around it in joins of written tables.
 
@@ -34,7 +32,7 @@ from pyspark.sql import functions as F
 from linework.plans.tables import materialise
 
 LONGEST, LEAST, TOP = 4, 30, 2000
-#: Slots of the pairs' counts; a power of two, 32768 at least. One bit of each is broadcast.
+#: Slots of counts; a power of two, 32768 at least. Two bits of each are broadcast.
 SLOTS = 1 << 27
 #: Characters whose windows are counted together before they leave a task.
 CHUNK = 4 << 20
@@ -61,10 +59,18 @@ class Chunk:
         self.words, self.langs = list(numbers), list(kinds)
         hashed = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
         salt = np.array([xxhash.xxh64_intdigest(x, 1) for x in self.langs], np.uint64)
-        h = hashed[self.word[:-1]] * np.uint64(0x9E3779B97F4A7C15) + hashed[self.word[1:]] + salt[self.lang[:-1]]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        self.slot = (h >> np.uint64(65 - slots.bit_length())).astype(np.int64)
-        self.paired = (self.word[:-1] != _BREAK) & (self.word[1:] != _BREAK)
+        shift, self.hashed, self.salt = np.uint64(65 - slots.bit_length()), hashed[self.word], salt[self.lang]
+        slot = lambda h: ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> shift).astype(np.int64)
+        pair = self.hashed[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.hashed[1:] + self.salt[:-1]
+        triple = (pair[:-1] ^ (pair[:-1] >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F) + self.hashed[2:]
+        self.slots = [slot(self.hashed * np.uint64(0x165667B19E3779F9) + self.salt), slot(pair), slot(triple)]
+        real = self.word != _BREAK
+        self.there = [real, real[:-1] & real[1:], real[:-2] & real[1:-1] & real[2:]]
+
+    def possible(self, k: int, bits: np.ndarray) -> np.ndarray:
+        """Where words (1), pairs (2), triples (3) begin that may be frequent, by the slots' bits."""
+        slot = self.slots[k - 1]
+        return self.there[k - 1] & ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 != 0)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[Chunk]:
@@ -81,31 +87,39 @@ def _chunks(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[Chunk]:
         yield Chunk(langs, texts, slots)
 
 
-def _pair_slots(slots: int):
-    """The slots of a task's pairs with their counts."""
+def _slot_counts(slots: int, shared=None):
+    """The slots of a task's words and pairs with their counts; given the bits of these, of the triples that may be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _chunks(batches, slots):
-            slot, n = np.unique(c.slot[c.paired], return_counts=True)
+            if shared is None:
+                found = np.concatenate([c.slots[0][c.there[0]], c.slots[1][c.there[1]]])
+            else:
+                pair = c.possible(2, shared.value)
+                found = c.slots[2][c.there[2] & pair[:-1] & pair[1:]]
+            slot, n = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
 
     return run
 
 
-def _windows(shared, longest: int, slots: int):
+def _windows(pairs, triples, longest: int, slots: int):
     """The padded windows of a task's chunks with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for c in _chunks(batches, slots):
-            kept = np.zeros(len(c.word), bool)  # the pair that begins here may be frequent
-            kept[:-1] = c.paired & ((bits[c.slot >> 3] >> (c.slot & 7).astype(np.uint8)) & 1 != 0)
-            at = np.flatnonzero(c.word != _BREAK)
-            code, goes = c.lang[at] * len(c.words) + c.word[at], np.ones(len(at), bool)
-            columns = [c.word[at]]
+            at = np.flatnonzero(c.there[0])
+            if not len(at):
+                continue
+            goes = c.possible(1, pairs.value)[at]
+            pair, triple = c.possible(2, pairs.value), c.possible(3, triples.value)
+            triple = triple & pair[:-1] & pair[1:]
+            held = lambda x, i: x[np.minimum(i, len(x) - 1)] if len(x) else np.zeros(len(i), bool)  # noqa: E731  what stands behind the end is never there
+            columns = [np.where(goes, c.word[at], _GAP)]
+            code = c.lang[at] * len(c.words) + columns[0]
             for k in range(1, longest):
-                goes = goes & kept[np.minimum(at + k - 1, len(kept) - 1)]
-                columns.append(np.where(goes, c.word[np.minimum(at + k, len(kept) - 1)], _GAP))
+                goes = goes & (held(pair, at) if k == 1 else held(triple, at + k - 2))
+                columns.append(np.where(goes, c.word[np.minimum(at + k, len(c.word) - 1)], _GAP))
                 code = np.unique(code, return_inverse=True)[1] * len(c.words) + columns[-1]
             _, first, n = np.unique(code, return_index=True, return_counts=True)
             words = pa.array(c.words, pa.binary()).cast(pa.string())
@@ -118,7 +132,7 @@ def _windows(shared, longest: int, slots: int):
 
 
 def _bitmap(pairs: DataFrame, least: int, slots: int) -> np.ndarray:
-    """One bit per slot: its pairs together are met ``least`` times. slots / 32768 rows of 4 KB."""
+    """One bit per slot: what falls there is together met ``least`` times. slots / 32768 rows of 4 KB."""
     found = pairs.groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select((F.col("slot") + 1).alias("s"))
     packed = found.groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b"))
     bits = np.zeros(slots // 8, np.uint8)
@@ -131,16 +145,12 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     """(phrases, totals): (lang, words, f) of all phrases of up to ``longest`` words met ``least`` times, and
     (lang, n) with the number of all words."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(rows.mapInArrow(_pair_slots(slots), "slot long, n long"), least, slots))
+    send, kind = docs.sparkSession.sparkContext.broadcast, "slot long, n long"
+    pairs = send(_bitmap(rows.mapInArrow(_slot_counts(slots), kind), least, slots))
+    triples = send(_bitmap(rows.mapInArrow(_slot_counts(slots, pairs), kind), least, slots))
     columns = [f"w{k + 1}" for k in range(longest)]
-    windows = rows.mapInArrow(_windows(shared, longest, slots), "lang string, " + ", ".join(f"{c} string" for c in columns) + ", c long")
-    # windows meet by all words but the last; what is too rare for the last two lengths is cut there, before anything is rolled up
-    held = ["lang", *columns[:-1]]
-    counted = windows.repartition(*held).groupBy("lang", *columns).agg(F.sum("c").alias("c"))
-    cut = counted.withColumn(columns[-1], F.when(F.col("c") >= least, F.col(columns[-1])).otherwise("")).groupBy("lang", *columns).agg(F.sum("c").alias("c"))
-    rare = F.sum("c").over(Window.partitionBy(*held)) < least
-    cut = cut.withColumn(columns[-2], F.when(rare, F.lit("")).otherwise(F.col(columns[-2])))
-    summed = cut.rollup("lang", *columns).agg(F.sum("c").alias("f"))
+    windows = rows.mapInArrow(_windows(pairs, triples, longest, slots), "lang string, " + ", ".join(f"{c} string" for c in columns) + ", c long")
+    summed = windows.rollup("lang", *columns).agg(F.sum("c").alias("f"))
     words = F.filter(F.array(*columns), lambda w: w.isNotNull())  # a null was rolled up, an empty word is padding
     whole = summed.where("lang is not null").select("lang", words.alias("words"), "f").where(~F.array_contains("words", F.lit("")))
     whole = materialise(whole.where((F.col("f") >= least) | (F.size("words") == 0)), "phrases")
