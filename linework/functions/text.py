@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +11,6 @@ DISPLAY = 2000
 STYLE = r"""(?i)\sstyle\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 #: Entities and what they stand for, in the order in which they are decoded.
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]
-#: Punctuation that a heading's id loses.
-CJK_PUNCTUATION = "。，、；：？！「」『』（）《》【】…—"
 
 
 def display_text(text: Column, mark: str = "…") -> Column:
@@ -43,7 +42,7 @@ def without_styles(html: Column) -> Column:
 
 #: What a heading's id replaces, before and after it is put in lower case.
 SLUG_MARKUP = [("`([^`]*)`", "$1"), ("[*_~]", ""), ("<[^>]*>", ""), (r"\[\^[^\]]+\]", ""), (r"^[\s　]+|[\s　]+$", "")]
-SLUG_SIGNS = [(r"[!-/:-@\[-`{-~" + CJK_PUNCTUATION + "]", ""), (r"[\s　]+", "-"), ("^-+|-+$", "")]
+SLUG_SIGNS = [(r"[!-/:-@\[-`{-~。，、；：？！「」『』（）《》【】…—]", ""), (r"[\s　]+", "-"), ("^-+|-+$", "")]
 
 
 def _replaced(text: Column, patterns: list[tuple[str, str]]) -> Column:
@@ -58,15 +57,36 @@ def slug(text: Column) -> Column:
     return F.when(found == "", "section").otherwise(found)
 
 
-def unique_ids(ids: Column) -> Column:
-    """array of ids, each changed by -2, -3, ... where it, or what it became, came before."""
+def stripped(text: Column) -> Column:
+    """Without white space at both ends, in one pass whatever stands there."""
+    return F.trim(text, F.lit(" \t\n\x0b\f\r"))
+
+
+@F.pandas_udf("array<string>")
+def _numbered_ids(ids: pd.Series) -> pd.Series:
+    def numbered(bases: list[str] | None) -> list[str] | None:
+        if bases is None:
+            return None
+        used, last, out = set(), {}, []
+        for base in bases:
+            name = base
+            if base in used:
+                n = last.get(base, 1) + 1
+                while f"{base}-{n}" in used:
+                    n += 1
+                last[base], name = n, f"{base}-{n}"
+            used.add(name)
+            out.append(name)
+        return out
 
-    def free(used: Column, base: Column) -> Column:
-        taken = lambda n: F.array_contains(used, F.concat(base, F.lit("-"), n.cast("string")))
-        next_free = F.element_at(F.filter(F.sequence(F.lit(2), F.size(used) + 2), lambda n: ~taken(n)), 1)
-        return F.when(~F.array_contains(used, base), base).otherwise(F.concat(base, F.lit("-"), next_free.cast("string")))
+    return ids.map(numbered)
 
-    return F.aggregate(ids, F.array().cast("array<string>"), lambda used, base: F.array_append(used, free(used, base)))
+
+def unique_ids(ids: Column) -> Column:
+    """array of ids, each changed by -2, -3, ... where it, or what it became, came before. Arrays in which an id occurs twice
+    go through a Python function, in time linear in their length."""
+    repeats = F.size(F.array_distinct(ids)) < F.size(ids)
+    return F.coalesce(_numbered_ids(F.when(repeats, ids)), ids)
 
 
 #: Patterns of the kinds of failure, tried in this order.

@@ -13,10 +13,22 @@ TAGS = ["style", "link", "meta", "base", "iframe", "frame", "frameset", "object"
 ATTRIBUTES = ["srcset", "formaction", "ping", "autofocus"]
 
 
+def _closed_only(html: Column, opener: str, closer: str) -> Column:
+    """``html`` with a mark in what opens behind the last closer, so that no pattern looks for an end that isn't there."""
+    head = F.regexp_extract(html, rf"(?is)\A.*{closer}", 0)
+    return F.concat(head, F.regexp_replace(F.substr(html, F.length(head) + 1), opener, "<\x01$1"))
+
+
 def text_nodes(html: Column) -> Column:
     """array of the texts between tags, without scripts, styles, comments and blank ones."""
+    for opener, closer in (("(?i)<(script\\b)", r"</script\s*>"), ("(?i)<(style\\b)", r"</style\s*>"), ("<(!--)", "-->")):
+        html = _closed_only(html, opener, closer)
     shown = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "<x>")
-    return F.filter(F.transform(F.split(shown, r"<[^>]*>", -1), unescape_html), lambda t: t.rlike(r"\S"))
+    shown = F.replace(shown, F.lit("<\x01"), F.lit("<"))
+    head = F.regexp_extract(shown, r"(?s)\A.*>", 0)  # what opens behind it is no tag
+    shown = F.concat(head, F.replace(F.substr(shown, F.length(head) + 1), F.lit("<"), F.lit("\x01\x01")))
+    cut = F.transform(F.split(shown, r"<[^>]*>", -1), lambda t: F.replace(t, F.lit("\x01\x01"), F.lit("<")))
+    return F.filter(F.transform(cut, unescape_html), lambda t: t.rlike(r"\S"))
 
 
 def find_in_pages(pages: DataFrame, term: str, key: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -107,15 +107,13 @@ def find_spans(text: Column, term: str, case_sensitive: bool = False, whole_word
 
 
 def merged_spans(spans: Column) -> Column:
-    """Spans in order with overlapping ones joined."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return F.aggregate(
-        spans,
-        none,
-        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
+    """Spans of one length in order, with overlapping ones joined: one begins where the span before has ended."""
+    none = F.lit(None).cast("int")
+    ends = F.concat(F.array(none), F.transform(spans, lambda s: s["end"]))  # of the span before
+    starts = F.concat(F.slice(F.transform(spans, lambda s: s["start"]), F.lit(2), F.greatest(F.size(spans), F.lit(1))), F.array(none))  # of the next one
+    begins = F.filter(F.zip_with(spans, ends, lambda s, e: F.when(s["start"] < e, none).otherwise(s["start"])), lambda x: x.isNotNull())
+    finishes = F.filter(F.zip_with(spans, starts, lambda s, n: F.when(n < s["end"], none).otherwise(s["end"])), lambda x: x.isNotNull())
+    return F.zip_with(begins, finishes, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
 
 
 def search_segments(text: Column, term: str, case_sensitive: bool = False, whole_word: bool = False) -> Column:

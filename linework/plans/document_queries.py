@@ -34,7 +34,7 @@ def notes(spark, sf_dir: str) -> DataFrame:
             .when(turn == 2, F.concat(F.lit("[^n"), s((n - 1) % 5), F.lit("]: "), t))
             .when(turn == 3, F.concat(F.lit("See [x](../d/"), s(n), F.lit(".md#in) and $a_{"), s(n), F.lit("}$ for $5 ![p](i%20/"), s(n), F.lit(".png) [t](#tha)")))
             .when(turn == 4, F.concat(F.lit("```"), F.when(n % 2 == 0, F.lit("sql x")).otherwise(F.lit(""))))
-            .when(turn == 6, F.lit("~~~"))
+            .when(turn == 6, F.lit("```"))
             .otherwise(F.concat(F.lit("## "), t))
         )
 
@@ -188,3 +188,53 @@ def route_files(spark, sf_dir):
     extension = F.element_at(F.array(*map(F.lit, (".BIN", ".tsv", ".md", ".log"))), (F.col("page_id") % 4 + 1).cast("int"))
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat("url", extension).alias("path"))
     return source_lines.route_files(pages).select("page_id", "kind")
+
+
+def fenced(spark, sf_dir: str) -> DataFrame:
+    """documents as Markdown with blocks that hold other fences: lines of nine turns."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    turns = ["    ```", "````", "```", "~~~ `", "````x", None, "`````  ", None, "   ~~~~ sql `x`"]  # by line % 9; the last is closed by the first of the next nine only if that is bare of indentation
+    line = lambda t, i: F.concat(F.coalesce(F.element_at(F.array(*map(F.lit, turns)), ((i + 1) % 9 + 1).cast("int")), F.concat(F.lit("## "), t)))
+    return docs.select("doc_id", F.array_join(F.transform(lines.raw_lines(F.col("text")), line), "\n").alias("text"))
+
+
+#: Of nine lines the second opens a block that the seventh closes; the ninth opens one that only the eighteenth line's kind could close.
+_FENCED = """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS a, ends_with(text, chr(10)) AS closed FROM documents WHERE coalesce(text, '') != ''),
+l AS (SELECT doc_id, unnest(CASE WHEN closed THEN a[:len(a) - 1] ELSE a END) AS t, unnest(range(1, len(a) + CASE WHEN closed THEN 0 ELSE 1 END))::INT AS line FROM d)
+"""
+
+
+@query("md_fenced_blocks", _FENCED + "SELECT doc_id, line, CASE line WHEN 1 THEN '' ELSE 'sql' END AS lang FROM l WHERE line IN (1, 8)")
+def md_fenced_blocks(spark, sf_dir):
+    """A block is closed by its own sign in its own length only; one that nothing closes runs to the end."""
+    return markdown.code_blocks(fenced(spark, sf_dir), "doc_id")
+
+
+@query("md_outside_code", _FENCED + "SELECT doc_id, line, '## ' || t AS text FROM l WHERE line = 7")
+def md_outside_code(spark, sf_dir):
+    rows = markdown.line_arrays(fenced(spark, sf_dir), "doc_id").select("doc_id", F.inline_outer("ls")).where("outside and text != ''")
+    return rows.select("doc_id", "line", "text")
+
+
+def formulas(spark, sf_dir: str) -> DataFrame:
+    """documents, letters only, as Markdown whose text, code and formulas hold the same words."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+    def line(t, i):
+        t, turn = F.regexp_replace(t, "[^A-Za-z ]", "x"), (i + 1) % 6
+        made = [F.concat(F.lit("- **"), t, F.lit("** x")), F.concat(F.lit("so `the "), t, F.lit("` and $the x$ the")), F.lit("```"), t, F.lit("```"), F.concat(F.lit("$$the$$ "), t)]
+        return F.element_at(F.array(*made), (turn + 1).cast("int"))
+
+    return docs.select("doc_id", F.array_join(F.transform(lines.raw_lines(F.col("text")), line), "\n").alias("text"))
+
+
+@query("md_find", _FENCED + r""", m AS (SELECT doc_id, line, line % 6 AS turn, regexp_replace(t, '[^A-Za-z ]', 'x', 'g') AS t FROM l),
+made AS (SELECT *, CASE turn WHEN 0 THEN '- **' || t || '** x' WHEN 1 THEN 'so `the ' || t || '` and $the x$ the' WHEN 2 THEN '```' WHEN 3 THEN t WHEN 4 THEN '```' ELSE '$$the$$ ' || t END AS made FROM m),
+placed AS (SELECT *, sum(length(made) + 1) OVER (PARTITION BY doc_id ORDER BY line) - length(made) - 1 AS base FROM made),
+node AS (SELECT doc_id, 'text' AS kind, base + 4 AS base, t FROM placed WHERE turn = 0 UNION ALL SELECT doc_id, 'code', base + 4, 'the ' || t FROM placed WHERE turn = 1
+  UNION ALL SELECT doc_id, 'text', base + length(made) - 3, 'the' FROM placed WHERE turn = 1 UNION ALL SELECT doc_id, 'code', base, t FROM placed WHERE turn = 3 UNION ALL SELECT doc_id, 'text', base + 8, t FROM placed WHERE turn = 5),
+piece AS (SELECT doc_id, kind, base, string_split(lower(t), 'the') AS p FROM node), part AS (SELECT doc_id, kind, base, len(p) AS n, unnest(p) AS x, unnest(range(1, len(p) + 1)) AS i FROM piece)
+SELECT doc_id, kind, "offset" FROM (SELECT doc_id, kind, (base + sum(length(x) + 3) OVER (PARTITION BY doc_id, kind, base ORDER BY i) - 3)::INT AS "offset", i, n FROM part) WHERE i < n""")
+def md_find(spark, sf_dir):
+    """A word in texts and code, never in formulas."""
+    return markdown.find_in_nodes(markdown.nodes(formulas(spark, sf_dir), "doc_id"), "The", "doc_id").select("doc_id", "kind", "offset")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.operators import filters, lines, search
+from linework.operators import asof, filters, lines, search
 from linework.operators.filters import FilterSpec
 from linework.plans.tables import new_path
 
@@ -327,3 +327,32 @@ def from_line(spark, sf_dir):
 @query("smoothed_block_lens", LOG + ", r AS (SELECT doc_id, file_line, avg(bytes) OVER (PARTITION BY doc_id, (file_line - 1) // 4) AS bytes FROM places) SELECT doc_id, (file_line - 1) // 6 AS block, avg(bytes) AS avg_len FROM r GROUP BY ALL")
 def smoothed_block_lens(spark, sf_dir):
     return lines.block_avg_lens(places(spark, sf_dir), 6, smooth=4)
+
+
+#: Every third document is part of one log, so that this holds a third of all lines.
+_ASOF = LOG + hits_sql("the") + """, h AS (SELECT CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id END AS log, doc_id, file_line, pos AS "offset" FROM hit),
+k AS (SELECT CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id END AS log, doc_id, unnest([0, 2, 5, 400])::BIGINT AS file_line, unnest([0, 3, 40, 7])::INT AS "offset" FROM documents),
+"""
+
+
+@query("cursor_hits", _ASOF + """s AS (SELECT log, (doc_id * 1000000 + file_line) * 1000000 + "offset" AS p FROM h), e AS (SELECT log, min(p) AS lo, max(p) AS hi FROM s GROUP BY log),
+c AS (SELECT log, (doc_id * 1000000 + file_line) * 1000000 + "offset" AS p FROM k),
+a AS (SELECT c.*, n.p AS np FROM c ASOF LEFT JOIN s n ON c.log = n.log AND c.p < n.p), b AS (SELECT a.*, v.p AS vp FROM a ASOF LEFT JOIN s v ON a.log = v.log AND a.p > v.p)
+SELECT b.log, b.p AS cursor, coalesce(np, lo) AS next_hit, coalesce(vp, hi) AS prev_hit FROM b LEFT JOIN e ON b.log = e.log""")
+def cursor_hits(spark, sf_dir):
+    """The hits behind and before many cursors, around the ends."""
+    whole = F.when(F.col("doc_id") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("doc_id")).alias("log")
+    hits = search.search_lines(log(spark, sf_dir), "the").select(whole, "doc_id", "file_line", "offset")
+    places = F.arrays_zip(F.array(*[F.lit(x).cast("long") for x in (0, 2, 5, 400)]).alias("l"), F.array(*map(F.lit, (0, 3, 40, 7))).alias("o"))
+    cursors = docs(spark, sf_dir).select(whole, "doc_id", F.explode(places).alias("x")).select("log", "doc_id", F.col("x.l").alias("file_line"), F.col("x.o").alias("offset"))
+    found = asof.seek_hits(hits, cursors, "log", ["doc_id", "file_line", "offset"])
+    number = lambda at="": ((F.col(f"{at}doc_id") * 1000000 + F.col(f"{at}file_line")) * 1000000 + F.col(f"{at}offset"))
+    return found.select("log", number().alias("cursor"), number("next_hit.").alias("next_hit"), number("prev_hit.").alias("prev_hit"))
+
+
+@query("offsets_to_lines", LOG + """, k AS (SELECT doc_id, unnest([0, 10, 100, 1000, strlen(coalesce(text, ''))])::BIGINT AS "at" FROM documents), e AS (SELECT doc_id, file_line, byte_offset + bytes AS b FROM places WHERE complete)
+SELECT k.doc_id, k."at", coalesce(e.file_line, 0)::BIGINT AS lines FROM k ASOF LEFT JOIN e ON k.doc_id = e.doc_id AND k."at" >= e.b""")
+def offsets_to_lines(spark, sf_dir):
+    """Many byte offsets of each text, each to the complete lines before it."""
+    at = F.array(*[F.lit(x).cast("long") for x in (0, 10, 100, 1000)], F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
+    return asof.offsets_to_lines(docs(spark, sf_dir).select("doc_id", F.explode(at).alias("at")), places(spark, sf_dir))
