@@ -14,7 +14,8 @@ is made by blocks of columns (a shuffle of the entries by n-gram) and never in f
 * Then columns whose rows are already of one component are left out, and overlaps are accumulated for pairs of rows of different
   components. Pairs that met less often than they must are discarded, the rest compared.
 
-Comparing joins the two texts, once per pair, and is exact up to equal 64-bit hashes of different n-grams within one pair.
+Comparing joins the two texts, once per pair, and is exact up to equal 64-bit hashes of different n-grams within one pair. A row
+is named by 128 bits of its set's hash, in entries by 64 bits of that; rows that share these are compared one by one.
 A column of many rows is dealt in pairs of chunks, and an output row is made only for a pair that passes the size bounds.
 
 Defined results: a null text is an empty one, has no n-grams and links with nothing, not even other empty ones;
@@ -41,6 +42,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Slots of the n-grams' counts (a power of two) and slots of one row of the table of counts.
 SLOTS, SLAB = 1 << 21, 1 << 14
+#: One in so many of the common columns that a pair needs must be among its first ones; of those with a central row, to be compared with it.
+PART, OFTEN = 50, 12
 #: Rounds of comparisons with central rows.
 ROUNDS = 2
 #: Bits that say which documents' texts are wanted: 4 MB to broadcast.
@@ -77,13 +80,13 @@ def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCE
 def must_meet(least):
     """In how many of its first columns a pair of rows is to meet that needs ``least`` common ones: some hundredths of
     them, so that rows that meet by chance are told apart."""
-    return np.minimum(least, 2 + least // 50)
+    return np.minimum(least, 2 + least // PART)
 
 
-def needed(a: str, b: str, percent: int) -> str:
-    """SQL for must_meet(least_overlap(a, b))."""
+def needed(a: str, b: str, percent: int, part: int = PART) -> str:
+    """SQL for must_meet(least_overlap(a, b)), or another part."""
     least = f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
-    return f"least({least}, 2 + {least} div 50)"
+    return f"least({least}, 2 + {least} div {part})"
 
 
 def meets(a, place_a, b, place_b, percent: int = PERCENT):
@@ -108,6 +111,12 @@ def _digest(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
+def _key(digest: bytes) -> int:
+    """What names a row in entries: Spark's xxhash64 of its digest."""
+    found = xxhash.xxh64_intdigest(digest, 42)
+    return found - (1 << 64) if found >> 63 else found
+
+
 def _scan(shingle: int):
     """(id, h, size, row) of each text, row being the digest of its set; and the counts of n-grams by slot, in slabs."""
     names = ["id", "h", "size", "row", "slab", "counts"]
@@ -139,9 +148,9 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _entries(shared, shingle: int, percent: int):
-    """Entries of the incidence that can matter: (gram, row, size, place, centre) of the first columns of a text in
+    """Entries of the incidence that can matter: (gram, key, size, place, centre) of the first columns of a text in
     the order by count; centre rises with the rareness of all its n-grams."""
-    names = ["gram", "row", "size", "place", "centre"]
+    names = ["gram", "key", "size", "place", "centre"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -156,23 +165,22 @@ def _entries(shared, shingle: int, percent: int):
                 least = -(-percent * n // 100)
                 first = n - least + int(must_meet(least))
                 order = np.lexsort((h, counts))[:first]
-                rows.append(_digest(h))
+                rows.append(_key(_digest(h)))
                 times.append(first)
                 out.append((h[order].view(np.int64), np.full(first, n, np.int32), np.arange(first, dtype=np.int32), np.full(first, -np.log(counts).mean(), np.float32)))
             if rows:
                 gram, size, place, centre = (pa.array(np.concatenate(x)) for x in zip(*out, strict=True))
-                row = pa.array(rows, pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), times)))
-                yield pa.RecordBatch.from_arrays([gram, row, size, place, centre], names)
+                yield pa.RecordBatch.from_arrays([gram, pa.array(np.repeat(np.array(rows, np.int64), times)), size, place, centre], names)
 
     return run
 
 
-_ENTRY = [("gram", pa.int64()), ("row", pa.binary()), ("size", pa.int32()), ("place", pa.int32())]
-_CENTRAL = [("c_row", pa.binary()), ("c_size", pa.int32()), ("c_place", pa.int32())]
+_ENTRY = [("gram", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("place", pa.int32())]
+_CENTRAL = [("c_key", pa.int64()), ("c_size", pa.int32())]
 
 
 def _central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by (gram, centre, row): those of columns with several rows, each with the column's
+    """Of entries sorted by (gram, centre, key): those of columns with several rows, each with the column's
     central entry. Two entries are held, whatever a column's length."""
     central = last = None
     for batch in batches:
@@ -187,9 +195,9 @@ def _central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 central = last = entry
             elif entry[1] != last[1]:  # a repeated row stands beside itself
                 if last is central:
-                    out.append(central + central[1:])
+                    out.append(central + central[1:3])
                 last = entry
-                out.append(entry + central[1:])
+                out.append(entry + central[1:3])
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), _ENTRY + _CENTRAL, strict=True)], [n for n, _ in _ENTRY + _CENTRAL])
 
@@ -200,8 +208,7 @@ def _products(percent: int):
 
     def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
         gram, i, j, size, place, own = (np.asarray(table.column(k)).astype(np.int64) for k in range(6))
-        row = table.column(6).combine_chunks()
-        root = np.asarray(table.column(7).combine_chunks().dictionary_encode().indices)
+        row, root = (np.asarray(table.column(k)) for k in (6, 7))
         block = np.cumsum(np.concatenate([[True], (gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         across = i != j
         here, k = np.arange(len(gram)), 0
@@ -214,10 +221,9 @@ def _products(percent: int):
             good = (root[a] != root[b]) & (~across[a] | (own[a] != own[b])) & meets(size[a], place[a], size[b], place[b], percent)
             a, b = a[good], b[good]
             for low in range(0, len(a), 1 << 16):
-                x, y = (row.take(pa.array(c[low : low + (1 << 16)])) for c in (a, b))
-                turned = pa.compute.greater(x, y)
-                sizes = [pa.array(size[c[low : low + (1 << 16)]].astype(np.int32)) for c in (a, b)]
-                yield pa.RecordBatch.from_arrays([pa.compute.if_else(turned, y, x), pa.compute.if_else(turned, x, y), *sizes], ["u", "v", "a", "b"])
+                x, y = a[low : low + (1 << 16)], b[low : low + (1 << 16)]
+                sizes = [pa.array(size[c].astype(np.int32)) for c in (x, y)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(row[x], row[y])), pa.array(np.maximum(row[x], row[y])), *sizes], ["u", "v", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -273,7 +279,7 @@ class Join:
         self.table = docs.sparkSession.sparkContext.broadcast(table)
         # each row of the incidence with the smallest id that has it and the hash of that document's text
         least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("x")
-        self.rows = materialise(self.sets.where("row is not null").groupBy("row").agg(least).select("row", "x.id", "x.h"), "shingle-rows")
+        self.rows = materialise(self.sets.where("row is not null").groupBy("row").agg(least).select("row", F.xxhash64("row").alias("key"), "x.id", "x.h"), "shingle-rows")
 
     def texts_of(self, rows: DataFrame) -> DataFrame:
         """(id, h, text) of the documents that rows (with id and h) name, perhaps with some others: by a bit per hash of (id, h),
@@ -285,45 +291,50 @@ class Join:
         return marked.withColumn("_byte", byte).where("(shiftright(_byte, cast(_at % 8 as int)) & 1) = 1").select("id", "h", "text")
 
     def compare(self, pairs: DataFrame, label: str) -> DataFrame:
-        """Of the pairs (u, v) of rows those that link."""
+        """Of the pairs (u, v) of keys the pairs of rows that link."""
         pairs = materialise(pairs, f"{label}-pairs")
-        used = pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct()
-        used = materialise(used.join(self.rows, "row"), f"{label}-used")
+        used = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
+        used = materialise(used.join(self.rows, "key"), f"{label}-used")
         texts = self.texts_of(used).groupBy("id", "h").agg(F.first("text").alias("text")).alias("t")  # repeated rows are one
-        texts = texts.join(used.alias("r"), F.col("t.id").eqNullSafe(F.col("r.id")) & F.col("t.h").eqNullSafe(F.col("r.h"))).select("row", "text")
+        texts = texts.join(used.alias("r"), F.col("t.id").eqNullSafe(F.col("r.id")) & F.col("t.h").eqNullSafe(F.col("r.h"))).select("key", "row", "text")
         texts = materialise(texts, f"{label}-texts")
-        half = pairs.join(texts.select(F.col("row").alias("v"), F.col("text").alias("b")), "v")
-        both = half.join(texts.select(F.col("row").alias("u"), F.col("text").alias("a")), "u").select("u", "v", "a", "b")
+        of = lambda key, row, text: texts.select(F.col("key").alias(key), F.col("row").alias(row), F.col("text").alias(text))
+        both = pairs.join(of("v", "v_row", "b"), "v").join(of("u", "u_row", "a"), "u").select("u_row", "v_row", "a", "b")
         return materialise(both.mapInArrow(_linked(self.shingle, self.percent), "u binary, v binary"), f"{label}-links")
 
+    def roots(self, links: DataFrame) -> DataFrame:
+        """(key, root) of the linked rows, both as keys."""
+        found = connected_components(links)
+        return materialise(found.select(F.xxhash64("node").alias("key"), F.xxhash64("root").alias("root")), "central-roots")
+
     def links(self) -> DataFrame:
         """Pairs (u, v) of linked rows that connect whatever is linked."""
         percent = self.percent
-        entries = self.texts_of(self.rows).select("text").mapInArrow(_entries(self.table, self.shingle, percent), "gram long, row binary, size int, place int, centre float")
-        dealt = entries.repartition("gram").sortWithinPartitions("gram", "centre", "row").select("gram", "row", "size", "place")
-        shared = materialise(dealt.mapInArrow(_central, "gram long, row binary, size int, place int, c_row binary, c_size int, c_place int"), "shared-columns")
+        entries = self.texts_of(self.rows).select("text").mapInArrow(_entries(self.table, self.shingle, percent), "gram long, key long, size int, place int, centre float")
+        dealt = entries.repartition("gram").sortWithinPartitions("gram", "centre", "key").select("gram", "key", "size", "place")
+        shared = materialise(dealt.mapInArrow(_central, "gram long, key long, size int, place int, c_key long, c_size int"), "shared-columns")
         # how often each row met a central one; too seldom is left to the exact step
-        near = shared.where(f"row != c_row and 100 * size >= {percent} * c_size and 100 * c_size >= {percent} * size")
-        near = near.groupBy("row", "c_row").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("c_size").alias("c_size"))
-        near = materialise(near.where(f"n >= {needed('size', 'c_size', percent)}").select("row", "c_row", "n").withColumns({"root": F.col("row"), "c_root": F.col("c_row")}), "near-rows")
-        found = None
+        near = shared.where(f"key != c_key and 100 * size >= {percent} * c_size and 100 * c_size >= {percent} * size")
+        near = near.groupBy("key", "c_key").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("c_size").alias("c_size"))
+        near = near.where(f"n >= {needed('size', 'c_size', percent, OFTEN)}").select("key", "c_key", "n", F.col("key").alias("root"))
+        near, found = materialise(near, "near-rows"), None
         for turn in range(ROUNDS):
-            best = near.groupBy("root").agg(F.max(F.struct("n", "row", "c_row")).alias("x"))
-            new = self.compare(best.select(F.col("x.c_row").alias("u"), F.col("x.row").alias("v")), f"central{turn}")
+            best = near.groupBy("root").agg(F.max(F.struct("n", "key", "c_key")).alias("x"))
+            new = self.compare(best.select(F.col("x.c_key").alias("u"), F.col("x.key").alias("v")), f"central{turn}")
             found = new if found is None else found.unionByName(new)
-            roots = materialise(connected_components(found), "central-roots")
-            of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"new_{name}"))
-            near = near.join(of("row"), "row", "left").join(of("c_row"), "c_row", "left")
-            near = near.select("row", "c_row", "n", F.coalesce("new_row", "row").alias("root"), F.coalesce("new_c_row", "c_row").alias("c_root")).where("root != c_root")
-        entry = shared.select("gram", "row", "size", "place").join(roots.withColumnRenamed("node", "row"), "row", "left")
-        entry = materialise(entry.withColumn("root", F.coalesce("root", "row")), "rooted-columns")
+            roots = self.roots(found)
+            of = lambda name: roots.select(F.col("key").alias(name), F.col("root").alias(f"new_{name}"))
+            near = near.join(of("key"), "key", "left").join(of("c_key"), "c_key", "left")
+            near = near.where("coalesce(new_key, key) != coalesce(new_c_key, c_key)").select("key", "c_key", "n", F.coalesce("new_key", "key").alias("root"))
+        entry = shared.select("gram", "key", "size", "place").join(roots, "key", "left")
+        entry = materialise(entry.withColumn("root", F.coalesce("root", "key")), "rooted-columns")
         mixed = entry.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"))
         mixed = materialise(mixed.where("a != b").select("gram", F.ceil(F.col("n") / CHUNK).alias("chunks")), "mixed-columns")
-        blocks = entry.join(mixed, "gram").withColumn("own", F.pmod(F.xxhash64("row"), F.col("chunks")))
+        blocks = entry.join(mixed, "gram").withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")))
         blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        blocks = blocks.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "size", "place", "own", "row", "root")
+        blocks = blocks.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "size", "place", "own", "key", "root")
         dealt = blocks.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "size")
-        pairs = dealt.mapInArrow(_products(percent), "u binary, v binary, a int, b int")
+        pairs = dealt.mapInArrow(_products(percent), "u long, v long, a int, b int")
         overlaps = pairs.groupBy("u", "v", "a", "b").agg(F.count(F.lit(1)).alias("n"))
         return found.unionByName(self.compare(overlaps.where(f"n >= {needed('a', 'b', percent)}").select("u", "v"), "others"))
 
