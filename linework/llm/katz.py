@@ -22,8 +22,10 @@ sums of the history; these go through a second exchange of the same kind, from w
 weights that their unseen bigrams need. Keys of 64 bits make two of a billion n-grams share a count
 with a chance of about 3 percent.
 
-Defined results: a null text is the empty one, whose only token is the end; an id may repeat; a null
-train flag counts as false; without any training row N is 0 and both scores are 0.
+Defined results: a null text is the empty one, whose only token is the end; an id may repeat or be null; a null
+train flag counts as false, and a null id has a null ``held_out`` and trains nothing; without any training row N is 0 and both scores are 0; repeated rows
+count and are scored as often as they are there; texts and words may be of any length; other columns are left out, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

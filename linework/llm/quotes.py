@@ -56,7 +56,7 @@ def _lines(text: Column) -> Column:
 def without_quotes(text: Column) -> Column:
     """The lines of a message that are its own, trimmed."""
     own = F.array_join(F.filter(_lines(text), lambda line: ~line.rlike(MARK)), "\n")
-    return F.regexp_replace(own, r"^\s+|\s+$", "")
+    return F.trim(own, F.lit(" \t\n\x0b\f\r"))  # one pass, whatever runs of white space are within
 
 
 def _pieces(text: Column) -> Column:

@@ -129,7 +129,8 @@ class Rollup:
         return True
 
     def _publish(self, commits: DataFrame, name: str) -> None:
-        """Write commits aside and rename them into place."""
+        """Write commits aside and rename them into place: one step where the file system renames folders in one (local, HDFS); on an
+        object store, where it doesn't, the commits need a folder on such a file system."""
         aside = f"{self.path}/aside/{uuid.uuid4().hex}"
         commits.select(F.to_json(F.struct("batch_id", "folder")).alias("value")).write.text(aside)
         fs, source = self._fs(aside)
@@ -138,22 +139,25 @@ class Rollup:
         if not fs.exists(target):
             fs.rename(source, target)
 
-    def deltas(self) -> DataFrame:
+    def deltas(self, commits: DataFrame | None = None) -> DataFrame:
+        """The signed numbers of the committed batches, or of those given."""
         fs, path = self._fs(f"{self.path}/data")
         if not fs.exists(path):
             return self.spark.range(0).select(*[F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in DELTA.split(", ")])
-        return self.spark.read.schema(DELTA).parquet(f"{self.path}/data").join(self.commits().select("folder").distinct(), "folder", "left_semi")
+        return self.spark.read.schema(DELTA).parquet(f"{self.path}/data").join((self.commits() if commits is None else commits).select("folder").distinct(), "folder", "left_semi")
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens, chars over all batches."""
         return _summed(self.deltas())
 
     def compact(self, path: str) -> Rollup:
-        """The same totals as the single snapshot of a new rollup, which knows the batches in it."""
+        """The totals of the batches committed by now as the single snapshot of a new rollup, which knows just these. The
+        list of commits is read once; a batch that comes later can be committed to the new rollup."""
         new = Rollup(self.spark, path)
         folder = uuid.uuid4().hex
-        self.totals().write.parquet(f"{path}/data/folder={folder}")
-        new._publish(self.commits().select("batch_id", F.lit(folder).alias("folder")), "snapshot")
+        known = materialise(self.commits(), "commits")
+        _summed(self.deltas(known)).write.parquet(f"{path}/data/folder={folder}")
+        new._publish(known.select("batch_id", F.lit(folder).alias("folder")), "snapshot")
         return new
 
 

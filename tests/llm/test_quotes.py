@@ -145,3 +145,16 @@ def test_long_marks_and_lines(spark):
     assert [r.position for r in found] == [1, 2, 3, 4, 5, 6]
     assert [(r.turn, r.reply_to, r.n_quotes, r.n_linked) for r in found if r.turn != 3] == [(0, None, 0, 0), (1, 0, 1, 1), (2, 0, 1, 1), (4, None, 5000, 0)]
     assert {(r.turn, r.reply_to, r.n_quotes) for r in found if r.turn == 3} == {(3, None, 0), (3, 1, 1)}
+
+
+def test_long_runs_of_white_space(spark):
+    """A million spaces, tabs or line ends within a message take one pass."""
+    import time
+
+    n = 1_000_000
+    rows = [("c", 0, "a" + " " * n + "b"), ("c", 1, " \t" * (n // 2) + "x" + "\n" * 20), ("c", 2, "> " + "\t" * n), ("c", 3, "\n \n" * 2000 + "y")]
+    own = spark.createDataFrame(rows, "conv_id string, turn int, text string").select(quotes.without_quotes(quotes.F.col("text")).alias("t"))
+    own.limit(0).collect()
+    began = time.perf_counter()
+    assert [r.t for r in own.collect()] == ["a" + " " * n + "b", "x", "", "y"]
+    assert time.perf_counter() - began < 20

@@ -53,6 +53,25 @@ def test_a_crash_before_the_commit_and_two_writers(spark, tmp_path):
     assert totals(roll) == {("s", "en", "space-1"): (1, 2, 3)}
 
 
+def test_a_commit_during_a_compaction(spark, tmp_path, monkeypatch):
+    """It is neither in the snapshot's sums nor in its list of batches, so it is not lost."""
+    docs = tc.ledger(spark.createDataFrame([(1, "a b", "s", "en")], "doc_id long, text string, source string, lang string"), tc.PATTERNS)
+    roll, real = tc.Rollup(spark, str(tmp_path / "r")), tc._summed
+    changes = tc.whole(docs, "insert", ["space-1"])
+    roll.commit("a", changes)
+
+    def meanwhile(rows):
+        monkeypatch.setattr(tc, "_summed", real)
+        roll.commit("late", changes)
+        return real(rows)
+
+    monkeypatch.setattr(tc, "_summed", meanwhile)
+    small = roll.compact(str(tmp_path / "s"))
+    assert totals(small) == {("s", "en", "space-1"): (1, 2, 3)} and totals(roll) == {("s", "en", "space-1"): (2, 4, 6)}
+    assert not small.commit("a", changes) and small.commit("late", changes) and not small.commit("late", changes)
+    assert totals(small) == totals(roll)
+
+
 def test_empty_documents_and_clashing_names(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a " * 100_000, "s", "en", 1, "x")], "doc_id long, text string, source string, lang string, tokens int, counts string")
     versions = {"space-1": tc.PATTERNS["space-1"], "bpe": BPE, "bpe again": BPE}
