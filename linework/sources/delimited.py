@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 
 from linework.plans.numbering import numbered
 from linework.plans.tables import materialise
-from linework.sources.files import line_splits, manifest, read_splits, with_encodings
+from linework.sources.encodings import decoded, with_encoding
+from linework.sources.files import heads, line_splits, manifest, read_splits, with_encodings
 
 #: Rows of a batch that goes back to Spark.
 BATCH = 4096
+#: Rows and bytes (of decoded text, as UTF-8) of a preview.
+MAX_ROWS, MAX_BYTES = 200_000, 32 << 20
 #: Fixed names of delimiters.
 DELIMITERS = {"tab": "\t", "\\t": "\t", "comma": ",", "semicolon": ";", "pipe": "|"}
 
@@ -37,8 +40,8 @@ def resolve_delimiter(choice: str | None = None, path: str = "") -> str:
     return "\t" if path.lower().endswith(".tsv") else ","
 
 
-def records(text: str, delimiter: str = ",") -> Iterator[list[str]]:
-    """The records of a text."""
+def _ended(text: str, delimiter: str) -> Iterator[tuple[list[str], int, str]]:
+    """The records of a text, the place behind each, and what ended it: a line end, or nothing at the text's end."""
     d = re.escape(delimiter)
     field = re.compile(rf'(?:"((?:[^"]|"")*+)"?)?+([^{d}\r\n]*+)({d}|\r\n|\r|\n|\Z)')
     cells: list[str] = []
@@ -50,10 +53,68 @@ def records(text: str, delimiter: str = ",") -> Iterator[list[str]]:
         at, more = found.end(), end == delimiter
         if not more:
             if cells != [""]:
-                yield cells
+                yield cells, at, end
             cells = []
 
 
+def records(text: str, delimiter: str = ",") -> Iterator[list[str]]:
+    """The records of a text."""
+    for cells, _, _ in _ended(text, delimiter):
+        yield cells
+
+
+def capped_records(text: str, delimiter: str = ",", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[list[list[str]], bool]:
+    """(rows, truncated): the first records of a text. Reading stops with the character that reaches ``max_bytes`` of UTF-8 or
+    ends the last of ``max_rows``; the record in progress at a cap of bytes is dropped, and only what was really left over is truncation."""
+    limit = len(text)
+    if len(text) * 4 > max_bytes:
+        data = text.encode("utf-8", "surrogatepass")
+        if len(data) >= max_bytes:  # the character that reaches the cap is still read
+            stop = max_bytes
+            while stop < len(data) and data[stop] & 0xC0 == 0x80:
+                stop += 1
+            limit = len(data[:stop].decode("utf-8", "surrogatepass"))
+    hit = limit < len(text) or len(text.encode("utf-8", "surrogatepass")) >= max_bytes
+    rows = []
+    for cells, at, end in _ended(text[:limit], delimiter):
+        if end == "" and hit:
+            break
+        rows.append(cells)
+        if len(rows) == max_rows:
+            read = at - (end == "\r\n")  # the record ends with CR; LF is left over
+            return rows, end != "" and read < len(text)
+    return rows, limit < len(text)
+
+
+def preview_delimited(df: DataFrame, keys: list[str], text_col: str = "text", delimiter: str = ",", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, more: str | None = None) -> DataFrame:
+    """(keys, row_no, cells, truncated): the records of each text up to the caps; ``truncated`` on each row says whether text was left over,
+    also such as a boolean column ``more`` says is behind it. A text of which no record is read has one row with null cells."""
+    schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["row_no long", "cells array<string>", "truncated boolean"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column(len(keys))[i].as_py() or ""
+                rows, cut = capped_records(text, delimiter, max_rows, max_bytes)
+                cut = cut or bool(more and batch.column(len(keys) + 1)[i].as_py())
+                for first in range(0, max(1, len(rows)), BATCH):
+                    part = rows[first : first + BATCH] or [None]
+                    own = [batch.column(k).take(pa.array([i] * len(part))) for k in range(len(keys))]
+                    numbers = pa.array(range(first + 1, first + 1 + len(part)), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*own, numbers, pa.array(part, pa.list_(pa.string())), pa.array([cut] * len(part))], [*keys, "row_no", "cells", "truncated"])
+
+    return df.select(*keys, text_col, *([more] if more else [])).mapInArrow(run, schema)
+
+
+def preview_files(spark: SparkSession, paths: str | list[str], delimiter: str | None = None, encoding: str = "auto", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, row_no, cells, truncated) of the beginnings of files; of no file are more bytes read than the caps can need (no encoding
+    takes more than two bytes for a byte of UTF-8)."""
+    cap = 2 * max_bytes + 4
+    found = with_encoding(heads(manifest(spark, paths), cap), encoding)
+    text = decoded(found).select("path", "text", (F.col("size") > cap).alias("more"))
+    return preview_delimited(text, ["path"], "text", resolve_delimiter(delimiter, paths if isinstance(paths, str) else paths[0]), max_rows, max_bytes, "more")
+
+
 def parse_delimited(df: DataFrame, keys: list[str], text_col: str = "text", delimiter: str = ",", max_rows: int | None = None) -> DataFrame:
     """(keys, row_no, cells) of the text of each row; null is empty."""
     schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["row_no long", "cells array<string>"])

@@ -126,3 +126,40 @@ def test_previews_of_long_files(spark):
     assert long
     got = spark.createDataFrame([(t,) for t in long], "t string").select(encodings.preview(F.encode("t", "UTF-8"), F.lit("utf-8"))).collect()
     assert [r[0] for r in got] == [t.encode()[:8192].decode(errors="ignore").split("\n")[:14] for t in long]
+
+
+def _char_by_char(text, max_rows, max_bytes):
+    """The caps as a loop over characters would take them."""
+    read, consumed = "", 0
+    for c in text:
+        read += c
+        consumed += len(c.encode())
+        done = [r for r, _, end in delimited._ended(read, ",") if end]
+        if len(done) >= max_rows or consumed >= max_bytes:
+            return done[:max_rows], len(read) < len(text)
+    return list(delimited.records(text)), False
+
+
+@pytest.mark.parametrize("text", ["a,b\n1,2\nx", "a,b\r\n1,2\r\n", 'h\n"q\n""é",中\n\n5', "", "\n\n", '"open\nto the end', "a\rb\rc"])
+def test_caps_of_rows_and_bytes(text):
+    size = len(text.encode())
+    for rows in (1, 2, 3, 99):
+        for cap in [*range(1, size + 3), 10**6]:
+            assert delimited.capped_records(text, ",", rows, cap) == _char_by_char(text, rows, cap), (rows, cap)
+
+
+def test_previews_of_delimited_files(spark, tmp_path):
+    """At the cap less one, at the cap and one above; the rest of a huge file is not read."""
+    row = "中" * 10 + ",x\n"
+    (tmp_path / "a.csv").write_bytes((row * 50).encode())
+    (tmp_path / "b.csv").write_bytes(b"\xff\xfe" + (row * 50).encode("utf-16-le"))
+    with open(tmp_path / "c.csv", "wb") as f:
+        f.write(b"1,2\n" * 1000)
+        f.seek(5 << 30)
+        f.write(b"!")
+    n = len(row.encode())
+    for cap, rows, cut in ((n * 50 - 1, 49, True), (n * 50, 50, False), (n * 50 + 1, 50, False), (n * 20, 20, True)):
+        got = delimited.preview_files(spark, str(tmp_path / "[ab].csv"), max_bytes=cap).groupBy("path").agg(F.count("cells").alias("n"), F.max("truncated").alias("cut")).collect()
+        assert [(r.n, r.cut) for r in got] == [(rows, cut)] * 2
+    got = delimited.preview_files(spark, str(tmp_path / "c.csv"), max_rows=7, max_bytes=1 << 16).collect()
+    assert [r.cells for r in got] == [["1", "2"]] * 7 and got[0].truncated
