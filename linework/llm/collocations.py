@@ -34,6 +34,8 @@ from linework.plans.tables import materialise
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: Slots of counts; a power of two, 32768 at least. Two bits of each are broadcast.
 SLOTS = 1 << 27
+#: Slots of one row of counts or bits.
+PART = 1 << 15
 #: Characters whose windows are counted together before they leave a task.
 CHUNK = 4 << 20
 #: Code units that end a piece become line feeds, tabs spaces, A-Z small.
@@ -88,7 +90,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[Chunk]:
 
 
 def _slot_counts(slots: int, shared=None):
-    """The slots of a task's words and pairs with their counts; given the bits of these, of the triples that may be frequent."""
+    """(part, packed): the slots of a task's words and pairs with their counts; given the bits of these, of the triples that
+    may be frequent. A row has the slots of one PART in a chunk: their low bytes, their high bytes, their counts (255 at most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _chunks(batches, slots):
@@ -98,7 +101,28 @@ def _slot_counts(slots: int, shared=None):
                 pair = c.possible(2, shared.value)
                 found = c.slots[2][c.there[2] & pair[:-1] & pair[1:]]
             slot, n = np.unique(found, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
+            parts, first = np.unique(slot // PART, return_index=True)
+            planes = [(slot & 255).astype(np.uint8), (slot % PART >> 8).astype(np.uint8), np.minimum(n, 255).astype(np.uint8)]
+            packed = [b"".join(x[a:b].tobytes() for x in planes) for a, b in zip(first, [*first[1:], len(slot)])]
+            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(packed, pa.binary())], ["part", "packed"])
+
+    return run
+
+
+def _slot_bits(least: int):
+    """(part, bits) of a partition's packed counts: one bit for each slot that is met ``least`` times (255 at most)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, high, n = np.frombuffer(packed, np.uint8).reshape(3, -1).astype(np.int32)
+                if part not in sums:
+                    sums[part] = np.zeros(PART, np.int32)
+                at = low | high << 8
+                sums[part][at] = np.minimum(sums[part][at] + n, 1 << 20)
+        bits = [np.packbits(x >= min(least, 255), bitorder="little").tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(bits, pa.binary())], ["part", "bits"])
 
     return run
 
@@ -131,13 +155,12 @@ def _windows(pairs, triples, longest: int, slots: int):
     return run
 
 
-def _bitmap(pairs: DataFrame, least: int, slots: int) -> np.ndarray:
-    """One bit per slot: what falls there is together met ``least`` times. slots / 32768 rows of 4 KB."""
-    found = pairs.groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select((F.col("slot") + 1).alias("s"))
-    packed = found.groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b"))
+def _bitmap(rows: DataFrame, least: int, slots: int, shared=None) -> np.ndarray:
+    """One bit per slot: what falls there is together met ``least`` times. slots / PART rows of 4 KB."""
+    packed = rows.mapInArrow(_slot_counts(slots, shared), "part long, packed binary")
     bits = np.zeros(slots // 8, np.uint8)
-    for r in packed.toLocalIterator():
-        bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["b"], np.uint8)
+    for r in packed.repartition("part").mapInArrow(_slot_bits(least), "part long, bits binary").toLocalIterator():
+        bits[r["part"] * PART // 8 : (r["part"] + 1) * PART // 8] = np.frombuffer(r["bits"], np.uint8)
     return bits
 
 
@@ -145,11 +168,12 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     """(phrases, totals): (lang, words, f) of all phrases of up to ``longest`` words met ``least`` times, and
     (lang, n) with the number of all words."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    send, kind = docs.sparkSession.sparkContext.broadcast, "slot long, n long"
-    pairs = send(_bitmap(rows.mapInArrow(_slot_counts(slots), kind), least, slots))
-    triples = send(_bitmap(rows.mapInArrow(_slot_counts(slots, pairs), kind), least, slots))
+    send = docs.sparkSession.sparkContext.broadcast
+    pairs = send(_bitmap(rows, least, slots))
+    triples = send(_bitmap(rows, least, slots, pairs))
     columns = [f"w{k + 1}" for k in range(longest)]
     windows = rows.mapInArrow(_windows(pairs, triples, longest, slots), "lang string, " + ", ".join(f"{c} string" for c in columns) + ", c long")
+    windows = windows.groupBy("lang", *columns).agg(F.sum("c").alias("c"))  # few are left for ROLLUP to multiply
     summed = windows.rollup("lang", *columns).agg(F.sum("c").alias("f"))
     words = F.filter(F.array(*columns), lambda w: w.isNotNull())  # a null was rolled up, an empty word is padding
     whole = summed.where("lang is not null").select("lang", words.alias("words"), "f").where(~F.array_contains("words", F.lit("")))
