@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The length of a displayed text, and the pattern of a style attribute.
 DISPLAY = 2000
@@ -62,7 +63,7 @@ def stripped(text: Column) -> Column:
     return F.trim(text, F.lit(" \t\n\x0b\f\r"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _numbered_ids(ids: pd.Series) -> pd.Series:
     def numbered(bases: list[str] | None) -> list[str] | None:
         if bases is None:

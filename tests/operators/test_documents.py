@@ -104,3 +104,24 @@ def test_null_keys_of_a_diff_meet(spark):
     assert found(left, right) == [(2, "left_only", None, None), (3, "right_only", None, None), (None, "changed", "a", "x")]
     assert found(left.where("k = 1"), right.where("k is null or k = 1")) == [(None, "right_only", None, None)]
     assert tables.diff_totals(tables.keyed_diff(left, right, "k", ["v"]), left).first()["differing_rows"] == 3
+
+
+def test_fences_by_sign_and_length(spark):
+    source = "````md\n```py\n~~~\n````x\n`````\nout\n   ~~~ sql\n```\n~~\n    ~~~\n~~~~ \nout\n    ```\nout\n``` a`b\nout\n```rs\nnever closed\n~~~"
+    df = docs(spark, source)
+    rows = markdown.line_arrays(df, "path").select(F.inline_outer("ls")).where("outside").orderBy("line").collect()
+    assert [r.line for r in rows] == [6, 12, 13, 14, 15, 16]
+    assert [(r.line, r.lang) for r in markdown.code_blocks(df, "path").orderBy("line").collect()] == [(1, "md"), (7, "sql"), (17, "rs")]
+
+
+def test_nodes_and_find_skip_formulas(spark):
+    source = "# The *the* [the](the.md) $the$ `the` x\r\n- the ![the](i)\n```\nthe $x$\n\n```\n$$\nthe\n$$\n> 1 <b title='the'>the</b> \\(the\\)\x01"
+    found = markdown.nodes(docs(spark, source), "path")
+    rows = found.orderBy("node").collect()
+    assert all(source.replace("\x01", "�")[r.start : r.start + len(r.text)] == r.text for r in rows)
+    assert [r.text for r in rows if r.kind == "math"] == ["$the$", "$$\nthe\n$$", "\\(the\\)"] and [r.text for r in rows if r.kind == "code"] == ["the", "the $x$"]
+    hits = sorted(r.offset for r in markdown.find_in_nodes(found, "THE", "path").collect())
+    want = [source.index(s) + k for s, k in [("The", 0), ("*the", 1), ("[the]", 1), ("`the`", 1), ("- the", 2), ("![the", 2), ("the $x$", 0), (">the<", 1)]]
+    assert hits == sorted(want)
+    assert markdown.find_in_nodes(found, " ", "path").count() == 0
+    assert [r.offset for r in markdown.find_in_nodes(found, "The", "path", case_sensitive=True).collect()] == [2]
