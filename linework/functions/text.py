@@ -42,8 +42,8 @@ def without_styles(html: Column) -> Column:
 
 
 #: What a heading's id replaces, before and after it is put in lower case.
-SLUG_MARKUP = [("`([^`]*)`", "$1"), ("[*_~]", ""), ("<[^>]*>", ""), (r"\[\^[^\]]+\]", ""), (r"^[\s　]+|[\s　]+$", "")]
-SLUG_SIGNS = [(r"[!-/:-@\[-`{-~。，、；：？！「」『』（）《》【】…—]", ""), (r"[\s　]+", "-"), ("^-+|-+$", "")]
+SLUG_MARKUP = [("`([^`]*)`", "$1"), ("[*_~]", ""), ("<[^>]*>", ""), (r"\[\^[^\]]+\]", ""), (r"^[\s　]+|(?<![\s　])[\s　]+$", "")]
+SLUG_SIGNS = [(r"[!-/:-@\[-`{-~。，、；：？！「」『』（）《》【】…—]", ""), (r"[\s　]+", "-"), ("^-+|(?<!-)-+$", "")]
 
 
 def _replaced(text: Column, patterns: list[tuple[str, str]]) -> Column:
