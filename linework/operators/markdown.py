@@ -44,22 +44,26 @@ def _settled(rows: DataFrame, *keep: str, **made: Column) -> DataFrame:
     return rows.select(*keep, F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
 
 
-def _real_fences(texts: Column, looks: Column) -> Column:
-    """array<boolean>: which of the lines that look like fences open or close a block.
-
-    A block is closed by a bare fence of the sign it was opened with that is as long at least; all between is code. A
-    fence of backticks with a backtick behind it opens nothing. The fold goes over chunks of fences, so that no long array is copied.
-    """
+def _fence_marks(texts: Column, looks: Column) -> Column:
+    """array<struct<sign, n, bare, opens>> of the lines that look like fences."""
     marks = F.transform(F.filter(F.zip_with(texts, looks, lambda t, f: F.struct(t.alias("t"), f.alias("f"))), lambda x: x["f"]), lambda x: x["t"])
     of = lambda t: F.regexp_extract(t, FENCE, 1)
     rest = lambda t: F.regexp_replace(t, FENCE, "")
-    fences = F.transform(
+    return F.transform(
         marks,
         lambda t: F.struct(
             F.left(of(t), F.lit(1)).alias("sign"), F.length(of(t)).alias("n"), (F.trim(rest(t), F.lit(" \t")) == "").alias("bare"),
             (F.startswith(of(t), F.lit("~")) | ~F.contains(rest(t), F.lit("`"))).alias("opens"),
         ),
     )
+
+
+def _real_fences(fences: Column) -> Column:
+    """array<boolean>: which of the lines that look like fences open or close a block. ``fences`` is a settled column.
+
+    A block is closed by a bare fence of the sign it was opened with that is as long at least; all between is code. A
+    fence of backticks with a backtick behind it opens nothing. The fold goes over chunks of fences, so that no long array is copied.
+    """
     none = F.array().cast("array<boolean>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -82,15 +86,16 @@ def line_arrays(docs: DataFrame, key: str, text_col: str = "text", keep: tuple[s
     1; fences is the number of fences before the line; outside is neither a fence nor in code. With ``toggle`` any fence opens
     or closes, whatever its sign and length."""
     cut = F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n", -1), lambda t: F.regexp_replace(t, r"\r\z", ""))
-    before = running(F.transform("_is", lambda f: f.cast("int")))
+    ones = F.transform("_is", lambda f: f.cast("int"))
     rows = _settled(docs, key, *keep, _texts=cut)
     rows = _settled(rows, key, *keep, "_texts", _is=F.transform("_texts", lambda t: t.rlike(FENCE)))
-    rows = _settled(rows, key, *keep, "_texts", "_is", _before=before)
+    rows = _settled(_settled(rows, key, *keep, "_texts", "_is", _ones=ones), key, *keep, "_texts", "_is", _before=running(F.col("_ones")))
     if not toggle:
-        rows = _settled(rows, key, *keep, "_texts", "_is", "_before", _real=_real_fences(F.col("_texts"), F.col("_is")))
+        rows = _settled(rows, key, *keep, "_texts", "_is", "_before", _marks=_fence_marks(F.col("_texts"), F.col("_is")))
+        rows = _settled(rows, key, *keep, "_texts", "_is", "_before", _real=_real_fences(F.col("_marks")))
         real = F.zip_with("_is", "_before", lambda f, n: f & F.coalesce(F.get("_real", n.cast("int")), F.lit(False)))
         rows = _settled(rows, key, *keep, "_texts", _is=real)
-        rows = _settled(rows, key, *keep, "_texts", "_is", _before=before)
+        rows = _settled(_settled(rows, key, *keep, "_texts", "_is", _ones=ones), key, *keep, "_texts", "_is", _before=running(F.col("_ones")))
 
     def line(x: Column, i: Column) -> Column:
         outside = ~x["f"] & (x["n"] % 2 == 0)
