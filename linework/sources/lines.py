@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linework.sources.files import line_splits, manifest, read_splits, with_encodings, without_cr
 
+
 def read_lines(spark: SparkSession, paths: str | list[str], encoding: str = "auto") -> DataFrame:
     """(path, file_line, text) of files: split at LF only, one CR before it dropped, a mark at the start dropped.
 
