@@ -62,6 +62,19 @@ def open_file(path: str):
     return system.open_input_file(inner)
 
 
+def write_file(path: str, data: bytes | memoryview) -> None:
+    """Write a whole file, and its folder where there is none."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    local = "://" not in path
+    system, inner = (LocalFileSystem(), path) if local else FileSystem.from_uri(quote(path, safe="/:@?=&%+,"))
+    system.create_dir(inner.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(inner) as file:
+        file.write(data)
+
+
 def read_at(file, place: int, n: int) -> bytes:
     """``n`` bytes, fewer only at the end of the file."""
     file.seek(place)
