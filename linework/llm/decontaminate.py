@@ -1,16 +1,21 @@
 """Benchmark decontamination with one Aho-Corasick automaton over words.
 
 Benchmark texts become windows of 13 consecutive words (a shorter item is one window). All windows
-of the bounded benchmark go into one automaton, whose symbols are word numbers; every document is
-scanned once, front to back, and each match marks its words. ASCII letters are lowered and all
-ASCII separators become spaces by a byte-for-byte mapping, so the place of a word in the normalised
-bytes is its place in the original and spans can be given as code points of the original text.
-
-The benchmark's items with words are sent to the tasks if they are at most MAX_PATTERN_BYTES (an automaton
-takes some 200 times its text). Of a larger one neither the driver nor a task ever holds all: the windows
-stay a distributed table and only a bitmap of their hashes, of fixed size, is sent; the texts are scanned
-once just the same, windows whose bit is set are looked up in the table by their words, and what is found
-is put together per document. Both ways give the same rows.
+go into one automaton, whose symbols are word numbers; every document is scanned once, and each match
+marks its words. ASCII letters are lowered and all ASCII separators become spaces by a byte-for-byte
+mapping, so the place of a word in the normalised bytes is its place in the original and spans can be
+given as code points of the original text.
+
+The automaton is three flat arrays of 16 bytes a state: the sorted keys (state before, word), where a
+state's number is its key's place, the failure links, and the nearest window that ends in a state. It is
+built level by level and written once to the shared folder; tasks map the file into memory, so that the
+workers of a machine share its pages and a new executor finds it again. As no state knows more than 13
+words, the words of many texts are cut into stretches that overlap by 12 and scanned side by side.
+
+A benchmark of at most MAX_PATTERN_BYTES is held that way. Of a larger one neither the driver nor a task
+ever holds all: the windows stay a distributed table and only a bitmap of their hashes, of fixed size, is
+sent; the texts are scanned once just the same, windows whose bit is set are looked up in the table by
+their words, and what is found is put together per document. Both ways give the same rows.
 
 Defined results: null has no words; a document without words is not contaminated; items without
 words match nothing; repeated items count by their id once; a null item id is the string ''; null and
@@ -20,21 +25,25 @@ for, whatever their names; an empty benchmark hits nothing, no documents give no
 
 from __future__ import annotations
 
-import uuid
+import io
+import math
+import pickle
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linework.plans.tables import materialise
+from linework.plans.tables import materialise, new_path
+from linework.sources.files import open_file, write_file
 
 WINDOW = 13
 #: Text of the benchmark that an automaton may hold.
-MAX_PATTERN_BYTES = 1 << 20
+MAX_PATTERN_BYTES = 1 << 24
+#: Words that are scanned together.
+RUN_WORDS = 1 << 19
 #: Bits of the map of a larger benchmark's windows: 16 MB.
 BITMAP_BITS = 1 << 27
 
@@ -55,36 +64,154 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The automaton over the windows of some items, and the items of each window."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.numbers: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item_id, text in items:
-            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item_id)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for ids, items_of in found.items():
-            self.automaton.add_word(ids, (len(ids), sorted(items_of)))
-        self.empty = not found
-        if found:
-            self.automaton.make_automaton()
-
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Hit word ranges, merged and in order, and the ids of the items that occur."""
-        ranges: list[tuple[int, int]] = []
-        items: set[str] = set()
-        if self.empty or not words:
-            return ranges, items
+    """The automaton over the windows of some items, and the items of each window.
+
+    States are numbered by depth, state 0 is the root; ``levels[d]`` is the first state of depth ``d``.
+    """
+
+    ARRAYS = ("keys", "fail", "out", "levels", "ends", "starts", "items")
+
+    def __init__(self, arrays: dict[str, np.ndarray], words: list[bytes], names: list[str]):
+        self.keys, self.fail, self.out, self.levels, self.ends, self.starts, self.items = (arrays[n] for n in self.ARRAYS)
+        self.names, self.words = names, words
+        self.numbers = {w: i for i, w in enumerate(words, 1)}
+        self.width = len(words) + 1
+        self.roots = np.zeros(self.width, np.int32)
+        if len(self.keys):
+            first = self.keys[: self.levels[2] - 1]
+            self.roots[first] = np.arange(1, len(first) + 1)
+
+    @classmethod
+    def of(cls, items: list[tuple[str, str | None]], window: int) -> Windows:
+        """Build the automaton level by level, all states of a level at once."""
+        numbers: dict[bytes, int] = {}
+        names = sorted({i for i, _ in items})
+        rank = {n: i for i, n in enumerate(names)}
+        texts = [(rank[i], np.array([numbers.setdefault(w, len(numbers) + 1) for w in words_of(t)], np.int32)) for i, t in items]
+        texts = [(i, w) for i, w in texts if len(w)]
+        rows = [np.lib.stride_tricks.sliding_window_view(w, window) if len(w) >= window else np.pad(w, (0, window - len(w)))[None] for _, w in texts]
+        patterns = np.concatenate([np.zeros((0, window), np.int32), *rows])
+        item = np.repeat(np.array([i for i, _ in texts], np.int64), [len(r) for r in rows])
+        width = len(numbers) + 1
+        state, levels, keys = np.zeros(len(patterns), np.int64), [0, 1], []
+        for depth in range(window):
+            more = np.flatnonzero(patterns[:, depth])
+            found, place = np.unique(state[more] * width + patterns[more, depth], return_inverse=True)
+            state[more] = levels[-1] + place
+            levels.append(levels[-1] + len(found))
+            keys.append(found)
+        ends = np.unique(state)
+        pairs = np.unique(state * len(names) + item) if names else np.zeros(0, np.int64)
+        out = np.zeros(levels[-1], np.int32)
+        out[ends] = ends
+        arrays = {
+            "keys": np.concatenate(keys), "fail": np.zeros(levels[-1], np.int32), "out": out, "levels": np.array(levels, np.int64), "ends": ends,
+            "starts": np.searchsorted(pairs, np.append(ends, levels[-1]) * len(names)), "items": (pairs % max(1, len(names))).astype(np.int32),
+        }
+        made = cls(arrays, list(numbers), names)
+        for depth in range(2, window + 1):
+            lo, hi = levels[depth], levels[depth + 1]
+            before, word = np.divmod(made.keys[lo - 1 : hi - 1], width)
+            at, todo = made.fail[before], np.arange(lo, hi)
+            while len(todo):
+                to = made.step(at, word)
+                made.fail[todo] = np.maximum(to, 0)
+                on = np.flatnonzero((to < 0) & (at > 0))
+                todo, word, at = todo[on], word[on], made.fail[at[on]]
+            none = np.flatnonzero(out[lo:hi] == 0) + lo
+            out[none] = out[made.fail[none]]
+        return made
+
+    def write(self, folder: str) -> None:
+        """One file per array and one of the words and names."""
+        for name in self.ARRAYS:
+            np.save(to := io.BytesIO(), getattr(self, name))
+            write_file(f"{folder}/{name}.npy", to.getbuffer())
+        write_file(f"{folder}/names", pickle.dumps((self.words, self.names)))
+
+    @classmethod
+    def read(cls, folder: str) -> Windows:
+        """The arrays are mapped where the folder is one of the machine's, and read from elsewhere."""
+        arrays = {}
+        for name in cls.ARRAYS:
+            with open_file(f"{folder}/{name}.npy") as file:
+                local = isinstance(file, io.FileIO)
+                arrays[name] = np.load(file.name, mmap_mode="r") if local else np.load(io.BytesIO(file.read()))
+        with open_file(f"{folder}/names") as file:
+            return cls(arrays, *pickle.loads(file.read()))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The states one word deeper, -1 where there is none."""
+        key = state.astype(np.int64) * self.width + word
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at + 1, -1)
+
+    def matches(self, words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of last words, and the states of the windows that end there (word 0 is in no window)."""
+        if not len(self.keys) or not len(words):
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        # what a state of depth 0 or 1 leads to is known for all places at once
+        short = self.roots[words]
+        pair = np.flatnonzero((short[:-1] > 0) & (words[1:] > 0))
+        two = self.step(short[pair], words[pair + 1])
+        short[pair[two > 0] + 1] = two[two > 0]
+        deep, lap = self.levels[2], window - 1
+        size = min(512, max(64, math.isqrt(len(words)) // 2))
+        lanes = -(-len(words) // size)
+
+        def side_by_side(of: np.ndarray) -> np.ndarray:
+            padded = np.zeros(lap + lanes * size, np.int32)
+            padded[lap : lap + len(of)] = of
+            return np.array(np.lib.stride_tricks.sliding_window_view(padded, lap + size)[::size].T, order="C")
+
+        symbols, least = side_by_side(words), side_by_side(short)
+        state, places, states = np.zeros(lanes, np.int32), [], []
+        for t in range(lap + size):
+            on = np.flatnonzero((state >= deep) & (symbols[t] > 0))
+            at, word, state = state[on], symbols[t][on], least[t]
+            while len(on):
+                to = self.step(at, word)
+                state[on[to > 0]] = to[to > 0]
+                miss = to < 0
+                at = self.fail[at[miss]]
+                keep = at >= deep
+                on, word, at = on[miss][keep], word[miss][keep], at[keep]
+            if t >= lap:
+                found = self.out[state]
+                hit = np.flatnonzero(found)
+                place, found = hit * size + (t - lap), found[hit]
+                while len(found):
+                    places.append(place)
+                    states.append(found)
+                    found = self.out[self.fail[found]]
+                    place, found = place[found > 0], found[found > 0]
+        return np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate([np.zeros(0, np.int32), *states])
+
+    def scan(self, docs: list[list[bytes]], window: int) -> list[tuple[list[tuple[int, int]], list[str]]]:
+        """For the words of each document: hit ranges, merged and in order, and the sorted ids of items that occur."""
         get = self.numbers.get
-        for last, (length, of) in self.automaton.iter(tuple([get(w, 0) for w in words])):
-            items.update(of)
-            start, end = last - length + 1, last + 1
-            while ranges and ranges[-1][1] >= start:
-                start = min(start, ranges.pop()[0])
-            ranges.append((start, end))
-        return ranges, items
+        bounds = np.cumsum([0, *(len(d) + 1 for d in docs)])
+        words = np.fromiter((get(w, 0) for d in docs for w in (*d, b"")), np.int32, bounds[-1])
+        last, state = self.matches(words, window)
+        result: list[tuple[list[tuple[int, int]], list[str]]] = [([], []) for _ in docs]
+        if not len(last):
+            return result
+        first = last + 1 - (np.searchsorted(self.levels, state, "right") - 1)
+        n = len(words) + 1
+        inside = np.cumsum(np.bincount(first, minlength=n) - np.bincount(last + 1, minlength=n)) > 0
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        edges = np.append(0, edges) if inside[0] else edges
+        of = np.searchsorted(bounds, edges[::2], "right") - 1
+        for doc, base, a, b in zip(of.tolist(), bounds[of].tolist(), edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            result[doc][0].append((a - base, b - base))
+        end = np.searchsorted(self.ends, state)
+        pairs = np.unique((np.searchsorted(bounds, last, "right") - 1) * len(self.ends) + end)
+        seen: dict[int, set[int]] = {}
+        for doc, e in zip(*(x.tolist() for x in np.divmod(pairs, len(self.ends))), strict=True):
+            seen.setdefault(doc, set()).update(self.items[self.starts[e] : self.starts[e + 1]].tolist())
+        for doc, items in seen.items():
+            result[doc][1].extend(self.names[i] for i in sorted(items))
+        return result
 
 
 def char_spans(text: str, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -117,12 +244,12 @@ _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 _SPANS, _IDS = pa.list_(_SPAN), pa.list_(pa.string())
 
 
-def _windows(shared, key: str, window: int) -> Windows:
-    """The automaton of the broadcast items; a worker keeps one."""
-    if key not in _built:
+def _windows(folder: str) -> Windows:
+    """The automaton in a folder; a worker keeps one."""
+    if folder not in _built:
         _built.clear()
-        _built[key] = Windows(shared.value, window)
-    return _built[key]
+        _built[folder] = Windows.read(folder)
+    return _built[folder]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,19 +258,33 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(lo, 512)
 
 
-def _scan(shared, key: str, window: int):
+def _runs(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts in order, so many together that a run has some RUN_WORDS words."""
+    run, n = [], 0
+    for text in texts:
+        run.append(text)
+        n += len(text or "") // 6 + 1
+        if n >= RUN_WORDS:
+            yield run
+            run, n = [], 0
+    if run:
+        yield run
+
+
+def _scan(folder: str, window: int):
     """(id, text, carried...) to (id, n_words, n_hit, item_ids, spans, carried...)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = _windows(shared, key, window)
+        windows = _windows(folder)
         for part in _pieces(batches):
             n_words, n_hit, item_ids, spans = [], [], [], []
-            for text in part.column(1).to_pylist():
-                ranges, items = windows.scan(words := words_of(text))
-                n_words.append(len(words))
-                n_hit.append(sum(b - a for a, b in ranges))
-                item_ids.append(sorted(items))
-                spans.append(char_spans(text or "", ranges))
+            for run in _runs(part.column(1).to_pylist()):
+                words = [words_of(text) for text in run]
+                for text, of, (ranges, items) in zip(run, words, windows.scan(words, window), strict=True):
+                    n_words.append(len(of))
+                    n_hit.append(sum(b - a for a, b in ranges))
+                    item_ids.append(items)
+                    spans.append(char_spans(text or "", ranges))
             found = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(item_ids, _IDS), pa.array(spans, _SPANS)]
             yield pa.RecordBatch.from_arrays([part.column(0), *found, *part.columns[2:]], ["id", "n_words", "n_hit", "item_ids", "spans", *part.schema.names[2:]])
 
@@ -260,9 +401,10 @@ def decontaminate(
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     size = items.agg(F.sum(F.octet_length("i") + F.octet_length("t")).alias("n")).first()["n"] or 0
     if size <= MAX_PATTERN_BYTES:
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+        folder = new_path(docs.sparkSession, "benchmark-automaton")
+        Windows.of([tuple(r) for r in items.collect()], window).write(folder)
         result = SCHEMA.format(id=fields["id"]) + "".join(f", `{n}` {fields[n]}" for n in names)
-        found = rows.mapInArrow(_scan(shared, uuid.uuid4().hex, window), result)
+        found = rows.mapInArrow(_scan(folder, window), result)
     else:
         found = _beyond(rows, items, window, names, fields["id"])
     return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "item_ids", "spans", *[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)])

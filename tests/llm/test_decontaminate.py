@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 
+import numpy as np
 import pytest
 
 from linework.llm import decontaminate as dc
@@ -84,3 +86,38 @@ def test_very_long_texts(spark):
     bench = spark.createDataFrame([("a", " ".join(words[40_000:40_020]), 1), (None, "w100.w101", 2), ("b", "w" * 400_000, 3)], "item_id string, text string, doc_id int")
     rows = sorted(dc.decontaminate(docs, bench, carry=("item_id",)).collect(), key=lambda r: r.item_id)
     assert [(r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in rows] == [(1, 60_000, 22, ["", "a"]), (None, 2, 2, [""]), (None, 1, 1, ["b"])]
+
+
+def test_automaton_matches_brute_force_on_few_words():
+    """Few different words, so that failure links, nested and overlapping windows all occur."""
+    rng = random.Random(5)
+    for _ in range(150):
+        window, kinds = rng.choice([2, 3, 5, 13]), rng.choice([2, 3, 8])
+        text = lambda n: " ".join(f"w{rng.randrange(kinds)}" for _ in range(n))  # noqa: B023, E731
+        items = [(rng.choice("abcdef"), text(rng.randrange(25))) for _ in range(rng.randrange(8))]
+        docs = [text(rng.randrange(400)) for _ in range(rng.randrange(1, 9))]
+        found = dc.Windows.of(items, window).scan([dc.words_of(d) for d in docs], window)
+        want = brute(enumerate(docs), items, window)
+        for i, (ranges, ids) in enumerate(found):
+            assert (sum(b - a for a, b in ranges), hashlib.sha256(",".join(ids).encode()).hexdigest()) == (want[i][1], want[i][3])
+            assert all(b < c for (_, b), (c, _) in zip(ranges, ranges[1:]))
+
+
+def test_automaton_is_the_same_from_its_files(tmp_path):
+    made = dc.Windows.of([("b", "x y z"), ("a", "y z x y")], 3)
+    made.write(f"file:{tmp_path}/made")
+    read = dc.Windows.read(f"{tmp_path}/made")
+    docs = [dc.words_of("x y z x y"), [], dc.words_of("z y x")]
+    assert read.scan(docs, 3) == made.scan(docs, 3) == [([(0, 5)], ["a", "b"]), ([], []), ([], [])]
+    assert isinstance(read.keys, np.memmap)
+
+
+def test_runs_of_words_give_the_same(tables, monkeypatch):
+    docs, bench = tables
+    texts = [r.text for r in docs.collect()]
+    windows = dc.Windows.of([(r.item_id, r.text) for r in bench.collect()], dc.WINDOW)
+    whole = windows.scan([dc.words_of(t) for t in texts], dc.WINDOW)
+    monkeypatch.setattr(dc, "RUN_WORDS", 700)
+    runs = list(dc._runs(texts))
+    assert len(runs) > 1 and sum(runs, []) == texts
+    assert [x for run in runs for x in windows.scan([dc.words_of(t) for t in run], dc.WINDOW)] == whole
