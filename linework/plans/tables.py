@@ -38,9 +38,11 @@ def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
 
 def bucketed(df: DataFrame, label: str, column: str) -> DataFrame:
     """Write ``df`` in buckets of ``column`` to the shared folder, without a shuffle, and read it back: what
-    is grouped or joined by that column then stays where it is."""
+    is grouped or joined by that column then stays where it is. The catalog keeps no entry of it."""
     spark = df.sparkSession
     name = f"linework_{uuid.uuid4().hex}"
     writer = df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column)
     writer.option("path", new_path(spark, label)).saveAsTable(name)
-    return spark.table(name)
+    found = spark.table(name)  # its plan holds the folder and the buckets from here on
+    spark.sql(f"DROP TABLE {name}")
+    return found
