@@ -8,7 +8,8 @@ describes the text best.
 The labelled text is a bounded sample of labelled rows: their whole texts are cut into pieces of PIECE code
 points, and of each language the pieces with the least hashes of (id, text, place) are learnt, LANGUAGE code
 points of them, or TOTAL by the number of languages if that is less, but one piece at least. Every piece of
-every labelled text is as likely as any other, and no language is left out. The sample is broadcast as text
+every labelled text is as likely as any other, and no language is left out; with more than
+LANGUAGES of them the column can't be one of languages, and a ValueError says so. The sample is broadcast as text
 and each Python worker builds the automata once: dense transition tables where these are small, else sorted
 edges.
 
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 
 from linework.plans.tables import materialise
 
+#: Different labels that are taken for languages: what is collected and broadcast has at least a piece of each.
+LANGUAGES = 2_000
 #: Code points of a piece of labelled text, and those learnt per language and over all of them.
 PIECE, LANGUAGE, TOTAL = 2_000, 60_000, 1_200_000
 #: Code points of a segment, and segments parsed together.
@@ -230,7 +233,9 @@ def labelled_sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str)
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"), F.ceil(F.length(text_col) / PIECE).cast("int").alias("n")
     )
     counts = materialise(rows.groupBy("lang").agg(F.sum("n").alias("pieces")), "languages")
-    most = max(1, min(LANGUAGE, TOTAL // max(1, counts.count())) // PIECE)
+    if (languages := counts.count()) > LANGUAGES:
+        raise ValueError(f"{languages} different languages in column {lang_col!r}, at most {LANGUAGES} can be learnt")
+    most = max(1, min(LANGUAGE, TOTAL // max(1, languages)) // PIECE)
     share = F.least(F.lit(1.0), (3.0 * most + 20) / F.col("pieces"))
     few = rows.join(F.broadcast(counts), "lang").withColumn("share", share)  # a row per language
     places = F.filter(F.sequence(F.lit(1), F.col("n")), lambda k: F.pmod(F.xxhash64("h", k), F.lit(1 << 40)) < F.col("share") * (1 << 40))

@@ -76,3 +76,11 @@ def test_nulls_no_letters_and_no_labels(spark):
     assert [(r.lang_pred, r.lang) for r in rows] == [("und", "x"), ("und", None), ("en", "en"), ("en", "en"), ("de", "de")]
     assert {r.lang_pred for r in langid.identify(docs, docs.limit(0)).collect()} == {"und"}
     assert langid.identify(docs.limit(0), docs).count() == 0
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = lambda n: spark.range(n).selectExpr("id AS doc_id", "'some text' AS text", "'l' || id AS lang")
+    assert langid.identify(rows(2), rows(2)).count() == 2
+    with pytest.raises(ValueError, match="3 different languages"):
+        langid.identify(rows(3), rows(3))
