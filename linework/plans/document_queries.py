@@ -238,3 +238,52 @@ SELECT doc_id, kind, "offset" FROM (SELECT doc_id, kind, (base + sum(length(x) +
 def md_find(spark, sf_dir):
     """A word in texts and code, never in formulas."""
     return markdown.find_in_nodes(markdown.nodes(formulas(spark, sf_dir), "doc_id"), "The", "doc_id").select("doc_id", "kind", "offset")
+
+
+def papers(spark, sf_dir: str) -> DataFrame:
+    """documents, letters only, as Markdown of ten kinds of lines: underlined headings, four kinds of links, tables and tasks."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+    def line(t, i):
+        n = i + 1
+        t, odd, turn = F.regexp_replace(t, "[^A-Za-z ]", "x"), F.floor(n / 10) % 2 == 1, n % 10
+        w = F.concat(F.lit("w"), F.regexp_extract(t, "[A-Za-z]*", 0))
+        link = lambda *href: F.concat(F.lit("so ["), t, F.lit("]("), *[F.lit(h) if isinstance(h, str) else h for h in href], F.lit(") it is"))
+        made = [
+            F.concat(F.lit("Q "), t), F.when(odd, F.lit("===")).otherwise(F.lit("---")), link("https://", w, ".org/x#f"), link("../f/", w, ".pdf?v=1"), link("./", w, ".MD#", w), link("#", w),
+            F.concat(F.lit("| "), t, F.lit(" | b |")), F.when(odd, F.lit("|---|:-:|")).otherwise(F.lit("|---x|--|")), F.concat(F.when(odd, F.lit("- [x] ")).otherwise(F.lit("* [ ] ")), t), F.lit(""),
+        ]
+        return F.element_at(F.array(*made), (turn + 1).cast("int"))
+
+    made = F.array_join(F.transform(lines.raw_lines(F.col("text")), line), "\n")
+    return docs.select("doc_id", made.alias("text"), F.concat(F.lit("/n/s/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+
+
+_PAPERS = _FENCED + r""", p AS (SELECT doc_id, line, line % 10 AS turn, line // 10 % 2 = 1 AS odd, regexp_replace(t, '[^A-Za-z ]', 'x', 'g') AS t FROM l),
+w AS (SELECT *, 'w' || regexp_extract(t, '^[A-Za-z]*') AS w FROM p)
+"""
+
+
+@query("md_link_kinds", _PAPERS + """SELECT doc_id, line, 'external' AS kind, 'https://' || w || '.org/x#f' AS href, NULL AS target, NULL AS fragment FROM w WHERE turn = 2
+UNION ALL SELECT doc_id, line, 'file', '../f/' || w || '.pdf?v=1', '/n/f/' || w || '.pdf', '' FROM w WHERE turn = 3
+UNION ALL SELECT doc_id, line, 'doc', './' || w || '.MD#' || w, '/n/s/' || w || '.MD', w FROM w WHERE turn = 4
+UNION ALL SELECT doc_id, line, 'anchor', '#' || w, '/n/s/' || doc_id || '.md', w FROM w WHERE turn = 5""")
+def md_link_kinds(spark, sf_dir):
+    """All four kinds; addresses and labels are made of the documents' words."""
+    return markdown.links(papers(spark, sf_dir), "doc_id", F.col("path"))
+
+
+@query("md_setext_outline", _PAPERS + r""", h AS (SELECT a.doc_id, a.line, rtrim('Q ' || a.t) AS head, CASE WHEN b.odd THEN 1 ELSE 2 END AS depth FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.line = a.line + 1 WHERE a.turn = 0),
+c AS (SELECT *, regexp_replace(lower(head), ' +', '-', 'g') AS c FROM h)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line)::INT AS pos, depth, c || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS id, head AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, c ORDER BY line) AS k FROM c)""")
+def md_setext_outline(spark, sf_dir):
+    """Headings by the line under them; the last line of a document has none."""
+    return markdown.outline(papers(spark, sf_dir), "doc_id")
+
+
+@query("md_sections_all", _PAPERS + """SELECT d.doc_id, count(p.line) AS lines, count(*) FILTER (WHERE turn = 7 AND odd) AS tables, count(*) FILTER (WHERE turn = 8) AS tasks,
+  count(*) FILTER (WHERE turn = 8 AND odd) AS tasks_done, 0 AS code_blocks, 0 AS math, 0 AS images FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id GROUP BY d.doc_id""")
+def md_sections_all(spark, sf_dir):
+    """Tables, open and done tasks, and documents without text."""
+    return markdown.section_counts(papers(spark, sf_dir), "doc_id")
