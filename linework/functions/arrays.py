@@ -26,3 +26,8 @@ def running(sizes: Column) -> Column:
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK).cast("int")), lambda c: F.slice(sizes, c * CHUNK + 1, F.lit(CHUNK)))
     starts = sums(F.lit(0), F.transform(chunks, lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, b: a + b)))
     return F.when(F.size(sizes) > 0, F.flatten(F.zip_with(chunks, starts, lambda part, start: sums(start, part)))).otherwise(none)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)``, with the value evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

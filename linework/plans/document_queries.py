@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linework.functions import paths, text
+from linework.functions.arrays import let
 from linework.operators import html, lines, markdown
 from linework.sources import lines as source_lines
 
@@ -245,15 +246,20 @@ def papers(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
     def line(t, i):
-        n = i + 1
-        t, odd, turn = F.regexp_replace(t, "[^A-Za-z ]", "x"), F.floor(n / 10) % 2 == 1, n % 10
-        w = F.concat(F.lit("w"), F.regexp_extract(t, "[A-Za-z]*", 0))
-        link = lambda *href: F.concat(F.lit("so ["), t, F.lit("]("), *[F.lit(h) if isinstance(h, str) else h for h in href], F.lit(") it is"))
-        made = [
-            F.concat(F.lit("Q "), t), F.when(odd, F.lit("===")).otherwise(F.lit("---")), link("https://", w, ".org/x#f"), link("../f/", w, ".pdf?v=1"), link("./", w, ".MD#", w), link("#", w),
-            F.concat(F.lit("| "), t, F.lit(" | b |")), F.when(odd, F.lit("|---|:-:|")).otherwise(F.lit("|---x|--|")), F.concat(F.when(odd, F.lit("- [x] ")).otherwise(F.lit("* [ ] ")), t), F.lit(""),
-        ]
-        return F.element_at(F.array(*made), (turn + 1).cast("int"))
+        odd, turn = F.floor((i + 1) / 10) % 2 == 1, (i + 1) % 10
+        text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+        def made(t):
+            w = text("w", F.regexp_extract(t, "[A-Za-z]*", 0))
+            link = lambda *href: text("so [", t, "](", *href, ") it is")
+            return (
+                F.when(turn == 0, text("Q ", t)).when(turn == 1, F.when(odd, "===").otherwise("---"))
+                .when(turn == 2, link("https://", w, ".org/x#f")).when(turn == 3, link("../f/", w, ".pdf?v=1")).when(turn == 4, link("./", w, ".MD#", w)).when(turn == 5, link("#", w))
+                .when(turn == 6, text("| ", t, " | b |")).when(turn == 7, F.when(odd, "|---|:-:|").otherwise("|---x|--|"))
+                .when(turn == 8, text(F.when(odd, "- [x] ").otherwise("* [ ] "), t)).otherwise("")
+            )
+
+        return let(F.regexp_replace(t, "[^A-Za-z ]", "x"), made)
 
     made = F.array_join(F.transform(lines.raw_lines(F.col("text")), line), "\n")
     return docs.select("doc_id", made.alias("text"), F.concat(F.lit("/n/s/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
