@@ -14,6 +14,9 @@ MAX_PATTERN = 512
 #: What Java accepts and the dialect of the filters does not: look-around, back-references, possessive
 #: quantifiers and atomic groups.
 _FOREIGN = re.compile(r"\(\?(=|!|<=|<!|>)|\\[1-9]|\\k<|[*+?}]\+")
+_WORD = "[0-9A-Za-z_]"
+#: Borders of words of ASCII. Java's own are of Unicode even without the U flag, before Java 19.
+_BORDERS = {"\\b": f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))", "\\B": f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"}
 
 
 def quoted(literal: str) -> str:
@@ -21,9 +24,10 @@ def quoted(literal: str) -> str:
     return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def usable_pattern(pattern: str | None) -> str | None:
-    """The pattern as Spark should run it: Unicode classes, a dot for all but LF; None if it is empty, too
-    long, invalid or of another dialect, which means no filter."""
+def usable_pattern(pattern: str | None, ascii_classes: bool = False) -> str | None:
+    """The pattern as Spark should run it: Unicode classes (or those of ASCII, borders of words included, as SQL's
+    RE2 has them), a dot for all but LF; None if it is empty, too long, invalid or of another dialect, which means
+    no filter."""
     if not pattern or len(pattern.encode()) > MAX_PATTERN or _FOREIGN.search(pattern):
         return None
     from pyspark.sql import SparkSession
@@ -34,6 +38,8 @@ def usable_pattern(pattern: str | None) -> str | None:
     except Exception:  # py4j wraps PatternSyntaxException
         warnings.warn(f"not a usable pattern, nothing is filtered: {pattern!r}", stacklevel=2)
         return None
+    if ascii_classes:
+        return "(?d)" + re.sub(r"\\Q.*?(?:\\E|\Z)|\\.", lambda m: _BORDERS.get(m[0], m[0]), pattern, flags=re.S)
     return "(?Ud)" + pattern
 
 
@@ -44,6 +50,7 @@ class FilterSpec:
     keywords: tuple[str, ...] = ()
     regex: str | None = None
     case_sensitive: bool = False
+    ascii_classes: bool = False
 
     @classmethod
     def phrase(cls, typed: str, case_sensitive: bool = False) -> FilterSpec:
@@ -52,9 +59,9 @@ class FilterSpec:
         return cls((typed,) if typed else (), None, case_sensitive)
 
     @classmethod
-    def pattern(cls, typed: str) -> FilterSpec:
+    def pattern(cls, typed: str, ascii_classes: bool = False) -> FilterSpec:
         """Pattern mode."""
-        return cls((), typed.strip() or None)
+        return cls((), typed.strip() or None, ascii_classes=ascii_classes)
 
     def condition(self, text: Column) -> Column | None:
         """A predicate on a text column; None if nothing is filtered."""
@@ -66,14 +73,14 @@ class FilterSpec:
                     found = one if found is None else found | one
             else:
                 found = text.rlike("(?i)" + "|".join(map(quoted, self.keywords)))
-        if (pattern := usable_pattern(self.regex)) is not None:
+        if (pattern := usable_pattern(self.regex, self.ascii_classes)) is not None:
             found = text.rlike(pattern) if found is None else found | text.rlike(pattern)
         return found
 
     @property
     def is_active(self) -> bool:
         """True only if something is really filtered."""
-        return bool(self.keywords) or usable_pattern(self.regex) is not None
+        return bool(self.keywords) or usable_pattern(self.regex, self.ascii_classes) is not None
 
 
 def filter_lines(lines: DataFrame, spec: FilterSpec, text_col: str = "text") -> DataFrame:

@@ -1,7 +1,9 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from linework.operators import filters, lines, search
+from linework.plans import line_queries
 
 
 def texts(spark, *rows):
@@ -85,6 +87,17 @@ def test_pattern_dialect(spark):
     assert {r.doc_id for r in filters.filter_lines(df, both).collect()} == {1, 4}
 
 
+def test_filter_regex_has_the_word_borders_of_its_sql(spark, tmp_path):
+    rows = [(1, "Au inöun be."), (2, "Au in be."), (3, "Au and."), (4, "Au andy."), (5, "Au inÉ x."), (6, "Au in_x.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = {r[0] for r in con.sql(f"SELECT doc_id FROM ({line_queries.ORACLES['filter_regex']})").fetchall()}
+    assert {r.doc_id for r in line_queries.filter_regex(spark, str(tmp_path)).collect()} == wanted == {1, 2, 3, 5}
+    found = lambda p: {r.doc_id for r in filters.filter_lines(texts(spark, "in ö", "inö", "\\b"), filters.FilterSpec.pattern(p, ascii_classes=True)).collect()}
+    assert found(r"\Bn\b") == {1, 2} and found(r"n\B") == set() and found(r"\Q\b\E") == {3} and found(r"^\w+$") == set()
+
+
 def test_spans_and_segments(spark):
     row = texts(spark, "aaAa foo AAb").select(
         search.find_spans(F.col("text"), "aa").alias("all"),
