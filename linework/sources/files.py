@@ -27,6 +27,8 @@ from linework.sources.encodings import CAP, ENCODINGS, SAMPLE, decode_bytes, dec
 SPLIT = 32 << 20
 #: Bytes of one read where it isn't known how many are needed.
 STEP = 1 << 16
+#: Tasks of a core, at least, that few rows are dealt to.
+TURNS = 4
 #: Rows of a batch that goes back to Spark.
 BATCH = 1 << 15
 #: Lines between two entries of the index (fixed value), and lines that one task reads of a wanted range.
@@ -189,9 +191,13 @@ def without_cr(text: Column) -> Column:
     return F.when(F.endswith(text, F.lit("\r")), F.left(text, F.length(text) - 1)).otherwise(text)
 
 
-def spread(rows: DataFrame, most: int = 100_000) -> DataFrame:
-    """Few narrow rows that stand for much work, one to a task up to ``most`` tasks. ``rows`` is a written table."""
-    return rows.repartition(max(1, min(rows.count(), most)))
+def spread(rows: DataFrame, size: Column | str | None = None) -> DataFrame:
+    """Few narrow rows that stand for reads of ``size`` bytes each (none: short ones), dealt to tasks: enough for all cores, more as
+    the bytes are more, so many small files don't make as many tasks. ``rows`` is a written table."""
+    size = F.lit(0) if size is None else F.col(size) if isinstance(size, str) else size
+    n, total = rows.agg(F.count(F.lit(1)), F.sum(size + STEP)).first()
+    tasks = max(TURNS * rows.sparkSession.sparkContext.defaultParallelism, (total or 0) // SPLIT)
+    return rows.repartition(max(1, min(n, tasks, 100_000)))
 
 
 def manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -223,7 +229,7 @@ def heads(files: DataFrame, cap: int = SAMPLE) -> DataFrame:
 
     for f in schema.fields:
         f.nullable = True
-    return spread(files, 10_000).mapInArrow(run, schema)
+    return spread(files, F.least(F.col("size"), F.lit(cap))).mapInArrow(run, schema)
 
 
 def with_encodings(files: DataFrame, encoding: str = "auto") -> DataFrame:
@@ -269,7 +275,7 @@ def line_splits(files: DataFrame, split: int = SPLIT) -> DataFrame:
     starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))
     ranges = files.where("size > 0").select("path", "size", "encoding", F.explode(starts).alias("start"))
     ranges = materialise(ranges.withColumn("end", F.least("size", F.col("start") + split)), "ranges")
-    counted = spread(ranges).mapInArrow(_counted, "path string, size long, encoding string, start long, end long, n long")
+    counted = spread(ranges, F.col("end") - F.col("start")).mapInArrow(_counted, "path string, size long, encoding string, start long, end long, n long")
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     return materialise(counted.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "line-splits")
 
@@ -298,7 +304,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_splits(splits: DataFrame) -> DataFrame:
     """(path, block, file_line, byte_offset, ended, raw) of line_splits(): every line with its number and place, its CR
     still there. No line moves."""
-    return spread(splits).mapInArrow(_read, "path string, block long, file_line long, byte_offset long, ended boolean, raw string")
+    return spread(splits, F.col("end") - F.col("start")).mapInArrow(_read, "path string, block long, file_line long, byte_offset long, ended boolean, raw string")
 
 
 def line_index(splits: DataFrame, every: int = EVERY) -> DataFrame:
@@ -319,9 +325,10 @@ def line_index(splits: DataFrame, every: int = EVERY) -> DataFrame:
                 number = np.arange(len(places)) + r["base"] + 1
                 kept = (number - 1) % every == 0
                 n = int(kept.sum())
-                yield pa.RecordBatch.from_pydict({"path": [r["path"]] * n, "size": [r["size"]] * n, "encoding": [r["encoding"]] * n, "file_line": number[kept], "byte_offset": places[kept]})
+                if n:  # a batch of no rows would have columns of no type
+                    yield pa.RecordBatch.from_pydict({"path": [r["path"]] * n, "size": [r["size"]] * n, "encoding": [r["encoding"]] * n, "file_line": number[kept], "byte_offset": places[kept]})
 
-    return spread(splits).mapInArrow(run, "path string, size long, encoding string, file_line long, byte_offset long")
+    return spread(splits, F.col("end") - F.col("start")).mapInArrow(run, "path string, size long, encoding string, file_line long, byte_offset long")
 
 
 def write_index(index: DataFrame, path: str) -> None:
@@ -393,7 +400,7 @@ def number_page(page: DataFrame, splits: DataFrame, split: int = SPLIT) -> DataF
                 n = int((behind >= max(1, r["start"])).sum()) + (r["start"] == 0)  # lines that begin up to ``at``
                 yield pa.RecordBatch.from_pydict({"path": [r["path"]], "line": [r["base"] + n]})
 
-    numbers = spread(first).mapInArrow(run, "path string, line long")
+    numbers = spread(first, F.col("at") - F.col("start")).mapInArrow(run, "path string, line long")
     order = Window.partitionBy("path").orderBy("byte_offset")  # a page
     return page.join(numbers, "path").withColumn("file_line", F.col("line") + F.row_number().over(order) - 1).drop("line")
 

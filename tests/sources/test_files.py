@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from linework.plans.tables import materialise
 from linework.sources import files, lines
 from linework.sources.encodings import _CODECS, ENCODINGS
 
@@ -144,3 +145,11 @@ def test_heads_in_tasks(spark, tmp_path):
         f.write(b"!")
     found = {r.path.rsplit("/", 1)[1]: (r.size, len(r.content)) for r in files.heads(files.manifest(spark, str(tmp_path)), 5000).collect()}
     assert found == {f"{i}.md": (i * 1000, min(i * 1000, 5000)) for i in range(1, 40)} | {"huge.md": ((10 << 30) + 1, 5000)}
+
+
+def test_many_small_files_do_not_make_as_many_tasks(spark):
+    few, some = files.TURNS * spark.sparkContext.defaultParallelism, materialise(spark.range(3000), "many")
+    dealt = files.spread(some, F.lit(100))
+    assert dealt.rdd.getNumPartitions() <= max(few, 3000 * (100 + files.STEP) // files.SPLIT) and dealt.count() == 3000
+    assert files.spread(some, F.lit(files.SPLIT)).rdd.getNumPartitions() == 3000
+    assert files.spread(some.where("id < 3")).rdd.getNumPartitions() == 3
