@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -197,9 +196,9 @@ def cfg_json(spark, sf_dir):
 # ---- encodings of documents ----
 
 
-@F.pandas_udf(T.BinaryType())
-def _gb18030(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t.encode("gb18030"))
+@F.udf(T.BinaryType(), useArrow=False)
+def _gb18030(text: str | None) -> bytes | None:
+    return None if text is None else text.encode("gb18030")
 
 
 def encoded_documents(spark, sf_dir: str) -> DataFrame:
@@ -210,7 +209,7 @@ def encoded_documents(spark, sf_dir: str) -> DataFrame:
     turn = F.col("doc_id") % 5
     content = (
         F.when(turn == 0, F.concat(mark("EFBBBF"), utf("UTF-8"))).when(turn == 1, utf("UTF-8")).when(turn == 2, F.concat(mark("FFFE"), utf("UTF-16LE")))
-        .when(turn == 3, F.concat(mark("FEFF"), utf("UTF-16BE"))).otherwise(_gb18030(F.concat(F.lit("中"), "text")))
+        .when(turn == 3, F.concat(mark("FEFF"), utf("UTF-16BE"))).otherwise(_gb18030(F.when(turn == 4, F.concat(F.lit("中"), "text"))))
     )
     return docs.select("doc_id", content.alias("content"))
 
