@@ -28,6 +28,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession, n: int = 16 << 20) -> None:
+    """Let batches that go to Python end at ``n`` bytes where the session sets no limit; Spark's own is 64 MiB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, n)
+
+
 def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back."""
     path = new_path(df.sparkSession, label)
