@@ -18,7 +18,6 @@ are, whatever their names, but one named like the result is replaced.
 from __future__ import annotations
 
 import base64
-import ctypes
 import heapq
 from collections.abc import Iterator
 from itertools import count
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linework.plans.tables import bucketed
+from linework.plans.tables import bucketed, give_back
 
 #: Code points of text in a block.
 BLOCK_CHARS = 12_000_000
@@ -196,13 +195,6 @@ def _vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def _give_back() -> None:
-    """Return freed memory to the system; an idle worker would keep it otherwise."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 # ---- blocks of texts, as numbers of their words ----
 
 
@@ -299,11 +291,11 @@ def _blocks(pattern: str, path: str, rest: list[str]):
                 if chars >= BLOCK_CHARS:
                     yield close()
                     numbers, parts, rows, chars = _Numbers(), [], [], 0
-                    _give_back()
+                    give_back()
         if rows:
             yield close()
         del numbers, parts, rows, ranks
-        _give_back()
+        give_back()
 
     return run
 
@@ -343,11 +335,11 @@ def _encode_words(path: str):
             if size >= BATCH_BYTES or rows >= BATCH_ROWS:
                 yield from flush()
                 words, held, rows, size = [], [], 0, 0
-                _give_back()
+                give_back()
         if rows:
             yield from flush()
         del words, held
-        _give_back()
+        give_back()
 
     return run
 
@@ -379,7 +371,7 @@ def _fill(rest: list[str], ids_col: str):
             offsets = upto[text_ends[lo : hi + 1] - text_ends[lo]].astype(np.int32)
             done = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))
             out_batches.append(pa.RecordBatch.from_arrays([*(f.slice(lo, hi - lo) for f in fields), done], [*rest, ids_col]))
-        _give_back()
+        give_back()
         return pa.Table.from_batches(out_batches)
 
     return run

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linework.plans.tables import materialise
+from linework.plans.tables import give_back, materialise, small_batches
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: Slots of counts; a power of two, 32768 at least. Two bits of each are broadcast.
@@ -52,20 +52,20 @@ class Chunk:
         parts = []
         for text in texts:
             data = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD)
-            parts.append(np.array(list(map(numbers.__getitem__, data.replace(b"\n", b" \n ").split(b" "))) + [_BREAK], np.int64))
+            parts.append(np.array(list(map(numbers.__getitem__, data.replace(b"\n", b" \n ").split(b" "))) + [_BREAK], np.int32))
         sizes = [len(p) for p in parts]
         word = np.concatenate(parts)
-        lang = np.repeat(np.array([kinds[x] for x in langs], np.int64), sizes)
+        lang = np.repeat(np.array([kinds[x] for x in langs], np.int32), sizes)
         real = word != _GAP
         self.word, self.lang = word[real], lang[real]
         self.words, self.langs = list(numbers), list(kinds)
         hashed = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
         salt = np.array([xxhash.xxh64_intdigest(x, 1) for x in self.langs], np.uint64)
-        shift, self.hashed, self.salt = np.uint64(65 - slots.bit_length()), hashed[self.word], salt[self.lang]
-        slot = lambda h: ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> shift).astype(np.int64)
-        pair = self.hashed[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.hashed[1:] + self.salt[:-1]
-        triple = (pair[:-1] ^ (pair[:-1] >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F) + self.hashed[2:]
-        self.slots = [slot(self.hashed * np.uint64(0x165667B19E3779F9) + self.salt), slot(pair), slot(triple)]
+        shift, hashed, salt = np.uint64(65 - slots.bit_length()), hashed[self.word], salt[self.lang]
+        slot = lambda h: ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> shift).astype(np.int32 if slots <= 1 << 31 else np.int64)
+        pair = hashed[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashed[1:] + salt[:-1]
+        triple = (pair[:-1] ^ (pair[:-1] >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F) + hashed[2:]
+        self.slots = [slot(hashed * np.uint64(0x165667B19E3779F9) + salt), slot(pair), slot(triple)]
         real = self.word != _BREAK
         self.there = [real, real[:-1] & real[1:], real[:-2] & real[1:-1] & real[2:]]
 
@@ -78,7 +78,7 @@ class Chunk:
 def _chunks(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[Chunk]:
     langs, texts, size = [], [], 0
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for lang, text in ((x.as_py() for x in pair) for pair in zip(batch.column(0), batch.column(1), strict=True)):
             langs.append(lang)
             texts.append(text)
             size += len(text or "")
@@ -87,6 +87,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[Chunk]:
                 langs, texts, size = [], [], 0
     if langs:
         yield Chunk(langs, texts, slots)
+        del langs, texts, batch
+    give_back()
 
 
 def _slot_counts(slots: int, shared=None):
@@ -104,7 +106,7 @@ def _slot_counts(slots: int, shared=None):
             parts, first = np.unique(slot // PART, return_index=True)
             planes = [(slot & 255).astype(np.uint8), (slot % PART >> 8).astype(np.uint8), np.minimum(n, 255).astype(np.uint8)]
             packed = [b"".join(x[a:b].tobytes() for x in planes) for a, b in zip(first, [*first[1:], len(slot)])]
-            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(packed, pa.binary())], ["part", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int64)), pa.array(packed, pa.binary())], ["part", "packed"])
 
     return run
 
@@ -140,7 +142,7 @@ def _windows(pairs, triples, longest: int, slots: int):
             triple = triple & pair[:-1] & pair[1:]
             held = lambda x, i: x[np.minimum(i, len(x) - 1)] if len(x) else np.zeros(len(i), bool)  # noqa: E731  what stands behind the end is never there
             columns = [np.where(goes, c.word[at], _GAP)]
-            code = c.lang[at] * len(c.words) + columns[0]
+            code = c.lang[at].astype(np.int64) * len(c.words) + columns[0]
             for k in range(1, longest):
                 goes = goes & (held(pair, at) if k == 1 else held(triple, at + k - 2))
                 columns.append(np.where(goes, c.word[np.minimum(at + k, len(c.word) - 1)], _GAP))
@@ -168,6 +170,7 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     """(phrases, totals): (lang, words, f) of all phrases of up to ``longest`` words met ``least`` times, and
     (lang, n) with the number of all words."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession, 4 << 20)
     send = docs.sparkSession.sparkContext.broadcast
     pairs = send(_bitmap(rows, least, slots))
     triples = send(_bitmap(rows, least, slots, pairs))

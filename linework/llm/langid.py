@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linework.plans.tables import materialise
+from linework.plans.tables import give_back, materialise, small_batches
 
 #: Different labels that are taken for languages: what is collected and broadcast has at least a piece of each.
 LANGUAGES = 2_000
@@ -258,6 +258,7 @@ def identify(
     """``docs`` with ``pred_col`` and ``score_col``, in place of columns of these names; ``labelled`` has id,
     text and language to learn from."""
     sc = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession, 4 << 20)
     docs = docs.drop(pred_col, score_col)
     shared = sc.broadcast(labelled_sample(labelled, id_col, text_col, lang_col))
     key = uuid.uuid4().hex
@@ -285,6 +286,7 @@ def identify(
                     for i, b, s in zip(lettered, best, share, strict=True):
                         pred[i], score[i] = parser.langs[b], float(s)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(score, pa.float64())], [*names, pred_col, score_col])
+        give_back()
 
     return docs.mapInArrow(predict, schema)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,6 +37,13 @@ def small_batches(spark: SparkSession, n: int = 16 << 20) -> None:
         spark.conf.set(name, n)
 
 
+def give_back() -> None:
+    """Return freed memory to the system; an idle worker would keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back."""
     path = new_path(df.sparkSession, label)

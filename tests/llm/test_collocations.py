@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from linework.llm.collocations import OP12_SQL, collocations, op12_collocations
+from linework.llm.collocations import OP12_SQL, SLOTS, Chunk, collocations, op12_collocations
 
 SF = "/root/testdata/sf0.001"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -72,3 +72,9 @@ def test_query_equals_sql(spark):
     rel = con.sql(OP12_SQL)
     assert sorted(rel.columns) == sorted(found.columns)
     assert sorted(tuple(r) for r in found.select(*rel.columns).collect()) == sorted(rel.fetchall())
+
+
+def test_a_chunk_holds_few_bytes_a_word():
+    c = Chunk(["en"] * 10, ["a b c d, e f g h. " * 500] * 10, SLOTS)
+    held = sum(x.nbytes for v in vars(c).values() for x in (v if isinstance(v, list) else [v]) if hasattr(x, "nbytes"))
+    assert held <= 24 * len(c.word) and c.there[0].sum() == 40000
