@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linework.functions import paths
-from linework.functions.arrays import CHUNK, running
+from linework.functions.arrays import CHUNK, let, running
 from linework.functions.text import slug, stripped, unique_ids, visible_text
 from linework.operators.filters import quoted
 from linework.operators.search import hit_offsets
@@ -265,8 +265,8 @@ def _cut(text: Column, pattern: str) -> Column:
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("h")), lambda z: F.array(F.struct(F.lit(False).alias("hit"), z["g"].alias("text")), F.struct(F.lit(True).alias("hit"), z["h"].alias("text")))))
     pieces = F.filter(pieces, lambda x: x["text"].isNotNull())
-    starts = running(F.transform(pieces, lambda x: F.length(x["text"])))
-    return F.zip_with(pieces, starts, lambda x, at: F.struct(x["hit"].alias("hit"), at.cast("int").alias("start"), x["text"].alias("text")))
+    placed = lambda x, at: F.struct(x["hit"].alias("hit"), at.cast("int").alias("start"), x["text"].alias("text"))
+    return let(pieces, lambda ps: F.zip_with(ps, running(F.transform(ps, lambda x: F.length(x["text"]))), placed))
 
 
 def nodes(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -285,12 +285,14 @@ def nodes(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     rows = rows.withColumn("_runs", running(F.transform("_parts", lambda p: F.startswith(p["text"], F.lit("\x01")).cast("int"))))
     node = lambda kind, start, text: F.struct(kind.alias("kind"), start.cast("int").alias("start"), text.alias("text"))
 
+    none = F.array().cast("array<struct<kind: string, start: int, text: string>>")
+
     def of_part(p: Column, run: Column) -> Column:
         t, at = p["text"], p["start"]
         begins = lambda m: F.startswith(t, F.lit(m))
         inline = F.transform(F.filter(_cut(t, INLINE), lambda x: ~x["hit"]), lambda x: node(F.lit("text"), at + x["start"], x["text"]))
         code = F.when(begins("\x01"), node(F.lit("code"), at, F.get("_code", run.cast("int")))).when(begins("`"), node(F.lit("code"), at + 1, F.substr(t, F.lit(2), F.length(t) - 2)))
-        return F.when(~p["hit"], inline).when(begins("\x02"), F.slice(inline, 1, 0)).otherwise(F.array(F.coalesce(code, node(F.lit("math"), at, t))))
+        return F.when(~p["hit"], inline).when(begins("\x02"), none).otherwise(F.array(F.coalesce(code, node(F.lit("math"), at, t))))
 
     found = F.filter(F.flatten(F.zip_with("_parts", "_runs", of_part)), lambda x: x["text"].rlike(r"\S"))
     return rows.select(key, F.posexplode_outer(found).alias("node", "x")).where("node is not null").select(key, "node", "x.kind", "x.start", "x.text")
@@ -303,5 +305,5 @@ def find_in_nodes(found: DataFrame, term: str, key: str, case_sensitive: bool =
     searched = found.where("kind != 'math'") if term.strip() else found.limit(0)
     searched = searched.where(F.contains(fold(F.col("text")), fold(F.lit(term))))
     pieces = F.split(fold(F.col("text")), quoted(term if case_sensitive else term.lower()), -1)
-    rows = searched.select(key, "node", "kind", "start", F.explode(hit_offsets(F.col("text"), pieces, len(term))).alias("_at"))
+    rows = searched.select(key, "node", "kind", "start", F.explode_outer(hit_offsets(F.col("text"), pieces, len(term))).alias("_at")).where("_at is not null")
     return rows.select(key, "node", "kind", (F.col("start") + F.col("_at")).cast("int").alias("offset"))

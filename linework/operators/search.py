@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linework.functions.arrays import let
 from linework.operators.filters import FilterSpec, filter_lines, matches_term, quoted
 
 #: Most hits of a page, and of a search in cells.
@@ -24,8 +25,6 @@ def _ends(pieces: Column, gap: int) -> Column:
 
     Sums run within chunks and over chunks, so a line of 100,000 hits takes no quadratic copying.
     """
-    cut = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(cut) - 1) / CHUNK).cast("int")), lambda c: F.slice(cut, c * CHUNK + 1, F.lit(CHUNK)))
     none = F.array().cast("array<int>")
 
     def running(start: Column, sizes: Column) -> Column:
@@ -36,10 +35,18 @@ def _ends(pieces: Column, gap: int) -> Column:
             lambda acc, size: F.struct((acc["end"] + size).alias("end"), F.array_append(acc["at"], acc["end"]).alias("at")),
         )["at"]
 
-    sizes = F.transform(chunks, lambda chunk: F.transform(chunk, lambda p: F.length(p) + gap))
-    starts = running(F.lit(0), F.transform(sizes, lambda chunk: F.aggregate(chunk, F.lit(0), lambda a, b: a + b)))
-    ends = F.flatten(F.zip_with(sizes, starts, lambda chunk, start: F.zip_with(running(start, chunk), chunk, lambda at, size: at + size - gap)))
-    return F.when(F.size(pieces) > 1, ends).otherwise(none)
+    def over(pieces: Column) -> Column:
+        lengths = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p) + gap)
+        return F.when(F.size(pieces) > 1, let(lengths, lambda every: let(chunked(every), ends))).otherwise(none)
+
+    def chunked(every: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / CHUNK).cast("int")), lambda c: F.slice(every, c * CHUNK + 1, F.lit(CHUNK)))
+
+    def ends(sizes: Column) -> Column:
+        starts = running(F.lit(0), F.transform(sizes, lambda chunk: F.aggregate(chunk, F.lit(0), lambda a, b: a + b)))
+        return F.flatten(F.zip_with(sizes, starts, lambda chunk, start: F.zip_with(running(start, chunk), chunk, lambda at, size: at + size - gap)))
+
+    return let(pieces, over)
 
 
 def hit_offsets(text: Column, pieces: Column, n: int, whole_word: bool = False) -> Column:

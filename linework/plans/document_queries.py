@@ -222,9 +222,13 @@ def formulas(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
     def line(t, i):
-        t, turn = F.regexp_replace(t, "[^A-Za-z ]", "x"), (i + 1) % 6
-        made = [F.concat(F.lit("- **"), t, F.lit("** x")), F.concat(F.lit("so `the "), t, F.lit("` and $the x$ the")), F.lit("```"), t, F.lit("```"), F.concat(F.lit("$$the$$ "), t)]
-        return F.element_at(F.array(*made), (turn + 1).cast("int"))
+        turn, around = (i + 1) % 6, lambda a, t, b="": F.concat(F.lit(a), t, F.lit(b))
+
+        def made(t):
+            fence = F.when(turn.isin(2, 4), "```").when(turn == 3, t).otherwise(around("$$the$$ ", t))
+            return F.when(turn == 0, around("- **", t, "** x")).when(turn == 1, around("so `the ", t, "` and $the x$ the")).otherwise(fence)
+
+        return let(F.regexp_replace(t, "[^A-Za-z ]", "x"), made)
 
     return docs.select("doc_id", F.array_join(F.transform(lines.raw_lines(F.col("text")), line), "\n").alias("text"))
 

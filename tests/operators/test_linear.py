@@ -71,3 +71,10 @@ def test_many_fences(spark):
     lines = ["````", "```", "~~~"] * 40_000
     rows = run(markdown.code_blocks(one(spark, "\n".join(lines)), "doc_id"))
     assert [r.line for r in sorted(rows, key=lambda r: r.line)][:3] == [1, 5, 8] and len(rows) == 40_000
+
+
+def test_text_of_many_nodes(spark):
+    n = 40_000
+    found = markdown.nodes(one(spark, "a *b* " * n), "doc_id")
+    rows = run(found.agg(F.count("*").alias("n"), F.max("start").alias("last")))
+    assert (rows[0].n, rows[0].last) == (2 * n, 6 * n - 3)
