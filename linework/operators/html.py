@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linework.functions.arrays import let
 from linework.functions.text import unescape_html
 from linework.operators.filters import quoted
 
@@ -15,8 +16,10 @@ ATTRIBUTES = ["srcset", "formaction", "ping", "autofocus"]
 
 def _closed_only(html: Column, opener: str, closer: str) -> Column:
     """``html`` with a mark in what opens behind the last closer, so that no pattern looks for an end that isn't there."""
-    head = F.regexp_extract(html, rf"(?is)\A.*{closer}", 0)
-    return F.concat(head, F.regexp_replace(F.substr(html, F.length(head) + 1), opener, "<\x01$1"))
+    def marked(html: Column, head: Column) -> Column:
+        return F.concat(head, F.regexp_replace(F.substr(html, F.length(head) + 1), opener, "<\x01$1"))
+
+    return let(html, lambda h: let(F.regexp_extract(h, rf"(?is)\A.*{closer}", 0), lambda head: marked(h, head)))
 
 
 def text_nodes(html: Column) -> Column:
@@ -25,15 +28,17 @@ def text_nodes(html: Column) -> Column:
         html = _closed_only(html, opener, closer)
     shown = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "<x>")
     shown = F.replace(shown, F.lit("<\x01"), F.lit("<"))
-    head = F.regexp_extract(shown, r"(?s)\A.*>", 0)  # what opens behind it is no tag
-    shown = F.concat(head, F.replace(F.substr(shown, F.length(head) + 1), F.lit("<"), F.lit("\x01\x01")))
+    # what opens behind the last end is no tag
+    tags = lambda h, head: F.concat(head, F.replace(F.substr(h, F.length(head) + 1), F.lit("<"), F.lit("\x01\x01")))
+    shown = let(shown, lambda h: let(F.regexp_extract(h, r"(?s)\A.*>", 0), lambda head: tags(h, head)))
     cut = F.transform(F.split(shown, r"<[^>]*>", -1), lambda t: F.replace(t, F.lit("\x01\x01"), F.lit("<")))
     return F.filter(F.transform(cut, unescape_html), lambda t: t.rlike(r"\S"))
 
 
 def find_in_pages(pages: DataFrame, term: str, key: str = "page_id", html_col: str = "html") -> DataFrame:
     """(key, node, hits): hits of a term, in any case and without overlap, in each text node that has it."""
-    nodes = pages.select(key, F.posexplode(text_nodes(F.col(html_col))).alias("node", "text"))
+    # of the outer kind: for the other Spark infers a filter on the array's size, which makes the array again
+    nodes = pages.select(key, F.posexplode_outer(text_nodes(F.col(html_col))).alias("node", "text"))
     hits = F.size(F.split(F.lower("text"), quoted(term.lower()), -1)) - 1
     return nodes.select(key, "node", hits.alias("hits")).where("hits > 0")
 

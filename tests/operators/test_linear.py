@@ -78,3 +78,10 @@ def test_text_of_many_nodes(spark):
     found = markdown.nodes(one(spark, "a *b* " * n), "doc_id")
     rows = run(found.agg(F.count("*").alias("n"), F.max("start").alias("last")))
     assert (rows[0].n, rows[0].last) == (2 * n, 6 * n - 3)
+
+
+def test_pages_are_cut_once(spark):
+    """Each pattern stands in the plan as often as it is evaluated."""
+    pages = spark.createDataFrame([(1, "<p>a</p>b")], "page_id long, html string")
+    plan = html.find_in_pages(pages, "A")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 4 and plan.count("size(filter(") == 0
