@@ -9,9 +9,9 @@ The labelled text is a bounded sample of labelled rows: their whole texts are cu
 points, and of each language the pieces with the least hashes of (id, text, place) are learnt, LANGUAGE code
 points of them, or TOTAL by the number of languages if that is less, but one piece at least. Every piece of
 every labelled text is as likely as any other, and no language is left out; with more than
-LANGUAGES of them the column can't be one of languages, and a ValueError says so. The sample is broadcast as text
-and each Python worker builds the automata once: dense transition tables where these are small, else sorted
-edges.
+LANGUAGES of them the column can't be one of languages, and a ValueError says so. The sample is broadcast as text.
+Tasks build the automata, one language at a time, and write them to the shared folder: dense transition tables where these are
+small, else sorted edges. All Python workers of a machine map the same files, so a worker holds no automaton of its own.
 
 A text is parsed whole. To step through many places at once it is cut into segments, each parsed from its own
 beginning; where the parse of a segment really begins within a phrase of the one before, that phrase is
@@ -28,15 +28,18 @@ columns stay, but those named like the results are replaced; an empty table give
 from __future__ import annotations
 
 import functools
+import io
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linework.plans.tables import give_back, materialise, small_batches
+from linework.plans.tables import give_back, materialise, new_path, small_batches
+from linework.sources.files import open_file, write_file
 
 #: Different labels that are taken for languages: what is collected and broadcast has at least a piece of each.
 LANGUAGES = 2_000
@@ -113,6 +116,29 @@ class Moves:
             self.dense = np.full(len(moves) * width, -1, np.int32)
             self.dense[self.keys] = self.to
 
+    def write(self, path: str) -> None:
+        """One file per array that is asked."""
+        for name in ("keys", "to") if self.dense is None else ("dense",):
+            np.save(to := io.BytesIO(), getattr(self, name))
+            write_file(f"{path}-{name}.npy", to.getbuffer())
+
+    @classmethod
+    def read(cls, path: str, width: int) -> Moves:
+        """The arrays are mapped where the folder is one of the machine's, and read from elsewhere."""
+
+        def array(name: str) -> np.ndarray:
+            with open_file(f"{path}-{name}.npy") as file:
+                local = isinstance(file, io.FileIO)
+                return np.asarray(np.load(file.name, mmap_mode="r") if local else np.load(io.BytesIO(file.read())))
+
+        made = cls.__new__(cls)
+        made.width, made.dense = width, None
+        try:
+            made.dense = array("dense")
+        except FileNotFoundError:
+            made.keys, made.to = array("keys"), array("to")
+        return made
+
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The next states, -1 where there is none."""
         key = state.astype(np.int64) * self.width + symbol
@@ -139,15 +165,27 @@ class Moves:
 
 
 class CrossParser:
-    """The automata of all languages over one alphabet."""
+    """The automata of all languages over one alphabet, built here or read from the folder where write() put them."""
+
+    def __init__(self, samples: list[tuple[str, str]], folder: str | None = None):
+        self.points = {lang: codes(text) for lang, text in samples if text}
+        self.langs = sorted(self.points)
+        self.alphabet = np.unique(np.concatenate([*self.points.values(), np.array([32], np.uint32)]))
+        self.width = len(self.alphabet) + 1  # the last symbol occurs nowhere
+        self.folder = folder
+        self.bits = np.array([np.log2(max(2, len(self.points[x]))) for x in self.langs])
+
+    def table(self, k: int) -> Moves:
+        return Moves(suffix_automaton(self.symbols(self.points[self.langs[k]]).tolist()), self.width)
 
-    def __init__(self, samples: list[tuple[str, str]]):
-        points = {lang: codes(text) for lang, text in samples if text}
-        self.langs = sorted(points)
-        self.alphabet = np.unique(np.concatenate([*points.values(), np.array([32], np.uint32)]))
-        width = len(self.alphabet) + 1  # the last symbol occurs nowhere
-        self.tables = [Moves(suffix_automaton(self.symbols(points[x]).tolist()), width) for x in self.langs]
-        self.bits = np.array([np.log2(max(2, len(points[x]))) for x in self.langs])
+    def write(self, k: int) -> None:
+        """Build the automaton of one language for all."""
+        self.table(k).write(f"{self.folder}/{k}")
+
+    @functools.cached_property
+    def tables(self) -> list[Moves]:
+        all_of = range(len(self.langs))
+        return [self.table(k) if self.folder is None else Moves.read(f"{self.folder}/{k}", self.width) for k in all_of]
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
@@ -249,6 +287,21 @@ def labelled_sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str)
     return [(lang, "\n".join(of)) for lang, of in sorted(texts.items())]
 
 
+def _write_automata(spark: SparkSession, shared: Broadcast, folder: str) -> None:
+    """Build and write the automata in tasks, one language at a time."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parser = CrossParser(shared.value, folder)
+            for k in batch.column("id").to_pylist():
+                parser.write(k)
+            yield batch
+        give_back()
+
+    if n := sum(bool(text) for _, text in shared.value):
+        spark.range(0, n, 1, min(n, spark.sparkContext.defaultParallelism)).mapInArrow(build, "id long").write.format("noop").mode("overwrite").save()
+
+
 _parsers: dict[str, CrossParser | None] = {}
 
 
@@ -257,10 +310,12 @@ def identify(
 ) -> DataFrame:
     """``docs`` with ``pred_col`` and ``score_col``, in place of columns of these names; ``labelled`` has id,
     text and language to learn from."""
-    sc = docs.sparkSession.sparkContext
-    small_batches(docs.sparkSession, 4 << 20)
+    spark = docs.sparkSession
+    small_batches(spark, 4 << 20)
     docs = docs.drop(pred_col, score_col)
-    shared = sc.broadcast(labelled_sample(labelled, id_col, text_col, lang_col))
+    shared = spark.sparkContext.broadcast(labelled_sample(labelled, id_col, text_col, lang_col))
+    folder = new_path(spark, "language-automata")
+    _write_automata(spark, shared, folder)
     key = uuid.uuid4().hex
     names = docs.columns
     where = names.index(text_col)
@@ -268,8 +323,8 @@ def identify(
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _parsers:
-            _parsers.clear()  # a worker keeps the automata of one job
-            _parsers[key] = CrossParser(shared.value) if any(t for _, t in shared.value) else None
+            _parsers.clear()  # a worker keeps the parser of one job
+            _parsers[key] = CrossParser(shared.value, folder) if any(t for _, t in shared.value) else None
         parser = _parsers[key]
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,15 @@ def test_too_many_languages_are_an_error(spark, monkeypatch):
     assert langid.identify(rows(2), rows(2)).count() == 2
     with pytest.raises(ValueError, match="3 different languages"):
         langid.identify(rows(3), rows(3))
+
+
+@pytest.mark.parametrize("dense, name", [(1 << 24, "dense"), (0, "keys")])
+def test_written_automata_are_mapped(monkeypatch, tmp_path, dense, name):
+    monkeypatch.setattr(langid, "DENSE", dense)
+    samples = [("a", "abcabd " * 50), ("b", ""), ("c", "xyz é" * 50)]
+    built, read = langid.CrossParser(samples), langid.CrossParser(samples, str(tmp_path))
+    for k in range(2):
+        read.write(k)
+    assert all(isinstance(getattr(t, name).base, np.memmap) for t in read.tables)
+    texts = ["abd abc" * 200, "xyz", "é", "", "q abcab" * 500]
+    assert read.langs == ["a", "c"] and (read.costs(texts) == built.costs(texts)).all()
