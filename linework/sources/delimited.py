@@ -5,8 +5,8 @@ closing quote is taken literally; LF, CRLF and a lone CR end a record; a record
 is dropped; rows may be ragged; an open quote runs to the end. All cells are strings.
 
 ``parse_delimited`` cuts each text of a column in one task; texts are independent. ``split_delimited``
-reads one large file in many splits: at the start of a line the rules are either outside or within
-quotes, so lines are maps between two states and compose in any grouping. (The idea is that of published
+reads one large file in many ranges: at the start of a line the rules are either outside or within
+quotes, so the lines of a range are a map between two states, and ranges compose. (The idea is that of published
 work on parallel CSV parsing, e.g. Ge et al., SIGMOD 2019.)
 """
 
@@ -14,18 +14,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linework.plans.numbering import numbered
 from linework.plans.tables import materialise
 from linework.sources.encodings import decoded, with_encoding
-from linework.sources.files import heads, line_splits, manifest, read_splits, with_encodings
+from linework.sources.files import byte_ranges, heads, manifest, open_file, spread, text_between, with_encodings
 
 #: Rows of a batch that goes back to Spark.
 BATCH = 4096
+#: Bytes of a range of a file; even, so that UTF-16 units stay whole. And of a read behind it, for a record that goes on.
+RANGE, MORE = 4 << 20, 1 << 20
 #: Rows and bytes (of decoded text, as UTF-8) of a preview.
 MAX_ROWS, MAX_BYTES = 200_000, 32 << 20
 #: Fixed names of delimiters.
@@ -43,7 +45,7 @@ def resolve_delimiter(choice: str | None = None, path: str = "") -> str:
 def _ended(text: str, delimiter: str) -> Iterator[tuple[list[str], int, str]]:
     """The records of a text, the place behind each, and what ended it: a line end, or nothing at the text's end."""
     d = re.escape(delimiter)
-    field = re.compile(rf'(?:"((?:[^"]|"")*+)"?)?+([^{d}\r\n]*+)({d}|\r\n|\r|\n|\Z)')
+    field = re.compile(rf'(?:"([^"]*+(?:""[^"]*+)*+)"?)?+([^{d}\r\n]*+)({d}|\r\n|\r|\n|\Z)')
     cells: list[str] = []
     at, more = 0, False
     while at < len(text) or more:
@@ -142,71 +144,112 @@ def parse_delimited(df: DataFrame, keys: list[str], text_col: str = "text", deli
     return df.select(*keys, text_col).mapInArrow(run, schema)
 
 
-def _line_ends(line: Column, delimiter: str) -> tuple[Column, Column]:
-    """Whether a line ends within quotes, if it begins outside, and if it begins within.
-
-    Between lines these are the only two states of the rules, so a line is a map from one to the other.
+def _closed(text: str, at: int) -> int:
+    """The place of the quote that closes the field whose inside ``at`` is in, or -1."""
+    while (at := text.find('"', at)) >= 0 and text.startswith('"', at + 1):
+        at += 2
+    return at
+
+
+def _ends_within(text: str, within: bool, delimiter: str) -> bool:
+    """Whether whole lines end within quotes, if they begin within or outside."""
+    opening = re.compile(rf'[{re.escape(delimiter)}\r\n]"')
+    if not within and not text.startswith('"'):
+        found = opening.search(text)
+    else:
+        at = _closed(text, 0 if within else 1)
+        if at < 0:
+            return True
+        found = opening.search(text, at + 1)
+    while found:
+        at = _closed(text, found.end())
+        if at < 0:
+            return True
+        found = opening.search(text, at + 1)
+    return False
+
+
+def _first_outside(text: str, delimiter: str) -> int | None:
+    """The place behind the first line end that is outside quotes, in a text that begins within."""
+    end_or_opening = re.compile(rf'\n|{re.escape(delimiter)}"|\r"')
+    at = _closed(text, 0)
+    while at >= 0 and (found := end_or_opening.search(text, at + 1)):
+        if found[0] == "\n":
+            return found.end()
+        at = _closed(text, found.end())
+    return None
+
+
+def _ranges(files: DataFrame, delimiter: str, size: int) -> DataFrame:
+    """(path, size, encoding, start, end, n, begin, goes_on): ranges of files, the lines that begin in each, whether these begin and
+    end within quotes. One pass over the bytes; written.
+
+    A range whose map is constant sets the state, one that swaps flips it, the others keep it; so the state is
+    that of the last constant range and the parity of the swaps since.
     """
-    d = re.escape(delimiter)
-    inner = r'[^"]*+(?:""[^"]*+)*+'
-    rest = rf"[^{d}\r]*+"
-    closed = rf'(?:(?:"{inner}"{rest}|[^"{d}\r]{rest}|)(?:{d}|\r))*+'
-    return line.rlike(rf'\A{closed}"{inner}\z'), line.rlike(rf'\A{inner}(?:\z|"{rest}(?:{d}|\r){closed}"{inner}\z)')
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with open_file(r["path"]) as file:
+                    text, n = text_between(file, r["start"], r["end"], r["size"], r["encoding"])
+                yield pa.RecordBatch.from_pylist([r | {"n": n, "out": _ends_within(text, False, delimiter), "within": _ends_within(text, True, delimiter)}])
+
+    schema = "path string, size long, encoding string, start long, end long, n long, out boolean, within boolean"
+    ranges = byte_ranges(files, size)
+    ranges = materialise(spread(ranges, F.col("end") - F.col("start")).mapInArrow(run, schema), "delimited-maps")
+    order = Window.partitionBy("path").orderBy("start")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    flipped = lambda state, n: state != (n % 2 == 1)  # noqa: E731  for odd n
+    ranges = ranges.withColumn("_swaps", F.sum((F.col("out") & ~F.col("within")).cast("int")).over(order))
+    ranges = ranges.withColumn("_set", F.when(F.col("out") == F.col("within"), F.struct(F.col("out").alias("v"), F.col("_swaps").alias("n"))))
+    ranges = ranges.withColumns({"_last": F.last("_set", ignorenulls=True).over(before), "_n": F.coalesce(F.last("_swaps").over(before), F.lit(0))})
+    begin = F.coalesce(flipped(F.col("_last.v"), F.col("_n") - F.col("_last.n")), flipped(F.lit(False), F.col("_n")))
+    ranges = ranges.withColumn("begin", begin).withColumn("goes_on", F.when(F.col("begin"), F.col("within")).otherwise(F.col("out")))
+    return materialise(ranges.select("path", "size", "encoding", "start", "end", "n", "begin", "goes_on"), "delimited-ranges")
 
 
-def _states(lines: DataFrame) -> DataFrame:
-    """(path, block, file_line, raw, open, record): whether the line begins within quotes, and the line at
-    which its record begins. ``lines`` has path, block, file_line, raw, out and within (as _line_ends).
+def split_delimited(spark: SparkSession, paths: str | list[str], delimiter: str = ",", encoding: str = "auto", size: int = RANGE) -> DataFrame:
+    """(path, row_no, cells) of files of any size, each read in many ranges of ``size`` bytes.
 
-    A line whose map is constant sets the state, one that swaps flips it, the others keep it; so the state is
-    that of the last constant line and the parity of the swaps since. First within each split, for a
-    split that begins outside and for one that begins within, then over the splits' few numbers.
+    No text goes between tasks: records are parsed by the task that reads the range in which the line begins that they begin in, and
+    a record that goes on behind its range is read to its end. Numbers are the sums of the ranges before.
     """
-    split = ["path", "block"]
-    order = Window.partitionBy(*split).orderBy("file_line")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    swap, sets = F.col("out") & ~F.col("within"), F.col("out") == F.col("within")
-    rows = lines.withColumn("_swaps", F.sum(swap.cast("int")).over(order))
-    rows = rows.withColumn("_set", F.when(sets, F.struct(F.col("out").alias("v"), F.col("_swaps").alias("n"))))
-    last = lambda w: F.last("_set", ignorenulls=True).over(w)
-    rows = rows.withColumns({"_last": last(before), "_n": F.coalesce(F.last("_swaps").over(before), F.lit(0))})
-    at = lambda base, n: base != (n % 2 == 1)  # noqa: E731  flipped for odd n
-    whole = rows.groupBy(*split).agg(F.max_by("_swaps", "file_line").alias("swaps"), F.max_by("_set", F.when(F.col("_set").isNotNull(), F.col("file_line"))).alias("set"))
-    inside_split = lambda begin: F.coalesce(at(F.col("_last.v"), F.col("_n") - F.col("_last.n")), at(begin, F.col("_n")))
-    # over the splits of a file: the same rule, a split being a longer line
-    files = Window.partitionBy("path").orderBy("block")
-    earlier = files.rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.withColumn("_total", F.sum("swaps").over(files))
-    whole = whole.withColumn("_known", F.when(F.col("set").isNotNull(), F.struct(at(F.col("set.v"), F.col("swaps") - F.col("set.n")).alias("v"), F.col("_total").alias("n"))))
-    known, total = F.last("_known", ignorenulls=True).over(earlier), F.coalesce(F.last("_total").over(earlier), F.lit(0))
-    whole = whole.withColumns({"_k": known, "_t": total})
-    begin = F.coalesce(at(F.col("_k.v"), F.col("_t") - F.col("_k.n")), at(F.lit(False), F.col("_t")))
-    rows = rows.join(whole.select(*split, begin.alias("_begin")), split).withColumn("open", inside_split(F.col("_begin")))
-    rows = rows.withColumn("_start", F.when(~F.col("open"), F.col("file_line")))
-    starts = rows.groupBy(*split).agg(F.max("_start").alias("_s"))
-    starts = starts.select(*split, F.max("_s").over(earlier).alias("_carried"))
-    rows = rows.withColumn("record", F.max("_start").over(order)).join(starts, split)
-    return rows.select(*split, "file_line", "raw", "open", F.coalesce("record", "_carried").alias("record"), F.when(F.col("open"), F.col("within")).otherwise(F.col("out")).alias("goes_on"))
-
-
-def split_delimited(spark: SparkSession, paths: str | list[str], delimiter: str = ",", encoding: str = "auto") -> DataFrame:
-    """(path, row_no, cells) of files of any size, each read in many splits.
-
-    The text goes once between tasks, to put the lines of a split in order; a record of one line is parsed
-    where it lies and only the lines of longer ones meet.
-    """
-    splits = line_splits(with_encodings(manifest(spark, paths), encoding))
-    # a last line that has its end, and only that, ends in LF here
-    lines = read_splits(splits).join(splits.groupBy("path").agg(F.sum("n").alias("_lines")), "path")
-    last = (F.col("file_line") == F.col("_lines")) & F.col("ended")
-    out, within = _line_ends(F.col("raw"), delimiter)
-    rows = _states(lines.select("path", "block", "file_line", F.when(last, F.concat("raw", F.lit("\n"))).otherwise(F.col("raw")).alias("raw"), out.alias("out"), within.alias("within")))
-    rows = materialise(rows, "delimited-lines")
-    alone = rows.where("not open and not goes_on").select("path", F.col("file_line").alias("line"), "raw")
-    longer = rows.where("open or goes_on").groupBy("path", F.col("record").alias("line")).agg(F.array_sort(F.collect_list(F.struct("file_line", "raw"))).alias("ls"))
-    longer = longer.select("path", "line", F.array_join(F.transform("ls", lambda x: x["raw"]), "\n").alias("raw"))
-    parsed = parse_delimited(alone.unionByName(longer), ["path", "line"], "raw", delimiter).withColumnRenamed("row_no", "_sub")
-    return numbered(parsed, ["path"], ["line", "_sub"], "row_no").select("path", F.col("row_no").cast("long").alias("row_no"), "cells")
+    def text_of(r: dict) -> str:
+        with open_file(r["path"]) as file:
+            text, n = text_between(file, r["start"], r["end"], r["size"], r["encoding"])
+            if n != r["n"]:
+                raise OSError(f"{r['path']} has changed: {n} lines instead of {r['n']} begin in bytes {r['start']} to {r['end']}")
+            if r["begin"]:
+                at = _first_outside(text, delimiter)
+                if at is None:
+                    return ""
+                text = text[at:]
+            parts, at = [text], r["end"]
+            while r["goes_on"] and at < r["size"]:
+                more, _ = text_between(file, at, min(at + MORE, r["size"]), r["size"], r["encoding"])
+                stop = _first_outside(more, delimiter)
+                parts.append(more[:stop])
+                if stop is not None:
+                    break
+                at += MORE
+        return "".join(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                found, first = records(text_of(r), delimiter), 1
+                while rows := list(islice(found, BATCH)):
+                    n = len(rows)
+                    own = [pa.array([r[k]]).take(pa.array([0] * n)) for k in ("path", "start")]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(range(first, first + n), pa.int64()), pa.array(rows, pa.list_(pa.string()))], ["path", "start", "own", "cells"])
+                    first += n
+
+    ranges = _ranges(with_encodings(manifest(spark, paths), encoding), delimiter, size)
+    rows = materialise(spread(ranges, F.col("end") - F.col("start")).mapInArrow(run, "path string, start long, own long, cells array<string>"), "delimited-records")
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("path", "start").agg(F.max("own").alias("n"))
+    bases = materialise(bases.select("path", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "delimited-bases")
+    return rows.join(bases, ["path", "start"]).select("path", (F.col("base") + F.col("own")).alias("row_no"), "cells")
 
 
 def read_delimited(spark: SparkSession, paths: str | list[str], delimiter: str | None = None, encoding: str = "auto") -> DataFrame:

@@ -186,6 +186,14 @@ def _texts(raws: list[bytes], place: int, encoding: str) -> pa.Array:
     return pa.array([decode_bytes(r, encoding) for r in raws], pa.string())
 
 
+def text_between(file, start: int, end: int, size: int, encoding: str) -> tuple[str, int]:
+    """The lines that begin in [start, end), each with its LF where it has one, as one text, and their number."""
+    places, raws, ended = lines_between(file, start, end, size, LineEnds(encoding))
+    if not raws:
+        return "", 0
+    return "\n".join(_texts(raws, int(places[0]), encoding).to_pylist()) + "\n" * ended, len(places)
+
+
 def without_cr(text: Column) -> Column:
     """Without the one CR that belongs to a line's end."""
     return F.when(F.endswith(text, F.lit("\r")), F.left(text, F.length(text) - 1)).otherwise(text)
@@ -269,12 +277,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({**{k: [r[k]] for k in ("path", "size", "encoding", "start", "end")}, "n": [n]})
 
 
+def byte_ranges(files: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(path, size, encoding, start, end): the ranges of files (with encoding); written."""
+    starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))
+    ranges = files.where("size > 0").select("path", "size", "encoding", F.explode(starts).alias("start"))
+    return materialise(ranges.withColumn("end", F.least("size", F.col("start") + split)), "ranges")
+
+
 def line_splits(files: DataFrame, split: int = SPLIT) -> DataFrame:
     """(path, size, encoding, start, end, n, base): the ranges of files (with encoding), the lines that begin in each
     and those before it. One pass over the bytes; written."""
-    starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))
-    ranges = files.where("size > 0").select("path", "size", "encoding", F.explode(starts).alias("start"))
-    ranges = materialise(ranges.withColumn("end", F.least("size", F.col("start") + split)), "ranges")
+    ranges = byte_ranges(files, split)
     counted = spread(ranges, F.col("end") - F.col("start")).mapInArrow(_counted, "path string, size long, encoding string, start long, end long, n long")
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     return materialise(counted.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "line-splits")

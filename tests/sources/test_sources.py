@@ -119,6 +119,37 @@ def test_one_file_in_many_splits(spark, tmp_path, size):
     assert got == {n: rows for n, rows in want.items() if rows}
 
 
+@pytest.mark.parametrize("size", [10, 64, 334])
+def test_delimited_files_in_ranges_of_any_size(spark, tmp_path, monkeypatch, size):
+    """Quoted cells over several ranges, in one encoding and another."""
+    import random
+
+    monkeypatch.setattr(delimited, "MORE", size + 2)
+    rng = random.Random(size)
+    alphabet = ['"', '"', ",", "\n", "\n", "\r", "\r\n", "ab", "é", "中", " ", '""', "xyz,", 'q"r']
+    texts = {f"{i}": "".join(rng.choices(alphabet, k=rng.choice([1, 3, 40, 300]))) for i in range(12)}
+    texts |= {"open": 'a,b\n"never\nclosed,\n' + "x\n" * 90, "long": "a\n" + 'b,"' + "y\n" * 300 + '"\nc\nd,""\n', "ends": "\n\n\n", "bare": 'a\n"b\n",c'}
+    for encoding, codec in (("utf-8", "utf-8"), ("utf-16le", "utf-16-le"), ("gb18030", "gb18030")):
+        folder = tmp_path / encoding
+        folder.mkdir()
+        for name, text in texts.items():
+            (folder / f"{name}.csv").write_bytes(text.encode(codec))
+        got = {}
+        for r in delimited.split_delimited(spark, str(folder), ",", encoding, size).orderBy("path", "row_no").collect():
+            rows = got.setdefault(r.path.rsplit("/", 1)[1].removesuffix(".csv"), [])
+            assert r.row_no == len(rows) + 1
+            rows.append(r.cells)
+        assert got == {n: rows for n, t in texts.items() if (rows := list(delimited.records(t)))}
+
+
+def test_rows_of_a_delimited_file_are_not_exchanged(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,"b\nc"\nd,e\n')
+    df = delimited.split_delimited(spark, str(tmp_path))
+    assert [(r.row_no, r.cells) for r in df.orderBy("row_no").collect()] == [(1, ["a", "b\nc"]), (2, ["d", "e"])]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("Window", "hashpartitioning", "rangepartitioning", "SortMergeJoin") if x in plan]
+
+
 def test_previews_of_long_files(spark):
     texts = ["é" * 5000, "x" + "é" * 5000, "xy" + "中" * 4000, "a\n" * 5000, "a\r\nb" + "z" * 8187, "a\r\nb" + "z" * 8188, "", "\ufeffa"]
     files = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "i int, content binary")
