@@ -187,6 +187,7 @@ def _ranges(files: DataFrame, delimiter: str, size: int) -> DataFrame:
     A range whose map is constant sets the state, one that swaps flips it, the others keep it; so the state is
     that of the last constant range and the parity of the swaps since.
     """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -214,6 +215,7 @@ def split_delimited(spark: SparkSession, paths: str | list[str], delimiter: str
     No text goes between tasks: records are parsed by the task that reads the range in which the line begins that they begin in, and
     a record that goes on behind its range is read to its end. Numbers are the sums of the ranges before.
     """
+
     def text_of(r: dict) -> str:
         with open_file(r["path"]) as file:
             text, n = text_between(file, r["start"], r["end"], r["size"], r["encoding"])
