@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.plans.tables import new_path
+from linework.plans.tables import materialise, new_path
 from linework.sources import files
 from linework.sources.lines import read_lines
 
@@ -85,9 +85,9 @@ def file_page_back(spark, sf_dir):
     """The last page of each file and the one before it, without an index."""
     found = files.with_encodings(files.manifest(spark, logs(spark, sf_dir)))
     splits = files.line_splits(found)
-    last = files.page_back(found.withColumn("before", F.lit(None).cast("long")), 30)
+    last = materialise(files.page_back(found.withColumn("before", F.lit(None).cast("long")), 30), "page")
     cursors = last.where("has_more").groupBy("path", "size", "encoding").agg(F.min("byte_offset").alias("before"))
-    pages = [files.number_page(p, splits) for p in (last, files.page_back(cursors, 30))]
+    pages = [files.number_page(p, splits) for p in (last, materialise(files.page_back(cursors, 30), "page"))]
     return pages[0].unionByName(pages[1]).select(part(), "file_line", "byte_offset", "text", "has_more")
 
 

@@ -399,9 +399,10 @@ def page_back(wanted: DataFrame, n: int) -> DataFrame:
 
 
 def number_page(page: DataFrame, splits: DataFrame, split: int = SPLIT) -> DataFrame:
-    """A page with file_line: the lines before each file's first row are counted once, from the start of its range."""
+    """A page with file_line: the lines before each file's first row are counted once, from the start of its range. Joins
+    are merges: Spark reckons a page by its narrow input, a row a file, and would broadcast the texts of all files."""
     first = materialise(page.groupBy("path").agg(F.min("byte_offset").alias("at")).withColumn("start", F.floor(F.col("at") / split) * split), "page-starts")
-    first = materialise(first.join(splits.select("path", "start", "base", "encoding"), ["path", "start"]), "page-bases")
+    first = materialise(first.hint("merge").join(splits.select("path", "start", "base", "encoding"), ["path", "start"]), "page-bases")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -415,7 +416,7 @@ def number_page(page: DataFrame, splits: DataFrame, split: int = SPLIT) -> DataF
 
     numbers = spread(first, F.col("at") - F.col("start")).mapInArrow(run, "path string, line long")
     order = Window.partitionBy("path").orderBy("byte_offset")  # a page
-    return page.join(numbers, "path").withColumn("file_line", F.col("line") + F.row_number().over(order) - 1).drop("line")
+    return page.hint("merge").join(numbers, "path").withColumn("file_line", F.col("line") + F.row_number().over(order) - 1).drop("line")
 
 
 class Wanted(InputPartition):

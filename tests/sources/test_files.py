@@ -60,6 +60,24 @@ def test_page_back_reads_little_and_is_numbered_once(spark, tmp_path):
     assert [r.file_line for r in files.number_page(page, splits, split=100_000).orderBy("file_line").collect()] == list(range(59_961, 59_981))
 
 
+def test_pages_of_many_files_are_not_broadcast(spark, tmp_path):
+    """Spark takes a page for as small as its row of a file, whatever its texts are."""
+    want = []
+    for i in range(30):
+        texts = [f"{i} {k} " + "x" * 2000 for k in range(i, 60)]
+        places = write(tmp_path / f"{i}.log", "utf-8", texts, "\r\n")
+        want += [(f"{i}.log", k, p, t, i < 35) for k, p, t in list(zip(range(1, 61 - i), places, texts))[-25:]]
+    try:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", "1k")  # a larger broadcast is an error
+        found = files.with_encodings(files.manifest(spark, str(tmp_path)))
+        page = files.page_back(found.withColumn("before", F.lit(None).cast("long")), 25)
+        rows = files.number_page(page, files.line_splits(found, split=10_000), split=10_000).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    got = sorted((r.path.rsplit("/", 1)[1], r.file_line, r.byte_offset, r.text, r.has_more) for r in rows)
+    assert got == sorted(want)
+
+
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-16le", "utf-16be", "gb18030"])
 @pytest.mark.parametrize("split", [2, 38, 1000])
 def test_lines_over_ranges(spark, tmp_path, encoding, split):
